@@ -1,7 +1,7 @@
 """All registered queries. Importing the submodules fills ``CATALOG``."""
 
 from kestrel.catalog.base import CATALOG  # noqa: F401
-from kestrel.catalog import aggregations, joins, projections  # noqa: F401,E402
+from kestrel.catalog import aggregations, joins, projections, reports  # noqa: F401,E402
 
 
 def queries():

@@ -162,14 +162,14 @@ STATUS_GRID_ORACLE = S.with_ctes(S.CATALOGUE_CTE, S.RUNS_CTE, S.COUNTS_CTE) + ""
 last_run AS (SELECT job_id, status AS last_status, created_at AS last_run_at FROM (
   SELECT *, ROW_NUMBER() OVER (PARTITION BY job_id ORDER BY created_at DESC, run_id DESC) AS rn FROM job_runs)
   WHERE rn = 1),
-g AS (SELECT c.table_name, c.job_id, c.pk, c.marker, c.is_sequence, l.last_status, l.last_run_at,
+g AS (SELECT c.table_name, c.enabled, c.job_id, c.pk, c.marker, c.is_sequence, l.last_status, l.last_run_at,
   s.source_count, s.target_count, s.count_mode, COALESCE(s.replicating, false) AS replicating
   FROM catalogue c LEFT JOIN last_run l ON c.job_id = l.job_id LEFT JOIN source_counts s ON c.job_id = s.job_id)
-SELECT table_name, job_id, last_status, last_run_at, source_count, target_count,
+SELECT table_name, enabled, job_id, last_status, last_run_at, source_count, target_count,
   CASE WHEN source_count IS NULL THEN 'PENDING'
        WHEN count_mode = 'exact' AND target_count IS NULL THEN 'PENDING'
        WHEN count_mode = 'exact' AND abs(source_count - target_count) <=
-            (CASE WHEN replicating THEN GREATEST(50, CAST(FLOOR(source_count * 0.0001) AS BIGINT)) ELSE 0 END)
+            (CASE WHEN replicating THEN GREATEST(50, CAST(FLOOR(CAST(source_count AS DOUBLE) * CAST(0.0001 AS DOUBLE)) AS BIGINT)) ELSE 0 END)
          THEN 'MATCH'
        WHEN count_mode = 'exact' THEN 'MISMATCH' ELSE 'ESTIMATE' END AS verdict,
   CASE WHEN marker IS NOT NULL AND (CASE WHEN pk IS NOT NULL AND length(pk) > 0 THEN pk
@@ -188,7 +188,7 @@ def status_grid(reg) -> DataFrame:
          .withColumn("replicating", F.coalesce("replicating", F.lit(False))))
     key = upsert_key_rule(F.col("pk"), F.col("marker"), F.col("is_sequence"))
     tol = tolerance(F.col("source_count"), F.col("replicating"))
-    return g.select("table_name", "job_id", "last_status", "last_run_at", "source_count", "target_count",
+    return g.select("table_name", "enabled", "job_id", "last_status", "last_run_at", "source_count", "target_count",
                     source_verdict(F.col("source_count"), F.col("count_mode"), F.lit(False), F.col("target_count"),
                                    tol).alias("verdict"),
                     sync_mode(F.col("marker"), key).alias("mode"))
