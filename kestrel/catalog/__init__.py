@@ -1,7 +1,7 @@
 """All registered queries. Importing the submodules fills ``CATALOG``."""
 
 from kestrel.catalog.base import CATALOG  # noqa: F401
-from kestrel.catalog import aggregations, incremental, joins, projections, reports, scalars  # noqa: F401,E402
+from kestrel.catalog import aggregations, incremental, joins, projections, reconcile, reports, scalars  # noqa: F401,E402
 
 
 def queries():
