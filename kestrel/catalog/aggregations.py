@@ -306,3 +306,22 @@ def top_k_groups(reg):
     """top(agg=count, limit=5000 -> capped at 1000)."""
     return P.top(reg.table("orders"), {"measure": "o_totalprice", "group_by": "o_custkey", "agg": "count",
                                        "limit": "5000"})
+
+
+@query("latest_recency_check")
+def latest_recency_check(reg):
+    """Recency must exist in every deduplicated table and sort newest-first (number, date, datetime)."""
+    from kestrel.plans.check import schema_issues
+    from kestrel.plans.model import LatestConfig, ModelSpec
+
+    specs = {
+        "valid": LATEST_ORDER_MODEL,
+        "missing_recency": ModelSpec("m1", LATEST_ORDER_MODEL.attributes, LATEST_ORDER_MODEL.joins,
+                                     LatestConfig(recency="updated_at")),
+        "text_recency": ModelSpec("m2", LATEST_ORDER_MODEL.attributes, LATEST_ORDER_MODEL.joins,
+                                  LatestConfig(recency="o_orderstatus", recency_by_table={"customer": "c_name"})),
+    }
+    rows = [(label, *r) for label, spec in specs.items() for r in schema_issues(reg, spec) if r[1] == "recency_column"]
+    rows += [(label, "ok", "recency_column", "all deduplicated tables have a sortable recency column")
+             for label, spec in specs.items() if not any(r[0] == label for r in rows)]
+    return reg.spark.createDataFrame(rows, "spec string, level string, code string, message string")

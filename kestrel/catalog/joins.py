@@ -198,3 +198,24 @@ def status_grid(reg) -> DataFrame:
 def join_status_grid(reg):
     """catalogue ⟕ latest run ⟕ source count ⟕ config -> one status row per table (replaces N point reads)."""
     return status_grid(reg)
+
+
+@query("sort_multi_key", oracle=STATUS_GRID_ORACLE.replace("SELECT table_name, enabled, job_id, last_status",
+                                                           "SELECT table_name, enabled, job_id, last_status, interval_sec,"
+                                                           " cat_last_run_at", 1)
+       .replace("g AS (SELECT c.table_name, c.enabled,", "g AS (SELECT c.table_name, c.enabled, c.interval_sec, "
+                "c.last_run_at AS cat_last_run_at,", 1).replace("WITH ", "WITH grid AS (WITH ", 1) + """)
+SELECT table_name, verdict, source_count,
+  CASE WHEN NOT enabled THEN 2 WHEN cat_last_run_at IS NULL THEN 1 ELSE 0 END AS sort_class,
+  cat_last_run_at + to_seconds(CAST(GREATEST(0, interval_sec) AS BIGINT)) AS next_run_at
+FROM grid ORDER BY sort_class, next_run_at, table_name LIMIT 100""")
+def sort_multi_key(reg):
+    """Grid page sorted by next run = last run + interval; never-run rows after those, disabled last."""
+    grid = status_grid(reg)
+    cfg = S.table_catalogue(reg).select("table_name", "interval_sec", F.col("last_run_at").alias("cat_last_run_at"))
+    g = grid.join(cfg, "table_name")
+    cls = F.when(~F.col("enabled"), 2).when(F.col("cat_last_run_at").isNull(), 1).otherwise(0)
+    nxt = F.col("cat_last_run_at") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0),
+                                                        F.greatest(F.lit(0), F.col("interval_sec")))
+    out = g.select("table_name", "verdict", "source_count", cls.alias("sort_class"), nxt.alias("next_run_at"))
+    return out.orderBy("sort_class", F.col("next_run_at").asc_nulls_last(), "table_name").limit(100)
