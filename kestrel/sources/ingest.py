@@ -40,11 +40,6 @@ class Field:
     required: bool = False
 
 
-def _kind(v: Column, name: str) -> tuple[Column, Column]:
-    val = F.try_variant_get(v, f"$.{name}", "variant")
-    return val, F.schema_of_variant(val)
-
-
 def _type_ok(val: Column, kind: Column, data_type: str) -> Column:
     if data_type == "text":
         return kind == "STRING"
@@ -76,40 +71,66 @@ def _typed(val: Column, data_type: str) -> Column:
     return F.try_variant_get(val, "$", spark_type(data_type).simpleString())
 
 
+def _f(name: str) -> str:
+    return f"_f_{name}"
+
+
+def _k(name: str) -> str:
+    return f"_k_{name}"
+
+
 def validate(records: DataFrame, fields: list[Field], payload_col: str = "payload") -> DataFrame:
-    """Adds ``_errors`` (array<struct<field,message>>, empty = valid) and ``_v`` (parsed payload)."""
-    v = F.try_parse_json(F.col(payload_col))
-    checks = [F.when(v.isNull() | ~F.schema_of_variant(v).startswith("OBJECT"),
-                     F.struct(F.lit("body").alias("field"), F.lit(MESSAGES["body"]).alias("message")))]
+    """Adds ``_errors`` (array<struct<field,message>>, empty = valid), ``_v`` and per-field ``_f_*``.
+
+    Staged projections: the payload is parsed once, each field's value and JSON kind are extracted
+    once into columns, and the checks read those columns (variant expressions are not code-generated,
+    so without staging every reference would re-run the extraction).
+    """
+    parsed = records.withColumn("_v", F.try_parse_json(F.col(payload_col)))
+    vals = parsed.select("*", F.schema_of_variant(F.col("_v")).alias("_k_body"),
+                         *[F.try_variant_get(F.col("_v"), f"$.{f.name}", "variant").alias(_f(f.name)) for f in fields])
+    kinds = vals.select("*", *[F.schema_of_variant(F.col(_f(f.name))).alias(_k(f.name)) for f in fields])
+    body_bad = F.col("_v").isNull() | ~F.col("_k_body").startswith("OBJECT")
+    checks = []
     for f in fields:
-        val, kind = _kind(F.col("_v"), f.name)
+        val, kind = F.col(_f(f.name)), F.col(_k(f.name))
         missing = val.isNull() | (kind == "VOID")
         err = F.when(missing & F.lit(f.required), F.struct(F.lit(f.name).alias("field"),
                                                             F.lit(MESSAGES["required"]).alias("message"))) \
             .when(~missing & ~_type_ok(val, kind, f.data_type),
                   F.struct(F.lit(f.name).alias("field"), F.lit(MESSAGES[f.data_type]).alias("message")))
         checks.append(err)
-    out = records.withColumn("_v", v)
-    body_err = checks[0]
-    field_errs = F.filter(F.array(*checks[1:]), lambda x: x.isNotNull()) if len(checks) > 1 else F.array()
-    return out.withColumn("_errors", F.when(body_err.isNotNull(), F.array(body_err)).otherwise(field_errs))
+    field_errs = F.filter(F.array(*checks), lambda x: x.isNotNull()) if checks else F.array()
+    body = F.array(F.struct(F.lit("body").alias("field"), F.lit(MESSAGES["body"]).alias("message")))
+    out = kinds.withColumn("_errors", F.when(body_bad, body).otherwise(field_errs))
+    return out.drop("_k_body", *[_k(f.name) for f in fields])
 
 
 def accepted(validated: DataFrame, fields: list[Field], payload_col: str = "payload",
              keep: list[str] | None = None) -> DataFrame:
     """Valid records as typed attribute columns + raw_payload; unknown fields survive only raw.
-    ``id`` is a fresh uuid; created/updated are the ingest clock."""
-    cols = [_typed(F.try_variant_get(F.col("_v"), f"$.{f.name}", "variant"), f.data_type).alias(f.name)
-            for f in fields]
-    ok = validated.filter(F.size("_errors") == 0)
-    return ok.select(*(keep or []), F.expr("uuid()").alias("id"), F.col(payload_col).alias("raw_payload"),
-                     F.current_timestamp().alias("created_at"), F.current_timestamp().alias("updated_at"), *cols)
+    ``id`` is a fresh uuid; created/updated are the ingest clock.
+
+    Rows are selected with ``inline`` over a 0-or-1 element array instead of a Filter: a Filter would
+    be pushed below the staged projections and re-evaluate every extraction inside one predicate.
+    """
+    row = F.struct(*[F.col(k) for k in (keep or [])], F.col(payload_col).alias("raw_payload"),
+                   *[_typed(F.col(_f(f.name)), f.data_type).alias(f.name) for f in fields])
+    valid_rows = F.filter(F.array(row), lambda _: F.size(F.col("_errors")) == 0)
+    ok = validated.select(F.inline(valid_rows))
+    return ok.select(*(keep or []), F.expr("uuid()").alias("id"), "raw_payload",
+                     F.current_timestamp().alias("created_at"), F.current_timestamp().alias("updated_at"),
+                     *[f.name for f in fields])
 
 
 def rejected(validated: DataFrame, record_key: str) -> DataFrame:
-    """One row per (record, field, message) of every record with at least one error."""
-    return (validated.filter(F.size("_errors") > 0)
-            .select(F.col(record_key), F.explode("_errors").alias("e"))
+    """One row per (record, field, message); valid records have no errors and so produce no rows.
+
+    ``explode_outer`` + a filter on the generated column: plain ``explode`` makes Spark infer
+    ``size(_errors) > 0`` and push it below the staged projections (re-running every extraction).
+    """
+    return (validated.select(F.col(record_key), F.explode_outer("_errors").alias("e"))
+            .filter(F.col("e").isNotNull())
             .select(record_key, F.col("e.field").alias("field"), F.col("e.message").alias("message")))
 
 
