@@ -37,7 +37,7 @@ def dry_run(df: DataFrame, columns: list[str], cutoff: str | None = None, cutoff
 
 def _log(store: SnapshotStore, spark, table: str, hours: int, cutoff: str | None, action: str, rows: int):
     store.append_rows("backfill__log", spark.createDataFrame(
-        [(table, hours, cutoff, action, rows, _dt.datetime.utcnow())], LOG_SCHEMA))
+        [(table, hours, cutoff, action, rows, _dt.datetime.now(_dt.UTC).replace(tzinfo=None))], LOG_SCHEMA))
 
 
 def applied(store: SnapshotStore, table: str) -> list:

@@ -54,7 +54,7 @@ def build(store: SnapshotStore, reg: TableRegistry, spec: ModelSpec) -> dict:
 
 
 def _metric(spark: SparkSession, spec: ModelSpec, status: str, rows: int | None, seconds: float, msg: str | None):
-    now = _dt.datetime.utcnow()
+    now = _dt.datetime.now(_dt.UTC).replace(tzinfo=None)
     return spark.createDataFrame([(spec.name, status, rows, float(seconds), spec.fingerprint(), msg, now)],
                                  METRICS_SCHEMA)
 

@@ -91,7 +91,7 @@ class SnapshotStore:
     def publish(self, table: str, version: str, meta: dict | None = None, keep: int = 2) -> dict:
         """Move the pointer to ``version``. The previous version is kept (``keep=2``) so readers that
         resolved it before the move finish undisturbed; anything older is dropped."""
-        m = {"version": version, "published_at": _dt.datetime.utcnow().isoformat(), **(meta or {})}
+        m = {"version": version, "published_at": _dt.datetime.now(_dt.UTC).replace(tzinfo=None).isoformat(), **(meta or {})}
         self._move_pointer(table, m)
         self.drop_old(table, keep)
         return m
