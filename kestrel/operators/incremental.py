@@ -100,7 +100,7 @@ def sync_interval(mode: Column, interval: Column) -> Column:
 
 def sync_due(enabled: Column, last_run: Column, interval_sec: Column, now: Column) -> Column:
     """Enabled and (never run, or now - last_run >= interval)."""
-    elapsed = F.unix_timestamp(now) - F.unix_timestamp(last_run)
+    elapsed = F.timestamp_diff("SECOND", last_run, now)
     return enabled & (last_run.isNull() | (elapsed >= interval_sec))
 
 
@@ -195,8 +195,12 @@ def run_cycle(store, table: str, source: DataFrame, marker: str, key: list[str],
         delta = source.filter(pred)
         if target is None:
             target = source.limit(0)
-        nxt, _ = insert_if_absent(target, delta, key, [marker])
-        res = store.swap(table, nxt)
+        key_range = None
+        if len(key) == 1:  # one small aggregate over the delta; bounds the target key scan
+            lo_hi = delta.agg(F.min(key[0]), F.max(key[0])).first()
+            key_range = (lo_hi[0], lo_hi[1])
+        nxt, _ = insert_if_absent(target, delta, key, [marker], key_range=key_range)
+        res = store.swap(table, nxt, sort_within=key)
     except Exception as exc:  # noqa: BLE001 - recorded; the cursor does not move
         state.put(table, {**st, "marker": st.get("marker", marker), "kind": st.get("kind", kind),
                           "status": "failed", "error": str(exc)[:300]})

@@ -2,7 +2,7 @@
 
 ``validate_target`` computes every per-table check in one aggregate pass (count, PK NULL counts,
 watermark min/max) plus one grouped aggregate for duplicate keys, then turns the single result row
-into check rows with ``stack``. The verdict rules are column expressions, so they run over any number
+into check rows by exploding an array of structs. The verdict rules are column expressions, so they run over any number
 of tables at once.
 """
 
@@ -130,25 +130,31 @@ def verify_counts(pairs: dict[str, tuple[DataFrame, DataFrame]]) -> DataFrame:
     return reconcile(reduce(DataFrame.unionByName, parts))
 
 
-def row_hash(df: DataFrame, key: list[str], cols: list[str]) -> DataFrame:
-    return df.select(*key, F.xxhash64(*[F.col(c) for c in cols]).alias("_h"))
+def key_digest(df: DataFrame, key: list[str], cols: list[str], prefix: str) -> DataFrame:
+    """Per key: row count and an order-insensitive sum of 64-bit row hashes (a multiset digest).
+
+    Aggregating before the join keeps it 1:1 even when the key is not unique (no pairs are emitted
+    inside a key), and the partial aggregate combines a hot key map-side.
+    """
+    h = F.xxhash64(*[F.col(c) for c in cols]).cast("decimal(38,0)")
+    return df.groupBy(*key).agg(F.count(F.lit(1)).alias(f"{prefix}_n"), F.sum(h).alias(f"{prefix}_h"))
 
 
 def full_reconcile(source: DataFrame, target: DataFrame, key: list[str]) -> DataFrame:
-    """Row-level comparison: hash of all non-key columns per key, full outer join on the key.
+    """Row-level comparison per key: missing in target, extra in target, changed, equal.
 
-    One shuffle of (key, 8-byte hash) per side instead of whole rows; counts of missing, extra,
-    changed and equal keys.
+    One shuffle of (key, count, digest) per side instead of whole rows.
     """
     cols = [c for c in source.columns if c not in key]
-    s = row_hash(source, key, cols).withColumnRenamed("_h", "_hs")
-    t = row_hash(target, key, cols).withColumnRenamed("_h", "_ht")
-    j = s.join(t, on=key, how="full")
+    j = key_digest(source, key, cols, "s").join(key_digest(target.select(*source.columns), key, cols, "t"),
+                                                on=key, how="full")
+    both = F.col("s_n").isNotNull() & F.col("t_n").isNotNull()
+    same = (F.col("s_n") == F.col("t_n")) & (F.col("s_h") == F.col("t_h"))
     return j.agg(
-        F.count_if(F.col("_ht").isNull() & F.col("_hs").isNotNull()).alias("missing_in_target"),
-        F.count_if(F.col("_hs").isNull() & F.col("_ht").isNotNull()).alias("extra_in_target"),
-        F.count_if(F.col("_hs") != F.col("_ht")).alias("changed"),
-        F.count_if(F.col("_hs") == F.col("_ht")).alias("equal"),
+        F.count_if(F.col("t_n").isNull()).alias("missing_in_target"),
+        F.count_if(F.col("s_n").isNull()).alias("extra_in_target"),
+        F.count_if(both & ~same).alias("changed"),
+        F.count_if(both & same).alias("equal"),
     )
 
 

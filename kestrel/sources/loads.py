@@ -47,15 +47,20 @@ def dedup_delta(delta: DataFrame, key: list[str], order_by: list[str] | None = N
     return delta.withColumn("_kestrel_rn", F.row_number().over(w)).filter("_kestrel_rn = 1").drop("_kestrel_rn")
 
 
-def insert_if_absent(target: DataFrame, delta: DataFrame, key: list[str], order_by: list[str] | None = None
-                     ) -> tuple[DataFrame, DataFrame]:
+def insert_if_absent(target: DataFrame, delta: DataFrame, key: list[str], order_by: list[str] | None = None,
+                     key_range: tuple | None = None) -> tuple[DataFrame, DataFrame]:
     """ON CONFLICT DO NOTHING: (next table, inserted rows). Existing rows are left unchanged.
 
-    Only the target's key columns are read for the anti-join; a small delta makes the planner
-    broadcast it, a large one sort-merges on the key.
+    Only the target's key columns are read for the anti-join. ``key_range=(lo, hi)`` (the delta's
+    min/max of a single key) restricts that read to the range, which parquet min/max statistics
+    turn into skipped row groups when the target is written sorted by the key. A small delta is
+    broadcast by the planner (or by AQE at run time); a large one sort-merges on the key.
     """
     d = dedup_delta(delta.select(*target.columns), key, order_by)
-    new = d.join(target.select(*key), on=key, how="left_anti")
+    keys = target.select(*key)
+    if key_range is not None and len(key) == 1 and None not in key_range:
+        keys = keys.filter(F.col(key[0]).between(F.lit(key_range[0]), F.lit(key_range[1])))
+    new = d.join(keys, on=key, how="left_anti")
     return target.unionByName(new), new
 
 

@@ -100,6 +100,6 @@ def rebuild_on_change(store: SnapshotStore, reg: TableRegistry, spec: ModelSpec,
 def refresh_due(state: DataFrame, now: str) -> DataFrame:
     """Models whose interval > 0 and that were never refreshed or whose interval has elapsed."""
     n = F.lit(now).cast("timestamp_ntz")
-    elapsed = F.unix_timestamp(n) - F.unix_timestamp(F.col("last_refreshed_at"))
+    elapsed = F.timestamp_diff("SECOND", F.col("last_refreshed_at"), n)
     return state.filter((F.col("refresh_interval_sec") > 0)
                         & (F.col("last_refreshed_at").isNull() | (elapsed >= F.col("refresh_interval_sec"))))
