@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import os
-from functools import cached_property
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -47,7 +45,7 @@ def spark_type(platform: str) -> T.DataType:
 
 
 class TableRegistry:
-    """Named parquet tables under one folder, registered as temp views on first use.
+    """Named parquet tables under one folder, read on first use (``register_views`` exposes them to SQL).
 
     Reads are lazy: only the columns and rows a plan needs reach the parquet scan.
     """
@@ -55,15 +53,18 @@ class TableRegistry:
     def __init__(self, spark: SparkSession, root: str, extra: dict[str, DataFrame] | None = None):
         self.spark = spark
         self.root = root
-        self._frames: dict[str, DataFrame] = dict(extra or {})
+        self._frames: dict[str, DataFrame] = extra if extra is not None else {}  # source tables (shareable)
+        self._derived: dict[str, DataFrame] = {}  # frames registered by one query
 
     def path(self, name: str) -> str:
         return os.path.join(self.root, f"{name}.parquet")
 
     def exists(self, name: str) -> bool:
-        return name in self._frames or os.path.exists(self.path(name))
+        return name in self._derived or name in self._frames or os.path.exists(self.path(name))
 
     def table(self, name: str) -> DataFrame:
+        if name in self._derived:
+            return self._derived[name]
         if name not in self._frames:
             if not os.path.exists(self.path(name)):
                 raise KeyError(f"table not found: {name}")
@@ -71,11 +72,11 @@ class TableRegistry:
         return self._frames[name]
 
     def register(self, name: str, df: DataFrame) -> DataFrame:
-        self._frames[name] = df
-        df.createOrReplaceTempView(name)
+        self._derived[name] = df
         return df
 
     def register_views(self, names: tuple[str, ...] | list[str] = tuple(DRIVER_TABLES)) -> "TableRegistry":
+        """Expose the tables to ``spark.sql`` under their names."""
         for n in names:
             if self.exists(n):
                 self.table(n).createOrReplaceTempView(n)
@@ -83,15 +84,22 @@ class TableRegistry:
 
     def names(self) -> list[str]:
         on_disk = [n for n in DRIVER_TABLES if os.path.exists(self.path(n))]
-        return sorted(set(on_disk) | set(self._frames))
+        return sorted(set(on_disk) | set(self._frames) | set(self._derived))
+
+
 
-    @cached_property
-    def sql(self):
-        self.register_views()
-        return self.spark.sql
+_REGISTRIES: dict[tuple[int, str], TableRegistry] = {}
 
 
 def registry(spark: SparkSession, sf_dir: str) -> TableRegistry:
-    reg = TableRegistry(spark, sf_dir)
-    reg.register_views()
-    return reg
+    """A registry over ``sf_dir`` whose tables are read lazily, on first use.
+
+    Source tables are resolved once per session and folder (file listing + parquet footer schema);
+    derived frames registered by a query live in a fresh registry layered on top, so queries do not
+    see each other's stand-ins.
+    """
+    key = (id(spark), sf_dir)
+    base = _REGISTRIES.get(key)
+    if base is None or base.spark is not spark:
+        base = _REGISTRIES[key] = TableRegistry(spark, sf_dir)
+    return TableRegistry(spark, sf_dir, base._frames)
