@@ -154,7 +154,7 @@ def count_nulls(reg):
 
 
 @query("count_duplicate_keys", oracle="""
-SELECT COUNT(*) AS duplicate_keys, COALESCE(SUM(n), 0) AS rows_in_duplicates FROM (
+SELECT COUNT(*) AS duplicate_keys, CAST(COALESCE(SUM(n), 0) AS BIGINT) AS rows_in_duplicates FROM (
   SELECT l_orderkey, l_linenumber, COUNT(*) AS n FROM lineitem GROUP BY 1, 2 HAVING COUNT(*) > 1)""")
 def count_duplicate_keys(reg):
     """Key groups with more than one row for (l_orderkey, l_linenumber)."""
@@ -204,8 +204,8 @@ ORDER BY day DESC NULLS LAST, tm DESC NULLS LAST LIMIT 1""")
 def max_watermark_pair(reg):
     """Latest (CYYDDD day, HHMMSS time) pair over the events' day + time markers."""
     e = reg.table("events").filter(F.col("event_type") != "error")
-    pairs = e.select(((F.year("ts") - 1900) * 1000 + F.dayofyear("ts")).alias("day"),
-                     (F.hour("ts") * 10000 + F.minute("ts") * 100 + F.second("ts")).alias("tm"))
+    pairs = e.select(((F.year("ts") - 1900) * 1000 + F.dayofyear("ts")).cast("long").alias("day"),
+                     (F.hour("ts") * 10000 + F.minute("ts") * 100 + F.second("ts")).cast("long").alias("tm"))
     return A.max_watermark_pair(pairs, "day", "tm")
 
 
@@ -237,8 +237,7 @@ def table_counts(reg):
 @query("row_count_estimate")
 def row_count_estimate(reg):
     """Footer-based row count per table (metadata only: no column is read)."""
-    rows = [(t, A.row_count_estimate(reg.spark, reg.path(t))) for t in reg.names()]
-    return reg.spark.createDataFrame(rows, "table_name string, row_estimate long")
+    return A.row_count_estimate({t: reg.table(t) for t in reg.names()})
 
 
 # ------------------------------------------------------------------ windows

@@ -59,8 +59,8 @@ EV_DAYTIME_SQL = """(year(ts) - 1900) * 1000 + dayofyear(ts) AS day,
 
 def events_daytime(reg) -> DataFrame:
     e = reg.table("events")
-    return e.select("event_id", ((F.year("ts") - 1900) * 1000 + F.dayofyear("ts")).alias("day"),
-                    (F.hour("ts") * 10000 + F.minute("ts") * 100 + F.second("ts")).alias("tm"))
+    return e.select("event_id", ((F.year("ts") - 1900) * 1000 + F.dayofyear("ts")).cast("long").alias("day"),
+                    (F.hour("ts") * 10000 + F.minute("ts") * 100 + F.second("ts")).cast("long").alias("tm"))
 
 
 @query("pull_day_time", oracle=f"""

@@ -60,7 +60,8 @@ def scalar_date_trunc(reg):
 SELECT o_orderkey, datediff('day', CAST(o_orderdate AS DATE), DATE '2001-08-01') AS age_days FROM orders""")
 def scalar_date_diff(reg):
     o = reg.table("orders")
-    return o.select("o_orderkey", X.days_between(F.lit("2001-08-01").cast("date"), "o_orderdate").alias("age_days"))
+    return o.select("o_orderkey", X.days_between(F.lit("2001-08-01").cast("date"), "o_orderdate").cast("long")
+                    .alias("age_days"))
 
 
 @query("scalar_coalesce_greatest", oracle="""
@@ -173,8 +174,8 @@ def scalar_identifier(reg):
     """Per document (whole text): words, and words that are valid identifiers (^[a-z][a-z0-9_]*$)."""
     d = reg.table("documents")
     words = F.split(F.col("text"), WS)
-    return d.select("doc_id", F.size(F.filter(words, lambda w: w != "")).alias("n_words"),
-                    F.size(F.filter(words, lambda w: X.is_identifier(w))).alias("n_identifiers"))
+    return d.select("doc_id", F.size(F.filter(words, lambda w: w != "")).cast("long").alias("n_words"),
+                    F.size(F.filter(words, lambda w: X.is_identifier(w))).cast("long").alias("n_identifiers"))
 
 
 @query("scalar_shift_hours", oracle="SELECT event_id, ts + INTERVAL 7 HOUR AS shifted FROM events")
