@@ -147,16 +147,14 @@ def acc_rev_cost_month(reg):
 SELECT c.region, {money_sql('i.amount')} AS revenue FROM acc_invoice i LEFT JOIN acc_customer c
 ON i.customer_id = c.customer_id GROUP BY c.region""")
 def acc_rev_by_region(reg):
-    j = S.acc_invoice(reg).join(S.acc_customer(reg), "customer_id", "left")
-    return R.sum_by(j, ["region"], "amount", "revenue")
+    return R.sum_by_dim(S.acc_invoice(reg), "customer_id", S.acc_customer(reg), ["region"], "amount", "revenue")
 
 
 @query("acc_cost_by_category", oracle=ACC + f"""
 SELECT v.category, {money_sql('b.amount')} AS cost FROM acc_bill b LEFT JOIN acc_vendor v
 ON b.vendor_id = v.vendor_id GROUP BY v.category""")
 def acc_cost_by_category(reg):
-    j = S.acc_bill(reg).join(S.acc_vendor(reg), "vendor_id", "left")
-    return R.sum_by(j, ["category"], "amount", "cost")
+    return R.sum_by_dim(S.acc_bill(reg), "vendor_id", S.acc_vendor(reg), ["category"], "amount", "cost")
 
 
 @query("acc_invoice_status", oracle=ACC + "SELECT status, COUNT(*) AS invoices FROM acc_invoice GROUP BY status")
@@ -169,8 +167,8 @@ SELECT i.customer_id, c.customer_name, {money_sql('i.amount')} AS revenue, COUNT
 FROM acc_invoice i LEFT JOIN acc_customer c ON i.customer_id = c.customer_id
 GROUP BY i.customer_id, c.customer_name ORDER BY revenue DESC NULLS LAST, customer_id, customer_name LIMIT 10""")
 def acc_top_customers(reg):
-    j = S.acc_invoice(reg).join(S.acc_customer(reg), "customer_id", "left")
-    return R.top_parties(j, ["customer_id", "customer_name"], "amount", "invoice_no", "revenue", "invoices")
+    return R.top_parties(S.acc_invoice(reg), "customer_id", S.acc_customer(reg), "customer_name", "amount", "invoice_no",
+                         "revenue", "invoices")
 
 
 @query("acc_top_vendors", oracle=ACC + f"""
@@ -178,8 +176,8 @@ SELECT b.vendor_id, v.vendor_name, {money_sql('b.amount')} AS cost, COUNT(b.bill
 FROM acc_bill b LEFT JOIN acc_vendor v ON b.vendor_id = v.vendor_id
 GROUP BY b.vendor_id, v.vendor_name ORDER BY cost DESC NULLS LAST, vendor_id, vendor_name LIMIT 10""")
 def acc_top_vendors(reg):
-    j = S.acc_bill(reg).join(S.acc_vendor(reg), "vendor_id", "left")
-    return R.top_parties(j, ["vendor_id", "vendor_name"], "amount", "bill_no", "cost", "bills")
+    return R.top_parties(S.acc_bill(reg), "vendor_id", S.acc_vendor(reg), "vendor_name", "amount", "bill_no", "cost",
+                         "bills")
 
 
 @query("acc_cash_flow", oracle=ACC + f""",

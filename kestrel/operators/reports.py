@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kestrel.functions.primitives import aging_bounds, aging_label
+from kestrel.functions.scalars import MONEY_TYPE as MONEY
 from kestrel.functions.scalars import days_between, money_sum, month_bucket
 
 
@@ -95,11 +96,34 @@ def sum_by(df: DataFrame, group: list[str], amount_col: str, out: str = "amount"
     return df.groupBy(*group).agg(money_sum(amount_col).alias(out))
 
 
-def top_parties(df: DataFrame, party_cols: list[str], amount_col: str, doc_col: str, value_name: str,
-                count_name: str, k: int = 10) -> DataFrame:
-    g = df.groupBy(*party_cols).agg(money_sum(amount_col).alias(value_name),
-                                    F.count(F.col(doc_col)).alias(count_name))
-    return g.orderBy(F.col(value_name).desc_nulls_last(), *[F.col(p).asc() for p in party_cols]).limit(k)
+def _per_key(fact: DataFrame, key: str, amount_col: str, doc_col: str | None = None) -> DataFrame:
+    """Exact partial sums (and document counts) of a fact per join key: aggregated before any join."""
+    aggs = [F.sum(F.col(amount_col).cast(MONEY)).alias("_amt")]
+    if doc_col:
+        aggs.append(F.count(F.col(doc_col)).alias("_docs"))
+    return fact.groupBy(key).agg(*aggs)
+
+
+def sum_by_dim(fact: DataFrame, key: str, dim: DataFrame, group: list[str], amount_col: str,
+               out: str = "amount") -> DataFrame:
+    """SUM(fact.amount) grouped by dimension attributes, aggregating the fact to its join key first.
+
+    The fact is combined map-side and shuffled once as (key, partial sum); the N:1 join then sees one
+    row per key instead of every fact row. Sums stay exact decimals until the final rounding, so the
+    result equals joining first.
+    """
+    per_key = _per_key(fact, key, amount_col)
+    j = per_key.join(dim.select(key, *group), on=key, how="left")
+    return j.groupBy(*group).agg(F.round(F.sum("_amt"), 2).cast("double").alias(out))
+
+
+def top_parties(fact: DataFrame, key: str, dim: DataFrame, name_col: str, amount_col: str, doc_col: str,
+                value_name: str, count_name: str, k: int = 10) -> DataFrame:
+    """Top-k parties by amount with their document count; names joined after aggregating per key."""
+    per_key = _per_key(fact, key, amount_col, doc_col)
+    j = per_key.join(dim.select(key, name_col), on=key, how="left")
+    g = j.select(key, name_col, F.round("_amt", 2).cast("double").alias(value_name), F.col("_docs").alias(count_name))
+    return g.orderBy(F.col(value_name).desc_nulls_last(), F.col(key).asc(), F.col(name_col).asc()).limit(k)
 
 
 def unpaid_aging(df: DataFrame, due_col: str, amount_col: str, status_col: str, as_of: str,
