@@ -40,10 +40,10 @@ def stamp_audit(df: DataFrame, run_id: str | None = None) -> tuple[DataFrame, st
 
 
 def dedup_delta(delta: DataFrame, key: list[str], order_by: list[str] | None = None) -> DataFrame:
-    """One row per key inside a delta: the earliest by ``order_by``, then by key (deterministic)."""
-    if not order_by:
-        order_by = [c for c in delta.columns if c not in key][:1]
-    w = Window.partitionBy(*key).orderBy(*[F.col(c).asc_nulls_last() for c in order_by])
+    """One row per key inside a delta: the earliest by ``order_by``; remaining ties are broken by the
+    other columns in order, so the winner does not depend on arrival order."""
+    rest = [c for c in delta.columns if c not in key and c not in (order_by or [])]
+    w = Window.partitionBy(*key).orderBy(*[F.col(c).asc_nulls_last() for c in [*(order_by or []), *rest]])
     return delta.withColumn("_kestrel_rn", F.row_number().over(w)).filter("_kestrel_rn = 1").drop("_kestrel_rn")
 
 

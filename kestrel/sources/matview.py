@@ -32,14 +32,18 @@ class MatviewError(RuntimeError):
 
 
 def _sort_columns(spec: ModelSpec, df: DataFrame) -> list[str]:
-    """Recency, FK and date columns (at most three) so parquet min/max stats prune reads on them."""
+    """Recency, date and FK columns (at most three) so parquet min/max stats prune reads on them."""
     out = []
     if spec.latest is not None and spec.latest.recency in df.columns:
         out.append(spec.latest.recency)
-    for a in spec.attributes:
-        t = dict(df.dtypes).get(a.name, "")
-        if a.name not in out and (t.startswith("timestamp") or t == "date"):
-            out.append(a.name)
+    types = dict(df.dtypes)
+    dates = [a.name for a in spec.attributes if types.get(a.name, "").startswith("timestamp") or
+             types.get(a.name) == "date"]
+    fks = [a.name for a in spec.attributes for j in spec.joins
+           if a.source_table == j.left_table and a.source_column == j.left_column and not a.is_pk]
+    for c in [*dates, *fks]:
+        if c not in out:
+            out.append(c)
     return out[:3]
 
 

@@ -71,5 +71,13 @@ def dedup_stream(spark: SparkSession, landing: str, schema: T.StructType, store:
 
 
 def dedup_within_watermark(df: DataFrame, key: list[str], ts_col: str, delay: str = "1 hour") -> DataFrame:
-    """Bounded-state alternative for streams whose duplicates arrive within ``delay`` of each other."""
+    """Bounded-state alternative for streams whose duplicates arrive within ``delay`` of each other.
+
+    Watermarks need a zoned TIMESTAMP; a TIMESTAMP_NTZ event time is cast into a helper column (a
+    uniform shift by the session zone, which does not change which rows fall within the delay).
+    """
+    if dict(df.dtypes)[ts_col] == "timestamp_ntz":
+        et = "_kestrel_event_time"
+        return (df.withColumn(et, F.col(ts_col).cast("timestamp")).withWatermark(et, delay)
+                .dropDuplicatesWithinWatermark(key).drop(et))
     return df.withWatermark(ts_col, delay).dropDuplicatesWithinWatermark(key)

@@ -82,3 +82,29 @@ def test_backfill_guard_and_reverse(spark, reg, store):
     assert shifted.filter(F.col("ts") != F.col("t0") + F.expr("INTERVAL 7 HOURS")).count() == 0
     assert B.reverse(store, "events", ["ts"])["status"] == "reversed"
     assert store.read("events").exceptAll(e).count() == 0
+
+
+def test_dedup_within_watermark(spark, reg):
+    import datetime as dt
+
+    root = work_dir(spark, "test-wm")
+    e = reg.table("events").select("event_id", "ts")
+    e.coalesce(1).write.parquet(os.path.join(root, "landing", "a"))
+    e.filter(F.col("ts") < F.lit(dt.datetime(2024, 1, 10))).coalesce(1).write.parquet(os.path.join(root, "landing", "b"))
+    src = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(os.path.join(root, "landing", "*"))
+    q = (ST.dedup_within_watermark(src, ["event_id"], "ts", "3650 days").writeStream.format("memory")
+         .queryName("wm_dedup").option("checkpointLocation", os.path.join(root, "ckpt")).trigger(availableNow=True)
+         .start())
+    q.awaitTermination(300)
+    assert spark.table("wm_dedup").count() == e.count()
+
+
+def test_insert_if_absent_delta_winner_is_deterministic(spark):
+    from kestrel.sources.loads import insert_if_absent
+
+    target = spark.createDataFrame([(0, "x", 0)], "k int, v string, m int")
+    delta = spark.createDataFrame([(1, "b", 5), (1, "a", 5), (1, "c", 4)], "k int, v string, m int")
+    nxt, _ = insert_if_absent(target, delta, ["k"], ["m"])
+    assert sorted(tuple(r) for r in nxt.collect()) == [(0, "x", 0), (1, "c", 4)]
+    nxt, _ = insert_if_absent(target, delta.filter("m = 5"), ["k"], ["m"])
+    assert sorted(tuple(r) for r in nxt.collect()) == [(0, "x", 0), (1, "a", 5)]
