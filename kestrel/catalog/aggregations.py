@@ -323,4 +323,12 @@ def latest_recency_check(reg):
     rows = [(label, *r) for label, spec in specs.items() for r in schema_issues(reg, spec) if r[1] == "recency_column"]
     rows += [(label, "ok", "recency_column", "all deduplicated tables have a sortable recency column")
              for label, spec in specs.items() if not any(r[0] == label for r in rows)]
-    return reg.spark.createDataFrame(rows, "spec string, level string, code string, message string")
+    issues = reg.spark.createDataFrame(rows, "spec string, level string, code string, message string")
+    from kestrel.plans.model import build_model
+
+    built = build_model(reg, LATEST_ORDER_MODEL).agg(F.count(F.lit(1)).alias("n"),
+                                                     F.count_distinct("o_custkey").alias("k"))
+    check = built.select(F.lit("valid").alias("spec"), F.when(F.col("n") == F.col("k"), "ok").otherwise("error")
+                         .alias("level"), F.lit("one_row_per_key").alias("code"),
+                         F.concat(F.lit("rows="), F.col("n").cast("string")).alias("message"))
+    return issues.unionByName(check)

@@ -175,21 +175,26 @@ def future_marker_audit(reg):
 
 # ------------------------------------------------------------------ sandboxed cycles
 ORDER_COLS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate"]
-SLICES = (5000, 10000, None)
+ARRIVALS = ("1997-01-01", "1999-01-01", None)
 
 
-def order_slices(reg):
-    """The source as it grows: keys below 5000, below 10000, then everything."""
+def order_arrivals(reg):
+    """The source as it grows over time: orders dated before 1997, before 1999, then all of them."""
     o = reg.table("orders").select(*ORDER_COLS)
-    return [o if b is None else o.filter(F.col("o_orderkey") < b) for b in SLICES]
+    return [o if d is None else o.filter(F.col("o_orderdate") < F.lit(d).cast("timestamp_ntz")) for d in ARRIVALS]
+
+
+def cycle(store, src):
+    """Date marker with a one-day lookback; the order key is the insert-if-absent key."""
+    return N.run_cycle(store, "orders", src, "o_orderdate", ["o_orderkey"], kind="date", lookback_days=1)
 
 
 @query("incremental_cycle", kind="S", oracle=f"SELECT {', '.join(ORDER_COLS)} FROM orders")
 def incremental_cycle(reg):
     """Three cycles over a growing source plus a re-run that must add 0 rows; returns the final table."""
     store = sandbox(reg, "incremental-cycle")
-    results = [N.run_cycle(store, "orders", src, "o_orderkey", ["o_orderkey"]) for src in order_slices(reg)]
-    rerun = N.run_cycle(store, "orders", order_slices(reg)[-1], "o_orderkey", ["o_orderkey"])
+    results = [cycle(store, src) for src in order_arrivals(reg)]
+    rerun = cycle(store, order_arrivals(reg)[-1])
     if rerun["rows_added"] != 0 or sum(r["rows_added"] for r in results) <= 0:
         raise AssertionError(f"re-run added {rerun['rows_added']} rows")
     return store.read("orders")
@@ -199,28 +204,28 @@ def incremental_cycle(reg):
 def cursor_advance(reg):
     """Cursor = the target's max after success; a failed cycle leaves it unchanged."""
     store = sandbox(reg, "cursor-advance")
-    first, full = order_slices(reg)[0], order_slices(reg)[-1]
-    N.run_cycle(store, "orders", first, "o_orderkey", ["o_orderkey"])
+    first, full = order_arrivals(reg)[0], order_arrivals(reg)[-1]
+    cycle(store, first)
     after_ok = N.CursorState(store).get("orders")
     try:  # a source missing a column fails the cycle before anything is published
-        N.run_cycle(store, "orders", full.drop("o_totalprice"), "o_orderkey", ["o_orderkey"])
+        cycle(store, full.drop("o_totalprice"))
     except Exception:  # noqa: BLE001
         pass
     after_fail = N.CursorState(store).get("orders")
-    rows = [("success", int(after_ok["cursor"]), after_ok["status"]), ("failure", int(after_fail["cursor"]),
-                                                                        after_fail["status"])]
-    state = reg.spark.createDataFrame(rows, "step string, cursor long, status string")
-    return state.withColumn("target_max", store.read("orders").select(F.max("o_orderkey")).scalar())
+    rows = [("success", str(after_ok["cursor"]), after_ok["status"]),
+            ("failure", str(after_fail["cursor"]), after_fail["status"])]
+    state = reg.spark.createDataFrame(rows, "step string, cursor string, status string")
+    return state.withColumn("target_max", store.read("orders").select(F.max("o_orderdate")).scalar().cast("string"))
 
 
 @query("cursor_reset", kind="S")
 def cursor_reset(reg):
     """Changing the marker column (or its kind) clears the cursor."""
     store = sandbox(reg, "cursor-reset")
-    N.run_cycle(store, "orders", order_slices(reg)[0], "o_orderkey", ["o_orderkey"])
+    cycle(store, order_arrivals(reg)[0])
     cs = N.CursorState(store)
     before = cs.get("orders")["cursor"]
-    changed = cs.reset_if_changed("orders", "o_orderdate", "date")
+    changed = cs.reset_if_changed("orders", "o_orderkey", "sequence")
     after = cs.get("orders")["cursor"]
     rows = [("before", None if before is None else str(before), False), ("after_change", after, changed)]
     return reg.spark.createDataFrame(rows, "step string, cursor string, reset boolean").withColumn(

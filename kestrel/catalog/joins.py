@@ -89,7 +89,16 @@ def join_conflict_check(reg):
     for label, joins in (("duplicate", (same, same)), ("conflict", (same, other))):
         rows += [(label, *r) for r in schema_issues(reg, ModelSpec(label, base, joins))
                  if r[1] in ("duplicate_join", "join_conflict")]
-    return reg.spark.createDataFrame(rows, "spec string, level string, code string, message string")
+    issues = reg.spark.createDataFrame(rows, "spec string, level string, code string, message string")
+    # the spec with the ignored duplicate edge still builds, with exactly the base rows
+    built = build_model(reg, ModelSpec("duplicate", base, (same, same))).agg(F.count(F.lit(1)).alias("n"))
+    base_rows = reg.table("orders").select(F.count(F.lit(1))).scalar()
+    check = built.select(F.lit("duplicate").alias("spec"),
+                         F.when(F.col("n") == base_rows, "info").otherwise("error").alias("level"),
+                         F.lit("model_rows").alias("code"),
+                         F.concat(F.lit("rows="), F.col("n").cast("string"), F.lit(" base_rows="),
+                                  base_rows.cast("string")).alias("message"))
+    return issues.unionByName(check)
 
 
 @query("join_type_check")
@@ -97,8 +106,10 @@ def join_type_check(reg):
     """Key columns must share a platform type: text c_name joined to integer o_custkey is rejected."""
     spec = ModelSpec("bad_types", (attr("o_orderkey", "orders", is_pk=True), attr("c_name", "customer")),
                      (JoinSpec("orders", "o_custkey", "customer", "c_name"),))
-    rows = [r for r in schema_issues(reg, spec) if r[1] == "join_type_mismatch"]
-    return reg.spark.createDataFrame(rows, "level string, code string, message string")
+    from kestrel.plans.check import model_check
+
+    return model_check(reg.spark, reg, spec).filter(
+        F.col("code").isin("join_type_mismatch", "fanout", "pk_not_unique", "pk_nulls"))
 
 
 @query("join_outer_by_field", oracle="""

@@ -369,10 +369,13 @@ def export_csv(reg):
 @query("table_schema")
 def table_schema(reg):
     """Columns of every table: type, nullability, ordinal."""
+    from kestrel.operators.aggregates import column_profile
+
     rows = [(t, f.name, f.dataType.simpleString(), f.nullable, i + 1)
             for t in reg.names() for i, f in enumerate(reg.table(t).schema.fields)]
-    return reg.spark.createDataFrame(rows, "table_name string, column_name string, data_type string, "
-                                           "is_nullable boolean, ordinal_position int")
+    schema = reg.spark.createDataFrame(rows, "table_name string, column_name string, data_type string, "
+                                             "is_nullable boolean, ordinal_position int")
+    return schema.join(column_profile({t: reg.table(t) for t in reg.names()}), ["table_name", "column_name"], "left")
 
 
 @query("table_list")
@@ -381,9 +384,12 @@ def table_list(reg):
     from kestrel.catalog.projections import register_procurement
 
     register_procurement(reg)
+    from kestrel.operators.aggregates import table_counts
+
     base = set(t for t in reg.names() if os.path.exists(reg.path(t)))
     rows = [(t, "BASE TABLE" if t in base else "VIEW") for t in reg.names()]
-    return reg.spark.createDataFrame(rows, "table_name string, table_type string")
+    kinds = reg.spark.createDataFrame(rows, "table_name string, table_type string")
+    return kinds.join(table_counts({t: reg.table(t) for t in reg.names()}), "table_name", "left")
 
 
 @query("table_preview", oracle="SELECT * FROM supplier ORDER BY s_suppkey LIMIT 21")

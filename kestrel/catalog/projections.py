@@ -76,12 +76,16 @@ def snake_case(name: str) -> str:
 @query("model_from_table")
 def model_from_table(reg):
     """Derive a model from each table's schema: snake_case names, system names prefixed, first column PK."""
+    from kestrel.operators.aggregates import first_column_unique
+
     rows = []
     for t in reg.names():
         for i, f in enumerate(reg.table(t).schema.fields):
             rows.append((t, i + 1, f.name, snake_case(f.name), platform_type(f.dataType), i == 0))
-    return reg.spark.createDataFrame(rows, "table_name string, position int, source_column string, "
-                                           "attribute string, data_type string, is_pk boolean")
+    attrs = reg.spark.createDataFrame(rows, "table_name string, position int, source_column string, "
+                                            "attribute string, data_type string, is_pk boolean")
+    # the derived key is checked against the data: usable only when unique and never NULL
+    return attrs.join(first_column_unique({t: reg.table(t) for t in reg.names()}), "table_name", "left")
 
 
 @query("project_meta_raw")

@@ -160,7 +160,7 @@ def table_catalogue(reg: TableRegistry) -> DataFrame:
         (F.col("p_size") <= 10).alias("is_sequence"),
         F.when(F.col("p_size") > 45, 0).otherwise(F.col("p_size") * 1000).alias("interval_sec"),
         (F.col("p_retailprice") < 990).alias("enabled"),
-        F.when(F.col("p_size") % 7 == 0, ntz_null()).otherwise(
+        F.when((F.col("p_type") == "MEDIUM") & (F.col("p_size") > 25), ntz_null()).otherwise(
             F.lit("2024-01-31 00:00:00").cast("timestamp_ntz") - F.make_dt_interval(F.lit(0), F.col("p_size"))
         ).alias("last_run_at"),
         F.when(F.col("p_brand") < "Brand#2", F.lit(None)).otherwise(F.lit(124100)).alias("cutoff"),
@@ -175,7 +175,8 @@ catalogue AS (SELECT replace(p_name, ' ', '_') || '_' || CAST(p_partkey AS VARCH
   CASE WHEN p_size > 40 THEN NULL ELSE 'id_' || p_type END AS pk,
   CASE WHEN p_type = 'SMALL' THEN NULL ELSE 'updated_at' END AS marker, p_size <= 10 AS is_sequence,
   CASE WHEN p_size > 45 THEN 0 ELSE p_size * 1000 END AS interval_sec, p_retailprice < 990 AS enabled,
-  CASE WHEN p_size % 7 = 0 THEN NULL ELSE TIMESTAMP '2024-01-31 00:00:00' - to_hours(p_size) END AS last_run_at,
+  CASE WHEN p_type = 'MEDIUM' AND p_size > 25 THEN NULL ELSE TIMESTAMP '2024-01-31 00:00:00' - to_hours(p_size) END
+    AS last_run_at,
   CASE WHEN p_brand < 'Brand#2' THEN NULL ELSE 124100 END AS cutoff, p_size AS rows_hint FROM part)"""
 
 

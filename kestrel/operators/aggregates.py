@@ -82,3 +82,23 @@ def series_by_status(df: DataFrame, ts_col: str, status_col: str, start: str, en
     return (df.filter((F.col(ts_col) >= lo) & (F.col(ts_col) <= hi))
             .groupBy(bucket(unit, ts_col).alias("time"), F.col(status_col))
             .agg(F.count(F.lit(1)).alias("count")))
+
+
+def column_profile(frames: dict[str, DataFrame]) -> DataFrame:
+    """Per (table, column): non-NULL count, from one aggregate per table, unpivoted to rows."""
+    parts = []
+    for name, df in frames.items():
+        counts = df.agg(*[F.count(F.col(c)).alias(c) for c in df.columns])
+        parts.append(counts.unpivot([], df.columns, "column_name", "non_null")
+                     .select(F.lit(name).alias("table_name"), "column_name", "non_null"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def first_column_unique(frames: dict[str, DataFrame]) -> DataFrame:
+    """Per table: is the first column a usable key (no NULLs, no duplicates)?"""
+    parts = [df.agg(F.count(F.lit(1)).alias("rows"), F.count(df.columns[0]).alias("non_null"),
+                    F.count_distinct(df.columns[0]).alias("distinct"))
+             .select(F.lit(name).alias("table_name"),
+                     ((F.col("rows") == F.col("non_null")) & (F.col("non_null") == F.col("distinct"))).alias("pk_unique"))
+             for name, df in frames.items()]
+    return reduce(DataFrame.unionByName, parts)

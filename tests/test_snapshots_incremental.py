@@ -62,9 +62,9 @@ def test_cycle_twice_equals_once(spark, reg, store):
 
 def test_dedup_stream(spark, reg):
     root = work_dir(spark, "test-stream")
-    e = reg.table("events").select("event_id", "ts", "value")
+    e = reg.table("events").select("event_id", "ts", "value", "event_type")
     e.coalesce(1).write.parquet(os.path.join(root, "landing", "a"))
-    e.filter("event_id % 2 = 0").coalesce(1).write.parquet(os.path.join(root, "landing", "b"))  # replayed rows
+    e.filter(F.col("event_type") == "click").coalesce(1).write.parquet(os.path.join(root, "landing", "b"))  # replays
     from kestrel.sources.snapshots import SnapshotStore
 
     store = SnapshotStore(spark, os.path.join(root, "store"))
