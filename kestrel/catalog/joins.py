@@ -169,18 +169,23 @@ def join_existence(reg):
     return J.existence(exp, "table_name", counts, models)
 
 
-STATUS_GRID_ORACLE = S.with_ctes(S.CATALOGUE_CTE, S.RUNS_CTE, S.COUNTS_CTE) + """,
+def status_grid_sql(extra: tuple[tuple[str, str], ...] = ()) -> str:
+    """The status grid in SQL; ``extra`` (catalogue column, output name) pairs are carried through."""
+    carry = "".join(f"c.{col} AS {name}, " for col, name in extra)
+    out = "".join(f"{name}, " for _, name in extra)
+    return S.with_ctes(S.CATALOGUE_CTE, S.RUNS_CTE, S.COUNTS_CTE) + f""",
 last_run AS (SELECT job_id, status AS last_status, created_at AS last_run_at FROM (
   SELECT *, ROW_NUMBER() OVER (PARTITION BY job_id ORDER BY created_at DESC, run_id DESC) AS rn FROM job_runs)
   WHERE rn = 1),
-g AS (SELECT c.table_name, c.enabled, c.job_id, c.pk, c.marker, c.is_sequence, l.last_status, l.last_run_at,
+g AS (SELECT {carry}c.table_name, c.enabled, c.job_id, c.pk, c.marker, c.is_sequence, l.last_status, l.last_run_at,
   s.source_count, s.target_count, s.count_mode, COALESCE(s.replicating, false) AS replicating
   FROM catalogue c LEFT JOIN last_run l ON c.job_id = l.job_id LEFT JOIN source_counts s ON c.job_id = s.job_id)
-SELECT table_name, enabled, job_id, last_status, last_run_at, source_count, target_count,
+SELECT {out}table_name, enabled, job_id, last_status, last_run_at, source_count, target_count,
   CASE WHEN source_count IS NULL THEN 'PENDING'
        WHEN count_mode = 'exact' AND target_count IS NULL THEN 'PENDING'
        WHEN count_mode = 'exact' AND abs(source_count - target_count) <=
-            (CASE WHEN replicating THEN GREATEST(50, CAST(FLOOR(CAST(source_count AS DOUBLE) * CAST(0.0001 AS DOUBLE)) AS BIGINT)) ELSE 0 END)
+            (CASE WHEN replicating THEN GREATEST(50, CAST(FLOOR(CAST(source_count AS DOUBLE) * CAST(0.0001 AS DOUBLE))
+                                                          AS BIGINT)) ELSE 0 END)
          THEN 'MATCH'
        WHEN count_mode = 'exact' THEN 'MISMATCH' ELSE 'ESTIMATE' END AS verdict,
   CASE WHEN marker IS NOT NULL AND (CASE WHEN pk IS NOT NULL AND length(pk) > 0 THEN pk
@@ -188,6 +193,9 @@ SELECT table_name, enabled, job_id, last_status, last_run_at, source_count, targ
 FROM g"""
 
 
+STATUS_GRID_ORACLE = status_grid_sql()
+
+
 def status_grid(reg) -> DataFrame:
     cat = S.table_catalogue(reg).drop("last_run_at")
     runs = S.job_runs(reg)
@@ -211,15 +219,11 @@ def join_status_grid(reg):
     return status_grid(reg)
 
 
-@query("sort_multi_key", oracle=STATUS_GRID_ORACLE.replace("SELECT table_name, enabled, job_id, last_status",
-                                                           "SELECT table_name, enabled, job_id, last_status, interval_sec,"
-                                                           " cat_last_run_at", 1)
-       .replace("g AS (SELECT c.table_name, c.enabled,", "g AS (SELECT c.table_name, c.enabled, c.interval_sec, "
-                "c.last_run_at AS cat_last_run_at,", 1).replace("WITH ", "WITH grid AS (WITH ", 1) + """)
-SELECT table_name, verdict, source_count,
-  CASE WHEN NOT enabled THEN 2 WHEN cat_last_run_at IS NULL THEN 1 ELSE 0 END AS sort_class,
-  cat_last_run_at + to_seconds(CAST(GREATEST(0, interval_sec) AS BIGINT)) AS next_run_at
-FROM grid ORDER BY sort_class, next_run_at, table_name LIMIT 100""")
+@query("sort_multi_key", oracle="SELECT table_name, verdict, source_count, "
+       "CASE WHEN NOT enabled THEN 2 WHEN cat_last_run_at IS NULL THEN 1 ELSE 0 END AS sort_class, "
+       "cat_last_run_at + to_seconds(CAST(GREATEST(0, interval_sec) AS BIGINT)) AS next_run_at FROM ("
+       + status_grid_sql((("interval_sec", "interval_sec"), ("last_run_at", "cat_last_run_at")))
+       + ") grid ORDER BY sort_class, next_run_at, table_name LIMIT 100")
 def sort_multi_key(reg):
     """Grid page sorted by next run = last run + interval; never-run rows after those, disabled last."""
     grid = status_grid(reg)

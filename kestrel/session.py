@@ -14,6 +14,30 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+# Settings for a large cluster (~1000 executors, ~100 TB inputs). Shuffles start wide and AQE
+# coalesces them to ~256 MB partitions; skewed partitions are split; scans split at 256 MB.
+CLUSTER_CONF = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * 1024 * 1024),
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+    "spark.sql.files.maxPartitionBytes": str(256 * 1024 * 1024),
+    "spark.sql.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.parquet.filterPushdown": "true",
+}
+
+
+def apply_cluster_conf(spark: SparkSession, overrides: dict | None = None) -> SparkSession:
+    """Apply ``CLUSTER_CONF`` (runtime SQL settings) to an existing cluster session."""
+    for k, v in {**CLUSTER_CONF, **(overrides or {})}.items():
+        spark.conf.set(k, v)
+    return spark
+
+
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: str = "kestrel") -> SparkSession:
     spark = (
         SparkSession.builder.master(master)
