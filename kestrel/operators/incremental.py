@@ -172,12 +172,15 @@ class CursorState:
 
 
 def run_cycle(store, table: str, source: DataFrame, marker: str, key: list[str], kind: str = "sequence",
-              lookback_days: int = 1) -> dict:
+              lookback_days: int = 1, mode: str = "insert_only", cap_at=None) -> dict:
     """predicate -> pull -> insert-if-absent -> publish -> advance cursor to the target's max marker.
 
-    Any failure leaves the published table and the cursor as they were and records the status.
+    ``mode="update"`` replaces stored rows whose key reappears (upsert) instead of keeping them.
+    ``cap_at`` bounds the new cursor (e.g. the run's clock), so a future-dated marker cannot move
+    the cursor past rows that have not arrived yet. Any failure leaves the published table and the
+    cursor as they were and records the status.
     """
-    from kestrel.sources.loads import insert_if_absent
+    from kestrel.sources.loads import insert_if_absent, upsert_update
 
     state = CursorState(store)
     st = state.get(table) or {}
@@ -199,12 +202,18 @@ def run_cycle(store, table: str, source: DataFrame, marker: str, key: list[str],
         if len(key) == 1:  # one small aggregate over the delta; bounds the target key scan
             lo_hi = delta.agg(F.min(key[0]), F.max(key[0])).first()
             key_range = (lo_hi[0], lo_hi[1])
-        nxt, _ = insert_if_absent(target, delta, key, [marker], key_range=key_range)
+        if mode == "update":
+            nxt = upsert_update(target, delta, key)
+        else:
+            nxt, _ = insert_if_absent(target, delta, key, [marker], key_range=key_range)
         res = store.swap(table, nxt, sort_within=key)
     except Exception as exc:  # noqa: BLE001 - recorded; the cursor does not move
         state.put(table, {**st, "marker": st.get("marker", marker), "kind": st.get("kind", kind),
                           "status": "failed", "error": str(exc)[:300]})
         raise
-    new_cursor = store.read(table).agg(F.max(marker)).first()[0]
+    top = store.read(table)
+    if cap_at is not None:
+        top = top.filter(F.col(marker) <= F.lit(cap_at))
+    new_cursor = top.agg(F.max(marker)).first()[0]
     state.put(table, {"cursor": new_cursor, "marker": marker, "kind": kind, "status": "success"})
     return {**res, "cursor": new_cursor}

@@ -108,3 +108,18 @@ def test_insert_if_absent_delta_winner_is_deterministic(spark):
     assert sorted(tuple(r) for r in nxt.collect()) == [(0, "x", 0), (1, "c", 4)]
     nxt, _ = insert_if_absent(target, delta.filter("m = 5"), ["k"], ["m"])
     assert sorted(tuple(r) for r in nxt.collect()) == [(0, "x", 0), (1, "a", 5)]
+
+
+def test_cycle_update_mode_and_cursor_cap(spark, store):
+    import datetime as dt
+
+    src = spark.createDataFrame([(1, "a", dt.datetime(2024, 1, 1)), (2, "b", dt.datetime(2024, 1, 2)),
+                                 (3, "c", dt.datetime(2030, 1, 1))], "k long, v string, m timestamp_ntz")
+    N.run_cycle(store, "t", src, "m", ["k"], kind="date", cap_at=dt.datetime(2024, 1, 31))
+    assert str(N.CursorState(store).get("t")["cursor"]).startswith("2024-01-02")  # not 2030
+    changed = src.withColumn("v", F.upper("v"))
+    cap = dt.datetime(2024, 1, 31)
+    N.run_cycle(store, "t", changed, "m", ["k"], kind="date", cap_at=cap)  # insert_only: stored rows kept
+    assert sorted(r.v for r in store.read("t").collect()) == ["a", "b", "c"]
+    N.run_cycle(store, "t", changed.filter("k = 2"), "m", ["k"], kind="date", mode="update", cap_at=cap)
+    assert sorted(r.v for r in store.read("t").collect()) == ["B", "a", "c"]
