@@ -37,11 +37,13 @@ def inbound_stream(spark: SparkSession, landing: str, fields: list[I.Field], out
     src = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).json(landing)
 
     def batch(df: DataFrame, batch_id: int) -> None:
+        # each batch owns its folder and overwrites it: a replay of the same batch id after a
+        # failure rewrites the same rows instead of adding them again (exactly-once output)
         v = I.validate(df, fields).persist()
-        (I.accepted(v, fields, keep=[record_key]).withColumn("_batch_id", F.lit(batch_id))
-         .write.mode("append").parquet(os.path.join(out_dir, "accepted", f"batch={batch_id}")))
-        (I.rejected(v, record_key).withColumn("_batch_id", F.lit(batch_id))
-         .write.mode("append").parquet(os.path.join(out_dir, "rejected", f"batch={batch_id}")))
+        (I.accepted(v, fields, keep=[record_key])
+         .write.mode("overwrite").parquet(os.path.join(out_dir, "accepted", f"batch={batch_id}")))
+        (I.rejected(v, record_key)
+         .write.mode("overwrite").parquet(os.path.join(out_dir, "rejected", f"batch={batch_id}")))
         v.unpersist()
 
     w = src.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
