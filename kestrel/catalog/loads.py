@@ -23,6 +23,7 @@ from kestrel.sources import ingest as I
 from kestrel.sources import loads as L
 from kestrel.sources import matview as MV
 from kestrel.sources.snapshots import GuardError
+from kestrel.sources.tables import DRIVER_TABLES
 from kestrel.streaming import jobs as ST
 
 
@@ -386,7 +387,7 @@ def table_list(reg):
     register_procurement(reg)
     from kestrel.operators.aggregates import table_counts
 
-    base = set(t for t in reg.names() if os.path.exists(reg.path(t)))
+    base = set(t for t in reg.names() if t in DRIVER_TABLES)
     rows = [(t, "BASE TABLE" if t in base else "VIEW") for t in reg.names()]
     kinds = reg.spark.createDataFrame(rows, "table_name string, table_type string")
     return kinds.join(table_counts({t: reg.table(t) for t in reg.names()}), "table_name", "left")

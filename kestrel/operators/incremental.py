@@ -137,30 +137,19 @@ class CursorState:
         self.store = store
 
     def _path(self, table: str) -> str:
-        import os
-
-        return os.path.join(self.store.root, table, "_cursor.json")
+        return f"{self.store.root}/{table}/_cursor.json"
 
     def get(self, table: str) -> dict | None:
         import json
-        import os
 
-        p = self._path(table)
-        if not os.path.exists(p):
-            return None
-        with open(p) as fh:
-            return json.load(fh)
+        text = self.store.fs.read_text(self._path(table))
+        return None if text is None else json.loads(text)
 
     def put(self, table: str, state: dict) -> None:
         import json
-        import os
-        import uuid
-
-        os.makedirs(os.path.dirname(self._path(table)), exist_ok=True)
-        tmp = self._path(table) + f".{uuid.uuid4().hex}"
-        with open(tmp, "w") as fh:
-            json.dump(state, fh, default=str)
-        os.replace(tmp, self._path(table))
+
+        self.store.fs.mkdirs(f"{self.store.root}/{table}")
+        self.store.fs.write_text_atomic(self._path(table), json.dumps(state, default=str))
 
     def reset_if_changed(self, table: str, marker: str, kind: str) -> bool:
         """Marker column or kind changed -> clear the cursor (the next cycle starts from the target)."""

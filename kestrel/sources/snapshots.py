@@ -6,58 +6,49 @@ Layout under a store root (inside the cluster's shared checkpoint folder):
     <root>/<table>/_CURRENT        JSON {"version": "v=000001", ...metadata}
 
 A new version is always written to a fresh folder; readers follow ``_CURRENT``, which is replaced
-by an atomic rename, so they never see an empty or half-written table. Older versions are dropped
-after the move. On a cluster with a catalog the same move is ``ALTER TABLE ... SET LOCATION``.
+by a rename through the Hadoop FileSystem API (atomic on HDFS and POSIX file systems), so they never
+see an empty or half-written table. The previous version is kept for readers already running; older
+ones are dropped after the move. On an object store, or with a catalog, the same move is
+``ALTER TABLE ... SET LOCATION``.
 """
 
 from __future__ import annotations
 
 import datetime as _dt
 import json
-import os
 import time
 import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from kestrel.sources.fs import HadoopFS
+
 
 class GuardError(RuntimeError):
     pass
 
 
-def _local(path: str) -> str:
-    return path[len("file:"):] if path.startswith("file:") else path
-
-
 class SnapshotStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
-        self.root = _local(root)
+        self.root = root.rstrip("/")
+        self.fs = HadoopFS(spark)
 
     # ---------------------------------------------------------------- pointer
     def _dir(self, table: str) -> str:
-        return os.path.join(self.root, table)
+        return f"{self.root}/{table}"
 
     def pointer(self, table: str) -> dict | None:
-        p = os.path.join(self._dir(table), "_CURRENT")
-        if not os.path.exists(p):
-            return None
-        with open(p) as fh:
-            return json.load(fh)
+        text = self.fs.read_text(f"{self._dir(table)}/_CURRENT")
+        return None if text is None else json.loads(text)
 
     def _move_pointer(self, table: str, meta: dict) -> None:
-        os.makedirs(self._dir(table), exist_ok=True)
-        tmp = os.path.join(self._dir(table), f"._CURRENT.{uuid.uuid4().hex}")
-        with open(tmp, "w") as fh:
-            json.dump(meta, fh)
-        os.replace(tmp, os.path.join(self._dir(table), "_CURRENT"))  # atomic on POSIX
+        self.fs.mkdirs(self._dir(table))
+        self.fs.write_text_atomic(f"{self._dir(table)}/_CURRENT", json.dumps(meta))
 
     def versions(self, table: str) -> list[str]:
-        d = self._dir(table)
-        if not os.path.isdir(d):
-            return []
-        return sorted(x for x in os.listdir(d) if x.startswith("v="))
+        return sorted(x for x in self.fs.list_names(self._dir(table)) if x.startswith("v="))
 
     def _next_version(self, table: str) -> str:
         vs = self.versions(table)
@@ -72,7 +63,7 @@ class SnapshotStore:
         meta = self.pointer(table)
         if meta is None:
             return None
-        return self.spark.read.parquet(os.path.join(self._dir(table), meta["version"]))
+        return self.spark.read.parquet(f"{self._dir(table)}/{meta['version']}")
 
     def write_version(self, table: str, df: DataFrame, sort_within: list[str] | None = None,
                       partition_by: list[str] | None = None) -> tuple[str, int]:
@@ -85,7 +76,7 @@ class SnapshotStore:
         w = out.write.mode("errorifexists")
         if partition_by:
             w = w.partitionBy(*partition_by)
-        w.parquet(os.path.join(self._dir(table), version))
+        w.parquet(f"{self._dir(table)}/{version}")
         return version, int(obs.get["rows"])
 
     def publish(self, table: str, version: str, meta: dict | None = None, keep: int = 2) -> dict:
@@ -98,19 +89,15 @@ class SnapshotStore:
 
     def drop_old(self, table: str, keep: int = 1) -> None:
         """Remove versions older than the newest ``keep`` that are not current (readers moved on)."""
-        import shutil
-
         cur = (self.pointer(table) or {}).get("version")
         vs = self.versions(table)
         for v in vs[:-keep] if keep else vs:
             if v != cur:
-                shutil.rmtree(os.path.join(self._dir(table), v), ignore_errors=True)
+                self.fs.delete(f"{self._dir(table)}/{v}")
 
     def drop(self, table: str) -> None:
         """Unpublish: remove the pointer (readers fall back to the live path)."""
-        p = os.path.join(self._dir(table), "_CURRENT")
-        if os.path.exists(p):
-            os.remove(p)
+        self.fs.delete(f"{self._dir(table)}/_CURRENT", recursive=False)
 
     def swap(self, table: str, df: DataFrame, guard_nonempty: bool = True, min_ratio: float | None = None,
              meta: dict | None = None, sort_within: list[str] | None = None) -> dict:
@@ -122,9 +109,7 @@ class SnapshotStore:
         t0 = time.time()
         version, rows = self.write_version(table, df, sort_within=sort_within)
         if guard_nonempty and rows == 0 and before > 0:
-            import shutil
-
-            shutil.rmtree(os.path.join(self._dir(table), version), ignore_errors=True)
+            self.fs.delete(f"{self._dir(table)}/{version}")
             raise GuardError(f"refusing to publish an empty copy of {table} over {before} live rows")
         if min_ratio is not None and before > 0 and rows < min_ratio * before:
             raise GuardError(f"new copy of {table} has {rows} rows, below {min_ratio:.0%} of {before}")
@@ -134,8 +119,8 @@ class SnapshotStore:
 
     def append_rows(self, table: str, df: DataFrame) -> None:
         """Append-only log tables (metrics, run history): each append is a new file set."""
-        df.write.mode("append").parquet(os.path.join(self._dir(table), "log"))
+        df.write.mode("append").parquet(f"{self._dir(table)}/log")
 
     def read_log(self, table: str) -> DataFrame | None:
-        p = os.path.join(self._dir(table), "log")
-        return self.spark.read.parquet(p) if os.path.isdir(p) else None
+        p = f"{self._dir(table)}/log"
+        return self.spark.read.parquet(p) if self.fs.exists(p) else None

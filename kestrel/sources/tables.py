@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -55,18 +54,26 @@ class TableRegistry:
         self.root = root
         self._frames: dict[str, DataFrame] = extra if extra is not None else {}  # source tables (shareable)
         self._derived: dict[str, DataFrame] = {}  # frames registered by one query
+        self._fs = None
+
+    def _on_disk(self, name: str) -> bool:
+        if self._fs is None:
+            from kestrel.sources.fs import HadoopFS
+
+            self._fs = HadoopFS(self.spark)
+        return self._fs.exists(self.path(name))
 
     def path(self, name: str) -> str:
-        return os.path.join(self.root, f"{name}.parquet")
+        return f"{self.root.rstrip('/')}/{name}.parquet"
 
     def exists(self, name: str) -> bool:
-        return name in self._derived or name in self._frames or os.path.exists(self.path(name))
+        return name in self._derived or name in self._frames or self._on_disk(name)
 
     def table(self, name: str) -> DataFrame:
         if name in self._derived:
             return self._derived[name]
         if name not in self._frames:
-            if not os.path.exists(self.path(name)):
+            if not self._on_disk(name):
                 raise KeyError(f"table not found: {name}")
             self._frames[name] = self.spark.read.parquet(self.path(name))
         return self._frames[name]
@@ -83,7 +90,7 @@ class TableRegistry:
         return self
 
     def names(self) -> list[str]:
-        on_disk = [n for n in DRIVER_TABLES if os.path.exists(self.path(n))]
+        on_disk = [n for n in DRIVER_TABLES if n in self._frames or self._on_disk(n)]
         return sorted(set(on_disk) | set(self._frames) | set(self._derived))
 
 
