@@ -48,6 +48,13 @@ def schema_issues(reg: TableRegistry, spec: ModelSpec) -> list[tuple[str, str, s
                            f"{a.name}: declared {a.data_type}, source is {cols[a.source_column]}"))
     if spec.pk is None:
         issues.append(("error", "pk_unmapped", "model has no primary key attribute"))
+    elif spec.pk.source_table in tables:
+        field = next((f for f in reg.table(spec.pk.source_table).schema.fields if f.name == spec.pk.source_column), None)
+        if field is not None and field.nullable:
+            issues.append(("warning", "pk_nullable",
+                           "Primary key source column is nullable. Ensure values are unique and not null."))
+        if spec.pk.source_table in getattr(reg, "_derived", {}):
+            issues.append(("warning", "view_pk", "Primary key comes from a derived view: uniqueness is not enforced"))
     issues += join_type_issues(tables, spec)
     try:
         _, warns = plan_joins(spec)
@@ -102,6 +109,16 @@ def data_probes(reg: TableRegistry, spec: ModelSpec) -> DataFrame | None:
                          F.concat(F.lit(f"primary key {spec.pk.name} has "), F.col("n").cast("string"),
                                   F.lit(" NULL values")).alias("message")))
         parts += [dup, nulls]
+    for j in spec.joins:
+        if j.how != "inner" or j.left_table != spec.base_table:
+            continue
+        base, right = reg.table(spec.base_table), reg.table(j.right_table)
+        dropped = base.join(right.select(F.col(j.right_column).alias("_k")), F.col(j.left_column) == F.col("_k"),
+                            "left_anti")
+        parts.append(dropped.agg(F.count(F.lit(1)).alias("n")).filter("n > 0")
+                     .select(F.lit("warning").alias("level"), F.lit("inner_join_drop").alias("code"),
+                             F.concat(F.lit(f"INNER join to {j.right_table} drops "), F.col("n").cast("string"),
+                                      F.lit(" base rows")).alias("message")))
     if spec.latest is None:
         for j in spec.joins:
             if j.allow_fanout:

@@ -189,3 +189,15 @@ def test_job_watermark(spark):
     r = N.job_watermark(runs, "job", "status", "at", "wm").first()
     assert r.last_successful_watermark == "2026-05-31"
     assert r.last_run_at == dt.datetime(2026, 6, 30)
+
+
+def test_model_check_inner_drop_and_nullable_pk(spark, reg):
+    spec = ModelSpec("building_orders", (attr("o_orderkey", "orders", is_pk=True), attr("c_name", "customer_b")),
+                     (JoinSpec("orders", "o_custkey", "customer_b", "c_custkey", how="inner"),))
+    r = TableRegistry(spark, reg.root, reg._frames)
+    r.register("customer_b", reg.table("customer").filter(F.col("c_mktsegment") == "BUILDING"))
+    issues = {i.code: i for i in model_check(spark, r, spec).collect()}
+    expected_drop = reg.table("orders").join(r.table("customer_b"), F.col("o_custkey") == F.col("c_custkey"),
+                                             "left_anti").count()
+    assert issues["inner_join_drop"].message == f"INNER join to customer_b drops {expected_drop} base rows"
+    assert "pk_nullable" in issues and "inner_join" in issues
