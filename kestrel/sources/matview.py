@@ -78,9 +78,10 @@ def refresh(store: SnapshotStore, reg: TableRegistry, spec: ModelSpec) -> dict:
         return {"status": "failed", "message": str(exc)}
 
 
-def read_or_live(store: SnapshotStore, reg: TableRegistry, spec: ModelSpec, enabled: bool = True,
+def read_or_live(store: SnapshotStore | None, reg: TableRegistry, spec: ModelSpec, enabled: bool = True,
                  needed: list[str] | None = None) -> DataFrame:
-    snap = store.read(spec.name) if enabled else None
+    """The snapshot when enabled, built and of the same definition; otherwise the live join."""
+    snap = store.read(spec.name) if (enabled and store is not None) else None
     if snap is not None and (store.pointer(spec.name) or {}).get("fingerprint") == spec.fingerprint():
         cols = [a.name for a in spec.attributes if needed is None or a.name in needed]
         return snap.select(*cols)
