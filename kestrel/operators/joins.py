@@ -23,12 +23,6 @@ def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> Data
     return F.broadcast(df) if n <= max_rows else df
 
 
-def lookup_join(base: DataFrame, lookup: DataFrame, left_key: str, right_key: str, how: str = "left") -> DataFrame:
-    if how not in ("left", "inner"):
-        raise ValueError("only left or inner lookup joins are allowed")
-    return base.join(lookup, base[left_key] == lookup[right_key], how)
-
-
 def fanout_keys(df: DataFrame, key: str) -> DataFrame:
     """Non-null key values occurring more than once (empty = the key is safe as an N:1 target).
 
@@ -78,7 +72,3 @@ def union_first_wins(primary: DataFrame, extra: DataFrame, name_col: str) -> Dat
 def distinct_keep_order(df: DataFrame, value_col: str, pos_col: str) -> DataFrame:
     """First occurrence of each value by position: min(pos) per value, in position order."""
     return df.groupBy(value_col).agg(F.min(pos_col).alias(pos_col)).orderBy(pos_col)
-
-
-def greatest_non_null(*cols: Column) -> Column:
-    return F.greatest(*cols)

@@ -84,12 +84,6 @@ def validation_rollup(checks: DataFrame, group: list[str] | None = None) -> Data
                       .otherwise("pass").alias("validation_status"))
 
 
-def rollup_status(statuses: list[str]) -> str:
-    if not statuses or "fail" in statuses:
-        return "fail"
-    return "warning" if "warning" in statuses else "pass"
-
-
 def tolerance(source_count: Column, replicating: Column) -> Column:
     """0 unless replicating; else max(50 rows, int(0.0001 * source))."""
     by_ratio = F.coalesce(F.floor(source_count.cast("double") * TOLERANCE_RATIO).cast("long"), F.lit(0))

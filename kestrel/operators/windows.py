@@ -42,7 +42,3 @@ def latest_by(df: DataFrame, key: str | list[str], order_col: str, value_cols: l
     keys = [key] if isinstance(key, str) else list(key)
     packed = F.max(F.struct(F.col(order_col).alias("_o"), *[F.col(c) for c in value_cols])).alias("_m")
     return df.groupBy(*keys).agg(packed).select(*keys, *[F.col(f"_m.{c}").alias(c) for c in value_cols])
-
-
-def desc_nulls_last(c: str | Column) -> Column:
-    return (F.col(c) if isinstance(c, str) else c).desc_nulls_last()

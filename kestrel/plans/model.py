@@ -205,14 +205,5 @@ def build_model(reg: TableRegistry, spec: ModelSpec, needed: list[str] | None =
     return cur.select(*[F.col(_prefixed(a.source_table, a.source_column)).alias(a.name) for a in attrs])
 
 
-def attribute_types(df: DataFrame, declared: dict[str, str] | None = None) -> dict[str, str]:
-    """Platform type per exposed column: declared type if given, else mapped from the Spark type."""
-    from kestrel.sources.tables import platform_type
-
-    out = {f.name: platform_type(f.dataType) for f in df.schema.fields}
-    out.update(declared or {})
-    return out
-
-
 def attr(name: str, table: str, column: str | None = None, **kw) -> Attribute:
     return Attribute(name=name, source_table=table, source_column=column or name, **kw)

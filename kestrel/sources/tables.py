@@ -10,10 +10,6 @@ DRIVER_TABLES = (
     "conversations"
 ).split()
 
-# The platform's column types.
-PLATFORM_TYPES = ("text", "integer", "float", "boolean", "date", "datetime", "json")
-
-
 def platform_type(dt: T.DataType) -> str | None:
     """Spark type -> platform type; None means the type cannot be mapped (arrays, maps, binary...)."""
     if isinstance(dt, (T.StringType, T.VarcharType, T.CharType)):
