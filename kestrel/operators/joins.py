@@ -38,7 +38,7 @@ def is_fanout(df: DataFrame, key: str) -> bool:
 
 def missing_rows(source: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame:
     """Source rows whose key is absent from the target (``left_anti``); only the keys of the target are read."""
-    return source.join(target.select(*keys), on=keys, how="left_anti")
+    return source.join(target.select(*keys).distinct(), on=keys, how="left_anti")
 
 
 def orphan_fk(fact: DataFrame, fk: str, dim: DataFrame, dim_key: str) -> DataFrame:

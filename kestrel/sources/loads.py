@@ -60,7 +60,7 @@ def insert_if_absent(target: DataFrame, delta: DataFrame, key: list[str], order_
     keys = target.select(*key)
     if key_range is not None and len(key) == 1 and None not in key_range:
         keys = keys.filter(F.col(key[0]).between(F.lit(key_range[0]), F.lit(key_range[1])))
-    new = d.join(keys, on=key, how="left_anti")
+    new = d.join(distinct_keys(keys), on=key, how="left_anti")
     return target.unionByName(new), new
 
 
@@ -80,9 +80,15 @@ def replace_range(target: DataFrame, source: DataFrame, marker: str, cutoff: Col
     return keep.unionByName(source.select(*target.columns).filter(F.col(marker) >= cutoff))
 
 
+def distinct_keys(keys: DataFrame) -> DataFrame:
+    """The key set of a table for an anti-join, de-duplicated by a map-side-combined aggregate so a
+    key repeated in a third of the rows reaches the join once per map task, not once per row."""
+    return keys.distinct()
+
+
 def repair_missing(source: DataFrame, target: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
     """Key repair: re-read the source, insert only rows the target lacks. (next table, inserted)."""
-    new = source.select(*target.columns).join(target.select(*key), on=key, how="left_anti")
+    new = source.select(*target.columns).join(distinct_keys(target.select(*key)), on=key, how="left_anti")
     return target.unionByName(new), new
 
 
