@@ -195,14 +195,12 @@ def run_cycle(store, table: str, source: DataFrame, marker: str, key: list[str],
             nxt = upsert_update(target, delta, key)
         else:
             nxt, _ = insert_if_absent(target, delta, key, [marker], key_range=key_range)
-        res = store.swap(table, nxt, sort_within=key)
+        m = F.col(marker) if cap_at is None else F.when(F.col(marker) <= F.lit(cap_at), F.col(marker))
+        res = store.swap(table, nxt, sort_within=key, observe={"cursor": F.max(m)})
     except Exception as exc:  # noqa: BLE001 - recorded; the cursor does not move
         state.put(table, {**st, "marker": st.get("marker", marker), "kind": st.get("kind", kind),
                           "status": "failed", "error": str(exc)[:300]})
         raise
-    top = store.read(table)
-    if cap_at is not None:
-        top = top.filter(F.col(marker) <= F.lit(cap_at))
-    new_cursor = top.agg(F.max(marker)).first()[0]
+    new_cursor = res["metrics"]["cursor"]  # the published table's max marker, observed during the write
     state.put(table, {"cursor": new_cursor, "marker": marker, "kind": kind, "status": "success"})
     return {**res, "cursor": new_cursor}

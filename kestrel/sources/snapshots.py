@@ -66,17 +66,22 @@ class SnapshotStore:
         return self.spark.read.parquet(f"{self._dir(table)}/{meta['version']}")
 
     def write_version(self, table: str, df: DataFrame, sort_within: list[str] | None = None,
-                      partition_by: list[str] | None = None) -> tuple[str, int]:
-        """Write ``df`` as a new, unpublished version; returns (version, rows) counted during the write."""
+                      partition_by: list[str] | None = None, observe: dict | None = None) -> tuple[str, int]:
+        """Write ``df`` as a new, unpublished version; returns (version, rows) counted during the write.
+
+        ``observe`` adds named aggregate columns computed in the same pass (read ``last_metrics``).
+        """
         version = self._next_version(table)
         obs = Observation(f"rows_{uuid.uuid4().hex[:8]}")
-        out = df.observe(obs, F.count(F.lit(1)).alias("rows"))
+        extra = [c.alias(n) for n, c in (observe or {}).items()]
+        out = df.observe(obs, F.count(F.lit(1)).alias("rows"), *extra)
         if sort_within:
             out = out.sortWithinPartitions(*sort_within)
         w = out.write.mode("errorifexists")
         if partition_by:
             w = w.partitionBy(*partition_by)
         w.parquet(f"{self._dir(table)}/{version}")
+        self.last_metrics = dict(obs.get)
         return version, int(obs.get["rows"])
 
     def publish(self, table: str, version: str, meta: dict | None = None, keep: int = 2) -> dict:
@@ -100,14 +105,14 @@ class SnapshotStore:
         self.fs.delete(f"{self._dir(table)}/_CURRENT", recursive=False)
 
     def swap(self, table: str, df: DataFrame, guard_nonempty: bool = True, min_ratio: float | None = None,
-             meta: dict | None = None, sort_within: list[str] | None = None) -> dict:
+             meta: dict | None = None, sort_within: list[str] | None = None, observe: dict | None = None) -> dict:
         """Full reload: write a new copy, refuse it when empty while the live one has rows, then move
         the pointer. Returns rows before/after/added and the status."""
         before_meta = self.pointer(table)
         before = int(before_meta["rows"]) if before_meta and "rows" in before_meta else (
             self.read(table).count() if before_meta else 0)
         t0 = time.time()
-        version, rows = self.write_version(table, df, sort_within=sort_within)
+        version, rows = self.write_version(table, df, sort_within=sort_within, observe=observe)
         if guard_nonempty and rows == 0 and before > 0:
             self.fs.delete(f"{self._dir(table)}/{version}")
             raise GuardError(f"refusing to publish an empty copy of {table} over {before} live rows")
@@ -115,7 +120,8 @@ class SnapshotStore:
             raise GuardError(f"new copy of {table} has {rows} rows, below {min_ratio:.0%} of {before}")
         self.publish(table, version, {"rows": rows, **(meta or {})})
         return {"table": table, "version": version, "rows_before": before, "rows_after": rows,
-                "rows_added": rows - before, "seconds": round(time.time() - t0, 3), "status": "success"}
+                "rows_added": rows - before, "seconds": round(time.time() - t0, 3), "status": "success",
+                "metrics": {k: v for k, v in self.last_metrics.items() if k != "rows"}}
 
     def append_rows(self, table: str, df: DataFrame) -> None:
         """Append-only log tables (metrics, run history): each append is a new file set."""
