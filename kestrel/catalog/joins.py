@@ -173,13 +173,13 @@ def status_grid_sql(extra: tuple[tuple[str, str], ...] = ()) -> str:
     """The status grid in SQL; ``extra`` (catalogue column, output name) pairs are carried through."""
     carry = "".join(f"c.{col} AS {name}, " for col, name in extra)
     out = "".join(f"{name}, " for _, name in extra)
-    return S.with_ctes(S.CATALOGUE_CTE, S.RUNS_CTE, S.COUNTS_CTE) + f""",
+    return S.with_ctes(S.JOBS_CTE, S.RUNS_CTE, S.COUNTS_CTE) + f""",
 last_run AS (SELECT job_id, status AS last_status, created_at AS last_run_at FROM (
   SELECT *, ROW_NUMBER() OVER (PARTITION BY job_id ORDER BY created_at DESC, run_id DESC) AS rn FROM job_runs)
   WHERE rn = 1),
 g AS (SELECT {carry}c.table_name, c.enabled, c.job_id, c.pk, c.marker, c.is_sequence, l.last_status, l.last_run_at,
   s.source_count, s.target_count, s.count_mode, COALESCE(s.replicating, false) AS replicating
-  FROM catalogue c LEFT JOIN last_run l ON c.job_id = l.job_id LEFT JOIN source_counts s ON c.job_id = s.job_id)
+  FROM job_catalogue c LEFT JOIN last_run l ON c.job_id = l.job_id LEFT JOIN source_counts s ON c.job_id = s.job_id)
 SELECT {out}table_name, enabled, job_id, last_status, last_run_at, source_count, target_count,
   CASE WHEN source_count IS NULL THEN 'PENDING'
        WHEN count_mode = 'exact' AND target_count IS NULL THEN 'PENDING'
@@ -197,7 +197,7 @@ STATUS_GRID_ORACLE = status_grid_sql()
 
 
 def status_grid(reg) -> DataFrame:
-    cat = S.table_catalogue(reg).drop("last_run_at")
+    cat = S.job_catalogue(reg).drop("last_run_at", "interval_sec")
     runs = S.job_runs(reg)
     last = latest_by(runs.withColumn("_o", F.struct("created_at", "run_id")), "job_id", "_o",
                      ["status", "created_at"]).select("job_id", F.col("status").alias("last_status"),
@@ -227,7 +227,7 @@ def join_status_grid(reg):
 def sort_multi_key(reg):
     """Grid page sorted by next run = last run + interval; never-run rows after those, disabled last."""
     grid = status_grid(reg)
-    cfg = S.table_catalogue(reg).select("table_name", "interval_sec", F.col("last_run_at").alias("cat_last_run_at"))
+    cfg = S.job_catalogue(reg).select("table_name", "interval_sec", F.col("last_run_at").alias("cat_last_run_at"))
     g = grid.join(cfg, "table_name")
     cls = F.when(~F.col("enabled"), 2).when(F.col("cat_last_run_at").isNull(), 1).otherwise(0)
     nxt = F.col("cat_last_run_at") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0),

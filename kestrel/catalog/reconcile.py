@@ -216,18 +216,18 @@ def count_cache_keep_good(reg):
     return RC.keep_last_good(a, "table_name", "attempted_at", "cnt", "ok")
 
 
-@query("reconciliation_report", oracle=S.with_ctes(S.CATALOGUE_CTE, S.RUNS_CTE, S.COUNTS_CTE) + """,
+@query("reconciliation_report", oracle=S.with_ctes(S.JOBS_CTE, S.RUNS_CTE, S.COUNTS_CTE) + """,
 lr AS (SELECT job_id, status, duration_sec FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY job_id
   ORDER BY created_at DESC, run_id DESC) AS rn FROM job_runs) WHERE rn = 1)
 SELECT c.table_name, lr.status AS last_status, s.source_count, s.target_count, s.source_count - s.target_count AS missed,
   CASE WHEN s.source_count IS NULL OR s.target_count IS NULL THEN 'PENDING'
        WHEN s.source_count = s.target_count THEN 'MATCH' ELSE 'MISMATCH' END AS verdict, lr.duration_sec
-FROM catalogue c LEFT JOIN lr ON c.job_id = lr.job_id LEFT JOIN source_counts s ON c.job_id = s.job_id""")
+FROM job_catalogue c LEFT JOIN lr ON c.job_id = lr.job_id LEFT JOIN source_counts s ON c.job_id = s.job_id""")
 def reconciliation_report(reg):
     """Per table: latest run, counts, missed, verdict, duration."""
     runs = S.job_runs(reg)
     lr = latest_by(runs.withColumn("_o", F.struct("created_at", "run_id")), "job_id", "_o", ["status", "duration_sec"])
-    c = S.table_catalogue(reg).select("table_name", "job_id")
+    c = S.job_catalogue(reg).select("table_name", "job_id")
     j = c.join(lr, "job_id", "left").join(S.source_counts(reg), "job_id", "left")
     r = RC.reconcile(j)
     return r.select("table_name", F.col("status").alias("last_status"), "source_count", "target_count", "missed",

@@ -150,7 +150,7 @@ def table_catalogue(reg: TableRegistry) -> DataFrame:
     p = reg.table("part")
     return p.select(
         F.concat(F.regexp_replace("p_name", " ", "_"), F.lit("_"), F.col("p_partkey").cast("string")).alias("table_name"),
-        F.col("p_partkey").alias("pos"), F.col("p_partkey").alias("job_id"),
+        F.col("p_partkey").alias("pos"),
         F.when(F.col("p_type") == "PROMO", F.lit(None)).otherwise(F.col("p_type")).alias("module"),
         F.col("p_brand").alias("owner"),
         F.when(F.col("p_size") <= 25, "A").otherwise("B").alias("model_type"),
@@ -170,7 +170,7 @@ def table_catalogue(reg: TableRegistry) -> DataFrame:
 
 CATALOGUE_CTE = """
 catalogue AS (SELECT replace(p_name, ' ', '_') || '_' || CAST(p_partkey AS VARCHAR) AS table_name,
-  p_partkey AS pos, p_partkey AS job_id, CASE WHEN p_type = 'PROMO' THEN NULL ELSE p_type END AS module,
+  p_partkey AS pos, CASE WHEN p_type = 'PROMO' THEN NULL ELSE p_type END AS module,
   p_brand AS owner, CASE WHEN p_size <= 25 THEN 'A' ELSE 'B' END AS model_type, p_retailprice >= 950 AS active,
   CASE WHEN p_size > 40 THEN NULL ELSE 'id_' || p_type END AS pk,
   CASE WHEN p_type = 'SMALL' THEN NULL ELSE 'updated_at' END AS marker, p_size <= 10 AS is_sequence,
@@ -180,6 +180,33 @@ catalogue AS (SELECT replace(p_name, ' ', '_') || '_' || CAST(p_partkey AS VARCH
   CASE WHEN p_brand < 'Brand#2' THEN NULL ELSE 124100 END AS cutoff, p_size AS rows_hint FROM part)"""
 
 
+def job_catalogue(reg: TableRegistry) -> DataFrame:
+    """One replicated table per events user: its job, key/marker config, cadence and last run."""
+    e = reg.table("events")
+    n = lambda t: F.count_if(F.col("event_type") == t)
+    g = e.groupBy(F.col("user_id").alias("job_id")).agg(
+        n("purchase").alias("_p"), n("view").alias("_v"), n("signup").alias("_s"), n("click").alias("_c"),
+        n("error").alias("_e"), F.avg("value").alias("_a"), F.count(F.lit(1)).alias("_n"),
+        F.max(F.when(F.col("event_type") != "error", F.col("ts"))).alias("last_run_at"))
+    return g.select(
+        F.concat(F.lit("job_"), F.col("job_id").cast("string")).alias("table_name"), "job_id",
+        (F.col("_p") >= F.col("_v")).alias("enabled"),
+        F.when(F.col("_s") > F.col("_c"), F.lit(None)).otherwise(F.lit("event_id")).alias("pk"),
+        F.when(F.col("_e") > F.col("_p"), F.lit(None)).otherwise(F.lit("ts")).alias("marker"),
+        (F.col("_a") > 50).alias("is_sequence"), (F.col("_n") * 10).alias("interval_sec"), "last_run_at")
+
+
+JOBS_CTE = """
+job_catalogue AS (SELECT 'job_' || CAST(user_id AS VARCHAR) AS table_name, user_id AS job_id,
+  COUNT(*) FILTER (WHERE event_type = 'purchase') >= COUNT(*) FILTER (WHERE event_type = 'view') AS enabled,
+  CASE WHEN COUNT(*) FILTER (WHERE event_type = 'signup') > COUNT(*) FILTER (WHERE event_type = 'click') THEN NULL
+       ELSE 'event_id' END AS pk,
+  CASE WHEN COUNT(*) FILTER (WHERE event_type = 'error') > COUNT(*) FILTER (WHERE event_type = 'purchase') THEN NULL
+       ELSE 'ts' END AS marker,
+  AVG(value) > 50 AS is_sequence, COUNT(*) * 10 AS interval_sec,
+  MAX(ts) FILTER (WHERE event_type <> 'error') AS last_run_at FROM events GROUP BY user_id)"""
+
+
 def job_runs(reg: TableRegistry) -> DataFrame:
     """events as run history: job = user, failed when the event is an error, watermark = event id."""
     e = reg.table("events")
