@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -67,10 +66,12 @@ def template_models(reg):
 SYSTEM_NAMES = ("id", "raw_payload", "created_at", "updated_at")
 
 
-def snake_case(name: str) -> str:
-    s = re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", name)
-    s = re.sub(r"[^A-Za-z0-9]+", "_", s).lstrip("_").lower()
-    return f"source_{s}" if s in SYSTEM_NAMES else s
+def snake_case(name):
+    """Column-name rule as a Spark expression: split camel case, non-alphanumerics to '_', strip
+    leading '_', lower case; names reserved for system columns get a ``source_`` prefix."""
+    s = F.regexp_replace(F.col(name) if isinstance(name, str) else name, "([a-z0-9])([A-Z])", "$1_$2")
+    s = F.lower(F.regexp_replace(F.regexp_replace(s, "[^A-Za-z0-9]+", "_"), "^_+", ""))
+    return F.when(s.isin(*SYSTEM_NAMES), F.concat(F.lit("source_"), s)).otherwise(s)
 
 
 @query("model_from_table")
@@ -81,9 +82,10 @@ def model_from_table(reg):
     rows = []
     for t in reg.names():
         for i, f in enumerate(reg.table(t).schema.fields):
-            rows.append((t, i + 1, f.name, snake_case(f.name), platform_type(f.dataType), i == 0))
-    attrs = reg.spark.createDataFrame(rows, "table_name string, position int, source_column string, "
-                                            "attribute string, data_type string, is_pk boolean")
+            rows.append((t, i + 1, f.name, platform_type(f.dataType), i == 0))
+    cols = reg.spark.createDataFrame(rows, "table_name string, position int, source_column string, "
+                                           "data_type string, is_pk boolean")
+    attrs = cols.withColumn("attribute", snake_case("source_column"))
     # the derived key is checked against the data: usable only when unique and never NULL
     return attrs.join(first_column_unique({t: reg.table(t) for t in reg.names()}), "table_name", "left")
 

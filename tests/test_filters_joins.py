@@ -69,3 +69,11 @@ def test_anti_semijoins_and_union(spark):
     assert sorted(r.name for r in J.union_first_wins(prim, extra, "name").collect()) == ["Alpha", "beta"]
     assert not J.is_fanout(dim, "d") and J.is_fanout(spark.createDataFrame([(1,), (1,)], "d int"), "d")
     assert J.bounded_broadcast(dim, 10).count() == 2
+
+
+def test_model_name_rule(spark):
+    from kestrel.catalog.projections import snake_case
+
+    df = spark.createDataFrame([("OrderID",), ("__weird Name!x",), ("updated_at",), ("customerName2Code",)], "c string")
+    got = [r[0] for r in df.select(snake_case("c")).collect()]
+    assert got == ["order_id", "weird_name_x", "source_updated_at", "customer_name2_code"]
