@@ -84,20 +84,23 @@ class SnapshotStore:
         self.last_metrics = dict(obs.get)
         return version, int(obs.get["rows"])
 
-    def publish(self, table: str, version: str, meta: dict | None = None, keep: int = 2) -> dict:
-        """Move the pointer to ``version``. The previous version is kept (``keep=2``) so readers that
-        resolved it before the move finish undisturbed; anything older is dropped."""
-        m = {"version": version, "published_at": _dt.datetime.now(_dt.UTC).replace(tzinfo=None).isoformat(), **(meta or {})}
+    def publish(self, table: str, version: str, meta: dict | None = None, keep_previous: bool = True) -> dict:
+        """Move the pointer to ``version``. The version it replaces stays on disk (recorded as
+        ``previous``) so readers that resolved it before the move finish undisturbed; every other
+        folder — older versions and unpublished leftovers of failed writes — is removed."""
+        old = (self.pointer(table) or {}).get("version")
+        m = {"version": version, "previous": old if keep_previous else None,
+             "published_at": _dt.datetime.now(_dt.UTC).replace(tzinfo=None).isoformat(), **(meta or {})}
         self._move_pointer(table, m)
-        self.drop_old(table, keep)
+        self.drop_unreferenced(table)
         return m
 
-    def drop_old(self, table: str, keep: int = 1) -> None:
-        """Remove versions older than the newest ``keep`` that are not current (readers moved on)."""
-        cur = (self.pointer(table) or {}).get("version")
-        vs = self.versions(table)
-        for v in vs[:-keep] if keep else vs:
-            if v != cur:
+    def drop_unreferenced(self, table: str) -> None:
+        """Remove version folders that are neither current nor the previous one."""
+        meta = self.pointer(table) or {}
+        keep = {meta.get("version"), meta.get("previous")}
+        for v in self.versions(table):
+            if v not in keep:
                 self.fs.delete(f"{self._dir(table)}/{v}")
 
     def drop(self, table: str) -> None:

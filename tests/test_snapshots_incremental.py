@@ -169,3 +169,16 @@ def test_incremental_stream_replay_adds_nothing(spark, reg):
     ST.incremental_stream(spark, land, e.schema, store, "events", ["event_id"], None, ckpt)
     assert os.path.exists(os.path.join(ckpt, "commits", str(replayed)))  # the batch ran again
     assert store.read("events").count() == e.count()
+
+
+def test_failed_write_never_published_and_previous_kept(spark, store):
+    df = spark.range(5).withColumnRenamed("id", "k")
+    store.swap("t", df)
+    v1 = store.pointer("t")["version"]
+    bad = df.withColumn("x", F.raise_error(F.lit("boom")))
+    with pytest.raises(Exception):
+        store.swap("t", bad)  # the write fails part-way: nothing is published
+    assert store.pointer("t")["version"] == v1 and store.read("t").count() == 5
+    store.swap("t", df.filter("k < 3"))
+    meta = store.pointer("t")
+    assert meta["previous"] == v1 and set(store.versions("t")) == {v1, meta["version"]}  # orphan removed
