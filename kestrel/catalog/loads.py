@@ -393,7 +393,9 @@ def table_list(reg):
     return kinds.join(table_counts({t: reg.table(t) for t in reg.names()}), "table_name", "left")
 
 
-@query("table_preview", oracle="SELECT * FROM supplier ORDER BY s_suppkey LIMIT 21")
+@query("table_preview", oracle="""
+SELECT *, (SELECT COUNT(*) FROM (SELECT 1 FROM supplier ORDER BY s_suppkey LIMIT 21)) > 20 AS has_more,
+  (SELECT COUNT(*) FROM supplier) AS row_estimate FROM supplier ORDER BY s_suppkey LIMIT 20""")
 def table_preview(reg):
-    """Page of 20 raw rows read as 21 so the caller knows whether more exist."""
+    """Page of 20 raw rows, read as 21 to set has_more, with a row-count estimate."""
     return FL.table_preview(reg.table("supplier"), "s_suppkey", 20)

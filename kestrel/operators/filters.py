@@ -6,7 +6,7 @@ typed literals, so Catalyst pushes them into the parquet scan (``PushedFilters``
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kestrel.functions.primitives import (FunctionError, coerce_value, condition, exposed_types, time_filter,
@@ -118,9 +118,20 @@ def preview_page(df: DataFrame, key: str, limit: int | None = None) -> DataFrame
 
 
 def table_preview(df: DataFrame, key: str, limit: int | None = None, offset: int = 0) -> DataFrame:
-    """``limit + 1`` rows in key order; the caller sets ``has_more`` when the extra row is present."""
+    """A page of raw rows in key order with ``has_more`` and a row-count estimate.
+
+    ``limit + 1`` rows are read; the extra row only sets ``has_more``. The page is bounded
+    (at most 10,001 rows), so numbering it in one partition is safe. The estimate is a count with
+    no columns, which parquet answers from file footers.
+    """
     n = clamp(limit, 1, TABLE_PREVIEW_MAX, 100)
-    return page(df, [F.col(key).asc_nulls_last()], n + 1, offset)
+    rows = page(df, [F.col(key).asc_nulls_last()], n + 1, offset)
+    w = Window.orderBy(F.col(key).asc_nulls_last())
+    numbered = rows.withColumn("_kestrel_rn", F.row_number().over(w))
+    has_more = numbered.select(F.max("_kestrel_rn") > n).scalar()
+    estimate = df.select(F.count(F.lit(1))).scalar()
+    return (numbered.filter(F.col("_kestrel_rn") <= n).drop("_kestrel_rn")
+            .withColumn("has_more", has_more).withColumn("row_estimate", estimate))
 
 
 def filter_facets(df: DataFrame, facets: dict[str, object]) -> DataFrame:
