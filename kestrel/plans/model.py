@@ -15,6 +15,7 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kestrel.operators.joins import skew_split_join
 from kestrel.operators.windows import latest_per_key
 from kestrel.sources.tables import TableRegistry
 
@@ -164,8 +165,13 @@ def _prefixed(table: str, column: str) -> str:
 
 
 def build_model(reg: TableRegistry, spec: ModelSpec, needed: list[str] | None = None,
-                prune: bool = True) -> DataFrame:
-    """Compile a model spec to a lazy DataFrame with one column per (needed) attribute, in order."""
+                prune: bool = True, skew_split: bool = True) -> DataFrame:
+    """Compile a model spec to a lazy DataFrame with one column per (needed) attribute, in order.
+
+    N:1 lookups are plain joins (a hot key sits on the left side, where AQE can split it). A 1:N
+    ``allow_fanout`` join goes through ``skew_split_join`` when ``skew_split``: right-side keys
+    holding a large share of the rows are salted so no single task joins them all.
+    """
     ordered, _ = plan_joins(spec)
     attrs = [a for a in spec.attributes if needed is None or a.name in needed]
     names = [a.name for a in attrs]
@@ -200,8 +206,11 @@ def build_model(reg: TableRegistry, spec: ModelSpec, needed: list[str] | None =
     cur = relation(spec.base_table, base_key)
     for j in joins:
         right = relation(j.right_table, j.right_column)
-        cond = cur[_prefixed(j.left_table, j.left_column)] == right[_prefixed(j.right_table, j.right_column)]
-        cur = cur.join(right, cond, j.how)
+        lk, rk = _prefixed(j.left_table, j.left_column), _prefixed(j.right_table, j.right_column)
+        if j.allow_fanout and skew_split:
+            cur = skew_split_join(cur, right, lk, rk, j.how)
+        else:
+            cur = cur.join(right, cur[lk] == right[rk], j.how)
     return cur.select(*[F.col(_prefixed(a.source_table, a.source_column)).alias(a.name) for a in attrs])
 
 

@@ -78,3 +78,16 @@ def test_model_name_rule(spark):
     df = spark.createDataFrame([("OrderID",), ("__weird Name!x",), ("updated_at",), ("customerName2Code",)], "c string")
     got = [r[0] for r in df.select(snake_case("c")).collect()]
     assert got == ["order_id", "weird_name_x", "source_updated_at", "customer_name2_code"]
+
+
+def test_skew_split_join_matches_plain_join(spark):
+    import datetime as dt  # noqa: F401
+
+    left = spark.createDataFrame([(k, f"o{k}") for k in range(50)] + [(None, "nokey")], "lk long, lv string")
+    rows = [(1, i) for i in range(3000)] + [(k, k) for k in range(2, 40)] + [(None, 7)]
+    right = spark.createDataFrame(rows, "rk long, rv long")
+    for how in ("left", "inner"):
+        plain = left.join(right, left.lk == right.rk, how)
+        split = J.skew_split_join(left, right, "lk", "rk", how, fraction=0.1, min_rows=100, buckets=8)
+        assert sorted(map(tuple, split.collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
+    assert [r[0] for r in J.hot_keys(right, "rk", 0.1, 100).collect()] == [1]
