@@ -48,13 +48,21 @@ def _sort_columns(spec: ModelSpec, df: DataFrame) -> list[str]:
 
 
 def build(store: SnapshotStore, reg: TableRegistry, spec: ModelSpec) -> dict:
+    """Write the model once as an unpublished version, check the key on the written files (a scan of
+    the key column only), then publish; a non-unique key discards the version and refuses the build.
+    The join is computed once, not once for the check and again for the write."""
     if spec.pk is None:
         raise MatviewError(f"model {spec.name} needs a primary key to be materialised")
     df = build_model(reg, spec)
-    if has_duplicates(df, [spec.pk.name]):
+    t0 = time.time()
+    before = int((store.pointer(spec.name) or {}).get("rows", 0))
+    version, rows = store.write_version(spec.name, df, sort_within=_sort_columns(spec, df))
+    if has_duplicates(store.read_version(spec.name, version).select(spec.pk.name), [spec.pk.name]):
+        store.discard(spec.name, version)
         raise MatviewError(f"primary key {spec.pk.name} of {spec.name} is not unique; build refused")
-    return store.swap(spec.name, df, guard_nonempty=False, meta={"fingerprint": spec.fingerprint()},
-                      sort_within=_sort_columns(spec, df))
+    store.publish(spec.name, version, {"rows": rows, "fingerprint": spec.fingerprint()})
+    return {"table": spec.name, "version": version, "rows_before": before, "rows_after": rows,
+            "rows_added": rows - before, "seconds": round(time.time() - t0, 3), "status": "success"}
 
 
 def _metric(spark: SparkSession, spec: ModelSpec, status: str, rows: int | None, seconds: float, msg: str | None):

@@ -65,6 +65,14 @@ class SnapshotStore:
             return None
         return self.spark.read.parquet(f"{self._dir(table)}/{meta['version']}")
 
+    def read_version(self, table: str, version: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self._dir(table)}/{version}")
+
+    def discard(self, table: str, version: str) -> None:
+        """Delete an unpublished version (never the current one)."""
+        if (self.pointer(table) or {}).get("version") != version:
+            self.fs.delete(f"{self._dir(table)}/{version}")
+
     def write_version(self, table: str, df: DataFrame, sort_within: list[str] | None = None,
                       partition_by: list[str] | None = None, observe: dict | None = None) -> tuple[str, int]:
         """Write ``df`` as a new, unpublished version; returns (version, rows) counted during the write.
