@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from kestrel.catalog.base import query
 from kestrel.catalog.incremental import sandbox
