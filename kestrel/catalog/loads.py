@@ -192,8 +192,8 @@ def insert_if_absent(reg):
     store = sandbox(reg, "insert-if-absent")
     _, old, delta = orders_split(reg)
     store.swap("orders", old)
-    nxt, _ = L.insert_if_absent(store.read("orders"), delta, ["o_orderkey"], ["o_orderdate"])
-    store.swap("orders", nxt)
+    _, new = L.insert_if_absent(store.read("orders"), delta, ["o_orderkey"], ["o_orderdate"])
+    store.append("orders", new)  # only the inserted rows are written
     return store.read("orders")
 
 
@@ -234,8 +234,8 @@ def repair_missing(reg):
     store = sandbox(reg, "repair-missing")
     li = reg.table("lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity")
     store.swap("lineitem", li.filter(F.col("l_returnflag") != "R"))
-    nxt, _ = L.repair_missing(li, store.read("lineitem"), ["l_orderkey", "l_linenumber"])
-    store.swap("lineitem", nxt)
+    _, new = L.repair_missing(li, store.read("lineitem"), ["l_orderkey", "l_linenumber"])
+    store.append("lineitem", new)
     return store.read("lineitem")
 
 
@@ -288,8 +288,8 @@ def rows_added(reg):
     store = sandbox(reg, "rows-added")
     _, old, delta = orders_split(reg)
     store.swap("orders", old)
-    nxt, _ = L.insert_if_absent(store.read("orders"), delta, ["o_orderkey"], ["o_orderdate"])
-    r = store.swap("orders", nxt)
+    _, new = L.insert_if_absent(store.read("orders"), delta, ["o_orderkey"], ["o_orderdate"])
+    r = store.append("orders", new)
     return reg.spark.createDataFrame([(r["rows_before"], r["rows_after"], r["rows_added"])],
                                      "rows_before long, rows_after long, rows_added long")
 

@@ -160,11 +160,26 @@ class CursorState:
         return False
 
 
+def _later(previous, observed):
+    """The larger of the stored cursor (JSON: text for times) and the max observed in the appended rows."""
+    import datetime as _dt
+
+    if previous is None:
+        return observed
+    if observed is None:
+        return previous
+    if isinstance(observed, _dt.datetime) and isinstance(previous, str):
+        previous = _dt.datetime.fromisoformat(previous)
+    return max(previous, observed)
+
+
 def run_cycle(store, table: str, source: DataFrame, marker: str, key: list[str], kind: str = "sequence",
               lookback_days: int = 1, mode: str = "insert_only", cap_at=None) -> dict:
     """predicate -> pull -> insert-if-absent -> publish -> advance cursor to the target's max marker.
 
-    ``mode="update"`` replaces stored rows whose key reappears (upsert) instead of keeping them.
+    In the default mode only the new rows are written, as one more part of the table (the cost of a
+    cycle is the delta, not the table); ``mode="update"`` replaces stored rows whose key reappears
+    (upsert), which rewrites the table.
     ``cap_at`` bounds the new cursor (e.g. the run's clock), so a future-dated marker cannot move
     the cursor past rows that have not arrived yet. Any failure leaves the published table and the
     cursor as they were and records the status.
@@ -191,16 +206,18 @@ def run_cycle(store, table: str, source: DataFrame, marker: str, key: list[str],
         if len(key) == 1:  # one small aggregate over the delta; bounds the target key scan
             lo_hi = delta.agg(F.min(key[0]), F.max(key[0])).first()
             key_range = (lo_hi[0], lo_hi[1])
-        if mode == "update":
-            nxt = upsert_update(target, delta, key)
-        else:
-            nxt, _ = insert_if_absent(target, delta, key, [marker], key_range=key_range)
         m = F.col(marker) if cap_at is None else F.when(F.col(marker) <= F.lit(cap_at), F.col(marker))
-        res = store.swap(table, nxt, sort_within=key, observe={"cursor": F.max(m)})
+        observe = {"cursor": F.max(m)}
+        if mode == "update":  # replaced rows live anywhere in the table: a full rewrite
+            res = store.swap(table, upsert_update(target, delta, key), sort_within=key, observe=observe)
+            new_cursor = res["metrics"]["cursor"]
+        else:  # only the new rows are written, as one more part of the table
+            _, new = insert_if_absent(target, delta, key, [marker], key_range=key_range)
+            res = store.append(table, new, sort_within=key, observe=observe)
+            new_cursor = _later(cursor, res["metrics"]["cursor"])
     except Exception as exc:  # noqa: BLE001 - recorded; the cursor does not move
         state.put(table, {**st, "marker": st.get("marker", marker), "kind": st.get("kind", kind),
                           "status": "failed", "error": str(exc)[:300]})
         raise
-    new_cursor = res["metrics"]["cursor"]  # the published table's max marker, observed during the write
     state.put(table, {"cursor": new_cursor, "marker": marker, "kind": kind, "status": "success"})
     return {**res, "cursor": new_cursor}

@@ -1,15 +1,18 @@
-"""Versioned parquet snapshots with an atomically moved pointer.
+"""Versioned parquet tables with an atomically moved pointer and part manifests.
 
 Layout under a store root (inside the cluster's shared checkpoint folder):
 
-    <root>/<table>/v=000001/       parquet files of version 1
-    <root>/<table>/_CURRENT        JSON {"version": "v=000001", ...metadata}
-
-A new version is always written to a fresh folder; readers follow ``_CURRENT``, which is replaced
-by a rename through the Hadoop FileSystem API (atomic on HDFS and POSIX file systems), so they never
-see an empty or half-written table. The previous version is kept for readers already running; older
-ones are dropped after the move. On an object store, or with a catalog, the same move is
-``ALTER TABLE ... SET LOCATION``.
+    <root>/<table>/v=000001/       parquet files of one part
+    <root>/<table>/_CURRENT        JSON {"parts": ["v=000001", "v=000003"], "previous_parts": [...], ...}
+
+A published version of a table is the list of its parts. A full reload writes one new part and
+publishes ``[it]``; an incremental append writes only the new rows as one more part and publishes
+``old parts + [it]``. Appends therefore cost the size of the delta, not of the table, and
+``compact()`` folds many parts back into one. Readers follow ``_CURRENT``, which is replaced by a
+rename through the Hadoop FileSystem API (atomic on HDFS and POSIX file systems), so they never see
+an empty or half-written table. The parts of the version being replaced are kept for readers already
+running; everything else (older parts, leftovers of failed writes) is removed after the move. On an
+object store, or with a catalog, the same move is a table-format commit or ``ALTER TABLE``.
 """
 
 from __future__ import annotations
@@ -24,16 +27,20 @@ from pyspark.sql import functions as F
 
 from kestrel.sources.fs import HadoopFS
 
-
 class GuardError(RuntimeError):
     pass
 
 
+def _now() -> str:
+    return _dt.datetime.now(_dt.UTC).replace(tzinfo=None).isoformat()
+
+
 class SnapshotStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
         self.fs = HadoopFS(spark)
+        self.last_metrics: dict = {}
 
     # ---------------------------------------------------------------- pointer
     def _dir(self, table: str) -> str:
@@ -43,6 +50,10 @@ class SnapshotStore:
         text = self.fs.read_text(f"{self._dir(table)}/_CURRENT")
         return None if text is None else json.loads(text)
 
+    def parts(self, table: str) -> list[str]:
+        meta = self.pointer(table) or {}
+        return list(meta.get("parts") or ([meta["version"]] if meta.get("version") else []))
+
     def _move_pointer(self, table: str, meta: dict) -> None:
         self.fs.mkdirs(self._dir(table))
         self.fs.write_text_atomic(f"{self._dir(table)}/_CURRENT", json.dumps(meta))
@@ -60,22 +71,22 @@ class SnapshotStore:
         return self.pointer(table) is not None
 
     def read(self, table: str) -> DataFrame | None:
-        meta = self.pointer(table)
-        if meta is None:
+        parts = self.parts(table)
+        if not parts:
             return None
-        return self.spark.read.parquet(f"{self._dir(table)}/{meta['version']}")
+        return self.spark.read.parquet(*[f"{self._dir(table)}/{p}" for p in parts])
 
     def read_version(self, table: str, version: str) -> DataFrame:
         return self.spark.read.parquet(f"{self._dir(table)}/{version}")
 
     def discard(self, table: str, version: str) -> None:
-        """Delete an unpublished version (never the current one)."""
-        if (self.pointer(table) or {}).get("version") != version:
+        """Delete an unpublished part (never one the pointer references)."""
+        if version not in self.parts(table):
             self.fs.delete(f"{self._dir(table)}/{version}")
 
     def write_version(self, table: str, df: DataFrame, sort_within: list[str] | None = None,
                       partition_by: list[str] | None = None, observe: dict | None = None) -> tuple[str, int]:
-        """Write ``df`` as a new, unpublished version; returns (version, rows) counted during the write.
+        """Write ``df`` as a new, unpublished part; returns (part, rows) counted during the write.
 
         ``observe`` adds named aggregate columns computed in the same pass (read ``last_metrics``).
         """
@@ -92,21 +103,22 @@ class SnapshotStore:
         self.last_metrics = dict(obs.get)
         return version, int(obs.get["rows"])
 
-    def publish(self, table: str, version: str, meta: dict | None = None, keep_previous: bool = True) -> dict:
-        """Move the pointer to ``version``. The version it replaces stays on disk (recorded as
-        ``previous``) so readers that resolved it before the move finish undisturbed; every other
-        folder — older versions and unpublished leftovers of failed writes — is removed."""
-        old = (self.pointer(table) or {}).get("version")
-        m = {"version": version, "previous": old if keep_previous else None,
-             "published_at": _dt.datetime.now(_dt.UTC).replace(tzinfo=None).isoformat(), **(meta or {})}
+    def publish(self, table: str, version: str, meta: dict | None = None, append: bool = False) -> dict:
+        """Move the pointer: to ``[version]`` (replace) or to ``parts + [version]`` (append).
+
+        The parts of the version being replaced stay on disk (``previous_parts``) so readers that
+        resolved it before the move finish undisturbed; every other folder is removed."""
+        old = self.parts(table)
+        parts = [*old, version] if append else [version]
+        m = {"version": version, "parts": parts, "previous_parts": old, "published_at": _now(), **(meta or {})}
         self._move_pointer(table, m)
         self.drop_unreferenced(table)
         return m
 
     def drop_unreferenced(self, table: str) -> None:
-        """Remove version folders that are neither current nor the previous one."""
+        """Remove part folders that neither the current nor the previous version references."""
         meta = self.pointer(table) or {}
-        keep = {meta.get("version"), meta.get("previous")}
+        keep = set(meta.get("parts") or []) | set(meta.get("previous_parts") or []) | {meta.get("version")}
         for v in self.versions(table):
             if v not in keep:
                 self.fs.delete(f"{self._dir(table)}/{v}")
@@ -115,25 +127,51 @@ class SnapshotStore:
         """Unpublish: remove the pointer (readers fall back to the live path)."""
         self.fs.delete(f"{self._dir(table)}/_CURRENT", recursive=False)
 
+    def _rows(self, table: str) -> int:
+        meta = self.pointer(table)
+        if meta is None:
+            return 0
+        return int(meta["rows"]) if "rows" in meta else self.read(table).count()
+
     def swap(self, table: str, df: DataFrame, guard_nonempty: bool = True, min_ratio: float | None = None,
              meta: dict | None = None, sort_within: list[str] | None = None, observe: dict | None = None) -> dict:
         """Full reload: write a new copy, refuse it when empty while the live one has rows, then move
-        the pointer. Returns rows before/after/added and the status."""
-        before_meta = self.pointer(table)
-        before = int(before_meta["rows"]) if before_meta and "rows" in before_meta else (
-            self.read(table).count() if before_meta else 0)
+        the pointer to it alone. Returns rows before/after/added and the status."""
+        before = self._rows(table)
         t0 = time.time()
         version, rows = self.write_version(table, df, sort_within=sort_within, observe=observe)
         if guard_nonempty and rows == 0 and before > 0:
             self.fs.delete(f"{self._dir(table)}/{version}")
             raise GuardError(f"refusing to publish an empty copy of {table} over {before} live rows")
         if min_ratio is not None and before > 0 and rows < min_ratio * before:
+            self.fs.delete(f"{self._dir(table)}/{version}")
             raise GuardError(f"new copy of {table} has {rows} rows, below {min_ratio:.0%} of {before}")
         self.publish(table, version, {"rows": rows, **(meta or {})})
         return {"table": table, "version": version, "rows_before": before, "rows_after": rows,
                 "rows_added": rows - before, "seconds": round(time.time() - t0, 3), "status": "success",
                 "metrics": {k: v for k, v in self.last_metrics.items() if k != "rows"}}
 
+    def append(self, table: str, df: DataFrame, meta: dict | None = None, sort_within: list[str] | None = None,
+               observe: dict | None = None) -> dict:
+        """Incremental publish: write only ``df`` (the new rows) as one more part. Nothing is
+        published when ``df`` is empty, so an idempotent re-run leaves the table untouched."""
+        before = self._rows(table)
+        t0 = time.time()
+        version, rows = self.write_version(table, df, sort_within=sort_within, observe=observe)
+        metrics = {k: v for k, v in self.last_metrics.items() if k != "rows"}
+        if rows == 0 and self.exists(table):
+            self.fs.delete(f"{self._dir(table)}/{version}")
+        else:
+            self.publish(table, version, {"rows": before + rows, **(meta or {})}, append=True)
+        return {"table": table, "version": version, "rows_before": before, "rows_after": before + rows,
+                "rows_added": rows, "seconds": round(time.time() - t0, 3), "status": "success", "metrics": metrics}
+
+    def compact(self, table: str, max_parts: int = 64, sort_within: list[str] | None = None) -> dict | None:
+        """Fold the parts into one when there are more than ``max_parts`` (a full rewrite)."""
+        if len(self.parts(table)) <= max_parts:
+            return None
+        return self.swap(table, self.read(table), sort_within=sort_within)
+
     def append_rows(self, table: str, df: DataFrame) -> None:
         """Append-only log tables (metrics, run history): each append is a new file set."""
         df.write.mode("append").parquet(f"{self._dir(table)}/log")

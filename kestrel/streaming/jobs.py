@@ -52,15 +52,15 @@ def inbound_stream(spark: SparkSession, landing: str, fields: list[I.Field], out
 
 def incremental_stream(spark: SparkSession, landing: str, schema: T.StructType, store: SnapshotStore, table: str,
                        key: list[str], order_by: list[str] | None, checkpoint: str, files_per_batch: int = 1) -> None:
-    """Each landed delta file -> insert-if-absent into the versioned table (new version per batch)."""
+    """Each landed delta file -> insert-if-absent: only the batch's new rows are appended as a part."""
     src = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(landing)
 
     def batch(df: DataFrame, batch_id: int) -> None:
         target = store.read(table)
         if target is None:
             target = spark.createDataFrame([], schema)
-        nxt, _ = insert_if_absent(target, df, key, order_by)
-        store.swap(table, nxt, guard_nonempty=True, meta={"batch_id": batch_id})
+        _, new = insert_if_absent(target, df, key, order_by)
+        store.append(table, new, meta={"batch_id": batch_id})
 
     _run(src.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True))
 

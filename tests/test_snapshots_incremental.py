@@ -181,4 +181,19 @@ def test_failed_write_never_published_and_previous_kept(spark, store):
     assert store.pointer("t")["version"] == v1 and store.read("t").count() == 5
     store.swap("t", df.filter("k < 3"))
     meta = store.pointer("t")
-    assert meta["previous"] == v1 and set(store.versions("t")) == {v1, meta["version"]}  # orphan removed
+    assert meta["previous_parts"] == [v1] and set(store.versions("t")) == {v1, meta["version"]}  # orphan removed
+
+
+def test_append_writes_only_the_delta_and_compacts(spark, store):
+    base = spark.range(100).withColumnRenamed("id", "k")
+    store.swap("t", base)
+    first = store.parts("t")
+    for lo in (100, 200, 300):
+        r = store.append("t", spark.range(lo, lo + 10).withColumnRenamed("id", "k"))
+        assert r["rows_added"] == 10
+    parts = store.parts("t")
+    assert parts[0] == first[0] and len(parts) == 4  # the existing part is not rewritten
+    assert store.read("t").count() == 130 and store.pointer("t")["rows"] == 130
+    assert store.append("t", base.limit(0))["rows_added"] == 0 and store.parts("t") == parts  # no-op
+    store.compact("t", max_parts=2)
+    assert len(store.parts("t")) == 1 and store.read("t").count() == 130
