@@ -209,11 +209,12 @@ def run_cycle(store, table: str, source: DataFrame, marker: str, key: list[str],
         m = F.col(marker) if cap_at is None else F.when(F.col(marker) <= F.lit(cap_at), F.col(marker))
         observe = {"cursor": F.max(m)}
         if mode == "update":  # replaced rows live anywhere in the table: a full rewrite
-            res = store.swap(table, upsert_update(target, delta, key), sort_within=key, observe=observe)
+            res = store.swap(table, upsert_update(target, delta, key), sort_within=key, observe=observe,
+                             stats_col=marker)
             new_cursor = res["metrics"]["cursor"]
         else:  # only the new rows are written, as one more part of the table
             _, new = insert_if_absent(target, delta, key, [marker], key_range=key_range)
-            res = store.append(table, new, sort_within=key, observe=observe)
+            res = store.append(table, new, sort_within=key, observe=observe, stats_col=marker)
             new_cursor = _later(cursor, res["metrics"]["cursor"])
     except Exception as exc:  # noqa: BLE001 - recorded; the cursor does not move
         state.put(table, {**st, "marker": st.get("marker", marker), "kind": st.get("kind", kind),

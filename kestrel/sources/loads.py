@@ -86,6 +86,33 @@ def distinct_keys(keys: DataFrame) -> DataFrame:
     return keys.distinct()
 
 
+def replace_range_parts(store, table: str, source: DataFrame, marker: str, cutoff) -> dict:
+    """Watermark repair on a stored table that rewrites only the parts the range touches.
+
+    Parts whose recorded ``marker`` max is below the cutoff are kept as they are; the others are
+    rewritten as (their rows with marker < cutoff or NULL) + (source rows with marker >= cutoff).
+    Parts without statistics are always rewritten. The result equals ``replace_range`` on the table.
+    """
+    cut = F.lit(cutoff)
+    stats = store.part_stats(table)
+
+    def reaches(hi) -> bool:  # numbers compare as numbers, times as ISO text (same order)
+        if isinstance(hi, (int, float)) and isinstance(cutoff, (int, float)):
+            return hi >= cutoff
+        return str(hi) >= str(cutoff)
+
+    touched = [p for p in store.parts(table)
+               if p not in stats or stats[p].get("column") != marker or stats[p].get("max") is None
+               or reaches(stats[p]["max"])]
+    if touched:
+        stale = store.read_parts(table, touched)
+        kept_rows = stale.filter((F.col(marker) < cut) | F.col(marker).isNull())
+    else:
+        kept_rows = source.limit(0).select(*store.read(table).columns)
+    fresh = source.select(*kept_rows.columns).filter(F.col(marker) >= cut)
+    return store.replace_parts(table, touched, kept_rows.unionByName(fresh), stats_col=marker)
+
+
 def repair_missing(source: DataFrame, target: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
     """Key repair: re-read the source, insert only rows the target lacks. (next table, inserted)."""
     new = source.select(*target.columns).join(distinct_keys(target.select(*key)), on=key, how="left_anti")

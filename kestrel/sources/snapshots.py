@@ -103,14 +103,23 @@ class SnapshotStore:
         self.last_metrics = dict(obs.get)
         return version, int(obs.get["rows"])
 
-    def publish(self, table: str, version: str, meta: dict | None = None, append: bool = False) -> dict:
-        """Move the pointer: to ``[version]`` (replace) or to ``parts + [version]`` (append).
+    def publish(self, table: str, version: str, meta: dict | None = None, append: bool = False,
+                keep: list[str] | None = None, stats: dict | None = None) -> dict:
+        """Move the pointer: to ``[version]`` (replace), ``parts + [version]`` (append) or
+        ``keep + [version]`` (replace some parts). ``stats`` (min/max of a column in the new part) is
+        recorded per part so later range operations can skip parts.
 
         The parts of the version being replaced stay on disk (``previous_parts``) so readers that
         resolved it before the move finish undisturbed; every other folder is removed."""
+        old_meta = self.pointer(table) or {}
         old = self.parts(table)
-        parts = [*old, version] if append else [version]
-        m = {"version": version, "parts": parts, "previous_parts": old, "published_at": _now(), **(meta or {})}
+        base = old if append else (keep or [])
+        parts = [*base, version]
+        part_stats = {p: s for p, s in (old_meta.get("part_stats") or {}).items() if p in base}
+        if stats is not None:
+            part_stats[version] = stats
+        m = {"version": version, "parts": parts, "previous_parts": old, "part_stats": part_stats,
+             "published_at": _now(), **(meta or {})}
         self._move_pointer(table, m)
         self.drop_unreferenced(table)
         return m
@@ -133,39 +142,78 @@ class SnapshotStore:
             return 0
         return int(meta["rows"]) if "rows" in meta else self.read(table).count()
 
+    @staticmethod
+    def _with_stats(observe: dict | None, stats_col: str | None) -> dict:
+        obs = dict(observe or {})
+        if stats_col:
+            obs["_stats_min"], obs["_stats_max"] = F.min(stats_col), F.max(stats_col)
+        return obs
+
+    def _stats(self, stats_col: str | None) -> dict | None:
+        if not stats_col:
+            return None
+        lo, hi = self.last_metrics.get("_stats_min"), self.last_metrics.get("_stats_max")
+        conv = lambda v: v if v is None or isinstance(v, (int, float)) else str(v)
+        return {"column": stats_col, "min": conv(lo), "max": conv(hi)}
+
+    def _metrics(self) -> dict:
+        return {k: v for k, v in self.last_metrics.items() if k != "rows" and not k.startswith("_stats")}
+
     def swap(self, table: str, df: DataFrame, guard_nonempty: bool = True, min_ratio: float | None = None,
-             meta: dict | None = None, sort_within: list[str] | None = None, observe: dict | None = None) -> dict:
+             meta: dict | None = None, sort_within: list[str] | None = None, observe: dict | None = None,
+             stats_col: str | None = None) -> dict:
         """Full reload: write a new copy, refuse it when empty while the live one has rows, then move
         the pointer to it alone. Returns rows before/after/added and the status."""
         before = self._rows(table)
         t0 = time.time()
-        version, rows = self.write_version(table, df, sort_within=sort_within, observe=observe)
+        version, rows = self.write_version(table, df, sort_within=sort_within,
+                                           observe=self._with_stats(observe, stats_col))
         if guard_nonempty and rows == 0 and before > 0:
             self.fs.delete(f"{self._dir(table)}/{version}")
             raise GuardError(f"refusing to publish an empty copy of {table} over {before} live rows")
         if min_ratio is not None and before > 0 and rows < min_ratio * before:
             self.fs.delete(f"{self._dir(table)}/{version}")
             raise GuardError(f"new copy of {table} has {rows} rows, below {min_ratio:.0%} of {before}")
-        self.publish(table, version, {"rows": rows, **(meta or {})})
+        self.publish(table, version, {"rows": rows, **(meta or {})}, stats=self._stats(stats_col))
         return {"table": table, "version": version, "rows_before": before, "rows_after": rows,
                 "rows_added": rows - before, "seconds": round(time.time() - t0, 3), "status": "success",
-                "metrics": {k: v for k, v in self.last_metrics.items() if k != "rows"}}
+                "metrics": self._metrics()}
 
     def append(self, table: str, df: DataFrame, meta: dict | None = None, sort_within: list[str] | None = None,
-               observe: dict | None = None) -> dict:
+               observe: dict | None = None, stats_col: str | None = None) -> dict:
         """Incremental publish: write only ``df`` (the new rows) as one more part. Nothing is
         published when ``df`` is empty, so an idempotent re-run leaves the table untouched."""
         before = self._rows(table)
         t0 = time.time()
-        version, rows = self.write_version(table, df, sort_within=sort_within, observe=observe)
-        metrics = {k: v for k, v in self.last_metrics.items() if k != "rows"}
+        version, rows = self.write_version(table, df, sort_within=sort_within,
+                                           observe=self._with_stats(observe, stats_col))
+        metrics = self._metrics()
         if rows == 0 and self.exists(table):
             self.fs.delete(f"{self._dir(table)}/{version}")
         else:
-            self.publish(table, version, {"rows": before + rows, **(meta or {})}, append=True)
+            self.publish(table, version, {"rows": before + rows, **(meta or {})}, append=True,
+                         stats=self._stats(stats_col))
         return {"table": table, "version": version, "rows_before": before, "rows_after": before + rows,
                 "rows_added": rows, "seconds": round(time.time() - t0, 3), "status": "success", "metrics": metrics}
 
+    def replace_parts(self, table: str, remove: list[str], df: DataFrame, stats_col: str | None = None) -> dict:
+        """Publish ``(parts - remove) + [df]``: rewrite a subset of the table, keep the other parts."""
+        before = self._rows(table)
+        t0 = time.time()
+        version, rows = self.write_version(table, df, observe=self._with_stats(None, stats_col))
+        keep = [p for p in self.parts(table) if p not in remove]
+        kept_rows = self.read_parts(table, keep).count() if keep else 0
+        self.publish(table, version, {"rows": kept_rows + rows}, keep=keep, stats=self._stats(stats_col))
+        return {"table": table, "version": version, "rows_before": before, "rows_after": kept_rows + rows,
+                "rows_added": kept_rows + rows - before, "seconds": round(time.time() - t0, 3),
+                "status": "success", "rewritten_parts": remove, "kept_parts": keep}
+
+    def read_parts(self, table: str, parts: list[str]) -> DataFrame:
+        return self.spark.read.parquet(*[f"{self._dir(table)}/{p}" for p in parts])
+
+    def part_stats(self, table: str) -> dict:
+        return (self.pointer(table) or {}).get("part_stats") or {}
+
     def compact(self, table: str, max_parts: int = 64, sort_within: list[str] | None = None) -> dict | None:
         """Fold the parts into one when there are more than ``max_parts`` (a full rewrite)."""
         if len(self.parts(table)) <= max_parts:

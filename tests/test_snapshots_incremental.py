@@ -197,3 +197,18 @@ def test_append_writes_only_the_delta_and_compacts(spark, store):
     assert store.append("t", base.limit(0))["rows_added"] == 0 and store.parts("t") == parts  # no-op
     store.compact("t", max_parts=2)
     assert len(store.parts("t")) == 1 and store.read("t").count() == 130
+
+
+def test_range_repair_rewrites_only_touched_parts(spark, store):
+    from kestrel.sources.loads import replace_range, replace_range_parts
+
+    df = spark.range(300).select(F.col("id").alias("k"), (F.col("id") * 10).alias("m"), F.lit("old").alias("v"))
+    store.swap("t", df.filter("k < 100"), stats_col="m")
+    store.append("t", df.filter("k >= 100 AND k < 200"), stats_col="m")
+    store.append("t", df.filter("k >= 200"), stats_col="m")
+    parts = store.parts("t")
+    src = df.withColumn("v", F.lit("new"))
+    expect = replace_range(store.read("t"), src, "m", F.lit(1500))
+    res = replace_range_parts(store, "t", src, "m", 1500)
+    assert res["kept_parts"] == [parts[0]] and res["rewritten_parts"] == parts[1:]
+    assert sorted(map(tuple, store.read("t").collect())) == sorted(map(tuple, expect.collect()))
