@@ -213,7 +213,12 @@ def run_cycle(store, table: str, source: DataFrame, marker: str, key: list[str],
                              stats_col=marker)
             new_cursor = res["metrics"]["cursor"]
         else:  # only the new rows are written, as one more part of the table
-            _, new = insert_if_absent(target, delta, key, [marker], key_range=key_range)
+            lookup = target
+            if key_range is not None and store.exists(table):
+                # parts whose recorded key range cannot overlap the delta's are not even opened
+                overlap = store.parts_overlapping(table, key[0], *key_range)
+                lookup = store.read_parts(table, overlap) if overlap else target.limit(0)
+            _, new = insert_if_absent(lookup, delta, key, [marker], key_range=key_range)
             res = store.append(table, new, sort_within=key, observe=observe, stats_col=marker)
             new_cursor = _later(cursor, res["metrics"]["cursor"])
     except Exception as exc:  # noqa: BLE001 - recorded; the cursor does not move

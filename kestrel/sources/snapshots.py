@@ -211,6 +211,22 @@ class SnapshotStore:
     def read_parts(self, table: str, parts: list[str]) -> DataFrame:
         return self.spark.read.parquet(*[f"{self._dir(table)}/{p}" for p in parts])
 
+    def parts_overlapping(self, table: str, column: str, lo, hi) -> list[str]:
+        """Parts that may hold values of ``column`` within [lo, hi] (parts without stats included)."""
+        def le(a, b):  # numbers compare as numbers, times as ISO text
+            if isinstance(a, (int, float)) and isinstance(b, (int, float)):
+                return a <= b
+            return str(a) <= str(b)
+
+        stats = self.part_stats(table)
+        out = []
+        for p in self.parts(table):
+            s = stats.get(p)
+            if (s is None or s.get("column") != column or s.get("min") is None
+                    or (le(s["min"], hi) and le(lo, s["max"]))):
+                out.append(p)
+        return out
+
     def part_stats(self, table: str) -> dict:
         return (self.pointer(table) or {}).get("part_stats") or {}
 

@@ -212,3 +212,13 @@ def test_range_repair_rewrites_only_touched_parts(spark, store):
     res = replace_range_parts(store, "t", src, "m", 1500)
     assert res["kept_parts"] == [parts[0]] and res["rewritten_parts"] == parts[1:]
     assert sorted(map(tuple, store.read("t").collect())) == sorted(map(tuple, expect.collect()))
+
+
+def test_sequence_cycle_skips_parts_outside_the_key_range(spark, store):
+    src = spark.range(0, 3000).select(F.col("id").alias("k"), F.lit("x").alias("v"))
+    for hi in (1000, 2000, 3000):
+        N.run_cycle(store, "s", src.filter(F.col("k") < hi), "k", ["k"], kind="sequence")
+    assert store.read("s").count() == 3000 and len(store.parts("s")) == 3
+    assert store.parts_overlapping("s", "k", 2500, 2600) == store.parts("s")[2:]
+    r = N.run_cycle(store, "s", src, "k", ["k"], kind="sequence")
+    assert r["rows_added"] == 0
