@@ -179,12 +179,12 @@ def run_cycle(store, table: str, source: DataFrame, marker: str, key: list[str],
 
     In the default mode only the new rows are written, as one more part of the table (the cost of a
     cycle is the delta, not the table); ``mode="update"`` replaces stored rows whose key reappears
-    (upsert), which rewrites the table.
+    (upsert), rewriting only the parts whose recorded key range overlaps the delta's keys.
     ``cap_at`` bounds the new cursor (e.g. the run's clock), so a future-dated marker cannot move
     the cursor past rows that have not arrived yet. Any failure leaves the published table and the
     cursor as they were and records the status.
     """
-    from kestrel.sources.loads import insert_if_absent, upsert_update
+    from kestrel.sources.loads import insert_if_absent, upsert_parts, upsert_update
 
     state = CursorState(store)
     st = state.get(table) or {}
@@ -208,9 +208,14 @@ def run_cycle(store, table: str, source: DataFrame, marker: str, key: list[str],
             key_range = (lo_hi[0], lo_hi[1])
         m = F.col(marker) if cap_at is None else F.when(F.col(marker) <= F.lit(cap_at), F.col(marker))
         observe = {"cursor": F.max(m)}
-        if mode == "update":  # replaced rows live anywhere in the table: a full rewrite
+        stats_cols = list(dict.fromkeys([marker, *key[:1]]))  # recorded per part: marker and key ranges
+        if mode == "update" and len(key) == 1 and store.exists(table):
+            # only parts whose recorded key range overlaps the delta's keys are rewritten
+            res = upsert_parts(store, table, delta, key[0], stats_col=stats_cols)
+            new_cursor = _later(cursor, delta.agg(F.max(m)).first()[0])
+        elif mode == "update":  # composite key: the replaced rows may live in any part
             res = store.swap(table, upsert_update(target, delta, key), sort_within=key, observe=observe,
-                             stats_col=marker)
+                             stats_col=stats_cols)
             new_cursor = res["metrics"]["cursor"]
         else:  # only the new rows are written, as one more part of the table
             lookup = target
@@ -219,7 +224,7 @@ def run_cycle(store, table: str, source: DataFrame, marker: str, key: list[str],
                 overlap = store.parts_overlapping(table, key[0], *key_range)
                 lookup = store.read_parts(table, overlap) if overlap else target.limit(0)
             _, new = insert_if_absent(lookup, delta, key, [marker], key_range=key_range)
-            res = store.append(table, new, sort_within=key, observe=observe, stats_col=marker)
+            res = store.append(table, new, sort_within=key, observe=observe, stats_col=stats_cols)
             new_cursor = _later(cursor, res["metrics"]["cursor"])
     except Exception as exc:  # noqa: BLE001 - recorded; the cursor does not move
         state.put(table, {**st, "marker": st.get("marker", marker), "kind": st.get("kind", kind),

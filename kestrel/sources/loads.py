@@ -101,9 +101,10 @@ def replace_range_parts(store, table: str, source: DataFrame, marker: str, cutof
             return hi >= cutoff
         return str(hi) >= str(cutoff)
 
-    touched = [p for p in store.parts(table)
-               if p not in stats or stats[p].get("column") != marker or stats[p].get("max") is None
-               or reaches(stats[p]["max"])]
+    def part_max(p):
+        return ((stats.get(p) or {}).get(marker) or {}).get("max")
+
+    touched = [p for p in store.parts(table) if part_max(p) is None or reaches(part_max(p))]
     if touched:
         stale = store.read_parts(table, touched)
         kept_rows = stale.filter((F.col(marker) < cut) | F.col(marker).isNull())
@@ -113,6 +114,21 @@ def replace_range_parts(store, table: str, source: DataFrame, marker: str, cutof
     return store.replace_parts(table, touched, kept_rows.unionByName(fresh), stats_col=marker)
 
 
+def upsert_parts(store, table: str, delta: DataFrame, key: str, stats_col=None) -> dict:
+    """ON CONFLICT (key) DO UPDATE on a stored table, rewriting only the parts that can hold a
+    delta key (by their recorded key range); the rewritten rows are (old rows whose key is not in
+    the delta) + the delta. Parts outside the delta's key range cannot contain a replaced row."""
+    d = delta.dropDuplicates([key])
+    lo, hi = d.agg(F.min(key), F.max(key)).first()
+    if lo is None:
+        return {"status": "noop", "rewritten_parts": [], "kept_parts": store.parts(table)}
+    touched = store.parts_overlapping(table, key, lo, hi)
+    old = store.read_parts(table, touched) if touched else d.limit(0)
+    kept = old.join(distinct_keys(d.select(key)), on=key, how="left_anti")
+    res = store.replace_parts(table, touched, kept.unionByName(d.select(*old.columns)), stats_col=stats_col or key)
+    return {**res, "key_max": hi}
+
+
 def repair_missing(source: DataFrame, target: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
     """Key repair: re-read the source, insert only rows the target lacks. (next table, inserted)."""
     new = source.select(*target.columns).join(distinct_keys(target.select(*key)), on=key, how="left_anti")

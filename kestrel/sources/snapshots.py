@@ -143,25 +143,31 @@ class SnapshotStore:
         return int(meta["rows"]) if "rows" in meta else self.read(table).count()
 
     @staticmethod
-    def _with_stats(observe: dict | None, stats_col: str | None) -> dict:
+    def _cols(stats_col) -> list[str]:
+        return [] if not stats_col else ([stats_col] if isinstance(stats_col, str) else list(stats_col))
+
+    def _with_stats(self, observe: dict | None, stats_col) -> dict:
+        """Add min/max of each statistics column to the write's observed metrics."""
         obs = dict(observe or {})
-        if stats_col:
-            obs["_stats_min"], obs["_stats_max"] = F.min(stats_col), F.max(stats_col)
+        for i, c in enumerate(self._cols(stats_col)):
+            obs[f"_stats_min_{i}"], obs[f"_stats_max_{i}"] = F.min(c), F.max(c)
         return obs
 
-    def _stats(self, stats_col: str | None) -> dict | None:
-        if not stats_col:
+    def _stats(self, stats_col) -> dict | None:
+        """Per-column {min, max} of the part just written (times as ISO text)."""
+        cols = self._cols(stats_col)
+        if not cols:
             return None
-        lo, hi = self.last_metrics.get("_stats_min"), self.last_metrics.get("_stats_max")
         conv = lambda v: v if v is None or isinstance(v, (int, float)) else str(v)
-        return {"column": stats_col, "min": conv(lo), "max": conv(hi)}
+        return {c: {"min": conv(self.last_metrics.get(f"_stats_min_{i}")),
+                    "max": conv(self.last_metrics.get(f"_stats_max_{i}"))} for i, c in enumerate(cols)}
 
     def _metrics(self) -> dict:
         return {k: v for k, v in self.last_metrics.items() if k != "rows" and not k.startswith("_stats")}
 
     def swap(self, table: str, df: DataFrame, guard_nonempty: bool = True, min_ratio: float | None = None,
              meta: dict | None = None, sort_within: list[str] | None = None, observe: dict | None = None,
-             stats_col: str | None = None) -> dict:
+             stats_col=None) -> dict:
         """Full reload: write a new copy, refuse it when empty while the live one has rows, then move
         the pointer to it alone. Returns rows before/after/added and the status."""
         before = self._rows(table)
@@ -180,7 +186,7 @@ class SnapshotStore:
                 "metrics": self._metrics()}
 
     def append(self, table: str, df: DataFrame, meta: dict | None = None, sort_within: list[str] | None = None,
-               observe: dict | None = None, stats_col: str | None = None) -> dict:
+               observe: dict | None = None, stats_col=None) -> dict:
         """Incremental publish: write only ``df`` (the new rows) as one more part. Nothing is
         published when ``df`` is empty, so an idempotent re-run leaves the table untouched."""
         before = self._rows(table)
@@ -196,7 +202,7 @@ class SnapshotStore:
         return {"table": table, "version": version, "rows_before": before, "rows_after": before + rows,
                 "rows_added": rows, "seconds": round(time.time() - t0, 3), "status": "success", "metrics": metrics}
 
-    def replace_parts(self, table: str, remove: list[str], df: DataFrame, stats_col: str | None = None) -> dict:
+    def replace_parts(self, table: str, remove: list[str], df: DataFrame, stats_col=None) -> dict:
         """Publish ``(parts - remove) + [df]``: rewrite a subset of the table, keep the other parts."""
         before = self._rows(table)
         t0 = time.time()
@@ -221,9 +227,8 @@ class SnapshotStore:
         stats = self.part_stats(table)
         out = []
         for p in self.parts(table):
-            s = stats.get(p)
-            if (s is None or s.get("column") != column or s.get("min") is None
-                    or (le(s["min"], hi) and le(lo, s["max"]))):
+            s = (stats.get(p) or {}).get(column)
+            if s is None or s.get("min") is None or (le(s["min"], hi) and le(lo, s["max"])):
                 out.append(p)
         return out
 

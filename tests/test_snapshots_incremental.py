@@ -222,3 +222,32 @@ def test_sequence_cycle_skips_parts_outside_the_key_range(spark, store):
     assert store.parts_overlapping("s", "k", 2500, 2600) == store.parts("s")[2:]
     r = N.run_cycle(store, "s", src, "k", ["k"], kind="sequence")
     assert r["rows_added"] == 0
+
+
+def test_upsert_parts_rewrites_only_overlapping_parts(spark, store):
+    from kestrel.sources.loads import upsert_parts, upsert_update
+
+    df = spark.range(300).select(F.col("id").alias("k"), F.lit("old").alias("v"))
+    store.swap("u", df.filter("k < 100"), stats_col="k")
+    store.append("u", df.filter("k >= 100 AND k < 200"), stats_col="k")
+    store.append("u", df.filter("k >= 200"), stats_col="k")
+    parts = store.parts("u")
+    delta = spark.createDataFrame([(150, "new"), (160, "new"), (400, "new")], "k long, v string")
+    expect = upsert_update(store.read("u"), delta, ["k"])
+    res = upsert_parts(store, "u", delta, "k")
+    assert res["kept_parts"] == [parts[0]]  # keys 150..400 cannot be in the first part
+    assert sorted(map(tuple, store.read("u").collect())) == sorted(map(tuple, expect.collect()))
+    # an update cycle on a time marker with a separate key rewrites only the parts holding those keys
+    import datetime as dt
+
+    t = spark.range(300).select(F.col("id").alias("k"), F.lit("old").alias("v"),
+                                (F.lit(dt.datetime(2024, 1, 1)) + F.make_dt_interval(F.col("id"))).alias("m"))
+    for lo, hi in ((0, 100), (100, 200), (200, 300)):
+        N.run_cycle(store, "w", t.filter((F.col("k") >= lo) & (F.col("k") < hi)), "m", ["k"], kind="date")
+    first = store.parts("w")[0]
+    latest = t.agg(F.max("m")).first()[0]  # an update moves the row's marker to the update time
+    changed = t.filter(F.col("k").isin(250, 290)).withColumn("v", F.lit("newer")).withColumn("m", F.lit(latest))
+    N.run_cycle(store, "w", changed, "m", ["k"], kind="date", mode="update")
+    assert store.parts("w")[0] == first  # keys 250..290 cannot be in the first part
+    got = {r.k: r.v for r in store.read("w").collect()}
+    assert len(got) == 300 and got[250] == got[290] == "newer" and got[10] == "old"
