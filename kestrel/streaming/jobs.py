@@ -57,10 +57,16 @@ def incremental_stream(spark: SparkSession, landing: str, schema: T.StructType,
 
     def batch(df: DataFrame, batch_id: int) -> None:
         target = store.read(table)
+        key_range = None
         if target is None:
             target = spark.createDataFrame([], schema)
-        _, new = insert_if_absent(target, df, key, order_by)
-        store.append(table, new, meta={"batch_id": batch_id})
+        elif len(key) == 1:  # look only in parts whose recorded key range can hold this batch's keys
+            key_range = tuple(df.agg(F.min(key[0]), F.max(key[0])).first())
+            if None not in key_range:
+                overlap = store.parts_overlapping(table, key[0], *key_range)
+                target = store.read_parts(table, overlap) if overlap else target.limit(0)
+        _, new = insert_if_absent(target, df, key, order_by, key_range=key_range)
+        store.append(table, new, meta={"batch_id": batch_id}, stats_col=key[:1])
 
     _run(src.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True))
 
