@@ -174,7 +174,7 @@ def _later(previous, observed):
 
 
 def run_cycle(store, table: str, source: DataFrame, marker: str, key: list[str], kind: str = "sequence",
-              lookback_days: int = 1, mode: str = "insert_only", cap_at=None) -> dict:
+              lookback_days: int = 1, mode: str = "insert_only", cap_at=None, max_parts: int = 64) -> dict:
     """predicate -> pull -> insert-if-absent -> publish -> advance cursor to the target's max marker.
 
     In the default mode only the new rows are written, as one more part of the table (the cost of a
@@ -226,6 +226,7 @@ def run_cycle(store, table: str, source: DataFrame, marker: str, key: list[str],
             _, new = insert_if_absent(lookup, delta, key, [marker], key_range=key_range)
             res = store.append(table, new, sort_within=key, observe=observe, stats_col=stats_cols)
             new_cursor = _later(cursor, res["metrics"]["cursor"])
+            store.compact(table, max_parts=max_parts, sort_within=key)  # no-op until parts pile up
     except Exception as exc:  # noqa: BLE001 - recorded; the cursor does not move
         state.put(table, {**st, "marker": st.get("marker", marker), "kind": st.get("kind", kind),
                           "status": "failed", "error": str(exc)[:300]})

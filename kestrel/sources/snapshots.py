@@ -236,10 +236,19 @@ class SnapshotStore:
         return (self.pointer(table) or {}).get("part_stats") or {}
 
     def compact(self, table: str, max_parts: int = 64, sort_within: list[str] | None = None) -> dict | None:
-        """Fold the parts into one when there are more than ``max_parts`` (a full rewrite)."""
-        if len(self.parts(table)) <= max_parts:
+        """When there are more than ``max_parts`` parts, merge the newest ones (the small parts that
+        appends leave behind) into one, keeping their statistics columns; older parts stay as they
+        are, so compaction costs the recent data, not the table."""
+        parts = self.parts(table)
+        if len(parts) <= max_parts:
             return None
-        return self.swap(table, self.read(table), sort_within=sort_within)
+        tail = parts[max(1, max_parts // 2):]
+        stats = self.part_stats(table)
+        cols = sorted({c for p in tail for c in (stats.get(p) or {})})
+        merged = self.read_parts(table, tail)
+        if sort_within:
+            merged = merged.sortWithinPartitions(*sort_within)
+        return self.replace_parts(table, tail, merged, stats_col=cols or None)
 
     def append_rows(self, table: str, df: DataFrame) -> None:
         """Append-only log tables (metrics, run history): each append is a new file set."""
