@@ -8,7 +8,7 @@ Layout under a store root (inside the cluster's shared checkpoint folder):
 A published version of a table is the list of its parts. A full reload writes one new part and
 publishes ``[it]``; an incremental append writes only the new rows as one more part and publishes
 ``old parts + [it]``. Appends therefore cost the size of the delta, not of the table, and
-``compact()`` folds many parts back into one. Readers follow ``_CURRENT``, which is replaced by a
+``compact()`` merges the newest small parts once there are too many. Readers follow ``_CURRENT``, which is replaced by a
 rename through the Hadoop FileSystem API (atomic on HDFS and POSIX file systems), so they never see
 an empty or half-written table. The parts of the version being replaced are kept for readers already
 running; everything else (older parts, leftovers of failed writes) is removed after the move. On an
