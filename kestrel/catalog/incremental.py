@@ -239,13 +239,13 @@ def stream_dedup(reg):
     root = work_dir(spark, "stream-dedup")
     e = reg.table("events").select("event_id", "ts", "user_id", "event_type", "value")
     landing = os.path.join(root, "landing")
-    bounds = e.agg(F.min("event_id"), F.max("event_id")).first()
-    lo, hi = int(bounds[0]), int(bounds[1])
-    step = max(1, (hi - lo + 1) // 3)
-    for i in range(3):  # overlapping id windows; each file also repeats its error events once
-        a, b = lo + i * step - (step // 4 if i else 0), (hi + 1 if i == 2 else lo + (i + 1) * step)
-        part = e.filter((F.col("event_id") >= a) & (F.col("event_id") < b))
-        part.unionByName(part.filter(F.col("event_type") == "error")).coalesce(1).write.parquet(os.path.join(landing, f"f{i}"))
+    day = F.dayofmonth("ts")
+    # three files by event time, each overlapping the previous one by two days, and each repeating
+    # its error events once: duplicates inside a file and across files
+    for i, (a, b) in enumerate(((1, 11), (9, 21), (19, 32))):
+        part = e.filter((day >= a) & (day < b))
+        part.unionByName(part.filter(F.col("event_type") == "error")).coalesce(1).write.parquet(
+            os.path.join(landing, f"f{i}"))
     files = os.path.join(landing, "*")
     store = SnapshotStore(spark, os.path.join(root, "store"))
     ST.dedup_stream(spark, files, e.schema, store, "events", ["event_id"], os.path.join(root, "ckpt"))
