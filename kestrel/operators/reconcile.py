@@ -1,9 +1,9 @@
 """Validation of a loaded table, reconciliation of source against target, verdicts.
 
-``validate_target`` computes every per-table check in one aggregate pass (count, PK NULL counts,
-watermark min/max) plus one grouped aggregate for duplicate keys, then turns the single result row
-into check rows by exploding an array of structs. The verdict rules are column expressions, so they run over any number
-of tables at once.
+``validate_target`` computes every per-table check in one pass: a grouped aggregate by the key
+(combined map-side) is folded into row count, duplicate keys, PK NULL counts and watermark min/max,
+and that single result row becomes check rows by exploding an array of structs. The verdict rules
+are column expressions, so they run over any number of tables at once.
 """
 
 from __future__ import annotations
@@ -13,8 +13,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kestrel.operators.aggregates import duplicate_key_groups
-
 # Live-lag tolerance of replicating tables.
 TOLERANCE_ROWS = 50
 TOLERANCE_RATIO = 0.0001
@@ -29,14 +27,25 @@ def validate_target(target: DataFrame, pk_columns: list[str], watermark: str | N
     """Check rows (check_name, status, source_value, target_value, message) for a loaded table."""
     cols = set(target.columns)
     present_pk = [c for c in pk_columns if c in cols]
-    aggs = [F.count(F.lit(1)).alias("n")]
-    aggs += [F.count_if(F.col(c).isNull()).alias(f"nulls_{c}") for c in present_pk]
-    if watermark and watermark in cols:
-        aggs += [F.min(watermark).cast("string").alias("wm_min"), F.max(watermark).cast("string").alias("wm_max")]
-    stats = target.agg(*aggs)
+    has_wm = bool(watermark and watermark in cols)
     if present_pk and len(present_pk) == len(pk_columns):
-        dups = duplicate_key_groups(target, present_pk).select(F.count(F.lit(1))).scalar()
-        stats = stats.withColumn("dups", dups)
+        # one pass: group by the key (combined map-side), then fold the groups into every statistic
+        per_key = target.groupBy(*present_pk).agg(
+            F.count(F.lit(1)).alias("_n"),
+            *([F.min(watermark).alias("_wmin"), F.max(watermark).alias("_wmax")] if has_wm else []))
+        aggs = [F.coalesce(F.sum("_n"), F.lit(0)).alias("n"), F.count_if(F.col("_n") > 1).alias("dups")]
+        aggs += [F.coalesce(F.sum(F.when(F.col(c).isNull(), F.col("_n"))), F.lit(0)).alias(f"nulls_{c}")
+                 for c in present_pk]
+        if has_wm:
+            aggs += [F.min("_wmin").cast("string").alias("wm_min"), F.max("_wmax").cast("string").alias("wm_max")]
+        stats = per_key.agg(*aggs)
+    else:
+        aggs = [F.count(F.lit(1)).alias("n")]
+        aggs += [F.count_if(F.col(c).isNull()).alias(f"nulls_{c}") for c in present_pk]
+        if has_wm:
+            aggs += [F.min(watermark).cast("string").alias("wm_min"),
+                     F.max(watermark).cast("string").alias("wm_max")]
+        stats = target.agg(*aggs)
     rows: list[Column] = []
 
     def row(name, status, src, tgt, msg):
