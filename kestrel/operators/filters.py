@@ -168,14 +168,17 @@ def project_meta_raw(df: DataFrame, attributes: list[str], include_meta: bool, i
     return df.select(*cols)
 
 
-def serialize_rows(df: DataFrame) -> DataFrame:
-    """Output form: decimals -> double, dates -> ISO text, datetimes -> ISO text, JSON text re-rendered."""
+def serialize_rows(df: DataFrame, json_columns: tuple[str, ...] = ()) -> DataFrame:
+    """Output form: decimals -> double, dates -> ISO text, datetimes -> ISO text, and the given JSON
+    text columns re-rendered canonically (parsed, keys sorted, no whitespace; invalid JSON -> NULL)."""
     from pyspark.sql import types as T
 
     out = []
     for f in df.schema.fields:
         colm = F.col(f.name)
-        if isinstance(f.dataType, T.DecimalType):
+        if f.name in json_columns:
+            colm = F.to_json(F.try_parse_json(colm))
+        elif isinstance(f.dataType, T.DecimalType):
             colm = colm.cast("double")
         elif isinstance(f.dataType, T.DateType):
             colm = F.date_format(colm, "yyyy-MM-dd")

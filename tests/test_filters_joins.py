@@ -91,3 +91,13 @@ def test_skew_split_join_matches_plain_join(spark):
         split = J.skew_split_join(left, right, "lk", "rk", how, fraction=0.1, min_rows=100, buckets=8)
         assert sorted(map(tuple, split.collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
     assert [r[0] for r in J.hot_keys(right, "rk", 0.1, 100).collect()] == [1]
+
+
+def test_serialize_rows(spark):
+    import datetime as dt
+    from decimal import Decimal
+
+    df = spark.createDataFrame([(Decimal("1.50"), dt.date(2024, 1, 5), dt.datetime(2024, 1, 5, 10, 0), '{"b": 1, "a": [2]}')],
+                               "amt decimal(18,2), d date, ts timestamp_ntz, j string")
+    r = FL.serialize_rows(df, json_columns=("j",)).first()
+    assert (r.amt, r.d, r.ts, r.j) == (1.5, "2024-01-05", "2024-01-05T10:00:00", '{"a":[2],"b":1}')
