@@ -31,3 +31,20 @@ def test_service_refuses_fanout_model(spark, reg):
                     (JoinSpec("orders", "o_orderkey", "lineitem", "l_orderkey"),))
     with pytest.raises(ModelError):
         svc.register(bad)
+
+
+def test_templates_build_with_renames(spark, reg):
+    from kestrel.catalog.projections import register_procurement
+    from kestrel.plans.model import build_model
+    from kestrel.plans.templates import TEMPLATES
+    from kestrel.sources.tables import TableRegistry
+
+    r = TableRegistry(spark, reg.root, reg._frames)
+    register_procurement(r)
+    cols = {k: build_model(r, spec).columns for k, spec in TEMPLATES.items()}
+    assert "status" in cols["ap_invoice"] and "invoice_status" not in cols["ap_invoice"]
+    assert all("source_updated_at" in c for k, c in cols.items() if k != "supplier")
+    inv = build_model(r, TEMPLATES["ap_invoice"])
+    src = r.table("po_invoice")
+    assert inv.count() == src.count()
+    assert inv.filter("status = 'open'").count() == src.filter("invoice_status = 'open'").count()
