@@ -100,7 +100,8 @@ SELECT bucket, value FROM (
   FROM orders WHERE DATE '2001-08-01' >= CAST(o_orderdate AS DATE) AND o_orderstatus <> 'F'
   GROUP BY 1) ORDER BY m""")
 def fn_aging(reg):
-    """aging(date_col=o_orderdate, measure=o_totalprice, buckets=365,90,730, where=o_orderstatus!=F)."""
+    """aging(date_col=o_orderdate, measure=o_totalprice, buckets='365,90,730,90' (sorted and de-duplicated
+    to 90,365,730), where=o_orderstatus!=F, as_of=2001-08-01)."""
     params = {"date_col": "o_orderdate", "measure": "o_totalprice", "buckets": "365,90,730,90",
               "where": "o_orderstatus!=F", "as_of": "2001-08-01"}
     return P.aging(reg.table("orders"), params)

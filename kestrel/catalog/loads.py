@@ -311,7 +311,8 @@ LEFT JOIN region r ON n.n_regionkey = r.r_regionkey"""
 
 @query("matview_build", oracle=AR_SQL)
 def matview_build(reg):
-    """Materialise the AR model (PK uniqueness checked first), read the snapshot back."""
+    """Materialise the AR model: written once, key uniqueness checked on the written files before
+    publishing, then read back."""
     store = sandbox(reg, "matview")
     MV.build(store, reg, AR_MODEL)
     return store.read(AR_MODEL.name)
@@ -377,7 +378,7 @@ def export_csv(reg):
 
 @query("table_schema")
 def table_schema(reg):
-    """Columns of every table: type, nullability, ordinal."""
+    """Columns of every table: type, declared nullability, ordinal, and the observed non-NULL count."""
     from kestrel.operators.aggregates import column_profile
 
     rows = [(t, f.name, f.dataType.simpleString(), f.nullable, i + 1)
@@ -389,7 +390,7 @@ def table_schema(reg):
 
 @query("table_list")
 def table_list(reg):
-    """Tables with their kind: parquet tables are BASE TABLE, registered derived frames are VIEW."""
+    """Tables with their kind (parquet tables are BASE TABLE, registered derived frames VIEW) and rows."""
     from kestrel.catalog.projections import register_procurement
 
     register_procurement(reg)

@@ -76,7 +76,8 @@ def snake_case(name):
 
 @query("model_from_table")
 def model_from_table(reg):
-    """Derive a model from each table's schema: snake_case names, system names prefixed, first column PK."""
+    """Derive a model from each table's schema: snake_case names, system names prefixed, first column PK
+    (checked against the data: usable only when unique and never NULL)."""
     from kestrel.operators.aggregates import first_column_unique
 
     rows = []

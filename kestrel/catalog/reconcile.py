@@ -277,7 +277,8 @@ def key_columns_missing(reg):
 
 @query("model_check")
 def model_check(reg):
-    """Issue rows for a model: fan-out join (lineitem by order), PK not unique, INNER-join warning."""
+    """Issue rows for two models: one joining lineitem by order without allow_fanout (fan-out error)
+    plus an INNER join (warning) and a nullable key (warning), and the AR model (only warnings)."""
     bad = ModelSpec("order_lines_unchecked", (attr("o_orderkey", "orders", is_pk=True), attr("l_quantity", "lineitem"),
                                               attr("c_name", "customer")),
                     (JoinSpec("orders", "o_orderkey", "lineitem", "l_orderkey"),
