@@ -1,7 +1,8 @@
-"""Join operators: lookups, fan-out guard, anti-joins, outer series joins, status grids.
+"""Join operators: fan-out guard, anti-joins, outer series joins, existence, skew-split 1:N joins.
 
-Small sides are broadcast only behind a bounded count (``bounded_broadcast``); otherwise Spark's own
-size statistics and AQE choose between broadcast and sort-merge at run time.
+Spark's own size statistics and AQE choose between broadcast and sort-merge. An explicit broadcast
+happens only for data with a proven bound: behind a bounded count (``bounded_broadcast``) or, in
+``skew_split_join``, a hot-key list that can hold at most 1/fraction keys.
 """
 
 from __future__ import annotations

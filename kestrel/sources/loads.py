@@ -1,8 +1,9 @@
 """Loads: full text snapshot, sampled and windowed loads, audit stamps, key-based merges.
 
-Without a table format there is no MERGE, so every merge is expressed as a new table version:
-anti-join + union produce the next state lazily and ``SnapshotStore`` writes and publishes it.
-The target is never read and overwritten at the same path.
+Without a table format there is no MERGE. Insert-style merges (insert-if-absent, key repair) compute
+only the new rows with an anti-join, and ``SnapshotStore.append`` publishes them as one more part;
+rewrites (upsert, range repair) publish replacement parts for just the parts they touch. A part is
+never read and overwritten at the same path.
 """
 
 from __future__ import annotations
