@@ -187,7 +187,7 @@ def scalar_shift_hours(reg):
 SELECT event_id, CAST((ts AT TIME ZONE 'UTC') AT TIME ZONE 'Asia/Ho_Chi_Minh' AS TIMESTAMP) AS local_ts FROM events""")
 def scalar_local_time(reg):
     """UTC wall clock -> local wall clock (the platform's zone)."""
-    return reg.table("events").select("event_id", X.local_time("ts", "Asia/Ho_Chi_Minh").alias("local_ts"))
+    return reg.table("events").select("event_id", X.local_time("ts", X.PLATFORM_TZ).alias("local_ts"))
 
 
 @query("scalar_julian_cutoff", oracle="""

@@ -8,6 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The platform's local time zone (naive timestamps hold its wall clock).
+PLATFORM_TZ = "Asia/Ho_Chi_Minh"
+
 # Money is summed exactly at this precision, then rounded to 2 places.
 MONEY_TYPE = "decimal(18,4)"
 MONEY_SCALE = 2
