@@ -165,12 +165,13 @@ def _prefixed(table: str, column: str) -> str:
 
 
 def build_model(reg: TableRegistry, spec: ModelSpec, needed: list[str] | None = None,
-                prune: bool = True, skew_split: bool = True) -> DataFrame:
+                prune: bool = True, skew_split: bool = True, skew_options: dict | None = None) -> DataFrame:
     """Compile a model spec to a lazy DataFrame with one column per (needed) attribute, in order.
 
     N:1 lookups are plain joins (a hot key sits on the left side, where AQE can split it). A 1:N
     ``allow_fanout`` join goes through ``skew_split_join`` when ``skew_split``: right-side keys
-    holding a large share of the rows are salted so no single task joins them all.
+    holding a large share of the rows are salted so no single task joins them all (``skew_options``:
+    ``fraction``, ``min_rows``, ``buckets`` of ``skew_split_join``).
     """
     ordered, _ = plan_joins(spec)
     attrs = [a for a in spec.attributes if needed is None or a.name in needed]
@@ -208,7 +209,7 @@ def build_model(reg: TableRegistry, spec: ModelSpec, needed: list[str] | None =
         right = relation(j.right_table, j.right_column)
         lk, rk = _prefixed(j.left_table, j.left_column), _prefixed(j.right_table, j.right_column)
         if j.allow_fanout and skew_split:
-            cur = skew_split_join(cur, right, lk, rk, j.how)
+            cur = skew_split_join(cur, right, lk, rk, j.how, **(skew_options or {}))
         else:
             cur = cur.join(right, cur[lk] == right[rk], j.how)
     return cur.select(*[F.col(_prefixed(a.source_table, a.source_column)).alias(a.name) for a in attrs])

@@ -41,3 +41,19 @@ def test_latest_uses_group_limit(reg):
     assert "WindowGroupLimit" in df._jdf.queryExecution().executedPlan().toString() or \
         "WindowGroupLimit" in df._jdf.queryExecution().optimizedPlan().toString()
     assert df.groupBy("o_custkey").count().filter(F.col("count") > 1).count() == 0
+
+
+def test_fanout_model_salts_a_hot_key(spark):
+    from kestrel.plans.model import JoinSpec, ModelSpec, attr
+    from kestrel.sources.tables import TableRegistry
+
+    heads = spark.createDataFrame([(k, f"h{k}") for k in range(20)], "hk long, title string")
+    lines = spark.createDataFrame([(1, i) for i in range(2000)] + [(k, 0) for k in range(2, 20)], "hk long, qty long")
+    reg = TableRegistry(spark, "/nonexistent", {"heads": heads, "lines": lines})
+    spec = ModelSpec("hl", (attr("hk", "heads", is_pk=True), attr("title", "heads"), attr("qty", "lines")),
+                     (JoinSpec("heads", "hk", "lines", "hk", allow_fanout=True),))
+    salted = build_model(reg, spec, skew_options={"fraction": 0.1, "min_rows": 100, "buckets": 8})
+    assert "Generate" in plan(salted)  # the hot key's left rows are replicated per salt
+    plain = build_model(reg, spec, skew_split=False)
+    assert sorted(map(tuple, salted.collect())) == sorted(map(tuple, plain.collect()))
+    assert salted.count() == 2000 + 18 + 1  # h0 has no lines: kept once by the LEFT join
