@@ -1,7 +1,8 @@
 """All registered queries. Importing the submodules fills ``CATALOG``."""
 
 from kestrel.catalog.base import CATALOG  # noqa: F401
-from kestrel.catalog import aggregations, backfill, incremental, joins, loads, projections, reconcile, reports, scalars  # noqa: F401,E402
+from kestrel.catalog import (  # noqa: F401,E402
+    aggregations, backfill, incremental, joins, loads, projections, reconcile, reports, scalars)
 
 
 def queries():
