@@ -42,3 +42,18 @@ def test_bounded_broadcast_only_below_the_limit(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert J.bounded_broadcast(big, 100).agg(F.count(F.lit(1))).first()[0] == 1000
+
+
+def test_cluster_conf_applies(spark):
+    from kestrel.session import CLUSTER_CONF, apply_cluster_conf
+
+    old = {k: spark.conf.get(k, None) for k in CLUSTER_CONF}
+    try:
+        apply_cluster_conf(spark)
+        assert all(spark.conf.get(k) == v for k, v in CLUSTER_CONF.items())
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
