@@ -2,12 +2,12 @@
 
 Writes that must survive executor loss (snapshots, state tables, stream checkpoints) go under the
 folder the cluster names in ``spark.checkpoint.dir``. Only when that setting is absent (local tests)
-do we create one ourselves.
+do we create one ourselves, and only on a local master.
 """
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 import uuid
 
@@ -58,25 +58,31 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: st
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's checkpoint folder; set a private one only when none is configured."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        try:
-            root = spark.sparkContext.getCheckpointDir()
-        except Exception:  # Spark Connect has no SparkContext
-            root = None
+    """Return the cluster's checkpoint folder, scheme included.
+
+    A private folder is set only when none is configured and the master is ``local``; anywhere else the
+    executors could not see such a folder, so a missing setting is an error.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        master = spark.sparkContext.master
+        if not re.match(r"local(\[|$)", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors share (master {master})")
         root = tempfile.mkdtemp(prefix="kestrel-ckpt-")
         spark.conf.set("spark.checkpoint.dir", root)
-    try:
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(root)
-    except Exception:
-        pass
-    return root.removeprefix("file:")
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(root)
+    return root
 
 
 def work_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder under the shared checkpoint root for one job's written tables."""
-    path = os.path.join(ensure_checkpoint_dir(spark), "kestrel-work", f"{purpose}-{uuid.uuid4().hex[:12]}")
+    """A fresh folder under the shared checkpoint root for one job's written tables.
+
+    The folder is removed when the application ends, so nothing that must outlive it belongs there.
+    """
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/kestrel-work/{purpose}-{uuid.uuid4().hex[:12]}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(target)  # deleteOnExit() takes only paths that exist
+    fs.deleteOnExit(target)
     return path
