@@ -22,7 +22,11 @@ from pyspark.sql import functions as F
 from kestrel.llm.common import SPACE, stage, without
 from kestrel.session import work_dir
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk; many small stores, so none reserves space ahead.
+STATE_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 #: Landed files that one micro-batch reads at most; bounds its shuffle, not the result.
 BATCH_FILES = 512
 
@@ -53,8 +57,7 @@ def fold_stream(landed: DataFrame, path: str, checkpoint: str, batch_files: int
     keep_id, keep_at, n) of the keys that it has met so far, over all runs with that checkpoint."""
     spark = landed.sparkSession
     updates = f"{checkpoint}/updates"
-    setting = "spark.sql.streaming.stateStore.providerClass"
-    was = spark.conf.get(setting)
+    was = {k: spark.conf.get(k, None) for k in STATE_SETTINGS}
     # The smallest id stays: nulls last, and of rows with one id the first by locator.
     first = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), locator().alias("at"))
     state = (spark.readStream.schema(landed.schema).option("maxFilesPerTrigger", batch_files).parquet(path)
@@ -65,12 +68,14 @@ def fold_stream(landed: DataFrame, path: str, checkpoint: str, batch_files: int
         (batch.select("digest", F.col("first.id").alias("keep_id"), F.col("first.at").alias("keep_at"), "n")
          .write.mode("overwrite").parquet(f"{updates}/batch={number}"))
 
-    spark.conf.set(setting, ROCKSDB)
+    for k, v in STATE_SETTINGS.items():
+        spark.conf.set(k, v)
     try:
         (state.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{checkpoint}/stream")
          .trigger(availableNow=True).start().awaitTermination())
     finally:
-        spark.conf.set(setting, was)
+        for k, v in was.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     if not batches(spark, updates):
         return spark.createDataFrame([], schema)
     told = spark.read.schema(schema).option("basePath", updates).parquet(f"{updates}/batch=*")
