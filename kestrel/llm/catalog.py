@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kestrel.llm import bpe, dedup, mixing, quality, simhash
+from kestrel.llm import bpe, dedup, fingerprints, mixing, quality, simhash
 from kestrel.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +32,33 @@ def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
 
 
+SKETCH = r"""(SELECT CASE WHEN len(low) >= 16 THEN {{'below': '1', 'hashes': low}}
+                    WHEN len(hs) <= 16 THEN {{'below': 'g', 'hashes': hs}}
+                    ELSE {{'below': hs[16] || '0', 'hashes': hs[1:16]}} END
+             FROM (SELECT hs, list_filter(hs, lambda h: h < '1') AS low FROM (
+               SELECT list_sort(list_distinct(CASE WHEN len(ws) = 0 THEN [] ELSE list_transform(range(1, greatest(len(ws) - 4, 1) + 1),
+                 lambda i: left(md5(array_to_string(ws[i:i + 4], ' ')), 16)) END)) AS hs
+               FROM (SELECT list_filter(string_split_regex({0}, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws))))"""
+LIKENESS = """(SELECT CASE WHEN len(u) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(x, y))::DOUBLE / len(u) END
+  FROM (SELECT x, y, list_distinct(list_concat(x, y)) AS u FROM (
+    SELECT list_filter({0}.hashes, lambda h: h < least({0}.below, {1}.below)) AS x, list_filter({1}.hashes, lambda h: h < least({0}.below, {1}.below)) AS y)))"""
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM documents),
+     e AS (SELECT *, coalesce(lead(text) OVER (ORDER BY doc_id), (SELECT text FROM d ORDER BY doc_id LIMIT 1)) AS nt FROM d),
+     f AS (SELECT *, left(text, n - n // 4) || left(nt, n // 4) AS edited FROM e),
+     s AS (SELECT doc_id, n AS n_chars, edited, {SKETCH.format('text')} AS a, {SKETCH.format('edited')} AS b, {SKETCH.format('nt')} AS c FROM f)
+SELECT doc_id, n_chars, sha256(edited) AS edited_sha256, a.below || ':' || array_to_string(a.hashes, ',') AS fingerprint,
+       b.below || ':' || array_to_string(b.hashes, ',') AS edited_fingerprint,
+       {LIKENESS.format('a', 'b')} AS near_edited, {LIKENESS.format('a', 'c')} AS near_next FROM s""")
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of all documents and of their edited texts (5-word shingles), and how alike they and their successors are."""
+    made = fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"), width=5)
+    return made.select(F.col("id").alias("doc_id"), "n_chars", "edited_sha256", fingerprints.as_text(F.col("sketch")).alias("fingerprint"),
+                       fingerprints.as_text(F.col("edited_sketch")).alias("edited_fingerprint"), "near_edited", "near_next")
+
+
 @query()
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash components of all documents: 3-word shingles, links at two or fewer bits."""
