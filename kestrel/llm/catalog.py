@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kestrel.llm import bpe, dedup, fingerprints, mixing, quality, simhash
+from kestrel.llm import bpe, dedup, fingerprints, mixing, quality, simhash, urls
 from kestrel.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,6 +74,41 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumnRenamed("id", "doc_id")
 
 
+RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+FITS = " ".join(f"WHEN (host = '{r.split('/')[0]}' OR host LIKE '%.{r.split('/')[0]}') AND starts_with(path, '/{r.split('/', 1)[1]}') THEN '{{}}'"
+                for _, r in sorted(RULES, key=lambda r: -len(r[1])))
+SORTED_RULES = sorted(RULES, key=lambda r: -len(r[1]))
+PRIOR = """(SELECT (1 - rho) / rho FROM (SELECT least(greatest(CASE WHEN n > g AND k > 0 AND k < n
+  THEN ((kk - k / n * k) / (k / n * (1 - k / n)) - g) / (n - g) ELSE 0.001 END, 0.001), 0.5) AS rho
+  FROM (SELECT count(*) AS g, sum(n)::DOUBLE AS n, sum(k)::DOUBLE AS k, sum(k * k / n)::DOUBLE AS kk FROM {} WHERE n > 0)))"""
+
+
+@query(rf"""
+WITH u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                  coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
+     t AS (SELECT doc_id, min(CASE WHEN quality = 1 AND toxic = 0 THEN 1 ELSE 0 END) AS good FROM labels GROUP BY doc_id),
+     c AS (SELECT host, count(good) AS n, coalesce(sum(good), 0) AS k, string_split(regexp_replace(host, ':[0-9]*$', ''), '.') AS l
+           FROM u LEFT JOIN t ON page_id = doc_id GROUP BY host),
+     h AS (SELECT host, n, k, CASE WHEN two THEN array_to_string(l[-3:], '.') ELSE array_to_string(l[-2:], '.') END AS domain,
+                  CASE WHEN two THEN array_to_string(l[-2:], '.') ELSE l[-1] END AS suffix
+           FROM (SELECT *, array_to_string(l[-2:], '.') IN {urls.TWO_LABEL_SUFFIXES} AS two FROM c)),
+     d AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM h GROUP BY ALL),
+     s AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM d GROUP BY ALL),
+     sr AS (SELECT suffix, (k + {PRIOR.format('s')} * (SELECT (sum(k) + 1) / (sum(n) + 2) FROM s)) / (n + {PRIOR.format('s')}) AS rate FROM s),
+     dr AS (SELECT domain, d.suffix, (k + {PRIOR.format('d')} * rate) / (n + {PRIOR.format('d')}) AS rate FROM d JOIN sr USING (suffix)),
+     ab AS (SELECT host, k + {PRIOR.format('h')} * rate AS a, n - k + {PRIOR.format('h')} * (1 - rate) AS b FROM h JOIN dr USING (domain, suffix)),
+     r AS (SELECT host, a / (a + b) - 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS bound FROM ab)
+SELECT page_id, host, path, CASE {FITS.format(*[r for _, r in SORTED_RULES])} END AS rule,
+       coalesce(CASE {FITS.format(*[v for v, _ in SORTED_RULES])} END, CASE WHEN bound >= 0.5 THEN 'allow' ELSE 'block' END) AS verdict
+FROM u JOIN r USING (host)""")
+def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages by the rules, else by their host's reputation. The tables label documents, not pages: a label of the
+    document with a page's id stands in for that page's outcome (good: of quality and not toxic)."""
+    good = F.when((F.col("quality") == 1) & (F.col("toxic") == 0), 1).otherwise(0)
+    outcomes = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), good.alias("good"))
+    return urls.judged(table(spark, sf_dir, "pages"), outcomes, RULES).withColumnRenamed("id", "page_id")
+
+
 @query()
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to 150 % of their words, sources weighing 3, 1, 2 in turn, none above twice its size."""
