@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kestrel.llm import bpe, dedup, fingerprints, mixing, quality, simhash, urls
+from kestrel.llm import bpe, dedup, fingerprints, mixing, quality, simhash, token_files, urls
 from kestrel.llm.common import table
+from kestrel.session import work_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -139,3 +140,13 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact duplicates of all documents by the stateful stream, with the full-byte check."""
     found = dedup.duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
+
+
+@query()
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' ids of the byte vocabulary, id 0 after each, written to Huffman-coded files and read back."""
+    path = work_dir(spark, "token-files")
+    tokens = token_files.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    token_files.write(tokens, path)
+    return token_files.read(spark, path).select(F.col("id").alias("doc_id"), "start", F.expr("octet_length(ids) div 4").alias("n_tokens"),
+                                                F.crc32("ids").alias("ids_crc32"))
