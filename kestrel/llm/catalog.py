@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kestrel.llm import bpe, dedup, fingerprints, mixing, quality, simhash, token_files, urls
+from kestrel.llm import bpe, dedup, fingerprints, mixing, pii, quality, simhash, token_files, urls
 from kestrel.llm.common import table
 from kestrel.session import work_dir
 
@@ -33,6 +34,15 @@ def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
 
 
+@query()
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their personal data pseudonymised, and the kinds and pseudonyms of what was found."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    made = pii.pseudonymised(docs, key=os.environ.get("PSEUDONYM_KEY", "key for the test tables"), out="clean_text")
+    return made.select("doc_id", F.col("clean_text").alias("text"), F.size("found").cast("long").alias("n_found"),
+                       F.transform("found", lambda f: f["kind"]).alias("kinds"), F.transform("found", lambda f: f["pseudonym"]).alias("pseudonyms"))
+
+
 SKETCH = r"""(SELECT CASE WHEN len(low) >= 16 THEN {{'below': '1', 'hashes': low}}
                     WHEN len(hs) <= 16 THEN {{'below': 'g', 'hashes': hs}}
                     ELSE {{'below': hs[16] || '0', 'hashes': hs[1:16]}} END
