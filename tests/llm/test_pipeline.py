@@ -35,7 +35,7 @@ def test_rows_match_a_plain_version(spark):
         digests = [hashlib.sha256(x.encode()).hexdigest() for x in (" ".join(map(str, ids)), library.decode(ids, skip_special_tokens=False))]
         want += [(r.doc_id, len(ids), *digests)] * copies[r.doc_id]
     got = sorted(map(tuple, corpus_pipeline.run(spark, SF).collect()))
-    assert 0 < len(kept) < len(unique) <= len(rows) < docs.count() and got == sorted(want)
+    assert 0 < len(kept) <= len(unique) <= len(rows) < docs.count() and got == sorted(want)
 
 
 def test_stages_keep_the_columns_of_documents(spark):
