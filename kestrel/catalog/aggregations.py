@@ -19,7 +19,7 @@ AR_FROM = """orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey
 
 
 def money_sql(x: str) -> str:
-    return f"CAST(ROUND(SUM(CAST({x} AS DECIMAL(18,4))), 2) AS DOUBLE)"
+    return f"CAST(ROUND(SUM(CAST({x} AS DECIMAL(38,10))), 2) AS DOUBLE)"
 
 
 def ar(reg, cols):
@@ -29,7 +29,7 @@ def ar(reg, cols):
 # ------------------------------------------------------------------ the five primitives
 @query("fn_aggregate", oracle=f"""
 SELECT c.c_mktsegment, {money_sql('o.o_totalprice')} AS value FROM {AR_FROM}
-GROUP BY c.c_mktsegment ORDER BY value DESC NULLS LAST, c_mktsegment ASC NULLS LAST LIMIT 1000""")
+GROUP BY c.c_mktsegment ORDER BY value DESC NULLS LAST, c_mktsegment ASC NULLS LAST""")
 def fn_aggregate(reg):
     """aggregate(sum, o_totalprice, group_by=c_mktsegment) over the AR model (orders ⟕ customer)."""
     params = {"agg": "sum", "measure": "o_totalprice", "group_by": "c_mktsegment"}
@@ -49,15 +49,15 @@ def fn_aggregate_range(reg):
 
 @query("fn_aggregate_count", oracle=f"""
 SELECT n.n_name, COUNT(*) AS value FROM {AR_FROM}
-GROUP BY n.n_name ORDER BY value DESC NULLS LAST, n_name LIMIT 1000""")
+GROUP BY n.n_name ORDER BY value DESC NULLS LAST, n_name""")
 def fn_aggregate_count(reg):
     """aggregate(count, group_by=n_name): count needs no measure."""
     return P.aggregate(ar(reg, ["n_name"]), {"agg": "count", "group_by": "n_name"})
 
 
 @query("fn_aggregate_avg", oracle="""
-SELECT l_returnflag, CAST(ROUND(AVG(CAST(l_quantity AS DECIMAL(18,4))), 2) AS DOUBLE) AS value FROM lineitem
-GROUP BY l_returnflag ORDER BY value DESC NULLS LAST, l_returnflag LIMIT 1000""")
+SELECT l_returnflag, CAST(ROUND(AVG(CAST(l_quantity AS DECIMAL(38,10))), 2) AS DOUBLE) AS value FROM lineitem
+GROUP BY l_returnflag ORDER BY value DESC NULLS LAST, l_returnflag""")
 def fn_aggregate_avg(reg):
     """aggregate(avg, l_quantity, group_by=l_returnflag) over lineitem."""
     return P.aggregate(reg.table("lineitem"), {"agg": "avg", "measure": "l_quantity", "group_by": "l_returnflag"})
@@ -95,7 +95,7 @@ SELECT bucket, value FROM (
               WHEN datediff('day', CAST(o_orderdate AS DATE), DATE '2001-08-01') <= 365 THEN '91-365'
               WHEN datediff('day', CAST(o_orderdate AS DATE), DATE '2001-08-01') <= 730 THEN '366-730'
               ELSE '731+' END AS bucket,
-         CAST(ROUND(SUM(CAST(o_totalprice AS DECIMAL(18,4))), 2) AS DOUBLE) AS value,
+         CAST(ROUND(SUM(CAST(o_totalprice AS DECIMAL(38,10))), 2) AS DOUBLE) AS value,
          MIN(datediff('day', CAST(o_orderdate AS DATE), DATE '2001-08-01')) AS m
   FROM orders WHERE DATE '2001-08-01' >= CAST(o_orderdate AS DATE) AND o_orderstatus <> 'F'
   GROUP BY 1) ORDER BY m""")
@@ -117,8 +117,8 @@ def fn_breakdown(reg):
 
 
 @query("agg_rounded", oracle="""
-SELECT l_returnflag, l_linestatus, CAST(ROUND(SUM(CAST(l_extendedprice AS DECIMAL(18,4))), 2) AS DOUBLE) AS sum_price,
-  CAST(ROUND(AVG(CAST(l_quantity AS DECIMAL(18,4))), 2) AS DOUBLE) AS avg_qty, COUNT(*) AS n
+SELECT l_returnflag, l_linestatus, CAST(ROUND(SUM(CAST(l_extendedprice AS DECIMAL(38,10))), 2) AS DOUBLE) AS sum_price,
+  CAST(ROUND(AVG(CAST(l_quantity AS DECIMAL(38,10))), 2) AS DOUBLE) AS avg_qty, COUNT(*) AS n
 FROM lineitem GROUP BY 1, 2""")
 def agg_rounded(reg):
     """ROUND(agg, 2) in exact decimal; count is a bare count."""
@@ -184,27 +184,27 @@ def min_max_watermark(reg):
     return A.min_max_watermark(reg.table("orders"), "o_orderdate")
 
 
-@query("max_watermark_numeric", oracle="""
-SELECT CAST(MAX(TRY_CAST(NULLIF(trim(m), '') AS DECIMAL(38,0))) AS VARCHAR) AS max_watermark FROM (
+@query("max_watermark_numeric", oracle=r"""
+SELECT regexp_replace(CAST(MAX(TRY_CAST(NULLIF(trim(m), '') AS DECIMAL(38,10))) AS VARCHAR), '\.?0+$', '') AS max_watermark FROM (
   SELECT CASE WHEN o_orderstatus = 'P' THEN '' WHEN o_orderstatus = 'O' THEN CAST(o_orderkey AS VARCHAR) || '.0'
-              ELSE CAST(o_orderkey AS VARCHAR) END AS m FROM orders)""")
+              ELSE CAST(o_orderkey AS VARCHAR) || '.75' END AS m FROM orders)""")
 def max_watermark_numeric(reg):
-    """Numeric max over a text marker ('' = NULL, '123.0' accepted) from a text-loaded orders copy."""
+    """Numeric max over a text marker ('' = NULL, '123.0' accepted, fractions kept) from a text copy of orders."""
     o = reg.table("orders")
     text = o.select(F.when(F.col("o_orderstatus") == "P", F.lit(""))
                     .when(F.col("o_orderstatus") == "O", F.concat(F.col("o_orderkey").cast("string"), F.lit(".0")))
-                    .otherwise(F.col("o_orderkey").cast("string")).alias("m"))
+                    .otherwise(F.concat(F.col("o_orderkey").cast("string"), F.lit(".75"))).alias("m"))
     return A.max_watermark_numeric(text, "m")
 
 
 @query("max_watermark_pair", oracle="""
 SELECT day AS max_day, tm AS max_time FROM (
   SELECT (year(ts) - 1900) * 1000 + dayofyear(ts) AS day,
-         hour(ts) * 10000 + minute(ts) * 100 + second(ts) AS tm FROM events WHERE event_type <> 'error')
+         hour(ts) * 10000 + minute(ts) * 100 + second(ts) AS tm FROM (SELECT CASE WHEN event_type <> 'error' THEN ts END AS ts FROM events))
 ORDER BY day DESC NULLS LAST, tm DESC NULLS LAST LIMIT 1""")
 def max_watermark_pair(reg):
-    """Latest (CYYDDD day, HHMMSS time) pair over the events' day + time markers."""
-    e = reg.table("events").filter(F.col("event_type") != "error")
+    """Latest (CYYDDD day, HHMMSS time) pair over all events; those without a day (errors) don't count."""
+    e = reg.table("events").select(F.when(F.col("event_type") != "error", F.col("ts")).alias("ts"))  # errors: no day
     pairs = e.select(((F.year("ts") - 1900) * 1000 + F.dayofyear("ts")).cast("long").alias("day"),
                      (F.hour("ts") * 10000 + F.minute("ts") * 100 + F.second("ts")).cast("long").alias("tm"))
     return A.max_watermark_pair(pairs, "day", "tm")
@@ -259,7 +259,7 @@ def share_of_total(reg):
     """Share of the grand total computed before LIMIT."""
     c = reg.table("customer")
     g = c.groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("count"))
-    out = with_share_of_total(g, c.select(F.count(F.lit(1))).scalar())
+    out = with_share_of_total(g)
     return out.orderBy(F.col("count").desc(), "c_mktsegment").limit(2)
 
 
@@ -278,32 +278,32 @@ def latest_run_per_job(reg):
 @query("page_by_created", oracle="""
 SELECT event_id, ts, event_type, value FROM events ORDER BY ts DESC, event_id LIMIT 100 OFFSET 200""")
 def page_by_created(reg):
-    """Type A page: newest first, default limit 100, offset 200."""
+    """Type A page: newest first, limit 100, offset 200."""
     e = reg.table("events").select("event_id", "ts", "event_type", "value")
-    return FL.page_by_created(e, "ts", "event_id", None, 200)
+    return FL.page_by_created(e, "ts", "event_id", 100, 200)
 
 
 @query("page_by_key", oracle="""
-SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 500 OFFSET 1000""")
+SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey > 4000 ORDER BY o_orderkey LIMIT 900""")
 def page_by_key(reg):
-    """Type B page ordered by PK; an explicit limit of 900 is capped at 500."""
+    """Type B page ordered by PK: the 900 rows behind key 4000 (pages go on from the last key, not by offset)."""
     o = reg.table("orders").select("o_orderkey", "o_custkey", "o_totalprice")
-    return FL.page_by_key(o, "o_orderkey", 900, 1000)
+    return FL.page_by_key(o, "o_orderkey", 900, after=FL.after_key("o_orderkey", 4000))
 
 
 @query("preview_page", oracle="""
-SELECT c_custkey, c_name, c_mktsegment FROM customer ORDER BY c_custkey LIMIT 100""")
+SELECT c_custkey, c_name, c_mktsegment FROM customer ORDER BY c_custkey LIMIT 5000""")
 def preview_page(reg):
-    """Model preview clamped to 100 rows, in key order."""
+    """Model preview of as many rows as asked for, in key order."""
     c = reg.table("customer").select("c_custkey", "c_name", "c_mktsegment")
     return FL.preview_page(c, "c_custkey", 5000)
 
 
 @query("top_k_groups", oracle=f"""
 SELECT o_custkey, COUNT(*) AS value FROM orders GROUP BY o_custkey
-ORDER BY value DESC NULLS LAST, o_custkey LIMIT 1000""")
+ORDER BY value DESC NULLS LAST, o_custkey LIMIT 5000""")
 def top_k_groups(reg):
-    """top(agg=count, limit=5000 -> capped at 1000)."""
+    """top(agg=count, limit=5000)."""
     return P.top(reg.table("orders"), {"measure": "o_totalprice", "group_by": "o_custkey", "agg": "count",
                                        "limit": "5000"})
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -114,10 +115,9 @@ def join_type_check(reg):
 
 @query("join_outer_by_field", oracle="""
 WITH a AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month,
-             CAST(ROUND(SUM(CAST(o_totalprice AS DECIMAL(18,4))), 2) AS DOUBLE) AS ordered FROM orders GROUP BY 1),
+             CAST(ROUND(SUM(CAST(o_totalprice AS DECIMAL(38,10))), 2) AS DOUBLE) AS ordered FROM orders GROUP BY 1),
      b AS (SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS month,
-             CAST(ROUND(SUM(CAST(l_extendedprice AS DECIMAL(18,4))), 2) AS DOUBLE) AS shipped FROM lineitem
-           WHERE l_shipdate >= TIMESTAMP '1997-01-01' GROUP BY 1)
+             CAST(ROUND(SUM(CAST(l_extendedprice AS DECIMAL(38,10))), 2) AS DOUBLE) AS shipped FROM lineitem GROUP BY 1)
 SELECT COALESCE(a.month, b.month) AS month, a.ordered, b.shipped,
   CAST(ROUND(CAST(a.ordered AS DECIMAL(38,4)) - CAST(b.shipped AS DECIMAL(38,4)), 2) AS DOUBLE) AS diff
 FROM a FULL OUTER JOIN b ON a.month = b.month""")
@@ -126,8 +126,7 @@ def join_outer_by_field(reg):
     from kestrel.operators.reports import monthly
 
     a = monthly(reg.table("orders"), "o_orderdate", "o_totalprice", "ordered")
-    b = monthly(reg.table("lineitem").filter(F.col("l_shipdate") >= F.lit("1997-01-01").cast("timestamp_ntz")),
-                "l_shipdate", "l_extendedprice", "shipped")
+    b = monthly(reg.table("lineitem"), "l_shipdate", "l_extendedprice", "shipped")
     return J.outer_by_field(a, b, "month", "diff", "ordered", "shipped")
 
 
@@ -219,18 +218,43 @@ def join_status_grid(reg):
     return status_grid(reg)
 
 
-@query("sort_multi_key", oracle="SELECT table_name, verdict, source_count, "
-       "CASE WHEN NOT enabled THEN 2 WHEN cat_last_run_at IS NULL THEN 1 ELSE 0 END AS sort_class, "
-       "cat_last_run_at + to_seconds(CAST(GREATEST(0, interval_sec) AS BIGINT)) AS next_run_at FROM ("
-       + status_grid_sql((("interval_sec", "interval_sec"), ("last_run_at", "cat_last_run_at")))
-       + ") grid ORDER BY sort_class, next_run_at, table_name LIMIT 100")
+# Sort keys of the grid: (numeric value, text value) as SQL over it; next_run has its own class before them.
+SORT_KEYS = {
+    "name": ("NULL", "lower(table_name)"),
+    "watermark": ("NULL", "lower(coalesce(marker, ''))"),
+    "load_mode": ("NULL", "mode"),
+    "status": ("NULL", "coalesce(verdict, last_status, '')"),
+    "latest_run": ("epoch_of(last_run_at)", "NULL"),
+    "next_run": ("epoch_of(cat_last_run_at) + greatest(0, interval_sec)", "NULL"),
+    "rows": ("coalesce(target_count, -1)", "NULL"),
+}
+SORT_CLASS = "CASE WHEN NOT enabled THEN 2 WHEN cat_last_run_at IS NULL THEN 1 ELSE 0 END"
+
+
+def sort_value(key: str, engine: str) -> tuple[str, str, str]:
+    """(class, number, text) by which ``key`` sorts, in the SQL of ``spark`` or ``duckdb``."""
+    seconds = {"spark": "timestampdiff(SECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', {})", "duckdb": "date_diff('second', TIMESTAMP '1970-01-01', {})"}[engine]
+    number, text = SORT_KEYS[key]
+    number = re.sub(r"epoch_of\((\w+)\)", lambda m: seconds.format(m[1]), number)
+    string = {"spark": "STRING", "duckdb": "VARCHAR"}[engine]
+    return SORT_CLASS if key == "next_run" else "0", f"CAST({number} AS BIGINT)", f"CAST({text} AS {string})"
+
+
+def sorted_grid(grid: DataFrame, key: str, descending: bool = False) -> DataFrame:
+    """The whole grid by one of ``SORT_KEYS``: a range-partitioned sort of all rows, ties by name. Sorted by next
+    run, never-run rows stand behind the others and disabled ones last."""
+    cls, number, text = map(F.expr, sort_value(key, "spark"))
+    way = (lambda c: c.desc_nulls_last()) if descending else (lambda c: c.asc_nulls_last())
+    return grid.orderBy(cls, way(number), way(text), "table_name")
+
+
+@query("sort_multi_key", oracle="WITH g AS (" + status_grid_sql((("interval_sec", "interval_sec"), ("last_run_at", "cat_last_run_at"), ("marker", "marker")))
+       + ") " + " UNION ALL ".join("SELECT '{}' AS sort_key, table_name, {} AS sort_class, {} AS sort_number, {} AS sort_text FROM g".format(k, *sort_value(k, "duckdb")) for k in SORT_KEYS))
 def sort_multi_key(reg):
-    """Grid page sorted by next run = last run + interval; never-run rows after those, disabled last."""
+    """The whole grid under each of its seven sort keys, in that order."""
     grid = status_grid(reg)
-    cfg = S.job_catalogue(reg).select("table_name", "interval_sec", F.col("last_run_at").alias("cat_last_run_at"))
+    cfg = S.job_catalogue(reg).select("table_name", "interval_sec", "marker", F.col("last_run_at").alias("cat_last_run_at"))
     g = grid.join(cfg, "table_name")
-    cls = F.when(~F.col("enabled"), 2).when(F.col("cat_last_run_at").isNull(), 1).otherwise(0)
-    nxt = F.col("cat_last_run_at") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0),
-                                                        F.greatest(F.lit(0), F.col("interval_sec")))
-    out = g.select("table_name", "verdict", "source_count", cls.alias("sort_class"), nxt.alias("next_run_at"))
-    return out.orderBy("sort_class", F.col("next_run_at").asc_nulls_last(), "table_name").limit(100)
+    each = [g.select(F.lit(k).alias("sort_key"), "table_name", *[F.expr(v).alias(n) for v, n in zip(sort_value(k, "spark"), ("sort_class", "sort_number", "sort_text"))])
+            for k in SORT_KEYS]
+    return reduce(DataFrame.unionByName, each).orderBy("sort_key", "sort_class", F.col("sort_number").asc_nulls_last(), F.col("sort_text").asc_nulls_last(), "table_name")

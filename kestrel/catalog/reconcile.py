@@ -121,7 +121,7 @@ def full_reconcile(reg):
     return RC.full_reconcile(o, t, ["o_orderkey"])
 
 
-TOL_SQL = """SELECT l_suppkey, CAST(FLOOR(SUM(CAST(l_extendedprice AS DECIMAL(18,4)))) AS BIGINT) AS source_count,
+TOL_SQL = """SELECT l_suppkey, CAST(FLOOR(SUM(CAST(l_extendedprice AS DECIMAL(38,10)))) AS BIGINT) AS source_count,
   COUNT(*) FILTER (WHERE l_returnflag = 'R') > COUNT(*) FILTER (WHERE l_returnflag = 'A') AS replicating
   FROM lineitem GROUP BY l_suppkey"""
 
@@ -133,7 +133,7 @@ SELECT l_suppkey, source_count, replicating,
 def verdict_tolerance(reg):
     """0 unless replicating; else max(50 rows, int(0.0001 x source)) over large per-supplier counts."""
     li = reg.table("lineitem")
-    c = li.groupBy("l_suppkey").agg(F.floor(F.sum(F.col("l_extendedprice").cast("decimal(18,4)"))).cast("long")
+    c = li.groupBy("l_suppkey").agg(F.floor(F.sum(F.col("l_extendedprice").cast("decimal(38,10)"))).cast("long")
                                     .alias("source_count"),
                                     (F.count_if(F.col("l_returnflag") == "R") > F.count_if(F.col("l_returnflag") == "A"))
                                     .alias("replicating"))

@@ -38,13 +38,13 @@ def distinct_keep_order(reg):
 
 @query("scalar_round", oracle="""
 SELECT l_orderkey, l_linenumber,
-  CAST(ROUND(CAST(l_extendedprice AS DECIMAL(18,4)) * CAST(l_discount AS DECIMAL(18,4)), 2) AS DOUBLE) AS discount_amt
+  CAST(ROUND(CAST(l_extendedprice AS DECIMAL(18,6)) * CAST(l_discount AS DECIMAL(18,6)), 2) AS DOUBLE) AS discount_amt
 FROM lineitem""")
 def scalar_round(reg):
     """ROUND(x, 2) on exact decimals, half away from zero."""
     li = reg.table("lineitem")
     return li.select("l_orderkey", "l_linenumber",
-                     F.round(X.money("l_extendedprice") * X.money("l_discount"), 2).cast("double").alias("discount_amt"))
+                     F.round(X.wide("l_extendedprice") * X.wide("l_discount"), 2).cast("double").alias("discount_amt"))
 
 
 @query("scalar_date_trunc", oracle="""
@@ -86,18 +86,18 @@ def scalar_case_bucket(reg):
 
 
 TEXT_MARKER_SQL = """CASE WHEN o_orderstatus = 'P' THEN '' WHEN o_orderstatus = 'O'
-  THEN CAST(o_orderkey AS VARCHAR) || '.0' ELSE CAST(o_orderkey AS VARCHAR) END"""
+  THEN CAST(o_orderkey AS VARCHAR) || '.0' ELSE CAST(o_orderkey AS VARCHAR) || '.75' END"""
 
 
 @query("scalar_nullif", oracle=f"""
-SELECT o_orderkey, NULLIF(m, '') AS marker, TRY_CAST(NULLIF(trim(m), '') AS DECIMAL(38,0)) AS marker_num
+SELECT o_orderkey, NULLIF(m, '') AS marker, TRY_CAST(NULLIF(trim(m), '') AS DECIMAL(38,12)) AS marker_num
 FROM (SELECT o_orderkey, {TEXT_MARKER_SQL} AS m FROM orders)""")
 def scalar_nullif(reg):
     """NULLIF(text, '') and text -> numeric over a text-loaded marker."""
     o = reg.table("orders")
     m = (F.when(F.col("o_orderstatus") == "P", F.lit(""))
          .when(F.col("o_orderstatus") == "O", F.concat(F.col("o_orderkey").cast("string"), F.lit(".0")))
-         .otherwise(F.col("o_orderkey").cast("string")))
+         .otherwise(F.concat(F.col("o_orderkey").cast("string"), F.lit(".75"))))
     t = o.select("o_orderkey", m.alias("m"))
     return t.select("o_orderkey", F.nullif("m", F.lit("")).alias("marker"), X.text_number("m").alias("marker_num"))
 

@@ -27,7 +27,9 @@ def po_header(reg: TableRegistry) -> DataFrame:
     return reg.table("orders").select(
         F.col("o_orderkey").alias("po_no"), F.col("o_custkey").alias("supplier_code"),
         F.col("o_orderdate").alias("order_date"), F.col("o_orderstatus").alias("po_status"),
-        F.col("o_totalprice").alias("total_amount"), F.col("o_orderdate").alias("updated_at"))
+        F.col("o_totalprice").alias("total_amount"), F.col("o_orderpriority").alias("buyer_code"),
+        F.substring("o_orderpriority", 3, 20).alias("buyer_name"), (F.col("o_custkey") % 7).cast("string").alias("company_code"),
+        (F.col("o_custkey") % 25).cast("string").alias("branch_plant"), F.lit("USD").alias("currency"), F.col("o_orderdate").alias("updated_at"))
 
 
 def po_supplier(reg: TableRegistry) -> DataFrame:
@@ -57,7 +59,9 @@ def po_invoice(reg: TableRegistry) -> DataFrame:
 
 PO_CTES = """
 po_header AS (SELECT o_orderkey AS po_no, o_custkey AS supplier_code, o_orderdate AS order_date,
-  o_orderstatus AS po_status, o_totalprice AS total_amount, o_orderdate AS updated_at FROM orders),
+  o_orderstatus AS po_status, o_totalprice AS total_amount, o_orderpriority AS buyer_code,
+  substr(o_orderpriority, 3, 20) AS buyer_name, CAST(o_custkey % 7 AS VARCHAR) AS company_code,
+  CAST(o_custkey % 25 AS VARCHAR) AS branch_plant, 'USD' AS currency, o_orderdate AS updated_at FROM orders),
 po_supplier AS (SELECT c_custkey AS supplier_code, c_name AS supplier_name, CAST(NULL AS TIMESTAMP) AS updated_at
   FROM customer),
 po_line AS (SELECT l_orderkey AS po_no, l_linenumber AS po_line_id, l_quantity AS quantity_ordered,
@@ -104,9 +108,8 @@ def acc_payment(reg: TableRegistry) -> DataFrame:
 
 def acc_journal(reg: TableRegistry) -> DataFrame:
     li = reg.table("lineitem")
-    price = F.col("l_extendedprice").cast("decimal(18,4)")
-    return li.select(F.col("l_linestatus").alias("account_type"), price.alias("debit"),
-                     (price * (F.lit(1).cast("decimal(18,4)") - F.col("l_discount").cast("decimal(18,4)"))).alias("credit"))
+    return li.select(F.col("l_linestatus").alias("account_type"), F.col("l_extendedprice").alias("debit"),
+                     (F.col("l_extendedprice") * F.col("l_discount")).alias("credit"))
 
 
 def acc_customer(reg: TableRegistry) -> DataFrame:
@@ -134,8 +137,7 @@ acc_bill AS (SELECT CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS V
   l_extendedprice AS amount, CASE WHEN l_linestatus = 'F' THEN 'paid' ELSE 'open' END AS status FROM lineitem),
 acc_payment AS (SELECT l_suppkey AS vendor_id, l_shipdate AS payment_date, l_extendedprice AS amount,
   l_linestatus AS method FROM lineitem WHERE l_returnflag = 'R'),
-acc_journal AS (SELECT l_linestatus AS account_type, CAST(l_extendedprice AS DECIMAL(18,4)) AS debit,
-  CAST(l_extendedprice AS DECIMAL(18,4)) * (CAST(1 AS DECIMAL(18,4)) - CAST(l_discount AS DECIMAL(18,4))) AS credit
+acc_journal AS (SELECT l_linestatus AS account_type, l_extendedprice AS debit, l_extendedprice * l_discount AS credit
   FROM lineitem),
 acc_customer AS (SELECT c_custkey AS customer_id, c_name AS customer_name, r_name AS region,
   c_mktsegment AS segment FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 # The platform's local time zone (naive timestamps hold its wall clock).
 PLATFORM_TZ = "Asia/Ho_Chi_Minh"
 
-# Money is summed exactly at this precision, then rounded to 2 places.
-MONEY_TYPE = "decimal(18,4)"
-MONEY_SCALE = 2
+#: Exact part of a sum: 26 digits before the point, 12 behind it; what does not fit is carried as a double.
+WIDE = "decimal(38,12)"
+PLACES = 2
 
 # Identifier rule and strict ISO shapes.
 IDENTIFIER_PATTERN = r"^[a-z][a-z0-9_]*$"
@@ -26,21 +26,44 @@ def c(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def money(x: str | Column) -> Column:
-    return c(x).cast(MONEY_TYPE)
+def wide(x: str | Column) -> Column:
+    """The value as a wide decimal; null if it has more digits before the point."""
+    return c(x).try_cast(WIDE)
+
+
+def exact_parts(x: str | Column) -> tuple[Column, Column]:
+    """(decimal sum, double sum of what the decimals leave out). Both can be summed again after a partial sum."""
+    kept = F.coalesce(wide(x), F.when(c(x).isNotNull(), F.lit(0).cast(WIDE)))
+    return F.try_sum(kept), F.sum(c(x).cast("double") - kept.cast("double"))
+
+
+def joined_parts(exact: Column, rest: Column) -> Column:
+    """Both parts as one decimal; null if that overflows."""
+    return F.try_add(exact, rest.try_cast(WIDE))
+
+
+def rounded(exact: Column, otherwise: Column) -> Column:
+    """Rounded once, as a double; ``otherwise`` is the plain double where the exact value overflows."""
+    return F.coalesce(F.round(exact, PLACES).cast("double"), F.round(otherwise, PLACES))
 
 
 def money_sum(x: str | Column) -> Column:
-    """ROUND(SUM(x), 2) summed in decimal so the result does not depend on row order."""
-    return F.round(F.sum(money(x)), MONEY_SCALE).cast("double")
+    """Sum of any numeric column, rounded once at the end: exact in its decimal digits whatever the order of rows,
+    and a plain double sum beyond 26 digits or with NaN or infinity."""
+    return rounded(joined_parts(*exact_parts(x)), F.sum(c(x).cast("double")))
+
+
+def total(x: str | Column) -> Column:
+    """Sum of any numeric column as a double, not rounded; as exact as :func:`money_sum`."""
+    return F.coalesce(joined_parts(*exact_parts(x)).cast("double"), F.sum(c(x).cast("double")))
 
 
 def money_avg(x: str | Column) -> Column:
-    return F.round(F.avg(money(x)), MONEY_SCALE).cast("double")
+    return rounded(F.try_divide(joined_parts(*exact_parts(x)), F.count(c(x))), F.avg(c(x).cast("double")))
 
 
 def money_round(x: str | Column) -> Column:
-    return F.round(money(x), MONEY_SCALE).cast("double")
+    return rounded(wide(x), c(x).cast("double"))
 
 
 def agg_value(agg: str, measure: str | None) -> Column:
@@ -111,9 +134,14 @@ def julian_cutoff(cursor: str | Column, lookback_days: int) -> Column:
 
 
 def text_number(x: str | Column) -> Column:
-    """Text marker -> number: '' is NULL, trailing '.0' accepted, unparsable -> NULL."""
+    """Text marker -> number with its fraction: '' is NULL, unparsable -> NULL."""
     t = F.nullif(F.trim(c(x)), F.lit(""))
-    return t.try_cast("decimal(38,0)")
+    return t.try_cast(WIDE)
+
+
+def plain_number(x: str | Column) -> Column:
+    """A decimal as text without an exponent and without zeros behind its last decimal."""
+    return F.regexp_replace(F.regexp_replace(c(x).cast("string"), r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
 
 
 # Source (PostgreSQL) type names and the platform type each maps to.

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kestrel.functions.scalars import bucket, text_number
+from kestrel.functions.scalars import bucket, plain_number, text_number
 
 
 def count_nulls(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -40,8 +40,8 @@ def min_max_watermark(df: DataFrame, column: str) -> DataFrame:
 
 
 def max_watermark_numeric(df: DataFrame, column: str) -> DataFrame:
-    """Numeric max over a text column: '' as NULL; rendered without a trailing '.0'."""
-    return df.agg(F.max(text_number(column)).cast("string").alias("max_watermark"))
+    """Numeric max over a text column: '' as NULL; rendered without an exponent or trailing zeros."""
+    return df.agg(plain_number(F.max(text_number(column))).alias("max_watermark"))
 
 
 def max_watermark_pair(df: DataFrame, day_col: str, time_col: str) -> DataFrame:
@@ -72,9 +72,9 @@ def distinct_dimension_counts(frames: dict[str, tuple[DataFrame, str]]) -> DataF
 
 
 def status_counts(df: DataFrame, status_col: str) -> DataFrame:
-    """Count per status plus the all-status total as a scalar subquery."""
-    total = df.select(F.count(F.lit(1))).scalar()
-    return df.groupBy(status_col).agg(F.count(F.lit(1)).alias("count")).withColumn("total", total)
+    """Count per status plus the total of all, a scalar subquery over the grouped rows (one scan of the table)."""
+    grouped = df.groupBy(status_col).agg(F.count(F.lit(1)).alias("count"))
+    return grouped.withColumn("total", grouped.select(F.coalesce(F.sum("count"), F.lit(0)).cast("long")).scalar())
 
 
 def series_by_status(df: DataFrame, ts_col: str, status_col: str, start: str, end: str, unit: str = "hour") -> DataFrame:

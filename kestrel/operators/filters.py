@@ -12,23 +12,10 @@ from pyspark.sql import functions as F
 from kestrel.functions.primitives import (FunctionError, coerce_value, condition, exposed_types, time_filter,
                                           typed_literal)
 
-# Page limits of the read routes.
-PAGE_DEFAULT = 100
-PAGE_MAX = 500
-PREVIEW_MAX = 100
-TABLE_PREVIEW_MAX = 10000
-
-
 class LookupError_(ValueError):
     pass
 
 
-def clamp(n: int | None, lo: int, hi: int, default: int) -> int:
-    if n is None:
-        return default
-    return max(lo, min(hi, int(n)))
-
-
 def json_equal(colm: Column, value_json: str) -> Column:
     """Structural JSON equality: both sides parsed to VARIANT (keys sorted) and rendered back."""
     return F.to_json(F.try_parse_json(colm)) == F.to_json(F.parse_json(F.lit(value_json)))
@@ -95,42 +82,54 @@ def require_single(rows: list) -> object:
     return rows[0]
 
 
-def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> DataFrame:
-    """One page in a total order: ``orderBy(...).offset(o).limit(n)`` -> TakeOrderedAndProject."""
-    if offset < 0:
-        raise FunctionError("offset must be >= 0")
-    return df.orderBy(*order).offset(offset).limit(limit) if offset else df.orderBy(*order).limit(limit)
+def page(df: DataFrame, order: list[Column], limit: int | None = None, offset: int = 0, after: Column | None = None) -> DataFrame:
+    """Rows in a total order: all of them, or the ``limit`` first ones after ``offset``.
+
+    Deep pages go on from a row: ``after`` is a condition that holds for the rows behind the last one seen (see
+    :func:`after_key`), so a page costs its own rows, and not all before it as an offset does.
+    """
+    if offset < 0 or limit is not None and limit < 1:
+        raise FunctionError("offset must be >= 0 and limit >= 1")
+    rows = (df if after is None else df.filter(after)).orderBy(*order)
+    rows = rows.offset(offset) if offset else rows
+    return rows if limit is None else rows.limit(limit)
+
+
+def after_key(key: str, value) -> Column:
+    """Rows behind ``value`` in ascending order of a key, null last."""
+    return F.col(key).isNull() | (F.col(key) > F.lit(value))
+
+
+def after_created(created_col: str, key: str, created, value) -> Column:
+    """Rows behind (created, value) in the order newest first, then by key."""
+    at = F.lit(created).cast("timestamp_ntz") if isinstance(created, str) else F.lit(created)
+    return F.col(created_col).isNull() | (F.col(created_col) < at) | (F.col(created_col) == at) & (F.col(key) > F.lit(value))
 
 
-def page_by_created(df: DataFrame, created_col: str, key: str, limit: int | None = None,
-                    offset: int = 0) -> DataFrame:
-    n = clamp(limit, 1, PAGE_MAX, PAGE_DEFAULT)
-    return page(df, [F.col(created_col).desc_nulls_last(), F.col(key).asc()], n, offset)
+def page_by_created(df: DataFrame, created_col: str, key: str, limit: int | None = None, offset: int = 0, after: Column | None = None) -> DataFrame:
+    return page(df, [F.col(created_col).desc_nulls_last(), F.col(key).asc()], limit, offset, after)
 
 
-def page_by_key(df: DataFrame, key: str, limit: int | None = None, offset: int = 0) -> DataFrame:
-    n = clamp(limit, 1, PAGE_MAX, PAGE_DEFAULT)
-    return page(df, [F.col(key).asc_nulls_last()], n, offset)
+def page_by_key(df: DataFrame, key: str, limit: int | None = None, offset: int = 0, after: Column | None = None) -> DataFrame:
+    return page(df, [F.col(key).asc_nulls_last()], limit, offset, after)
 
 
-def preview_page(df: DataFrame, key: str, limit: int | None = None) -> DataFrame:
-    return page(df, [F.col(key).asc_nulls_last()], clamp(limit, 1, PREVIEW_MAX, 20))
+def preview_page(df: DataFrame, key: str, limit: int = 20) -> DataFrame:
+    return page(df, [F.col(key).asc_nulls_last()], limit)
 
 
-def table_preview(df: DataFrame, key: str, limit: int | None = None, offset: int = 0) -> DataFrame:
+def table_preview(df: DataFrame, key: str, limit: int = 100, offset: int = 0) -> DataFrame:
     """A page of raw rows in key order with ``has_more`` and a row-count estimate.
 
-    ``limit + 1`` rows are read; the extra row only sets ``has_more``. The page is bounded
-    (at most 10,001 rows), so numbering it in one partition is safe. The estimate is a count with
-    no columns, which parquet answers from file footers.
+    ``limit + 1`` rows are read; the extra row only sets ``has_more``, and numbering them takes one task as many
+    rows as the caller asks for. The estimate is a count with no columns, which parquet answers from file footers.
     """
-    n = clamp(limit, 1, TABLE_PREVIEW_MAX, 100)
-    rows = page(df, [F.col(key).asc_nulls_last()], n + 1, offset)
+    rows = page(df, [F.col(key).asc_nulls_last()], limit + 1, offset)
     w = Window.orderBy(F.col(key).asc_nulls_last())
     numbered = rows.withColumn("_kestrel_rn", F.row_number().over(w))
-    has_more = numbered.select(F.max("_kestrel_rn") > n).scalar()
+    has_more = numbered.select(F.max("_kestrel_rn") > limit).scalar()
     estimate = df.select(F.count(F.lit(1))).scalar()
-    return (numbered.filter(F.col("_kestrel_rn") <= n).drop("_kestrel_rn")
+    return (numbered.filter(F.col("_kestrel_rn") <= limit).drop("_kestrel_rn")
             .withColumn("has_more", has_more).withColumn("row_estimate", estimate))
 
 
@@ -184,5 +183,7 @@ def serialize_rows(df: DataFrame, json_columns: tuple[str, ...] = ()) -> DataFra
             colm = F.date_format(colm, "yyyy-MM-dd")
         elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
             colm = F.date_format(colm, "yyyy-MM-dd'T'HH:mm:ss")
+            micros = F.date_format(F.col(f.name), ".SSSSSS")
+            colm = F.concat(colm, F.when(micros == ".000000", "").otherwise(micros))
         out.append(colm.alias(f.name))
     return df.select(*out)

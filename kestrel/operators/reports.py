@@ -7,77 +7,87 @@ following join on that key reuses.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kestrel.functions.primitives import aging_bounds, aging_label
-from kestrel.functions.scalars import MONEY_TYPE as MONEY
-from kestrel.functions.scalars import days_between, money_sum, month_bucket
+from kestrel.functions.primitives import by_age, intervals
+from kestrel.functions.scalars import days_between, exact_parts, joined_parts, money_sum, month_bucket, rounded, total
 
 
 # ------------------------------------------------------------------ procurement summary
+class Fact(NamedTuple):
+    """What one document table adds to its order: a distinct count, sums, an optional count of open rows."""
+
+    key: str
+    count: tuple[str, str]
+    sums: dict[str, str]
+    open_rows: tuple[str, str, str] | None
+    touched: str
+
+
+LINES = Fact("po_no", ("line_count", "po_line_id"), {"total_ordered_quantity": "quantity_ordered", "total_received_quantity": "quantity_received"},
+             ("open_line_count", "line_status", "open"), "lines_updated_at")
+INVOICES = Fact("po_no", ("invoice_count", "invoice_no"), {"total_invoice_amount": "gross_amount", "total_open_invoice_amount": "open_amount"},
+                None, "invoices_updated_at")
+# Columns of the header that the summary shows; one that a header doesn't have is null.
+HEADER_COLUMNS = {"buyer_code": "string", "buyer_name": "string", "company_code": "string", "branch_plant": "string", "currency": "string"}
+
+
+def per_order(rows: DataFrame, fact: Fact) -> DataFrame:
+    """One row per order that has any; sums of no value are 0, and no sum is rounded."""
+    name, of = fact.count
+    aggs = [F.count_distinct(of).alias(name)]
+    aggs += [F.coalesce(total(col), F.lit(0.0)).alias(out) for out, col in fact.sums.items()]
+    if fact.open_rows:
+        out, col, value = fact.open_rows
+        aggs.append(F.count_if(F.col(col) == value).alias(out))
+    return rows.groupBy(fact.key).agg(*aggs, F.max("updated_at").alias(fact.touched))
+
+
 def line_summary(lines: DataFrame) -> DataFrame:
-    """Per order: distinct lines, ordered/received quantity, open lines, last update."""
-    return lines.groupBy("po_no").agg(
-        F.count_distinct("po_line_id").alias("line_count"),
-        money_sum(F.coalesce(F.col("quantity_ordered"), F.lit(0.0))).alias("total_ordered_quantity"),
-        money_sum(F.coalesce(F.col("quantity_received"), F.lit(0.0))).alias("total_received_quantity"),
-        F.count_if(F.col("line_status") == "open").alias("open_line_count"),
-        F.max("updated_at").alias("lines_updated_at"),
-    )
+    return per_order(lines, LINES)
 
 
 def invoice_summary(invoices: DataFrame) -> DataFrame:
-    """Per order (invoices without an order are excluded): count, gross, open, last update."""
-    return invoices.filter(F.col("po_no").isNotNull()).groupBy("po_no").agg(
-        F.count_distinct("invoice_no").alias("invoice_count"),
-        money_sum(F.coalesce(F.col("gross_amount"), F.lit(0.0))).alias("total_invoice_amount"),
-        money_sum(F.coalesce(F.col("open_amount"), F.lit(0.0))).alias("total_open_invoice_amount"),
-        F.max("updated_at").alias("invoices_updated_at"),
-    )
+    return per_order(invoices.filter("po_no IS NOT NULL"), INVOICES)
 
 
-def payment_status(invoice_count: Column, open_amount: Column) -> Column:
-    return (F.when(invoice_count == 0, "no_invoice")
-            .when((open_amount == 0) & (invoice_count > 0), "paid")
-            .when(open_amount > 0, "open")
-            .otherwise("unknown"))
+def payment_status(invoices: Column, still_open: Column) -> Column:
+    """By the exact open amount: the smallest one keeps an order open."""
+    by_amount = F.when(still_open > 0, "open").when(still_open == 0, "paid").otherwise("unknown")
+    return F.when(invoices == 0, "no_invoice").otherwise(by_amount)
 
 
 def po_summary(headers: DataFrame, suppliers: DataFrame, lines: DataFrame, invoices: DataFrame) -> DataFrame:
-    """One row per header: header ⟕ supplier ⟕ line summary ⟕ invoice summary, zeros for missing."""
-    ls, inv = line_summary(lines), invoice_summary(invoices)
-    s = suppliers.select("supplier_code", "supplier_name", F.col("updated_at").alias("s_updated_at"))
-    h = headers
-    j = (h.join(s, on="supplier_code", how="left").join(ls, on="po_no", how="left").join(inv, on="po_no", how="left"))
-    z = lambda c, d=0: F.coalesce(F.col(c), F.lit(d))
-    return j.select(
-        "po_no", "supplier_code", "supplier_name", "order_date", "po_status", "total_amount",
-        z("line_count").alias("line_count"),
-        z("total_ordered_quantity", 0.0).alias("total_ordered_quantity"),
-        z("total_received_quantity", 0.0).alias("total_received_quantity"),
-        z("open_line_count").alias("open_line_count"),
-        z("invoice_count").alias("invoice_count"),
-        z("total_invoice_amount", 0.0).alias("total_invoice_amount"),
-        z("total_open_invoice_amount", 0.0).alias("total_open_invoice_amount"),
-        payment_status(z("invoice_count"), z("total_open_invoice_amount", 0.0)).alias("payment_status_summary"),
-        F.greatest(F.col("updated_at"), F.coalesce("s_updated_at", "updated_at"),
-                   F.coalesce("lines_updated_at", "updated_at"),
-                   F.coalesce("invoices_updated_at", "updated_at")).alias("updated_at"),
-    )
+    """One row per header with its supplier's name and what its lines and invoices add up to (0 without any)."""
+    named = suppliers.select("supplier_code", "supplier_name", F.col("updated_at").alias("supplier_updated_at"))
+    joined = headers.join(named, "supplier_code", "left")
+    facts = []
+    for rows, fact in ((line_summary(lines), LINES), (invoice_summary(invoices), INVOICES)):
+        joined = joined.join(rows, fact.key, "left")
+        zeros = {fact.count[0]: 0, **dict.fromkeys(fact.sums, 0.0), **({fact.open_rows[0]: 0} if fact.open_rows else {})}
+        joined = joined.fillna(zeros)
+        facts += zeros
+    shown = [F.col(n) if n in headers.columns else F.lit(None).cast(t).alias(n) for n, t in HEADER_COLUMNS.items()]
+    last = F.greatest("updated_at", *[F.coalesce(c, "updated_at") for c in ("supplier_updated_at", LINES.touched, INVOICES.touched)])
+    return joined.select("po_no", "supplier_code", "supplier_name", *shown, "order_date", "po_status", "total_amount", *facts,
+                         payment_status(F.col("invoice_count"), F.col("total_open_invoice_amount")).alias("payment_status_summary"),
+                         last.alias("updated_at"))
 
 
 # ------------------------------------------------------------------ accounting panels
 def kpi(invoices: DataFrame, bills: DataFrame) -> DataFrame:
-    """Revenue and cost from two separately summed facts (scalar subqueries, no join)."""
-    rev = invoices.select(F.sum(F.col("amount").cast("decimal(18,4)"))).scalar()
-    cost = bills.select(F.sum(F.col("amount").cast("decimal(18,4)"))).scalar()
+    """Revenue, cost, profit and margin (profit / revenue, a ratio) of two separately summed facts."""
+    summed = lambda df: df.select(joined_parts(*exact_parts("amount"))).scalar()
+    rev, cost = summed(invoices), summed(bills)
     one = invoices.sparkSession.range(1)
     return one.select(
         F.round(rev, 2).cast("double").alias("revenue"),
         F.round(cost, 2).cast("double").alias("cost"),
         F.round(rev - cost, 2).cast("double").alias("gross_profit"),
-        F.round((rev - cost) * 100 / rev, 2).cast("double").alias("margin_pct"),
+        F.round(F.try_divide((rev - cost).cast("double"), rev.cast("double")), 4).alias("margin"),
     )
 
 
@@ -97,8 +107,9 @@ def sum_by(df: DataFrame, group: list[str], amount_col: str, out: str = "amount"
 
 
 def _per_key(fact: DataFrame, key: str, amount_col: str, doc_col: str | None = None) -> DataFrame:
-    """Exact partial sums (and document counts) of a fact per join key: aggregated before any join."""
-    aggs = [F.sum(F.col(amount_col).cast(MONEY)).alias("_amt")]
+    """Partial sums (and document counts) of a fact per join key: aggregated before any join."""
+    exact, rest = exact_parts(amount_col)
+    aggs = [exact.alias("_exact"), rest.alias("_rest"), F.sum(F.col(amount_col).cast("double")).alias("_plain")]
     if doc_col:
         aggs.append(F.count(F.col(doc_col)).alias("_docs"))
     return fact.groupBy(key).agg(*aggs)
@@ -109,37 +120,33 @@ def sum_by_dim(fact: DataFrame, key: str, dim: DataFrame, group: list[str], amou
     """SUM(fact.amount) grouped by dimension attributes, aggregating the fact to its join key first.
 
     The fact is combined map-side and shuffled once as (key, partial sum); the N:1 join then sees one
-    row per key instead of every fact row. Sums stay exact decimals until the final rounding, so the
-    result equals joining first.
+    row per key instead of every fact row. Both parts of the sum stay apart until the final rounding, so
+    the result equals joining first.
     """
-    per_key = _per_key(fact, key, amount_col)
-    j = per_key.join(dim.select(key, *group), on=key, how="left")
-    return j.groupBy(*group).agg(F.round(F.sum("_amt"), 2).cast("double").alias(out))
+    j = _per_key(fact, key, amount_col).join(dim.select(key, *group), on=key, how="left")
+    both = joined_parts(F.try_sum("_exact"), F.sum("_rest"))
+    return j.groupBy(*group).agg(rounded(both, F.sum("_plain")).alias(out))
 
 
 def top_parties(fact: DataFrame, key: str, dim: DataFrame, name_col: str, amount_col: str, doc_col: str,
                 value_name: str, count_name: str, k: int = 10) -> DataFrame:
     """Top-k parties by amount with their document count; names joined after aggregating per key."""
-    per_key = _per_key(fact, key, amount_col, doc_col)
-    j = per_key.join(dim.select(key, name_col), on=key, how="left")
-    g = j.select(key, name_col, F.round("_amt", 2).cast("double").alias(value_name), F.col("_docs").alias(count_name))
+    j = _per_key(fact, key, amount_col, doc_col).join(dim.select(key, name_col), on=key, how="left")
+    amount = rounded(joined_parts(F.col("_exact"), F.col("_rest")), F.col("_plain"))
+    g = j.select(key, name_col, amount.alias(value_name), F.col("_docs").alias(count_name))
     return g.orderBy(F.col(value_name).desc_nulls_last(), F.col(key).asc(), F.col(name_col).asc()).limit(k)
 
 
 def unpaid_aging(df: DataFrame, due_col: str, amount_col: str, status_col: str, as_of: str,
                  buckets: str = "30,60,90") -> DataFrame:
     """Unpaid, past-due documents by age bucket; the last label is '<last>+' (dashboard form)."""
-    bounds = aging_bounds(buckets)
+    steps = intervals(buckets)
     ref = F.lit(as_of).cast("date")
-    age = days_between(ref, due_col)
     past = df.filter((F.col(status_col) != "paid") & (ref >= F.col(due_col).cast("date")))
-    return (past.withColumn("_age", age)
-            .groupBy(aging_label(F.col("_age"), bounds, f"{bounds[-1]}+").alias("bucket"))
-            .agg(money_sum(amount_col).alias("amount"), F.min("_age").alias("_min_age"))
-            .orderBy("_min_age").drop("_min_age"))
+    return by_age(past, days_between(ref, due_col), steps, amount_col, "amount", f"{steps[-2].high}+")
 
 
 def trial_balance(journal: DataFrame, type_col: str = "account_type") -> DataFrame:
-    """sum(debit - credit) per account type; debit and credit are exact decimals."""
-    return journal.groupBy(type_col).agg(
-        F.round(F.sum(F.col("debit") - F.col("credit")), 2).cast("double").alias("balance"))
+    """Sum of debits less sum of credits per account type, rounded once."""
+    both = [joined_parts(*exact_parts(c)) for c in ("debit", "credit")]
+    return journal.groupBy(type_col).agg(rounded(both[0] - both[1], F.sum(F.col("debit") - F.col("credit")).cast("double")).alias("balance"))

@@ -21,17 +21,15 @@ def latest_per_key(df: DataFrame, key: str | list[str], recency: str, tiebreak:
     return df.withColumn("_kestrel_rn", F.row_number().over(w)).filter(F.col("_kestrel_rn") == 1).drop("_kestrel_rn")
 
 
-def with_share_of_total(grouped: DataFrame, total: Column, count_col: str = "count", out: str = "ratio",
-                        scale: int = 4) -> DataFrame:
-    """ratio = count / grand total over all groups, computed before any LIMIT.
+def with_share_of_total(grouped: DataFrame, count_col: str = "count", out: str = "ratio", scale: int = 4) -> DataFrame:
+    """``out`` = count / sum of the counts of all groups, computed before any LIMIT.
 
-    ``total`` is a scalar subquery (``base.select(count(1)).scalar()``): Spark runs it as a separate
-    partial/final aggregate and inlines the value, instead of an un-partitioned ``OVER ()`` window
-    that would pull every group into one task.
+    The total is a scalar subquery over the grouped rows, so the table is read once: Spark reuses the grouped
+    exchange, and no un-partitioned window pulls every group into one task.
     """
+    total = grouped.select(F.sum(count_col)).scalar()
     return grouped.withColumn(
-        out, F.round(F.col(count_col).cast("decimal(38,10)") / total.cast("decimal(38,10)"), scale).cast("double")
-    )
+        out, F.round(F.col(count_col).cast("decimal(38,10)") / total.cast("decimal(38,10)"), scale).cast("double"))
 
 
 def latest_by(df: DataFrame, key: str | list[str], order_col: str, value_cols: list[str]) -> DataFrame:

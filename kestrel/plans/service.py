@@ -12,10 +12,12 @@ plan; when a snapshot of the model is enabled and built, reads come from it inst
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from kestrel.functions.primitives import REGISTRY, FunctionError, run_function
+from kestrel.functions.primitives import REGISTRY, FunctionError, run_function, used_columns
 from kestrel.operators import filters as FL
 from kestrel.plans.check import model_check
 from kestrel.plans.model import ModelError, ModelSpec
@@ -24,19 +26,17 @@ from kestrel.sources.snapshots import SnapshotStore
 from kestrel.sources.tables import TableRegistry
 
 
-def _used_columns(function: str, params: dict) -> list[str]:
-    cols = [c.strip() for c in (params.get("group_by") or "").split(",") if c.strip()]
-    cols += [params[k] for k in ("measure", "date_col") if params.get(k)]
-    if params.get("where"):
-        from kestrel.functions.primitives import split_condition
+@dataclass(frozen=True)
+class RouteLimits:
+    """Largest results of a caller that wants them bounded; a request beyond them is refused, never cut."""
 
-        cols.append(split_condition(params["where"])[0])
-    return list(dict.fromkeys(cols))
+    page: int = 500
+    groups: int = 1000
 
 
 class ModelService:
-    def __init__(self, spark: SparkSession, reg: TableRegistry, store: SnapshotStore | None = None):
-        self.spark, self.reg, self.store = spark, reg, store
+    def __init__(self, spark: SparkSession, reg: TableRegistry, store: SnapshotStore | None = None, limits: RouteLimits | None = None):
+        self.spark, self.reg, self.store, self.limits = spark, reg, store, limits
         self.models: dict[str, ModelSpec] = {}
         self.materialised: set[str] = set()
 
@@ -61,6 +61,8 @@ class ModelService:
     def records(self, name: str, filters: dict[str, str] | None = None, limit: int | None = None,
                 offset: int = 0) -> DataFrame:
         spec = self.models[name]
+        if self.limits and (limit is None or limit > self.limits.page):
+            raise FunctionError(f"limit must be given and at most {self.limits.page}")
         df = FL.filter_equals(self._frame(name), filters or {})
         key = (spec.pk or spec.attributes[0]).name
         return FL.page_by_key(df, key, limit, offset)
@@ -68,7 +70,9 @@ class ModelService:
     def function(self, name: str, function: str, params: dict) -> DataFrame:
         if function not in REGISTRY:
             raise FunctionError(f"unknown function '{function}'; allowed: {sorted(REGISTRY)}")
-        needed = _used_columns(function, params)
+        if self.limits and int(params.get("limit") or 0) > self.limits.groups:
+            raise FunctionError(f"limit must be at most {self.limits.groups}")
+        needed = used_columns(params)
         known = {a.name for a in self.models[name].attributes}
         bad = [c for c in needed if c not in known]
         if bad:

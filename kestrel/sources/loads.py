@@ -13,16 +13,24 @@ import uuid
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kestrel.functions.scalars import plain_number, wide
 from kestrel.operators.windows import latest_per_key
 
 
 def load_full_text(src: DataFrame) -> DataFrame:
-    """Every column becomes text; an empty string becomes NULL."""
-    return src.select(*[F.nullif(F.col(c).cast("string"), F.lit("")).alias(c) for c in src.columns])
+    """Every column becomes text, numbers without an exponent; an empty string becomes NULL."""
+    def text(name: str, kind: str) -> Column:
+        plain = F.col(name).cast("string")
+        if kind in ("double", "float"):
+            digits = plain_number(wide(name))
+            digits = F.when(F.contains(digits, F.lit(".")), digits).otherwise(F.concat(digits, F.lit(".0")))
+            plain = F.when(F.contains(plain, F.lit("E")), F.coalesce(digits, plain)).otherwise(plain)
+        return F.nullif(plain, F.lit("")).alias(name)
+    return src.select(*[text(name, kind) for name, kind in src.dtypes])
 
 
 def load_sample_rows(src: DataFrame, n: int, order_by: list[str]) -> DataFrame:
-    """Row-limited trial load, ordered by key so it is deterministic (TakeOrderedAndProject)."""
+    """Row-limited trial load in the order of a unique key, so it is deterministic."""
     return src.orderBy(*[F.col(c).asc_nulls_last() for c in order_by]).limit(int(n))
 
 

@@ -36,12 +36,19 @@ def test_lookup_type_b_rejects_duplicates(reg):
     assert len(FL.lookup_by_key(li, "l_orderkey", str(k), "A").collect()) == 1
 
 
-def test_paging_clamps_and_orders(reg):
+def test_paging_honours_the_limit_and_goes_on_by_key(reg):
     o = reg.table("orders")
-    page = FL.page_by_key(o, "o_orderkey", 10_000, 0).collect()
-    assert len(page) == min(FL.PAGE_MAX, o.count())
-    keys = [r.o_orderkey for r in page]
-    assert keys == sorted(keys)
+    every = [r.o_orderkey for r in FL.page_by_key(o, "o_orderkey").collect()]
+    assert len(every) == o.count() and every == sorted(every)
+    assert [r.o_orderkey for r in FL.page_by_key(o, "o_orderkey", 900).collect()] == every[:900]
+    second = FL.page_by_key(o, "o_orderkey", 100, after=FL.after_key("o_orderkey", every[99])).collect()
+    assert [r.o_orderkey for r in second] == every[100:200]
+    newest = FL.page_by_created(o, "o_orderdate", "o_orderkey", 50).collect()
+    behind = FL.page_by_created(o, "o_orderdate", "o_orderkey", 50, after=FL.after_created("o_orderdate", "o_orderkey", newest[19].o_orderdate, newest[19].o_orderkey)).collect()
+    assert behind[:30] == newest[20:]
+    assert FL.preview_page(o, "o_orderkey", 700).count() == 700
+    with pytest.raises(FunctionError):
+        FL.page(o, [F.col("o_orderkey")], 0)
     prev = FL.table_preview(o, "o_orderkey", 5).collect()
     assert len(prev) == 5 and prev[0].has_more and prev[0].row_estimate == o.count()
     with pytest.raises(FunctionError):
