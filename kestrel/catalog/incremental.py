@@ -5,7 +5,6 @@ Sandboxed keys write under the session's shared checkpoint folder and return the
 
 from __future__ import annotations
 
-import os
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -238,15 +237,12 @@ def stream_dedup(reg):
     spark = reg.spark
     root = work_dir(spark, "stream-dedup")
     e = reg.table("events").select("event_id", "ts", "user_id", "event_type", "value")
-    landing = os.path.join(root, "landing")
     day = F.dayofmonth("ts")
-    # three files by event time, each overlapping the previous one by two days, and each repeating
-    # its error events once: duplicates inside a file and across files
+    # three landed folders by event time, each overlapping the previous one by two days, and each repeating
+    # its error events once: duplicates inside a batch and across batches
     for i, (a, b) in enumerate(((1, 11), (9, 21), (19, 32))):
         part = e.filter((day >= a) & (day < b))
-        part.unionByName(part.filter(F.col("event_type") == "error")).coalesce(1).write.parquet(
-            os.path.join(landing, f"f{i}"))
-    files = os.path.join(landing, "*")
-    store = SnapshotStore(spark, os.path.join(root, "store"))
-    ST.dedup_stream(spark, files, e.schema, store, "events", ["event_id"], os.path.join(root, "ckpt"))
+        part.unionByName(part.filter(F.col("event_type") == "error")).write.parquet(f"{root}/landing/f{i}")
+    store = SnapshotStore(spark, f"{root}/store")
+    ST.dedup_stream(spark, f"{root}/landing/*", e.schema, store, "events", ["event_id"], f"{root}/ckpt", bytes_per_batch=1 << 16)
     return store.read("events")

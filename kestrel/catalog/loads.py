@@ -6,7 +6,6 @@ read back from disk, so the check covers the sink as well as the transformation.
 
 from __future__ import annotations
 
-import os
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,7 +21,7 @@ from kestrel.session import work_dir
 from kestrel.sources import ingest as I
 from kestrel.sources import loads as L
 from kestrel.sources import matview as MV
-from kestrel.sources.snapshots import GuardError
+from kestrel.sources.snapshots import GuardError, Slices
 from kestrel.sources.tables import DRIVER_TABLES
 from kestrel.streaming import jobs as ST
 
@@ -33,6 +32,7 @@ def ts(d: str):
 
 ORDER_COLS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate"]
 OCOLS = ", ".join(ORDER_COLS)
+BY_ORDER = Slices("hash", ("o_orderkey",), 8)
 
 
 @query("load_full_text", oracle="""
@@ -122,14 +122,12 @@ def inbound_stream(reg):
     spark = reg.spark
     root = work_dir(spark, "inbound-stream")
     recs = inbound_records(reg)
-    early = F.get_json_object("payload", "$.event_id").cast("long") < F.lit(
-        reg.table("events").select(F.percentile_approx("event_id", 0.5)).first()[0])
-    for name, cond in (("a", early), ("b", ~early)):  # two landed files, the whole input between them
-        recs.filter(cond).coalesce(1).write.json(os.path.join(root, "landing", name))
-    ST.inbound_stream(spark, os.path.join(root, "landing", "*"), INBOUND_FIELDS, os.path.join(root, "out"),
-                      os.path.join(root, "ckpt"))
-    acc = spark.read.parquet(os.path.join(root, "out", "accepted"))
-    rej = spark.read.parquet(os.path.join(root, "out", "rejected"))
+    part = F.crc32("payload") % 2
+    for i in range(2):  # landed in two folders, the whole input between them
+        recs.filter(part == i).write.json(f"{root}/landing/f{i}")
+    ST.inbound_stream(spark, f"{root}/landing/*", INBOUND_FIELDS, f"{root}/out", f"{root}/ckpt", bytes_per_batch=1 << 20)
+    acc = spark.read.parquet(f"{root}/out/accepted")
+    rej = spark.read.parquet(f"{root}/out/rejected")
     n_rej = rej.select("record_id").distinct().count()
     if acc.count() + n_rej != recs.count():
         raise AssertionError("every record must land in exactly one of accepted / rejected")
@@ -149,7 +147,7 @@ def model_schema(reg):
     ensure()
     acc = I.accepted(I.validate(inbound_records(reg), INBOUND_FIELDS), INBOUND_FIELDS)
     acc = acc.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
-    store.swap("events_in", store.read("events_in").unionByName(acc))
+    store.append("events_in", acc)
     ensure()
     return store.read("events_in")
 
@@ -160,14 +158,12 @@ UNION ALL SELECT c_custkey + 100000, c_name, c_nationkey, c_acctbal, CAST(NULL A
 WHERE c_mktsegment = 'BUILDING'""")
 def evolve_add_columns(reg):
     """Old files lack c_acctbal; newer files have it; the declared c_phone exists in neither: additive only."""
-    spark = reg.spark
-    root = work_dir(spark, "evolve")
+    store = sandbox(reg, "evolve")
     c = reg.table("customer")
-    c.select("c_custkey", "c_name", "c_nationkey").write.parquet(os.path.join(root, "part=1"))
-    (c.filter(F.col("c_mktsegment") == "BUILDING").select((F.col("c_custkey") + 100000).alias("c_custkey"), "c_name",
-                                                          "c_nationkey", "c_acctbal")
-     .write.parquet(os.path.join(root, "part=2")))
-    merged = spark.read.option("mergeSchema", "true").parquet(root).drop("part")
+    store.swap("customer", c.select("c_custkey", "c_name", "c_nationkey"))
+    store.append("customer", c.filter(F.col("c_mktsegment") == "BUILDING").select(
+        (F.col("c_custkey") + 100000).alias("c_custkey"), "c_name", "c_nationkey", "c_acctbal"))
+    merged = store.read("customer")
     fields = [I.Field("c_custkey", "integer", True), I.Field("c_name", "text"), I.Field("c_nationkey", "integer"),
               I.Field("c_acctbal", "float"), I.Field("c_phone", "text")]
     return I.evolve_add_columns(merged, fields).select(*[f.name for f in fields])
@@ -189,9 +185,8 @@ def insert_if_absent(reg):
     """ON CONFLICT DO NOTHING: overlapping delta rows (1998) leave the existing rows unchanged."""
     store = sandbox(reg, "insert-if-absent")
     _, old, delta = orders_split(reg)
-    store.swap("orders", old)
-    _, new = L.insert_if_absent(store.read("orders"), delta, ["o_orderkey"], ["o_orderdate"])
-    store.append("orders", new)  # only the inserted rows are written
+    store.swap("orders", old, slices=BY_ORDER)
+    L.insert_new(store, "orders", delta, ["o_orderkey"], ["o_orderdate"])  # only the inserted rows are written
     return store.read("orders")
 
 
@@ -203,8 +198,8 @@ def upsert_update(reg):
     """ON CONFLICT (key) DO UPDATE: delta rows replace the stored rows with the same key."""
     store = sandbox(reg, "upsert")
     _, old, delta = orders_split(reg)
-    store.swap("orders", old)
-    store.swap("orders", L.upsert_update(store.read("orders"), delta, ["o_orderkey"]))
+    store.swap("orders", old, slices=BY_ORDER)
+    L.upsert_slices(store, "orders", delta, ["o_orderkey"], "o_orderdate")  # rewrites only slices with delta keys
     return store.read("orders")
 
 
@@ -213,20 +208,15 @@ SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice + 1 AS o_totalprice, o
 WHERE o_orderdate < TIMESTAMP '1999-01-01'
 UNION ALL SELECT {OCOLS} FROM orders WHERE o_orderdate >= TIMESTAMP '1999-01-01'""")
 def replace_range(reg):
-    """Watermark repair from 1999-01-01: stale target rows from the cutoff on are replaced by source rows.
-
-    The stale target was loaded in two parts (before 1998, then 1998-1999); only the part whose
-    marker range reaches the cutoff is rewritten, the older part is kept as it is.
-    """
+    """Watermark repair from 1999-01-01: stale target rows from the cutoff on are replaced by source rows. The
+    table is cut by month of the marker; only months from the cutoff on are read and rewritten."""
     store = sandbox(reg, "replace-range")
     o = reg.table("orders").select(*ORDER_COLS)
     stale = o.filter(F.col("o_orderdate") < ts("2000-01-01")).withColumn("o_totalprice", F.col("o_totalprice") + 1)
-    store.swap("orders", stale.filter(F.col("o_orderdate") < ts("1998-01-01")), stats_col="o_orderdate")
-    store.append("orders", stale.filter(F.col("o_orderdate") >= ts("1998-01-01")), stats_col="o_orderdate")
-    first = store.parts("orders")[0]
-    res = L.replace_range_parts(store, "orders", o, "o_orderdate", "1999-01-01")
-    if res["kept_parts"] != [first]:
-        raise AssertionError(f"expected only the later part to be rewritten: {res}")
+    store.swap("orders", stale, slices=Slices("month", ("o_orderdate",)))
+    res = L.replace_range_slices(store, "orders", o, "o_orderdate", "1999-01-01")
+    if min(res["touched"]) != "m1999-01":
+        raise AssertionError(f"expected only months from the cutoff on to be rewritten: {res}")
     return store.read("orders")
 
 
@@ -294,8 +284,7 @@ def rows_added(reg):
     store = sandbox(reg, "rows-added")
     _, old, delta = orders_split(reg)
     store.swap("orders", old)
-    _, new = L.insert_if_absent(store.read("orders"), delta, ["o_orderkey"], ["o_orderdate"])
-    r = store.append("orders", new)
+    r = L.insert_new(store, "orders", delta, ["o_orderkey"], ["o_orderdate"])
     return reg.spark.createDataFrame([(r["rows_before"], r["rows_after"], r["rows_added"])],
                                      "rows_before long, rows_after long, rows_added long")
 

@@ -8,7 +8,14 @@ two only re-pulls rows that insert-if-absent then ignores.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import datetime as dt
+import decimal
+import json
+from collections.abc import Callable
+from dataclasses import dataclass
+from typing import Any
+
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from kestrel.functions.scalars import julian_cutoff
@@ -23,7 +30,7 @@ FULL_RELOAD_DEFAULT_INTERVAL = 86400
 # ------------------------------------------------------------------ predicates
 def pull_sequence(marker: str, cursor: int | None) -> Column:
     """Assign-once ids: strictly greater than the cursor, no lookback; no cursor = 0."""
-    return F.col(marker) > F.lit(int(cursor or 0))
+    return F.col(marker) > F.lit(cursor or 0)
 
 
 def day_cutoff_integer(cursor: int | None, lookback_days: int) -> int:
@@ -126,10 +133,39 @@ def cursor_from_target(target: DataFrame, marker: str) -> Column:
 
 
 # ------------------------------------------------------------------ the cycle (driver-side control, Spark data path)
+# Cursor values by type: how they are written to the state file and read back.
+CURSOR_TYPES: dict[str, tuple[type, Callable[[str], Any]]] = {
+    "long": (int, int),
+    "decimal": (decimal.Decimal, decimal.Decimal),
+    "double": (float, float),
+    "timestamp": (dt.datetime, dt.datetime.fromisoformat),
+    "date": (dt.date, dt.date.fromisoformat),
+    "text": (str, str),
+}
+
+
+def packed_cursor(value):
+    """A cursor as JSON that keeps its type; a (day, time) pair as a list of two."""
+    if value is None:
+        return None
+    if isinstance(value, (tuple, list)):
+        return [packed_cursor(v) for v in value]
+    kind = next(k for k, (t, _) in CURSOR_TYPES.items() if isinstance(value, t))
+    return {"type": kind, "value": str(value)}
+
+
+def unpacked_cursor(stored):
+    if stored is None:
+        return None
+    if isinstance(stored, list):
+        return tuple(unpacked_cursor(v) for v in stored)
+    return CURSOR_TYPES[stored["type"]][1](stored["value"])
+
+
 class CursorState:
     """Per-table cursor + the config it was computed under, stored next to the table's snapshots.
 
-    Written with an atomic rename *after* the data version is published, so a crash in between only
+    Written with an atomic rename *after* the data is committed, so a crash in between only
     means the next cycle re-pulls rows that insert-if-absent ignores.
     """
 
@@ -140,16 +176,15 @@ class CursorState:
         return f"{self.store.root}/{table}/_cursor.json"
 
     def get(self, table: str) -> dict | None:
-        import json
-
         text = self.store.fs.read_text(self._path(table))
-        return None if text is None else json.loads(text)
+        if text is None:
+            return None
+        state = json.loads(text)
+        return {**state, "cursor": unpacked_cursor(state.get("cursor"))}
 
     def put(self, table: str, state: dict) -> None:
-        import json
-
         self.store.fs.mkdirs(f"{self.store.root}/{table}")
-        self.store.fs.write_text_atomic(self._path(table), json.dumps(state, default=str))
+        self.store.fs.write_text_atomic(self._path(table), json.dumps({**state, "cursor": packed_cursor(state.get("cursor"))}))
 
     def reset_if_changed(self, table: str, marker: str, kind: str) -> bool:
         """Marker column or kind changed -> clear the cursor (the next cycle starts from the target)."""
@@ -160,76 +195,90 @@ class CursorState:
         return False
 
 
-def _later(previous, observed):
-    """The larger of the stored cursor (JSON: text for times) and the max observed in the appended rows."""
-    import datetime as _dt
-
-    if previous is None:
-        return observed
-    if observed is None:
-        return previous
-    if isinstance(observed, _dt.datetime) and isinstance(previous, str):
-        previous = _dt.datetime.fromisoformat(previous)
-    return max(previous, observed)
+@dataclass(frozen=True)
+class Pull:
+    """How a cycle finds new rows. ``kind``:
 
+    - ``sequence``: assign-once numbers, strictly above the cursor;
+    - ``date``: a date or timestamp, from the cursor's day less ``lookback_days``;
+    - ``day_number``: CYYDDD numbers, likewise, across year ends;
+    - ``day_time``: a day number and, in ``time_col``, a time: pairs from the cursor's on;
+    - ``after`` and ``overlap``: a timestamp above the cursor, or from ``overlap`` ``unit`` before it.
+    """
 
-def run_cycle(store, table: str, source: DataFrame, marker: str, key: list[str], kind: str = "sequence",
-              lookback_days: int = 1, mode: str = "insert_only", cap_at=None, max_parts: int = 64) -> dict:
-    """predicate -> pull -> insert-if-absent -> publish -> advance cursor to the target's max marker.
+    kind: str
+    marker: str
+    time_col: str | None = None
+    lookback_days: int = 1
+    overlap: int = 0
+    unit: str = "days"
 
-    In the default mode only the new rows are written, as one more part of the table (the cost of a
-    cycle is the delta, not the table); ``mode="update"`` replaces stored rows whose key reappears
-    (upsert), rewriting only the parts whose recorded key range overlaps the delta's keys.
-    ``cap_at`` bounds the new cursor (e.g. the run's clock), so a future-dated marker cannot move
-    the cursor past rows that have not arrived yet. Any failure leaves the published table and the
-    cursor as they were and records the status.
+    def predicate(self, cursor) -> Column:
+        if cursor is None:  # nothing loaded yet: the first cycle is the initial full load
+            return F.lit(True)
+        if self.kind == "sequence":
+            return pull_sequence(self.marker, cursor)
+        if self.kind == "date":
+            return pull_date_lookback(self.marker, str(cursor), self.lookback_days)
+        if self.kind == "day_number":
+            return pull_day_lookback(self.marker, int(cursor), self.lookback_days)
+        if self.kind == "day_time":
+            return pull_day_time(self.marker, self.time_col, *cursor)
+        strategy = {"after": "greater_than_last_watermark", "overlap": "greater_equal_last_watermark_with_overlap"}[self.kind]
+        return pull_overlap(self.marker, str(cursor), strategy, self.overlap, self.unit)
+
+    def latest(self, cap_at=None) -> Column:
+        """Maximum marker (or pair) of an aggregate, of markers up to ``cap_at``."""
+        at = F.col(self.marker)
+        value = F.struct(at.alias("day"), F.col(self.time_col).alias("time")) if self.kind == "day_time" else at
+        return F.max(F.when(at.isNotNull() if cap_at is None else at <= F.lit(cap_at), value))
+
+    def name(self) -> str:
+        return f"{self.marker},{self.time_col}" if self.time_col else self.marker
+
+
+def _plain(value):
+    return tuple(value) if isinstance(value, Row) else value
+
+
+def run_cycle(store, table: str, source: DataFrame, marker: str, key: list[str], kind: str = "sequence", lookback_days: int = 1,
+              mode: str = "insert_only", cap_at=None, time_col: str | None = None, overlap: int = 0, unit: str = "days",
+              slices: int = 8, stamp: bool = False, max_files: int = 64) -> dict:
+    """cursor -> predicate -> pull -> insert-if-absent (or upsert) -> commit -> advance the cursor.
+
+    The table is cut into ``slices`` hash slices of its key. A cycle writes only the new rows; ``mode="update"``
+    replaces stored rows whose key comes again and rewrites the slices that hold them. A changed marker or kind
+    resets the cursor to the target's own maximum. ``cap_at`` bounds the new cursor (e.g. the run's clock), so a
+    future-dated marker cannot move it past rows that have not arrived yet. ``stamp`` adds the audit columns to what
+    the cycle writes. Rows without a key are logged, not loaded. Slices with many small files are compacted, a few a
+    cycle. Any failure leaves the cursor as it was and records the whole message.
     """
-    from kestrel.sources.loads import insert_if_absent, upsert_parts, upsert_update
+    from kestrel.sources.loads import insert_new, stamp_audit, upsert_slices
+    from kestrel.sources.snapshots import Slices
 
+    pull = Pull(kind, marker, time_col, lookback_days, overlap, unit)
     state = CursorState(store)
+    state.reset_if_changed(table, pull.name(), kind)
     st = state.get(table) or {}
+    cursor = st.get("cursor")
     try:
-        target = store.read(table)
-        cursor = st.get("cursor")
-        if cursor is None and target is not None:  # cursor init from the loaded target
-            cursor = target.agg(F.max(marker)).first()[0]
-        if cursor is None:  # nothing loaded yet: the first cycle is the initial full load
-            pred = F.lit(True)
-        elif kind == "sequence":
-            pred = pull_sequence(marker, cursor)
+        if cursor is None and store.exists(table):  # start from the loaded target
+            cursor = _plain(store.read(table).agg(pull.latest(cap_at)).first()[0])
+        delta = source.filter(pull.predicate(cursor))
+        run_id = None
+        if stamp:
+            delta, run_id = stamp_audit(delta)
+        observe = {"cursor": pull.latest(cap_at)}
+        if mode == "update" and store.exists(table):
+            res = upsert_slices(store, table, delta, key, marker)
+            seen = delta.agg(pull.latest(cap_at)).first()[0]  # the rewritten slices hold old rows too
         else:
-            pred = pull_date_lookback(marker, None if cursor is None else str(cursor), lookback_days)
-        delta = source.filter(pred)
-        if target is None:
-            target = source.limit(0)
-        key_range = None
-        if len(key) == 1:  # one small aggregate over the delta; bounds the target key scan
-            lo_hi = delta.agg(F.min(key[0]), F.max(key[0])).first()
-            key_range = (lo_hi[0], lo_hi[1])
-        m = F.col(marker) if cap_at is None else F.when(F.col(marker) <= F.lit(cap_at), F.col(marker))
-        observe = {"cursor": F.max(m)}
-        stats_cols = list(dict.fromkeys([marker, *key[:1]]))  # recorded per part: marker and key ranges
-        if mode == "update" and len(key) == 1 and store.exists(table):
-            # only parts whose recorded key range overlaps the delta's keys are rewritten
-            res = upsert_parts(store, table, delta, key[0], stats_col=stats_cols)
-            new_cursor = _later(cursor, delta.agg(F.max(m)).first()[0])
-        elif mode == "update":  # composite key: the replaced rows may live in any part
-            res = store.swap(table, upsert_update(target, delta, key), sort_within=key, observe=observe,
-                             stats_col=stats_cols)
-            new_cursor = res["metrics"]["cursor"]
-        else:  # only the new rows are written, as one more part of the table
-            lookup = target
-            if key_range is not None and store.exists(table):
-                # parts whose recorded key range cannot overlap the delta's are not even opened
-                overlap = store.parts_overlapping(table, key[0], *key_range)
-                lookup = store.read_parts(table, overlap) if overlap else target.limit(0)
-            _, new = insert_if_absent(lookup, delta, key, [marker], key_range=key_range)
-            res = store.append(table, new, sort_within=key, observe=observe, stats_col=stats_cols)
-            new_cursor = _later(cursor, res["metrics"]["cursor"])
-            store.compact(table, max_parts=max_parts, sort_within=key)  # no-op until parts pile up
-    except Exception as exc:  # noqa: BLE001 - recorded; the cursor does not move
-        state.put(table, {**st, "marker": st.get("marker", marker), "kind": st.get("kind", kind),
-                          "status": "failed", "error": str(exc)[:300]})
+            res = insert_new(store, table, delta, key, [marker], observe, Slices("hash", tuple(key), slices))
+            seen = res["metrics"].get("cursor")
+            store.compact(table, max_files, sort_within=key)
+        cursor = max((c for c in (cursor, _plain(seen)) if c is not None), default=None)
+    except Exception as exc:  # recorded; the cursor does not move
+        state.put(table, {**st, "marker": pull.name(), "kind": kind, "status": "failed", "error": str(exc)})
         raise
-    state.put(table, {"cursor": new_cursor, "marker": marker, "kind": kind, "status": "success"})
-    return {**res, "cursor": new_cursor}
+    state.put(table, {"cursor": cursor, "marker": pull.name(), "kind": kind, "status": "success"})
+    return {**res, "cursor": cursor, "run_id": run_id}

@@ -1,20 +1,20 @@
 """Loads: full text snapshot, sampled and windowed loads, audit stamps, key-based merges.
 
 Without a table format there is no MERGE. Insert-style merges (insert-if-absent, key repair) compute
-only the new rows with an anti-join, and ``SnapshotStore.append`` publishes them as one more part;
-rewrites (upsert, range repair) publish replacement parts for just the parts they touch. A part is
-never read and overwritten at the same path.
+only the new rows with an anti-join, and ``SnapshotStore.append`` adds them to the table; upserts and
+range repairs rewrite only the slices of the table that they touch.
 """
 
 from __future__ import annotations
 
 import uuid
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kestrel.functions.scalars import plain_number, wide
-from kestrel.operators.windows import latest_per_key
 
 
 def load_full_text(src: DataFrame) -> DataFrame:
@@ -41,6 +41,10 @@ def load_time_window(src: DataFrame, column: str, start: str, end: str) -> DataF
     return src.filter(F.col(column).between(F.lit(start).cast(cast), F.lit(end).cast(cast)))
 
 
+# The audit columns.
+AUDIT_COLUMNS = ("_migrated_at", "_migrate_run_id")
+
+
 def stamp_audit(df: DataFrame, run_id: str | None = None) -> tuple[DataFrame, str]:
     """Add ``_migrated_at`` (query clock) and ``_migrate_run_id`` (one uuid per run)."""
     rid = run_id or str(uuid.uuid4())
@@ -48,39 +52,101 @@ def stamp_audit(df: DataFrame, run_id: str | None = None) -> tuple[DataFrame, st
     return out, rid
 
 
-def dedup_delta(delta: DataFrame, key: list[str], order_by: list[str] | None = None) -> DataFrame:
-    """One row per key inside a delta: the earliest by ``order_by``; remaining ties are broken by the
-    other columns in order, so the winner does not depend on arrival order."""
-    rest = [c for c in delta.columns if c not in key and c not in (order_by or [])]
-    w = Window.partitionBy(*key).orderBy(*[F.col(c).asc_nulls_last() for c in [*(order_by or []), *rest]])
+def with_key(delta: DataFrame, key: list[str]) -> DataFrame:
+    """The rows whose key has no NULL. The others can't be matched with a stored row: see :func:`without_key`."""
+    return delta.filter(reduce(and_, [F.col(k).isNotNull() for k in key]))
+
+
+def without_key(delta: DataFrame, key: list[str]) -> DataFrame:
+    return delta.filter(reduce(or_, [F.col(k).isNull() for k in key]))
+
+
+def one_per_key(delta: DataFrame, key: list[str], order_by: list[str] | None = None, newest: bool = False) -> DataFrame:
+    """One row per key: the earliest by ``order_by``, or the ``newest``. Ties are decided by the other columns in
+    order, so the winner does not depend on the order of arrival. Spark keeps at most one row per key and task before
+    the shuffle (a window group limit)."""
+    first = [c for c in order_by or [] if c not in key]
+    ranked = [*first, *[c for c in delta.columns if c not in key and c not in first]]
+    if not ranked:
+        return delta.select(*key).distinct()
+    w = Window.partitionBy(*key).orderBy(*[F.col(c).desc_nulls_last() if newest else F.col(c).asc_nulls_last() for c in ranked])
     return delta.withColumn("_kestrel_rn", F.row_number().over(w)).filter("_kestrel_rn = 1").drop("_kestrel_rn")
 
 
-def insert_if_absent(target: DataFrame, delta: DataFrame, key: list[str], order_by: list[str] | None = None,
-                     key_range: tuple | None = None) -> tuple[DataFrame, DataFrame]:
-    """ON CONFLICT DO NOTHING: (next table, inserted rows). Existing rows are left unchanged.
-
-    Only the target's key columns are read for the anti-join. ``key_range=(lo, hi)`` (the delta's
-    min/max of a single key) restricts that read to the range, which parquet min/max statistics
-    turn into skipped row groups when the target is written sorted by the key. A small delta is
-    broadcast by the planner (or by AQE at run time); a large one sort-merges on the key.
-    """
-    d = dedup_delta(delta.select(*target.columns), key, order_by)
-    keys = target.select(*key)
-    if key_range is not None and len(key) == 1 and None not in key_range:
-        keys = keys.filter(F.col(key[0]).between(F.lit(key_range[0]), F.lit(key_range[1])))
-    new = d.join(distinct_keys(keys), on=key, how="left_anti")
-    return target.unionByName(new), new
+def distinct_keys(keys: DataFrame) -> DataFrame:
+    """The key set of a table for an anti-join, de-duplicated by a map-side-combined aggregate so a
+    key repeated in a third of the rows reaches the join once per map task, not once per row."""
+    return keys.distinct()
 
 
-def upsert_update(target: DataFrame, delta: DataFrame, key: list[str], updated_col: str | None = None,
+def insert_if_absent(target: DataFrame, delta: DataFrame, key: list[str], order_by: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """ON CONFLICT DO NOTHING: (next table, inserted rows). Existing rows are left unchanged; rows whose key holds a
+    NULL are not inserted. Only the target's key columns are read for the anti-join."""
+    d = one_per_key(with_key(delta, key), key, order_by)
+    new = d.join(distinct_keys(target.select(*key)), on=key, how="left_anti")
+    return target.unionByName(new, allowMissingColumns=True), new
+
+
+def _require_columns(store, table: str, delta: DataFrame) -> None:
+    """New columns are welcome, but a delta that lacks one of the table's is refused (audit stamps aside)."""
+    lost = [c for c in store.read(table).columns if c not in delta.columns and c not in AUDIT_COLUMNS] if store.exists(table) else []
+    if lost:
+        raise ValueError(f"the delta for {table} lacks {', '.join(lost)}")
+
+
+def _hash_slices(store, table: str, delta: DataFrame, key: list[str]) -> list[str] | None:
+    """The hash slices that hold the delta's keys, at most as many as the table has; None if it isn't cut by the key."""
+    slices = store.slices(table)
+    if slices is None or slices.kind != "hash" or list(slices.columns) != list(key):
+        return None
+    return [r[0] for r in with_key(delta, key).select(slices.value()).distinct().collect()]
+
+
+def insert_new(store, table: str, delta: DataFrame, key: list[str], order_by: list[str] | None = None, observe: dict | None = None,
+               slices=None, meta: dict | None = None) -> dict:
+    """:func:`insert_if_absent` on a stored table: only the new rows are written, and keys are looked up only in the
+    slices that can hold them and, for a single key, in its range (parquet statistics skip the rest). Rows without a
+    key go to the table's reject log; ``rows_rejected`` counts them."""
+    _require_columns(store, table, delta)
+    rejected = without_key(delta, key)
+    n = rejected.count()
+    if n:
+        store.append_rows(f"{table}__rejects", rejected)
+    target = store.read(table, _hash_slices(store, table, delta, key)) if store.exists(table) else delta.limit(0)
+    if len(key) == 1:
+        lo, hi = delta.agg(F.min(key[0]), F.max(key[0])).first()
+        if lo is not None:
+            target = target.filter(F.col(key[0]).between(F.lit(lo), F.lit(hi)))
+    _, new = insert_if_absent(target, delta, key, order_by)
+    return {**store.append(table, new, sort_within=key, observe=observe, slices=slices, meta=meta), "rows_rejected": n}
+
+
+def upsert_update(target: DataFrame, delta: DataFrame, key: list[str], marker: str | None = None,
                   now: Column | None = None) -> DataFrame:
-    """ON CONFLICT (key) DO UPDATE: delta rows replace target rows with the same key."""
-    d = latest_per_key(delta, key[0], updated_col) if (updated_col and len(key) == 1) else delta.dropDuplicates(key)
-    if updated_col and now is not None:
-        d = d.withColumn(updated_col, now)
+    """ON CONFLICT (key) DO UPDATE: of several delta rows with a key the newest by ``marker`` replaces the target's;
+    rows whose key holds a NULL are left out. ``now`` overwrites the marker of what was written."""
+    d = one_per_key(with_key(delta, key), key, [marker] if marker else None, newest=True)
+    if marker and now is not None:
+        d = d.withColumn(marker, now)
     kept = target.join(d.select(*key), on=key, how="left_anti")
-    return kept.unionByName(d.select(*target.columns))
+    return kept.unionByName(d, allowMissingColumns=True)
+
+
+def upsert_slices(store, table: str, delta: DataFrame, key: list[str], marker: str | None = None, observe: dict | None = None) -> dict:
+    """:func:`upsert_update` on a stored table, rewriting only the hash slices that hold the delta's keys; a table not
+    cut by this key is written anew."""
+    _require_columns(store, table, delta)
+    rejected = without_key(delta, key)
+    n = rejected.count()
+    if n:
+        store.append_rows(f"{table}__rejects", rejected)
+    touched = _hash_slices(store, table, delta, key)
+    if touched == []:
+        rows = store.rows(table)
+        return {"table": table, "rows_before": rows, "rows_after": rows, "rows_added": 0, "status": "success", "metrics": {}, "rows_rejected": n}
+    merged = upsert_update(store.read(table, touched), delta, key, marker)
+    res = store.swap(table, merged, sort_within=key, observe=observe) if touched is None else store.overwrite_slices(table, touched, merged, key, observe)
+    return {**res, "rows_rejected": n}
 
 
 def replace_range(target: DataFrame, source: DataFrame, marker: str, cutoff: Column) -> DataFrame:
@@ -89,58 +155,21 @@ def replace_range(target: DataFrame, source: DataFrame, marker: str, cutoff: Col
     return keep.unionByName(source.select(*target.columns).filter(F.col(marker) >= cutoff))
 
 
-def distinct_keys(keys: DataFrame) -> DataFrame:
-    """The key set of a table for an anti-join, de-duplicated by a map-side-combined aggregate so a
-    key repeated in a third of the rows reaches the join once per map task, not once per row."""
-    return keys.distinct()
-
-
-def replace_range_parts(store, table: str, source: DataFrame, marker: str, cutoff) -> dict:
-    """Watermark repair on a stored table that rewrites only the parts the range touches.
-
-    Parts whose recorded ``marker`` max is below the cutoff are kept as they are; the others are
-    rewritten as (their rows with marker < cutoff or NULL) + (source rows with marker >= cutoff).
-    Parts without statistics are always rewritten. The result equals ``replace_range`` on the table.
-    """
-    cut = F.lit(cutoff)
-    stats = store.part_stats(table)
-
-    def reaches(hi) -> bool:  # numbers compare as numbers, times as ISO text (same order)
-        if isinstance(hi, (int, float)) and isinstance(cutoff, (int, float)):
-            return hi >= cutoff
-        return str(hi) >= str(cutoff)
-
-    def part_max(p):
-        return ((stats.get(p) or {}).get(marker) or {}).get("max")
-
-    touched = [p for p in store.parts(table) if part_max(p) is None or reaches(part_max(p))]
-    if touched:
-        stale = store.read_parts(table, touched)
-        kept_rows = stale.filter((F.col(marker) < cut) | F.col(marker).isNull())
-    else:
-        kept_rows = source.limit(0).select(*store.read(table).columns)
-    fresh = source.select(*kept_rows.columns).filter(F.col(marker) >= cut)
-    return store.replace_parts(table, touched, kept_rows.unionByName(fresh), stats_col=marker)
-
-
-def upsert_parts(store, table: str, delta: DataFrame, key: str, stats_col=None) -> dict:
-    """ON CONFLICT (key) DO UPDATE on a stored table, rewriting only the parts that can hold a
-    delta key (by their recorded key range); the rewritten rows are (old rows whose key is not in
-    the delta) + the delta. Parts outside the delta's key range cannot contain a replaced row."""
-    d = delta.dropDuplicates([key])
-    lo, hi = d.agg(F.min(key), F.max(key)).first()
-    if lo is None:
-        return {"status": "noop", "rewritten_parts": [], "kept_parts": store.parts(table)}
-    touched = store.parts_overlapping(table, key, lo, hi)
-    old = store.read_parts(table, touched) if touched else d.limit(0)
-    kept = old.join(distinct_keys(d.select(key)), on=key, how="left_anti")
-    res = store.replace_parts(table, touched, kept.unionByName(d.select(*old.columns)), stats_col=stats_col or key)
-    return {**res, "key_max": hi}
+def replace_range_slices(store, table: str, source: DataFrame, marker: str, cutoff) -> dict:
+    """:func:`replace_range` on a stored table: ``cutoff`` is a value of the marker's type or its text. If the table is
+    cut by the marker, only slices that reach the cutoff are read and rewritten; else it is written anew."""
+    slices = store.slices(table)
+    cut = F.lit(cutoff).cast(dict(store.read(table).dtypes)[marker])
+    if slices is None or slices.kind == "hash" or slices.columns != (marker,):
+        return store.swap(table, replace_range(store.read(table), source, marker, cut))
+    touched = [n for n in store.slice_names(table) if n != "__HIVE_DEFAULT_PARTITION__" and slices.reaches(n, cutoff)]
+    return store.overwrite_slices(table, touched, replace_range(store.read(table, touched), source, marker, cut))
 
 
 def repair_missing(source: DataFrame, target: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Key repair: re-read the source, insert only rows the target lacks. (next table, inserted)."""
-    new = source.select(*target.columns).join(distinct_keys(target.select(*key)), on=key, how="left_anti")
+    """Key repair: re-read the source, insert only rows the target lacks. (next table, inserted). Rows without a whole
+    key can't be told apart from stored ones and are left out."""
+    new = with_key(source.select(*target.columns), key).join(distinct_keys(target.select(*key)), on=key, how="left_anti")
     return target.unionByName(new), new
 
 

@@ -56,7 +56,7 @@ def build(store: SnapshotStore, reg: TableRegistry, spec: ModelSpec) -> dict:
     df = build_model(reg, spec)
     t0 = time.time()
     before = int((store.pointer(spec.name) or {}).get("rows", 0))
-    version, rows = store.write_version(spec.name, df, sort_within=_sort_columns(spec, df))
+    version, rows, _ = store.write_version(spec.name, df, sort_within=_sort_columns(spec, df))
     if has_duplicates(store.read_version(spec.name, version).select(spec.pk.name), [spec.pk.name]):
         store.discard(spec.name, version)
         raise MatviewError(f"primary key {spec.pk.name} of {spec.name} is not unique; build refused")
@@ -82,7 +82,7 @@ def refresh(store: SnapshotStore, reg: TableRegistry, spec: ModelSpec) -> dict:
         return res
     except Exception as exc:  # noqa: BLE001 - recorded, never loses the model
         store.append_rows(f"{spec.name}__metrics", _metric(reg.spark, spec, "failed", None, time.time() - t0,
-                                                          str(exc)[:500]))
+                                                          str(exc)))
         return {"status": "failed", "message": str(exc)}
 
 

@@ -1,36 +1,73 @@
-"""Versioned parquet tables with an atomically moved pointer and part manifests.
+"""Published tables: a version folder behind an atomically moved pointer, cut into slices by Spark's own partitioning.
 
 Layout under a store root (inside the cluster's shared checkpoint folder):
 
-    <root>/<table>/v=000001/       parquet files of one part
-    <root>/<table>/_CURRENT        JSON {"parts": ["v=000001", "v=000003"], "previous_parts": [...], ...}
-
-A published version of a table is the list of its parts. A full reload writes one new part and
-publishes ``[it]``; an incremental append writes only the new rows as one more part and publishes
-``old parts + [it]``. Appends therefore cost the size of the delta, not of the table, and
-``compact()`` merges the newest small parts once there are too many. Readers follow ``_CURRENT``, which is replaced by a
-rename through the Hadoop FileSystem API (atomic on HDFS and POSIX file systems), so they never see
-an empty or half-written table. The parts of the version being replaced are kept for readers already
-running; everything else (older parts, leftovers of failed writes) is removed after the move. On an
-object store, or with a catalog, the same move is a table-format commit or ``ALTER TABLE``.
+    <root>/<table>/v=000001/[_slice=.../]   parquet files
+    <root>/<table>/_CURRENT                 JSON {"version": "v=000001", "previous": ..., "slices": ..., "rows": ...}
+
+A full reload writes a new version beside the live one and moves the pointer by a rename through the Hadoop
+FileSystem API (atomic on HDFS and POSIX file systems); the version before stays for readers that resolved it, and a
+guard refuses an empty copy over a live table. Everything smaller works inside the live version: an append adds
+files, and upserts, range repairs and compaction rewrite only the slices they touch, by Spark's dynamic partition
+overwrite. A slice is a month or a range of a marker, or a hash bucket of the key; it is a partition column that
+readers never see, so Spark prunes folders by it and parquet's own statistics prune inside them. Files of different
+column sets are read as one merged schema. Writers of one table take a lock file in turn.
 """
 
 from __future__ import annotations
 
 import datetime as _dt
 import json
+import math
 import time
 import uuid
+from collections.abc import Iterable
+from contextlib import contextmanager
+from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from kestrel.sources.fs import HadoopFS
 
+SLICE = "_slice"
+NO_SLICE = "__HIVE_DEFAULT_PARTITION__"
+
+
 class GuardError(RuntimeError):
     pass
 
 
+@dataclass(frozen=True)
+class Slices:
+    """How a table is cut: ``hash`` buckets of ``columns``, or ``month`` or ``range`` (of ``size``) of the one column.
+
+    For hash, ``size`` is the number of buckets; choose it so that a slice is some gigabytes.
+    """
+
+    kind: str
+    columns: tuple[str, ...]
+    size: float = 0
+
+    def value(self) -> Column:
+        """The slice of a row; null markers have none."""
+        first = F.col(self.columns[0])
+        if self.kind == "hash":
+            return F.concat(F.lit("h"), F.pmod(F.xxhash64(*self.columns), F.lit(int(self.size))).cast("string"))
+        if self.kind == "month":
+            return F.concat(F.lit("m"), F.date_format(first, "yyyy-MM"))
+        return F.concat(F.lit("r"), F.floor(first / F.lit(self.size)).cast("long").cast("string"))
+
+    def reaches(self, name: str, cutoff) -> bool:
+        """Whether a slice can hold markers from ``cutoff`` on."""
+        if name == NO_SLICE or self.kind == "hash":
+            return True
+        if self.kind == "month":
+            return name[1:] >= str(cutoff)[:7]
+        return int(name[1:]) >= math.floor(float(cutoff) / self.size)
+
+
 def _now() -> str:
     return _dt.datetime.now(_dt.UTC).replace(tzinfo=None).isoformat()
 
@@ -40,7 +77,6 @@ class SnapshotStore:
         self.spark = spark
         self.root = root.rstrip("/")
         self.fs = HadoopFS(spark)
-        self.last_metrics: dict = {}
 
     # ---------------------------------------------------------------- pointer
     def _dir(self, table: str) -> str:
@@ -50,210 +86,177 @@ class SnapshotStore:
         text = self.fs.read_text(f"{self._dir(table)}/_CURRENT")
         return None if text is None else json.loads(text)
 
-    def parts(self, table: str) -> list[str]:
-        meta = self.pointer(table) or {}
-        return list(meta.get("parts") or ([meta["version"]] if meta.get("version") else []))
-
     def _move_pointer(self, table: str, meta: dict) -> None:
         self.fs.mkdirs(self._dir(table))
         self.fs.write_text_atomic(f"{self._dir(table)}/_CURRENT", json.dumps(meta))
 
+    @contextmanager
+    def writing(self, table: str, wait_s: float = 60.0):
+        """Hold the table's lock file; another writer waits. A lock left by a lost driver is removed by hand."""
+        self.fs.mkdirs(self._dir(table))
+        lock, until = f"{self._dir(table)}/_LOCK", time.time() + wait_s
+        while not self.fs.create_new(lock, _now()):
+            if time.time() > until:
+                raise TimeoutError(f"{table} is being written since {self.fs.read_text(lock)} ({lock})")
+            time.sleep(0.2)
+        try:
+            yield
+        finally:
+            self.fs.delete(lock, recursive=False)
+
     def versions(self, table: str) -> list[str]:
         return sorted(x for x in self.fs.list_names(self._dir(table)) if x.startswith("v="))
 
     def _next_version(self, table: str) -> str:
         vs = self.versions(table)
-        n = int(vs[-1][2:]) + 1 if vs else 1
-        return f"v={n:06d}"
+        return f"v={(int(vs[-1][2:]) if vs else 0) + 1:06d}"
 
-    # ---------------------------------------------------------------- read / write
+    def slices(self, table: str) -> Slices | None:
+        spec = (self.pointer(table) or {}).get("slices")
+        return Slices(spec["kind"], tuple(spec["columns"]), spec["size"]) if spec else None
+
+    # ---------------------------------------------------------------- read
     def exists(self, table: str) -> bool:
         return self.pointer(table) is not None
 
-    def read(self, table: str) -> DataFrame | None:
-        parts = self.parts(table)
-        if not parts:
+    def live(self, table: str) -> str:
+        return f"{self._dir(table)}/{self.pointer(table)['version']}"
+
+    def read(self, table: str, only: Iterable[str] | None = None) -> DataFrame | None:
+        """The live version with every column that any of its files has; ``only`` names the slices to read."""
+        if not self.exists(table):
             return None
-        return self.spark.read.parquet(*[f"{self._dir(table)}/{p}" for p in parts])
+        df = self.spark.read.option("mergeSchema", "true").parquet(self.live(table))
+        if SLICE not in df.columns:
+            return df
+        return (df if only is None else df.filter(F.coalesce(F.col(SLICE), F.lit(NO_SLICE)).isin(*only))).drop(SLICE)
 
     def read_version(self, table: str, version: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self._dir(table)}/{version}")
+        return self.spark.read.parquet(f"{self._dir(table)}/{version}").drop(SLICE)
+
+    def slice_names(self, table: str) -> list[str]:
+        return [n.split("=", 1)[1] for n in self.fs.list_names(self.live(table)) if n.startswith(f"{SLICE}=")]
+
+    # ---------------------------------------------------------------- write
+    def _put(self, df: DataFrame, path: str, mode: str, slices: Slices | None, sort_within: list[str] | None, observe: dict | None) -> dict:
+        """Write ``df`` and return what was observed on the way: ``rows`` and the named aggregates."""
+        obs = Observation(f"rows_{uuid.uuid4().hex[:8]}")
+        out = df.observe(obs, F.count(F.lit(1)).alias("rows"), *[c.alias(n) for n, c in (observe or {}).items()])
+        if slices:
+            # Each slice is written by as many tasks as its size needs, not by every task that has rows of it.
+            out = out.withColumn(SLICE, slices.value()).hint("rebalance", SLICE)
+        if slices or sort_within:
+            out = out.sortWithinPartitions(*([SLICE] if slices else []), *(sort_within or []))
+        w = out.write.mode(mode).option("partitionOverwriteMode", "dynamic")
+        (w.partitionBy(SLICE) if slices else w).parquet(path)
+        try:
+            return dict(obs.get)
+        except Py4JJavaError:  # Spark drops the observation of a plan that turns out empty while it runs
+            return {"rows": 0, **dict.fromkeys(observe or {})}
+
+    def write_version(self, table: str, df: DataFrame, sort_within: list[str] | None = None, slices: Slices | None = None,
+                      observe: dict | None = None) -> tuple[str, int, dict]:
+        """Write ``df`` as a new, unpublished version: (version, rows, observed), all counted during the write."""
+        version = self._next_version(table)
+        seen = self._put(df, f"{self._dir(table)}/{version}", "errorifexists", slices, sort_within, observe)
+        return version, int(seen.pop("rows")), seen
 
     def discard(self, table: str, version: str) -> None:
-        """Delete an unpublished part (never one the pointer references)."""
-        if version not in self.parts(table):
+        """Delete an unpublished version (never the live one)."""
+        if version != (self.pointer(table) or {}).get("version"):
             self.fs.delete(f"{self._dir(table)}/{version}")
 
-    def write_version(self, table: str, df: DataFrame, sort_within: list[str] | None = None,
-                      partition_by: list[str] | None = None, observe: dict | None = None) -> tuple[str, int]:
-        """Write ``df`` as a new, unpublished part; returns (part, rows) counted during the write.
-
-        ``observe`` adds named aggregate columns computed in the same pass (read ``last_metrics``).
-        """
-        version = self._next_version(table)
-        obs = Observation(f"rows_{uuid.uuid4().hex[:8]}")
-        extra = [c.alias(n) for n, c in (observe or {}).items()]
-        out = df.observe(obs, F.count(F.lit(1)).alias("rows"), *extra)
-        if sort_within:
-            out = out.sortWithinPartitions(*sort_within)
-        w = out.write.mode("errorifexists")
-        if partition_by:
-            w = w.partitionBy(*partition_by)
-        w.parquet(f"{self._dir(table)}/{version}")
-        self.last_metrics = dict(obs.get)
-        return version, int(obs.get["rows"])
-
-    def publish(self, table: str, version: str, meta: dict | None = None, append: bool = False,
-                keep: list[str] | None = None, stats: dict | None = None) -> dict:
-        """Move the pointer: to ``[version]`` (replace), ``parts + [version]`` (append) or
-        ``keep + [version]`` (replace some parts). ``stats`` (min/max of a column in the new part) is
-        recorded per part so later range operations can skip parts.
-
-        The parts of the version being replaced stay on disk (``previous_parts``) so readers that
-        resolved it before the move finish undisturbed; every other folder is removed."""
-        old_meta = self.pointer(table) or {}
-        old = self.parts(table)
-        base = old if append else (keep or [])
-        parts = [*base, version]
-        part_stats = {p: s for p, s in (old_meta.get("part_stats") or {}).items() if p in base}
-        if stats is not None:
-            part_stats[version] = stats
-        m = {"version": version, "parts": parts, "previous_parts": old, "part_stats": part_stats,
-             "published_at": _now(), **(meta or {})}
+    def publish(self, table: str, version: str, meta: dict | None = None, slices: Slices | None = None) -> dict:
+        """Move the pointer to ``version``; the one before stays for its readers, older and failed ones go."""
+        old = (self.pointer(table) or {}).get("version")
+        m = {"version": version, "previous": old, "slices": asdict(slices) if slices else None, "published_at": _now(), **(meta or {})}
         self._move_pointer(table, m)
-        self.drop_unreferenced(table)
-        return m
-
-    def drop_unreferenced(self, table: str) -> None:
-        """Remove part folders that neither the current nor the previous version references."""
-        meta = self.pointer(table) or {}
-        keep = set(meta.get("parts") or []) | set(meta.get("previous_parts") or []) | {meta.get("version")}
         for v in self.versions(table):
-            if v not in keep:
+            if v not in (version, old):
                 self.fs.delete(f"{self._dir(table)}/{v}")
+        return m
 
     def drop(self, table: str) -> None:
         """Unpublish: remove the pointer (readers fall back to the live path)."""
         self.fs.delete(f"{self._dir(table)}/_CURRENT", recursive=False)
 
-    def _rows(self, table: str) -> int:
+    def rows(self, table: str) -> int:
         meta = self.pointer(table)
-        if meta is None:
-            return 0
-        return int(meta["rows"]) if "rows" in meta else self.read(table).count()
-
-    @staticmethod
-    def _cols(stats_col) -> list[str]:
-        return [] if not stats_col else ([stats_col] if isinstance(stats_col, str) else list(stats_col))
-
-    def _with_stats(self, observe: dict | None, stats_col) -> dict:
-        """Add min/max of each statistics column to the write's observed metrics."""
-        obs = dict(observe or {})
-        for i, c in enumerate(self._cols(stats_col)):
-            obs[f"_stats_min_{i}"], obs[f"_stats_max_{i}"] = F.min(c), F.max(c)
-        return obs
-
-    def _stats(self, stats_col) -> dict | None:
-        """Per-column {min, max} of the part just written (times as ISO text)."""
-        cols = self._cols(stats_col)
-        if not cols:
-            return None
-        conv = lambda v: v if v is None or isinstance(v, (int, float)) else str(v)
-        return {c: {"min": conv(self.last_metrics.get(f"_stats_min_{i}")),
-                    "max": conv(self.last_metrics.get(f"_stats_max_{i}"))} for i, c in enumerate(cols)}
-
-    def _metrics(self) -> dict:
-        return {k: v for k, v in self.last_metrics.items() if k != "rows" and not k.startswith("_stats")}
-
-    def swap(self, table: str, df: DataFrame, guard_nonempty: bool = True, min_ratio: float | None = None,
-             meta: dict | None = None, sort_within: list[str] | None = None, observe: dict | None = None,
-             stats_col=None) -> dict:
-        """Full reload: write a new copy, refuse it when empty while the live one has rows, then move
-        the pointer to it alone. Returns rows before/after/added and the status."""
-        before = self._rows(table)
-        t0 = time.time()
-        version, rows = self.write_version(table, df, sort_within=sort_within,
-                                           observe=self._with_stats(observe, stats_col))
-        if guard_nonempty and rows == 0 and before > 0:
-            self.fs.delete(f"{self._dir(table)}/{version}")
-            raise GuardError(f"refusing to publish an empty copy of {table} over {before} live rows")
-        if min_ratio is not None and before > 0 and rows < min_ratio * before:
-            self.fs.delete(f"{self._dir(table)}/{version}")
-            raise GuardError(f"new copy of {table} has {rows} rows, below {min_ratio:.0%} of {before}")
-        self.publish(table, version, {"rows": rows, **(meta or {})}, stats=self._stats(stats_col))
-        return {"table": table, "version": version, "rows_before": before, "rows_after": rows,
-                "rows_added": rows - before, "seconds": round(time.time() - t0, 3), "status": "success",
-                "metrics": self._metrics()}
-
-    def append(self, table: str, df: DataFrame, meta: dict | None = None, sort_within: list[str] | None = None,
-               observe: dict | None = None, stats_col=None) -> dict:
-        """Incremental publish: write only ``df`` (the new rows) as one more part. Nothing is
-        published when ``df`` is empty, so an idempotent re-run leaves the table untouched."""
-        before = self._rows(table)
-        t0 = time.time()
-        version, rows = self.write_version(table, df, sort_within=sort_within,
-                                           observe=self._with_stats(observe, stats_col))
-        metrics = self._metrics()
-        if rows == 0 and self.exists(table):
-            self.fs.delete(f"{self._dir(table)}/{version}")
-        else:
-            self.publish(table, version, {"rows": before + rows, **(meta or {})}, append=True,
-                         stats=self._stats(stats_col))
-        return {"table": table, "version": version, "rows_before": before, "rows_after": before + rows,
-                "rows_added": rows, "seconds": round(time.time() - t0, 3), "status": "success", "metrics": metrics}
-
-    def replace_parts(self, table: str, remove: list[str], df: DataFrame, stats_col=None) -> dict:
-        """Publish ``(parts - remove) + [df]``: rewrite a subset of the table, keep the other parts."""
-        before = self._rows(table)
-        t0 = time.time()
-        version, rows = self.write_version(table, df, observe=self._with_stats(None, stats_col))
-        keep = [p for p in self.parts(table) if p not in remove]
-        kept_rows = self.read_parts(table, keep).count() if keep else 0
-        self.publish(table, version, {"rows": kept_rows + rows}, keep=keep, stats=self._stats(stats_col))
-        return {"table": table, "version": version, "rows_before": before, "rows_after": kept_rows + rows,
-                "rows_added": kept_rows + rows - before, "seconds": round(time.time() - t0, 3),
-                "status": "success", "rewritten_parts": remove, "kept_parts": keep}
-
-    def read_parts(self, table: str, parts: list[str]) -> DataFrame:
-        return self.spark.read.parquet(*[f"{self._dir(table)}/{p}" for p in parts])
-
-    def parts_overlapping(self, table: str, column: str, lo, hi) -> list[str]:
-        """Parts that may hold values of ``column`` within [lo, hi] (parts without stats included)."""
-        def le(a, b):  # numbers compare as numbers, times as ISO text
-            if isinstance(a, (int, float)) and isinstance(b, (int, float)):
-                return a <= b
-            return str(a) <= str(b)
-
-        stats = self.part_stats(table)
-        out = []
-        for p in self.parts(table):
-            s = (stats.get(p) or {}).get(column)
-            if s is None or s.get("min") is None or (le(s["min"], hi) and le(lo, s["max"])):
-                out.append(p)
-        return out
-
-    def part_stats(self, table: str) -> dict:
-        return (self.pointer(table) or {}).get("part_stats") or {}
-
-    def compact(self, table: str, max_parts: int = 64, sort_within: list[str] | None = None) -> dict | None:
-        """When there are more than ``max_parts`` parts, merge the newest ones (the small parts that
-        appends leave behind) into one, keeping their statistics columns; older parts stay as they
-        are, so compaction costs the recent data, not the table."""
-        parts = self.parts(table)
-        if len(parts) <= max_parts:
-            return None
-        tail = parts[max(1, max_parts // 2):]
-        stats = self.part_stats(table)
-        cols = sorted({c for p in tail for c in (stats.get(p) or {})})
-        merged = self.read_parts(table, tail)
-        if sort_within:
-            merged = merged.sortWithinPartitions(*sort_within)
-        return self.replace_parts(table, tail, merged, stats_col=cols or None)
+        return 0 if meta is None else int(meta["rows"]) if "rows" in meta else self.read(table).count()
+
+    def _result(self, table: str, before: int, after: int, t0: float, **more) -> dict:
+        return {"table": table, "rows_before": before, "rows_after": after, "rows_added": after - before,
+                "seconds": round(time.time() - t0, 3), "status": "success", "metrics": {}, **more}
+
+    def swap(self, table: str, df: DataFrame, guard_nonempty: bool = True, min_ratio: float | None = None, meta: dict | None = None,
+             sort_within: list[str] | None = None, observe: dict | None = None, slices: Slices | None = None) -> dict:
+        """Full reload: write a new copy, refuse it when it is empty (or below ``min_ratio``) over a live table with
+        rows, then move the pointer. Slices stay as they were unless given."""
+        with self.writing(table):
+            before, t0, slices = self.rows(table), time.time(), slices or self.slices(table)
+            version, rows, seen = self.write_version(table, df, sort_within, slices, observe)
+            if before and (guard_nonempty and rows == 0 or min_ratio is not None and rows < min_ratio * before):
+                self.discard(table, version)
+                raise GuardError(f"refusing to publish a copy of {table} with {rows} rows over {before} live rows")
+            self.publish(table, version, {"rows": rows, **(meta or {})}, slices)
+            return self._result(table, before, rows, t0, version=version, metrics=seen)
+
+    def append(self, table: str, df: DataFrame, sort_within: list[str] | None = None, observe: dict | None = None,
+               slices: Slices | None = None, meta: dict | None = None) -> dict:
+        """Add the rows of ``df`` to the live version as further files; the first append creates the table."""
+        if not self.exists(table):
+            return self.swap(table, df, sort_within=sort_within, observe=observe, slices=slices, meta=meta)
+        with self.writing(table):
+            before, t0 = self.rows(table), time.time()
+            seen = self._put(df, self.live(table), "append", self.slices(table), sort_within, observe)
+            rows = int(seen.pop("rows"))
+            if rows:
+                self._move_pointer(table, {**self.pointer(table), "rows": before + rows, **(meta or {})})
+            return self._result(table, before, before + rows, t0, metrics=seen)
+
+    def overwrite_slices(self, table: str, touched: list[str], df: DataFrame, sort_within: list[str] | None = None, observe: dict | None = None) -> dict:
+        """Replace the ``touched`` slices by ``df``, whose rows all belong to them; no other slice is read or written.
+
+        ``df`` may read the table: its old files go only when the new ones are committed. A touched slice without a
+        row left is removed after that, so a repeat of an interrupted call mends it.
+        """
+        with self.writing(table):
+            t0, slices, meta = time.time(), self.slices(table), self.pointer(table)
+            before = self.rows(table)
+            old = self.read(table, touched).count() if touched else 0
+            listed = lambda: {n: set(self.fs.list_names(f"{self.live(table)}/{SLICE}={n}")) for n in touched}
+            was = listed()
+            seen = self._put(df, self.live(table), "overwrite", slices, sort_within, observe)
+            rows = int(seen.pop("rows"))
+            for name, files in listed().items():
+                if files == was[name]:  # no row of the new content belongs to it
+                    self.fs.delete(f"{self.live(table)}/{SLICE}={name}")
+            after = before - old + rows
+            self._move_pointer(table, {**meta, "rows": after})
+            return self._result(table, before, after, t0, metrics=seen, touched=sorted(touched))
+
+    def compact(self, table: str, max_files: int = 64, max_slices: int = 8, sort_within: list[str] | None = None) -> list[str]:
+        """Rewrite the slices with more than ``max_files`` files, fullest first, at most ``max_slices`` a run, so a run's
+        cost is bounded. A table without slices is written anew once it has more files than that."""
+        if not self.exists(table):
+            return []
+        count = lambda folder: sum(n.endswith(".parquet") for n in self.fs.list_names(folder))
+        if self.slices(table) is None:
+            if count(self.live(table)) <= max_files:
+                return []
+            self.swap(table, self.read(table), sort_within=sort_within)
+            return [""]
+        files = {n: count(f"{self.live(table)}/{SLICE}={n}") for n in self.slice_names(table)}
+        full = sorted((n for n, k in files.items() if k > max_files), key=lambda n: (-files[n], n))[:max_slices]
+        for name in full:
+            one = self.read(table, [name])
+            self.overwrite_slices(table, [name], one.coalesce(max(1, max_files // 2)), sort_within)
+        return full
 
     def append_rows(self, table: str, df: DataFrame) -> None:
-        """Append-only log tables (metrics, run history): each append is a new file set."""
+        """Append-only log tables (metrics, run history, rejects): each append is a new file set."""
         df.write.mode("append").parquet(f"{self._dir(table)}/log")
 
     def read_log(self, table: str) -> DataFrame | None:
         p = f"{self._dir(table)}/log"
-        return self.spark.read.parquet(p) if self.fs.exists(p) else None
+        return self.spark.read.option("mergeSchema", "true").parquet(p) if self.fs.exists(p) else None

@@ -9,73 +9,64 @@ which is how a scheduled poll runs; a long-running job uses ``processingTime`` i
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from kestrel.sources import ingest as I
-from kestrel.sources.loads import insert_if_absent
-from kestrel.sources.snapshots import SnapshotStore
+from kestrel.sources.loads import insert_new
+from kestrel.sources.snapshots import Slices, SnapshotStore
+
 
+def run(writer, available_now: bool, poll: str = "30 seconds") -> StreamingQuery:
+    """Start the query: over what has landed, until that is done; or for good, polling, and return at once."""
+    if not available_now:
+        return writer.trigger(processingTime=poll).start()
+    query = writer.trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
 
-def _run(query_writer, timeout_s: int = 600) -> None:
-    q = query_writer.start()
-    q.awaitTermination(timeout_s)
-    if q.isActive:
-        q.stop()
-        raise TimeoutError("stream did not finish in time")
-    if q.exception() is not None:
-        raise RuntimeError(str(q.exception()))
 
+def inbound_stream(spark: SparkSession, landing: str, fields: list[I.Field], out_dir: str, checkpoint: str, record_key: str = "record_id",
+                   bytes_per_batch: int = 16 << 30, available_now: bool = True) -> StreamingQuery:
+    """JSON-lines records (record_id, payload) -> accepted table and dead-letter table (both appended).
 
-def inbound_stream(spark: SparkSession, landing: str, fields: list[I.Field], out_dir: str, checkpoint: str,
-                   record_key: str = "record_id", files_per_batch: int = 1, available_now: bool = True) -> None:
-    """JSON-lines records (record_id, payload) -> accepted table and dead-letter table (both appended)."""
+    A micro-batch takes files up to ``bytes_per_batch`` (one at least). ``available_now=False`` starts a query that
+    runs until it is stopped."""
     schema = T.StructType([T.StructField(record_key, T.StringType()), T.StructField("payload", T.StringType())])
-    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).json(landing)
+    src = spark.readStream.schema(schema).option("maxBytesPerTrigger", bytes_per_batch).json(landing)
 
     def batch(df: DataFrame, batch_id: int) -> None:
         # each batch owns its folder and overwrites it: a replay of the same batch id after a
         # failure rewrites the same rows instead of adding them again (exactly-once output)
         v = I.validate(df, fields).persist()
-        (I.accepted(v, fields, keep=[record_key])
-         .write.mode("overwrite").parquet(os.path.join(out_dir, "accepted", f"batch={batch_id}")))
-        (I.rejected(v, record_key)
-         .write.mode("overwrite").parquet(os.path.join(out_dir, "rejected", f"batch={batch_id}")))
+        I.accepted(v, fields, keep=[record_key]).write.mode("overwrite").parquet(f"{out_dir}/accepted/batch={batch_id}")
+        I.rejected(v, record_key).write.mode("overwrite").parquet(f"{out_dir}/rejected/batch={batch_id}")
         v.unpersist()
 
-    w = src.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
-    _run(w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds"))
+    return run(src.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint), available_now)
 
 
-def incremental_stream(spark: SparkSession, landing: str, schema: T.StructType, store: SnapshotStore, table: str,
-                       key: list[str], order_by: list[str] | None, checkpoint: str, files_per_batch: int = 1) -> None:
-    """Each landed delta file -> insert-if-absent: only the batch's new rows are appended as a part."""
-    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(landing)
+def incremental_stream(spark: SparkSession, landing: str, schema: T.StructType, store: SnapshotStore, table: str, key: list[str],
+                       order_by: list[str] | None, checkpoint: str, bytes_per_batch: int = 16 << 30, slices: int = 8,
+                       max_files: int = 64, available_now: bool = True) -> StreamingQuery:
+    """Landed delta files -> insert-if-absent: a batch looks its keys up in the hash slices that can hold them, appends
+    only its new rows, and compacts a few slices once they have many files."""
+    src = spark.readStream.schema(schema).option("maxBytesPerTrigger", bytes_per_batch).parquet(landing)
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        target = store.read(table)
-        key_range = None
-        if target is None:
-            target = spark.createDataFrame([], schema)
-        elif len(key) == 1:  # look only in parts whose recorded key range can hold this batch's keys
-            key_range = tuple(df.agg(F.min(key[0]), F.max(key[0])).first())
-            if None not in key_range:
-                overlap = store.parts_overlapping(table, key[0], *key_range)
-                target = store.read_parts(table, overlap) if overlap else target.limit(0)
-        _, new = insert_if_absent(target, df, key, order_by, key_range=key_range)
-        store.append(table, new, meta={"batch_id": batch_id}, stats_col=key[:1])
+        insert_new(store, table, df, key, order_by, slices=Slices("hash", tuple(key), slices), meta={"batch_id": batch_id})
+        store.compact(table, max_files, sort_within=key)
 
-    _run(src.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True))
+    return run(src.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint), available_now)
 
 
 def dedup_stream(spark: SparkSession, landing: str, schema: T.StructType, store: SnapshotStore, table: str,
-                 key: list[str], checkpoint: str) -> None:
+                 key: list[str], checkpoint: str, **how) -> StreamingQuery:
     """Duplicates inside a batch and across batches are absorbed by key (exact: unbounded key set kept
     in the target table, not in state store memory)."""
-    incremental_stream(spark, landing, schema, store, table, key, None, checkpoint)
+    return incremental_stream(spark, landing, schema, store, table, key, None, checkpoint, **how)
 
 
 def dedup_within_watermark(df: DataFrame, key: list[str], ts_col: str, delay: str = "1 hour") -> DataFrame:

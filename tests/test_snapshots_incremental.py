@@ -1,5 +1,6 @@
 """Versioned snapshots, matviews, incremental cycles, streams and backfill (write sandbox)."""
 
+import datetime as dt
 import os
 
 import pytest
@@ -11,7 +12,8 @@ from kestrel.operators import incremental as N
 from kestrel.plans.model import ModelSpec, attr, build_model
 from kestrel.session import work_dir
 from kestrel.sources import matview as MV
-from kestrel.sources.snapshots import GuardError
+from kestrel.sources import loads as L
+from kestrel.sources.snapshots import GuardError, Slices, SnapshotStore
 from kestrel.streaming import jobs as ST
 
 
@@ -65,8 +67,6 @@ def test_dedup_stream(spark, reg):
     e = reg.table("events").select("event_id", "ts", "value", "event_type")
     e.coalesce(1).write.parquet(os.path.join(root, "landing", "a"))
     e.filter(F.col("event_type") == "click").coalesce(1).write.parquet(os.path.join(root, "landing", "b"))  # replays
-    from kestrel.sources.snapshots import SnapshotStore
-
     store = SnapshotStore(spark, os.path.join(root, "store"))
     ST.dedup_stream(spark, os.path.join(root, "landing", "*"), e.schema, store, "events", ["event_id"],
                     os.path.join(root, "ckpt"))
@@ -85,8 +85,6 @@ def test_backfill_guard_and_reverse(spark, reg, store):
 
 
 def test_dedup_within_watermark(spark, reg):
-    import datetime as dt
-
     root = work_dir(spark, "test-wm")
     e = reg.table("events").select("event_id", "ts")
     e.coalesce(1).write.parquet(os.path.join(root, "landing", "a"))
@@ -111,8 +109,6 @@ def test_insert_if_absent_delta_winner_is_deterministic(spark):
 
 
 def test_cycle_update_mode_and_cursor_cap(spark, store):
-    import datetime as dt
-
     src = spark.createDataFrame([(1, "a", dt.datetime(2024, 1, 1)), (2, "b", dt.datetime(2024, 1, 2)),
                                  (3, "c", dt.datetime(2030, 1, 1))], "k long, v string, m timestamp_ntz")
     N.run_cycle(store, "t", src, "m", ["k"], kind="date", cap_at=dt.datetime(2024, 1, 31))
@@ -143,9 +139,9 @@ def test_ingest_stream_replay_is_exactly_once(spark, reg):
     recs.filter(F.col("record_id").cast("long") < 500).coalesce(1).write.json(os.path.join(root, "landing", "a"))
     recs.filter(F.col("record_id").cast("long") >= 500).coalesce(1).write.json(os.path.join(root, "landing", "b"))
     land, out, ckpt = os.path.join(root, "landing", "*"), os.path.join(root, "out"), os.path.join(root, "ckpt")
-    ST.inbound_stream(spark, land, INBOUND_FIELDS, out, ckpt)
+    ST.inbound_stream(spark, land, INBOUND_FIELDS, out, ckpt, bytes_per_batch=1 << 10)
     replayed = _drop_last_commit(ckpt)
-    ST.inbound_stream(spark, land, INBOUND_FIELDS, out, ckpt)  # restart: the uncommitted batch runs again
+    ST.inbound_stream(spark, land, INBOUND_FIELDS, out, ckpt, bytes_per_batch=1 << 10)  # restart: the uncommitted batch runs again
     acc = spark.read.parquet(os.path.join(out, "accepted"))
     rej = spark.read.parquet(os.path.join(out, "rejected"))
     assert replayed >= 1 and os.path.exists(os.path.join(ckpt, "commits", str(replayed)))  # it ran again
@@ -154,8 +150,6 @@ def test_ingest_stream_replay_is_exactly_once(spark, reg):
 
 
 def test_incremental_stream_replay_adds_nothing(spark, reg):
-    from kestrel.sources.snapshots import SnapshotStore
-
     root = work_dir(spark, "test-replay-inc")
     e = reg.table("events").select("event_id", "ts", "value")
     e.filter(F.col("ts") < F.lit("2024-01-15").cast("timestamp_ntz")).coalesce(1).write.parquet(
@@ -164,9 +158,9 @@ def test_incremental_stream_replay_adds_nothing(spark, reg):
         os.path.join(root, "landing", "b"))
     store = SnapshotStore(spark, os.path.join(root, "store"))
     land, ckpt = os.path.join(root, "landing", "*"), os.path.join(root, "ckpt")
-    ST.incremental_stream(spark, land, e.schema, store, "events", ["event_id"], None, ckpt)
+    ST.incremental_stream(spark, land, e.schema, store, "events", ["event_id"], None, ckpt, bytes_per_batch=1 << 10)
     replayed = _drop_last_commit(ckpt)
-    ST.incremental_stream(spark, land, e.schema, store, "events", ["event_id"], None, ckpt)
+    ST.incremental_stream(spark, land, e.schema, store, "events", ["event_id"], None, ckpt, bytes_per_batch=1 << 10)
     assert os.path.exists(os.path.join(ckpt, "commits", str(replayed)))  # the batch ran again
     assert store.read("events").count() == e.count()
 
@@ -181,98 +175,131 @@ def test_failed_write_never_published_and_previous_kept(spark, store):
     assert store.pointer("t")["version"] == v1 and store.read("t").count() == 5
     store.swap("t", df.filter("k < 3"))
     meta = store.pointer("t")
-    assert meta["previous_parts"] == [v1] and set(store.versions("t")) == {v1, meta["version"]}  # orphan removed
+    assert meta["previous"] == v1 and set(store.versions("t")) == {v1, meta["version"]}  # orphan removed
 
 
-def test_append_writes_only_the_delta_and_compacts(spark, store):
-    base = spark.range(100).withColumnRenamed("id", "k")
-    store.swap("t", base)
-    first = store.parts("t")
-    for lo in (100, 200, 300):
-        r = store.append("t", spark.range(lo, lo + 10).withColumnRenamed("id", "k"))
-        assert r["rows_added"] == 10
-    parts = store.parts("t")
-    assert parts[0] == first[0] and len(parts) == 4  # the existing part is not rewritten
-    assert store.read("t").count() == 130 and store.pointer("t")["rows"] == 130
-    assert store.append("t", base.limit(0))["rows_added"] == 0 and store.parts("t") == parts  # no-op
-    store.compact("t", max_parts=2)
-    assert store.parts("t")[0] == parts[0] and len(store.parts("t")) == 2  # the base part is not rewritten
-    assert store.read("t").count() == 130 and store.pointer("t")["rows"] == 130
-
-
-def test_range_repair_rewrites_only_touched_parts(spark, store):
-    from kestrel.sources.loads import replace_range, replace_range_parts
-
-    df = spark.range(300).select(F.col("id").alias("k"), (F.col("id") * 10).alias("m"), F.lit("old").alias("v"))
-    store.swap("t", df.filter("k < 100"), stats_col="m")
-    store.append("t", df.filter("k >= 100 AND k < 200"), stats_col="m")
-    store.append("t", df.filter("k >= 200"), stats_col="m")
-    parts = store.parts("t")
-    src = df.withColumn("v", F.lit("new"))
-    expect = replace_range(store.read("t"), src, "m", F.lit(1500))
-    res = replace_range_parts(store, "t", src, "m", 1500)
-    assert res["kept_parts"] == [parts[0]] and res["rewritten_parts"] == parts[1:]
-    assert sorted(map(tuple, store.read("t").collect())) == sorted(map(tuple, expect.collect()))
-
-
-def test_sequence_cycle_skips_parts_outside_the_key_range(spark, store):
-    src = spark.range(0, 3000).select(F.col("id").alias("k"), F.lit("x").alias("v"))
-    for hi in (1000, 2000, 3000):
-        N.run_cycle(store, "s", src.filter(F.col("k") < hi), "k", ["k"], kind="sequence")
-    assert store.read("s").count() == 3000 and len(store.parts("s")) == 3
-    assert store.parts_overlapping("s", "k", 2500, 2600) == store.parts("s")[2:]
-    r = N.run_cycle(store, "s", src, "k", ["k"], kind="sequence")
-    assert r["rows_added"] == 0
-
-
-def test_upsert_parts_rewrites_only_overlapping_parts(spark, store):
-    from kestrel.sources.loads import upsert_parts, upsert_update
-
-    df = spark.range(300).select(F.col("id").alias("k"), F.lit("old").alias("v"))
-    store.swap("u", df.filter("k < 100"), stats_col="k")
-    store.append("u", df.filter("k >= 100 AND k < 200"), stats_col="k")
-    store.append("u", df.filter("k >= 200"), stats_col="k")
-    parts = store.parts("u")
-    delta = spark.createDataFrame([(150, "new"), (160, "new"), (400, "new")], "k long, v string")
-    expect = upsert_update(store.read("u"), delta, ["k"])
-    res = upsert_parts(store, "u", delta, "k")
-    assert res["kept_parts"] == [parts[0]]  # keys 150..400 cannot be in the first part
-    assert sorted(map(tuple, store.read("u").collect())) == sorted(map(tuple, expect.collect()))
-    # an update cycle on a time marker with a separate key rewrites only the parts holding those keys
-    import datetime as dt
-
-    t = spark.range(300).select(F.col("id").alias("k"), F.lit("old").alias("v"),
-                                (F.lit(dt.datetime(2024, 1, 1)) + F.make_dt_interval(F.col("id"))).alias("m"))
-    for lo, hi in ((0, 100), (100, 200), (200, 300)):
-        N.run_cycle(store, "w", t.filter((F.col("k") >= lo) & (F.col("k") < hi)), "m", ["k"], kind="date")
-    first = store.parts("w")[0]
-    latest = t.agg(F.max("m")).first()[0]  # an update moves the row's marker to the update time
-    changed = t.filter(F.col("k").isin(250, 290)).withColumn("v", F.lit("newer")).withColumn("m", F.lit(latest))
-    N.run_cycle(store, "w", changed, "m", ["k"], kind="date", mode="update")
-    assert store.parts("w")[0] == first  # keys 250..290 cannot be in the first part
-    got = {r.k: r.v for r in store.read("w").collect()}
-    assert len(got) == 300 and got[250] == got[290] == "newer" and got[10] == "old"
-
-
-def test_cycles_compact_their_tail(spark, store):
-    src = spark.range(0, 600).select(F.col("id").alias("k"), F.lit("x").alias("v"))
-    for hi in range(100, 700, 100):
-        N.run_cycle(store, "c", src.filter(F.col("k") < hi), "k", ["k"], kind="sequence", max_parts=4)
-    assert len(store.parts("c")) <= 4 and store.read("c").count() == 600
-    assert all("k" in s for s in store.part_stats("c").values())  # merged parts keep their key range
-
-
-def test_repair_then_verify_matches(spark, reg, store):
-    """SURVEY §5 law: after a key repair, no source key is missing from the target and the verdict is
-    MATCH (for a source and target with the same key multiset)."""
-    from kestrel.operators import joins as J
-    from kestrel.operators import reconcile as RC
-    from kestrel.sources.loads import repair_missing
+def files(store, table):
+    root = store.live(table).removeprefix("file:")
+    return {os.path.join(d, n) for d, _, names in os.walk(root) for n in names if n.endswith(".parquet")}
 
-    o = reg.table("orders").select("o_orderkey", "o_orderdate", "o_totalprice")
-    store.swap("o", o.filter(F.col("o_orderdate") < F.lit("1998-01-01").cast("timestamp_ntz")))
-    _, new = repair_missing(o, store.read("o"), ["o_orderkey"])
-    store.append("o", new)
-    assert J.missing_rows(o, store.read("o"), ["o_orderkey"]).count() == 0
-    verdict = RC.verify_counts({"o": (o, store.read("o"))}).first()
-    assert verdict.validation_status == "MATCH" and verdict.missed == 0
+
+def test_append_adds_files_and_columns_and_compacts_slices(spark, store):
+    base = spark.range(100).withColumnRenamed("id", "k")
+    by_key = Slices("hash", ("k",), 4)
+    store.swap("t", base, slices=by_key)
+    before = files(store, "t")
+    for i in range(3):
+        res = store.append("t", spark.range(100 + 10 * i, 110 + 10 * i).withColumnRenamed("id", "k").withColumn("extra", F.lit(i)))
+        assert res["rows_added"] == 10
+    assert before <= files(store, "t") and store.read("t").columns == ["k", "extra"]
+    assert store.read("t").filter("extra IS NOT NULL").count() == 30 and store.rows("t") == 130
+    n = len(files(store, "t"))
+    done = store.compact("t", max_files=2, max_slices=3)
+    assert len(done) == 3 and len(files(store, "t")) < n and store.read("t").count() == 130
+    store.compact("t", max_files=2, max_slices=3)
+    assert store.compact("t", max_files=2) == [] and store.read("t").distinct().count() == 130
+
+
+@pytest.mark.parametrize("kind,size", [("month", 0), ("range", 100)])
+def test_range_repair_touches_only_slices_from_the_cutoff(spark, store, kind, size):
+    marker = "timestamp_seconds(k * 86400)::timestamp_ntz" if kind == "month" else "k::decimal(10,2)"
+    df = spark.range(400).withColumnRenamed("id", "k").withColumn("m", F.expr(marker)).withColumn("v", F.lit("old"))
+    df = df.unionByName(spark.range(1).select(F.lit(-1).cast("long").alias("k"), F.lit(None).cast(dict(df.dtypes)["m"]).alias("m"), F.lit("null").alias("v")))
+    store.swap("t", df, slices=Slices(kind, ("m",), size))
+    kept = {f for f in files(store, "t") if "1970-01" in f or "=r0" in f}
+    cutoff = "1970-06-15T00:00:00" if kind == "month" else 250
+    source = df.withColumn("v", F.lit("new")).filter("k >= 0 AND k < 350")  # the last slices lose all their rows
+    L.replace_range_slices(store, "t", source, "m", cutoff)
+    at = 165 if kind == "month" else 250
+    got = sorted(map(tuple, store.read("t").select("k", "v").collect()))
+    assert got == sorted([(-1, "null")] + [(k, "old" if k < at else "new") for k in range(350)])
+    assert kept and kept <= files(store, "t") and store.rows("t") == 351
+
+
+def test_upsert_on_a_decimal_key_rewrites_its_slices_and_keeps_the_newest(spark, store):
+    df = spark.range(300).select(F.col("id").cast("decimal(12,2)").alias("k"), F.lit("old").alias("v"), F.lit(1).alias("m"))
+    store.swap("t", df, slices=Slices("hash", ("k",), 16))
+    before = files(store, "t")
+    delta = spark.createDataFrame([("150", "older", 2), ("150", "newest", 3), ("150", "newer", 2), ("999", "added", 1), (None, "no key", 1)], "k string, v string, m int")
+    delta = delta.withColumn("k", F.col("k").cast("decimal(12,2)"))
+    for d in (delta, delta.orderBy(F.desc("v"))):
+        res = L.upsert_slices(store, "t", d, ["k"], "m")
+        assert res["rows_rejected"] == 1
+        got = {float(r.k): r.v for r in store.read("t").collect()}
+        assert got[150.0] == "newest" and got[999.0] == "added" and len(got) == 301 and store.read("t").count() == 301
+    changed = {f.split("/")[-2] for f in before ^ files(store, "t")}
+    assert 1 <= len(changed) <= 2  # of 16 slices, those of 150 and 999
+
+
+def test_rows_without_a_key_are_logged_and_never_loaded(spark, store):
+    delta = spark.createDataFrame([(None, 1), (None, 2), (3, 3)], "k long, v int")
+    assert N.run_cycle(store, "t", delta, "v", ["k"])["rows_rejected"] == 2
+    assert N.run_cycle(store, "t", delta, "v", ["k"])["rows_added"] == 0
+    assert store.read("t").count() == 1 and store.read_log("t__rejects").count() == 2
+
+
+MARKERS = {
+    "sequence": ("sequence", "decimal(20,4)", ["1.5", "2.25", "3.75", "4.0625"], {}),
+    "date": ("date", "date", ["2023-12-30", "2023-12-31", "2024-01-01", "2024-01-02"], {}),
+    "timestamp": ("date", "timestamp_ntz", ["2023-12-30 10:00:00", "2023-12-31 11:00:00", "2024-01-01 12:00:00", "2024-01-02 13:00:00"], {}),
+    "day_number": ("day_number", "int", ["123364", "123365", "124001", "124002"], {}),
+    "overlap": ("overlap", "timestamp_ntz", ["2023-12-30 10:00:00", "2023-12-31 11:00:00", "2024-01-01 12:00:00", "2024-01-02 13:00:00"], {"overlap": 90, "unit": "minutes"}),
+    "after": ("after", "timestamp_ntz", ["2023-12-30 10:00:00", "2023-12-31 11:00:00", "2024-01-01 12:00:00", "2024-01-02 13:00:00"], {}),
+}
+
+
+@pytest.mark.parametrize("name", MARKERS)
+def test_three_cycles_and_a_rerun_for_every_marker(spark, store, name):
+    kind, sql_type, values, how = MARKERS[name]
+    rows = spark.createDataFrame([(10 * i + j, v) for i, v in enumerate(values) for j in range(3)], "k long, m string").withColumn("m", F.col("m").cast(sql_type))
+    for n in (2, 3, 4, 4):
+        source = rows.filter(F.col("k") < 10 * n)
+        before = store.rows("t")
+        res = N.run_cycle(store, "t", source, "m", ["k"], kind=kind, **how)
+        assert res["rows_after"] == 3 * n and res["rows_added"] == 3 * n - before
+    assert N.CursorState(store).get("t")["cursor"] == rows.agg(F.max("m")).first()[0]
+
+
+def test_day_and_time_pairs(spark, store):
+    rows = spark.createDataFrame([(1, 123365, 235900), (2, 124001, 100), (3, 124001, 200), (4, 124002, 50)], "k long, d long, t long")
+    for n, added in ((2, 2), (3, 1), (4, 1), (4, 0)):
+        res = N.run_cycle(store, "t", rows.filter(F.col("k") <= n), "d", ["k"], kind="day_time", time_col="t")
+        assert res["rows_added"] == added
+    assert N.CursorState(store).get("t")["cursor"] == (124002, 50)
+
+
+def test_a_changed_marker_resets_the_cursor_by_itself(spark, store):
+    rows = spark.createDataFrame([(1, 900, dt.datetime(2024, 1, 1)), (2, 901, dt.datetime(2024, 1, 2)), (3, 5, dt.datetime(2024, 1, 3))], "k long, seq long, at timestamp_ntz")
+    N.run_cycle(store, "t", rows.filter("k < 3"), "seq", ["k"])
+    assert N.run_cycle(store, "t", rows, "seq", ["k"])["rows_added"] == 0  # below the sequence cursor
+    assert N.run_cycle(store, "t", rows, "at", ["k"], kind="date")["rows_added"] == 1
+
+
+def test_audit_stamps_on_what_a_cycle_writes(spark, store):
+    rows = spark.range(10).withColumnRenamed("id", "k")
+    one = N.run_cycle(store, "t", rows.filter("k < 6"), "k", ["k"], stamp=True)
+    two = N.run_cycle(store, "t", rows, "k", ["k"], stamp=True)
+    counts = {r[0]: r[1] for r in store.read("t").groupBy("_migrate_run_id").count().collect()}
+    assert counts == {one["run_id"]: 6, two["run_id"]: 4} and store.read("t").filter("_migrated_at IS NULL").count() == 0
+
+
+def test_writers_take_turns(spark, store):
+    df = spark.range(5).withColumnRenamed("id", "k")
+    store.swap("t", df)
+    with store.writing("t"), pytest.raises(TimeoutError):
+        with store.writing("t", wait_s=0.3):
+            pass
+    assert store.append("t", df)["rows_after"] == 10
+
+
+def test_a_stream_can_run_on(spark, reg):
+    root = work_dir(spark, "test-on")
+    e = reg.table("events").select("event_id", "ts", "value").limit(50)
+    e.write.parquet(f"{root}/landing/a")
+    store = SnapshotStore(spark, f"{root}/store")
+    query = ST.incremental_stream(spark, f"{root}/landing/*", e.schema, store, "events", ["event_id"], None, f"{root}/ckpt", available_now=False)
+    try:
+        query.processAllAvailable()
+        assert query.isActive and store.read("events").count() == 50
+    finally:
+        query.stop()
