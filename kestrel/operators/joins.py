@@ -1,8 +1,7 @@
 """Join operators: fan-out guard, anti-joins, outer series joins, existence, skew-split 1:N joins.
 
-Spark's own size statistics and AQE choose between broadcast and sort-merge. An explicit broadcast
-happens only for data with a proven bound: behind a bounded count (``bounded_broadcast``) or, in
-``skew_split_join``, a hot-key list that can hold at most 1/fraction keys.
+Spark's own size statistics and AQE choose between broadcast and sort-merge. The only explicit broadcast
+is the hot-key list of ``skew_split_join``, which can hold at most 1/fraction keys.
 """
 
 from __future__ import annotations
@@ -10,20 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Fixed value: rows a side may have to be broadcast explicitly.
-BROADCAST_MAX_ROWS = 1_000_000
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only when a bounded probe proves it has at most ``max_rows`` rows.
-
-    The probe reads at most ``max_rows + 1`` rows (``limit`` stops early), so it is cheap even when
-    the side turns out to be large; a large side is left to the planner (sort-merge under AQE).
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def fanout_keys(df: DataFrame, key: str) -> DataFrame:
     """Non-null key values occurring more than once (empty = the key is safe as an N:1 target).
 
@@ -115,8 +100,8 @@ def skew_split_join(left: DataFrame, right: DataFrame, left_key: str, right_key:
     left_cold = left.join(hot_b, is_hot_l, "left_anti")
     right_hot = right.join(hot_b, is_hot_r, "left_semi")
     right_cold = right.join(hot_b, is_hot_r, "left_anti")
-    salted_r = right_hot.withColumn("_kestrel_salt", F.pmod(F.xxhash64(*[F.col(c) for c in right.columns]),
-                                                            F.lit(buckets)))
+    # by row, not by value: the rows of a hot key may agree in every column that is left
+    salted_r = right_hot.withColumn("_kestrel_salt", F.pmod(F.monotonically_increasing_id(), F.lit(buckets)))
     salted_l = left_hot.withColumn("_kestrel_salt", F.explode(F.sequence(F.lit(0).cast("long"),
                                                                          F.lit(buckets - 1).cast("long"))))
     hot_part = salted_l.join(salted_r, (salted_l[left_key] == salted_r[right_key]) &

@@ -95,40 +95,40 @@ def recency_issues(tables: dict, spec: ModelSpec) -> list[tuple[str, str, str]]:
     return out
 
 
+def _issue(df: DataFrame, when, level: str, code: str, message) -> DataFrame:
+    return df.filter(when).select(F.lit(level).alias("level"), F.lit(code).alias("code"), message.alias("message"))
+
+
+def key_groups(df: DataFrame, key: str) -> DataFrame:
+    """One row from one pass: ``most`` rows of any non-null key value, and ``nulls``."""
+    grouped = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    return grouped.agg(F.max(F.when(F.col(key).isNotNull(), F.col("n"))).alias("most"),
+                       F.coalesce(F.max(F.when(F.col(key).isNull(), F.col("n"))), F.lit(0)).alias("nulls"))
+
+
 def data_probes(reg: TableRegistry, spec: ModelSpec) -> DataFrame | None:
-    """PK duplicates / NULLs on the base table, fan-out of each non-fanout join key, INNER drops."""
+    """PK duplicates and NULLs of the base table, fan-out of each non-fanout join key, rows each INNER join drops,
+    wherever in the chain it stands."""
     parts: list[DataFrame] = []
     if spec.pk is not None and spec.latest is None:
-        base = reg.table(spec.base_table)
-        k = spec.pk.source_column
-        dup = (base.filter(F.col(k).isNotNull()).groupBy(k).count().filter("count > 1").limit(1)
-               .select(F.lit("error").alias("level"), F.lit("pk_not_unique").alias("code"),
-                       F.lit(f"primary key {spec.pk.name} is not unique").alias("message")))
-        nulls = (base.agg(F.count_if(F.col(k).isNull()).alias("n")).filter("n > 0")
-                 .select(F.lit("warning").alias("level"), F.lit("pk_nulls").alias("code"),
-                         F.concat(F.lit(f"primary key {spec.pk.name} has "), F.col("n").cast("string"),
-                                  F.lit(" NULL values")).alias("message")))
-        parts += [dup, nulls]
+        seen = key_groups(reg.table(spec.base_table), spec.pk.source_column)
+        both = F.array(
+            F.struct((F.col("most") > 1).alias("found"), F.lit("error").alias("level"), F.lit("pk_not_unique").alias("code"),
+                     F.lit(f"primary key {spec.pk.name} is not unique").alias("message")),
+            F.struct((F.col("nulls") > 0).alias("found"), F.lit("warning").alias("level"), F.lit("pk_nulls").alias("code"),
+                     F.concat(F.lit(f"primary key {spec.pk.name} has "), F.col("nulls").cast("string"), F.lit(" NULL values")).alias("message")))
+        parts.append(seen.select(F.inline(both)).filter("found").drop("found"))
     for j in spec.joins:
-        if j.how != "inner" or j.left_table != spec.base_table:
-            continue
-        base, right = reg.table(spec.base_table), reg.table(j.right_table)
-        dropped = base.join(right.select(F.col(j.right_column).alias("_k")), F.col(j.left_column) == F.col("_k"),
-                            "left_anti")
-        parts.append(dropped.agg(F.count(F.lit(1)).alias("n")).filter("n > 0")
-                     .select(F.lit("warning").alias("level"), F.lit("inner_join_drop").alias("code"),
-                             F.concat(F.lit(f"INNER join to {j.right_table} drops "), F.col("n").cast("string"),
-                                      F.lit(" base rows")).alias("message")))
-    if spec.latest is None:
-        for j in spec.joins:
-            if j.allow_fanout:
-                continue
-            right = reg.table(j.right_table)
-            parts.append(right.filter(F.col(j.right_column).isNotNull()).groupBy(j.right_column).count()
-                         .filter("count > 1").limit(1)
-                         .select(F.lit("error").alias("level"), F.lit("fanout").alias("code"),
-                                 F.lit(f"join key {j.right_table}.{j.right_column} is not unique; "
-                                       "set allow_fanout to permit 1:N").alias("message")))
+        left, right = reg.table(j.left_table), reg.table(j.right_table)
+        if j.how == "inner":
+            keys = right.select(F.col(j.right_column).alias("_k"))
+            dropped = left.join(keys, left[j.left_column] == F.col("_k"), "left_anti").agg(F.count(F.lit(1)).alias("n"))
+            whose = "base" if j.left_table == spec.base_table else j.left_table
+            parts.append(_issue(dropped, "n > 0", "warning", "inner_join_drop", F.concat(
+                F.lit(f"INNER join to {j.right_table} drops "), F.col("n").cast("string"), F.lit(f" {whose} rows"))))
+        if spec.latest is None and not j.allow_fanout:
+            parts.append(_issue(key_groups(right, j.right_column), "most > 1", "error", "fanout", F.lit(
+                f"join key {j.right_table}.{j.right_column} is not unique; set allow_fanout to permit 1:N")))
     return reduce(DataFrame.unionByName, parts) if parts else None
 
 

@@ -91,18 +91,7 @@ class TableRegistry:
 
 
 
-_REGISTRIES: dict[tuple[int, str], TableRegistry] = {}
-
-
 def registry(spark: SparkSession, sf_dir: str) -> TableRegistry:
-    """A registry over ``sf_dir`` whose tables are read lazily, on first use.
-
-    Source tables are resolved once per session and folder (file listing + parquet footer schema);
-    derived frames registered by a query live in a fresh registry layered on top, so queries do not
-    see each other's stand-ins.
-    """
-    key = (id(spark), sf_dir)
-    base = _REGISTRIES.get(key)
-    if base is None or base.spark is not spark:
-        base = _REGISTRIES[key] = TableRegistry(spark, sf_dir)
-    return TableRegistry(spark, sf_dir, base._frames)
+    """A registry over ``sf_dir`` whose tables are listed and read on first use. Each call lists anew, so files that
+    have come since are seen; derived frames registered by a query stay its own."""
+    return TableRegistry(spark, sf_dir)

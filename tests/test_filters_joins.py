@@ -76,7 +76,6 @@ def test_anti_semijoins_and_union(spark):
     extra = spark.createDataFrame([("ALPHA", "x"), ("beta", "x")], "name string, src string")
     assert sorted(r.name for r in J.union_first_wins(prim, extra, "name").collect()) == ["Alpha", "beta"]
     assert not J.is_fanout(dim, "d") and J.is_fanout(spark.createDataFrame([(1,), (1,)], "d int"), "d")
-    assert J.bounded_broadcast(dim, 10).count() == 2
 
 
 def test_model_name_rule(spark):
@@ -108,3 +107,33 @@ def test_serialize_rows(spark):
                                "amt decimal(18,2), d date, ts timestamp_ntz, j string")
     r = FL.serialize_rows(df, json_columns=("j",)).first()
     assert (r.amt, r.d, r.ts, r.j) == (1.5, "2024-01-05", "2024-01-05T10:00:00", '{"a":[2],"b":1}')
+
+
+def test_a_hot_key_is_split_though_only_the_key_is_left(spark):
+    left = spark.createDataFrame([(1,), (2,)], "lk long")
+    right = spark.range(5000).select(F.when(F.col("id") < 4000, 1).otherwise(F.col("id")).alias("rk"))
+    split = J.skew_split_join(left, right, "lk", "rk", "left", fraction=0.1, min_rows=100, buckets=8)
+    assert split.filter("rk = 1").count() == 4000 and split.count() == 4001
+    salts = right.filter("rk = 1").withColumn("s", F.pmod(F.monotonically_increasing_id(), F.lit(8))).groupBy("s").count().collect()
+    assert len(salts) == 8 and max(r[1] for r in salts) <= 2 * min(r[1] for r in salts)
+
+
+def test_one_scan_for_value_checks_and_totals(reg):
+    from kestrel.catalog import queries
+    from kestrel.catalog.scalars import scalar_value_checks  # noqa: F401
+
+    for name in ("scalar_value_checks", "fn_breakdown", "status_counts"):
+        plan = queries()[name](reg.spark, reg.root)._jdf.queryExecution().executedPlan().toString()
+        reads = plan.count("FileScan parquet") - plan.count("ReusedSubquery")
+        assert reads <= 2 and (name != "scalar_value_checks" or reads == 1), plan
+
+
+def test_a_registry_sees_files_that_came_later(spark):
+    from kestrel.session import work_dir
+    from kestrel.sources.tables import registry
+
+    root = work_dir(spark, "late-files")
+    spark.range(5).write.parquet(f"{root}/events.parquet")
+    assert registry(spark, root).table("events").count() == 5
+    spark.range(5).write.mode("append").parquet(f"{root}/events.parquet")
+    assert registry(spark, root).table("events").count() == 10

@@ -25,25 +25,6 @@ def test_work_dir_is_under_the_session_checkpoint_folder(spark):
     assert root and work_dir(spark, "x").startswith(root) and work_dir(spark, "x") != work_dir(spark, "x")
 
 
-def test_bounded_broadcast_only_below_the_limit(spark):
-    small = spark.range(10)
-    big = spark.range(1000)
-    probe = spark.range(5).withColumnRenamed("id", "k")
-
-    def plan(df):
-        return probe.join(df, probe.k == df.id)._jdf.queryExecution().executedPlan().toString()
-
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        assert "BroadcastHashJoin" in plan(J.bounded_broadcast(small, 100))
-        assert "BroadcastHashJoin" not in plan(J.bounded_broadcast(big, 100))
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-        spark.conf.unset("spark.sql.adaptive.enabled")
-    assert J.bounded_broadcast(big, 100).agg(F.count(F.lit(1))).first()[0] == 1000
-
-
 def test_cluster_conf_applies(spark):
     from kestrel.session import CLUSTER_CONF, apply_cluster_conf
 
