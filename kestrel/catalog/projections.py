@@ -11,6 +11,7 @@ from kestrel.catalog import standins as S
 from kestrel.catalog.base import query
 from kestrel.catalog.models import AR_MODEL
 from kestrel.operators import filters as FL
+from kestrel.catalog.reports import PO_SUMMARY_SQL
 from kestrel.operators.reports import po_summary
 from kestrel.plans.model import ModelSpec, attr, build_model
 from kestrel.plans.templates import TEMPLATES
@@ -28,37 +29,36 @@ def mapped_projection(reg):
 
 
 def register_procurement(reg):
-    inv = S.po_invoice(reg).withColumn(
-        "invoice_status", F.when(F.col("open_amount") > 0, "open").otherwise("posted"))
-    reg.register("po_header", S.po_header(reg))
-    reg.register("po_supplier", S.po_supplier(reg))
-    reg.register("po_line", S.po_line(reg))
-    reg.register("po_invoice", inv)
-    reg.register("po_summary", po_summary(reg.table("po_header"), reg.table("po_supplier"), reg.table("po_line"),
-                                          inv))
-
-
-TEMPLATE_ORACLE = S.with_ctes(S.PO_CTES) + """
-SELECT 'supplier' AS template, COUNT(*) AS row_count, 'supplier_code,supplier_name' AS columns FROM po_supplier
-UNION ALL SELECT 'purchase_order', COUNT(*), 'po_no,supplier_code,order_date,po_status,total_amount,source_updated_at'
-  FROM po_header
-UNION ALL SELECT 'purchase_order_line', COUNT(*),
-  'po_no,po_line_id,quantity_ordered,quantity_received,line_status,source_updated_at' FROM po_line
-UNION ALL SELECT 'ap_invoice', COUNT(*), 'invoice_no,po_no,gross_amount,open_amount,status,source_updated_at'
-  FROM po_invoice
-UNION ALL SELECT 'purchase_order_summary', COUNT(*),
-  'po_no,supplier_name,line_count,invoice_count,payment_status_summary,source_updated_at' FROM po_header"""
-
-
-@query("template_models", oracle=TEMPLATE_ORACLE)
+    for name, make in (("po_header", S.po_header), ("po_supplier", S.po_supplier), ("po_line", S.po_line), ("po_invoice", S.po_invoice)):
+        reg.register(name, make(reg))
+    reg.register("po_summary", po_summary(*[reg.table(t) for t in ("po_header", "po_supplier", "po_line", "po_invoice")]))
+
+
+def template_oracle() -> str:
+    """Per template and attribute, over the template's own source column: filled rows, least and greatest as text."""
+    texts = {"supplier_name", "tax_code", "supplier_type", "country", "city", "status", "buyer_name", "company_code", "branch_plant", "currency",
+             "po_status", "po_line_id", "item_code", "item_description", "uom", "line_status", "invoice_no", "payment_status", "payment_status_summary"}
+    rows = []
+    for name, spec in TEMPLATES.items():
+        for a in spec.attributes:
+            edge = [f"{f}({a.source_column})" if a.name in texts else "CAST(NULL AS VARCHAR)" for f in ("MIN", "MAX")]
+            table = {"po_summary": "summary"}.get(a.source_table, a.source_table)
+            rows.append(f"SELECT '{name}' AS template, '{a.name}' AS attribute, COUNT({a.source_column}) AS filled, {edge[0]} AS least, {edge[1]} AS greatest FROM {table}")
+    return PO_SUMMARY_SQL + " UNION ALL ".join(rows)
+
+
+@query("template_models", oracle=template_oracle())
 def template_models(reg):
-    """The five procurement templates built as models; one row per template (rows, columns)."""
+    """The five procurement templates built as models: per attribute its filled rows and, of texts, the least and
+    greatest value."""
     register_procurement(reg)
     parts = []
-    for key, spec in TEMPLATES.items():
+    for name, spec in TEMPLATES.items():
         df = build_model(reg, spec)
-        parts.append(df.agg(F.count(F.lit(1)).alias("row_count")).select(
-            F.lit(key).alias("template"), "row_count", F.lit(",".join(df.columns)).alias("columns")))
+        edge = lambda f, c, kind: f(c) if kind == "string" else F.lit(None).cast("string")
+        seen = df.agg(*[F.struct(F.count(c).alias("filled"), edge(F.min, c, k).alias("least"), edge(F.max, c, k).alias("greatest")).alias(c) for c, k in df.dtypes])
+        each = F.array(*[F.struct(F.lit(name).alias("template"), F.lit(c).alias("attribute"), *[F.col(c)[n].alias(n) for n in ("filled", "least", "greatest")]) for c in df.columns])
+        parts.append(seen.select(F.inline(each)))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -33,28 +33,37 @@ def po_header(reg: TableRegistry) -> DataFrame:
 
 
 def po_supplier(reg: TableRegistry) -> DataFrame:
-    return reg.table("customer").select(F.col("c_custkey").alias("supplier_code"),
-                                        F.col("c_name").alias("supplier_name"), ntz_null().alias("updated_at"))
+    return reg.table("customer").select(
+        F.col("c_custkey").alias("supplier_code"), F.col("c_name").alias("supplier_name"),
+        F.concat(F.lit("T"), F.col("c_custkey").cast("string")).alias("tax_code"), F.col("c_mktsegment").alias("supplier_type"),
+        F.col("c_nationkey").cast("string").alias("country"), F.lit(None).cast("string").alias("city"),
+        F.when(F.col("c_acctbal") < 0, "blocked").otherwise("active").alias("status"), ntz_null().alias("updated_at"))
 
 
 def po_line(reg: TableRegistry) -> DataFrame:
     li = reg.table("lineitem")
+    text = lambda c: F.col(c).cast("string")
     return li.select(
-        F.col("l_orderkey").alias("po_no"), F.col("l_linenumber").alias("po_line_id"),
-        F.col("l_quantity").alias("quantity_ordered"),
+        F.concat(text("l_orderkey"), F.lit("-"), text("l_linenumber")).alias("po_line_id"), F.col("l_orderkey").alias("po_no"),
+        F.col("l_linenumber").alias("line_no"), text("l_partkey").alias("item_code"), F.lit(None).cast("string").alias("item_description"),
+        F.lit("EA").alias("uom"), F.col("l_quantity").alias("quantity_ordered"),
         F.when(F.col("l_linestatus") == "F", F.col("l_quantity")).otherwise(F.lit(0.0)).alias("quantity_received"),
+        (F.col("l_extendedprice") / F.col("l_quantity")).alias("unit_cost"), F.col("l_extendedprice").alias("line_amount"),
         F.when(F.col("l_linestatus") == "O", "open").otherwise("closed").alias("line_status"),
-        F.col("l_shipdate").alias("updated_at"))
+        F.col("l_shipdate").cast("date").alias("promised_date"), F.col("l_shipdate").alias("updated_at"))
 
 
 def po_invoice(reg: TableRegistry) -> DataFrame:
     li = reg.table("lineitem")
     return li.select(
         F.concat(F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_suppkey").cast("string")).alias("invoice_no"),
+        F.col("l_suppkey").alias("supplier_code"),
         F.when(F.col("l_returnflag") == "R", F.lit(None)).otherwise(F.col("l_orderkey")).alias("po_no"),
-        F.col("l_extendedprice").alias("gross_amount"),
+        F.col("l_shipdate").cast("date").alias("invoice_date"), F.date_add(F.col("l_shipdate").cast("date"), 30).alias("due_date"),
+        F.lit("USD").alias("currency"), F.col("l_extendedprice").alias("gross_amount"),
         F.when(F.col("l_linestatus") == "O", F.col("l_extendedprice")).otherwise(F.lit(0.0)).alias("open_amount"),
-        F.col("l_shipdate").alias("updated_at"))
+        F.when(F.col("l_linestatus") == "O", "unpaid").otherwise("paid").alias("payment_status"),
+        F.when(F.col("l_linestatus") == "O", "open").otherwise("posted").alias("invoice_status"), F.col("l_shipdate").alias("updated_at"))
 
 
 PO_CTES = """
@@ -62,15 +71,20 @@ po_header AS (SELECT o_orderkey AS po_no, o_custkey AS supplier_code, o_orderdat
   o_orderstatus AS po_status, o_totalprice AS total_amount, o_orderpriority AS buyer_code,
   substr(o_orderpriority, 3, 20) AS buyer_name, CAST(o_custkey % 7 AS VARCHAR) AS company_code,
   CAST(o_custkey % 25 AS VARCHAR) AS branch_plant, 'USD' AS currency, o_orderdate AS updated_at FROM orders),
-po_supplier AS (SELECT c_custkey AS supplier_code, c_name AS supplier_name, CAST(NULL AS TIMESTAMP) AS updated_at
-  FROM customer),
-po_line AS (SELECT l_orderkey AS po_no, l_linenumber AS po_line_id, l_quantity AS quantity_ordered,
-  CASE WHEN l_linestatus = 'F' THEN l_quantity ELSE 0.0 END AS quantity_received,
-  CASE WHEN l_linestatus = 'O' THEN 'open' ELSE 'closed' END AS line_status, l_shipdate AS updated_at FROM lineitem),
-po_invoice AS (SELECT CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_suppkey AS VARCHAR) AS invoice_no,
-  CASE WHEN l_returnflag = 'R' THEN NULL ELSE l_orderkey END AS po_no, l_extendedprice AS gross_amount,
-  CASE WHEN l_linestatus = 'O' THEN l_extendedprice ELSE 0.0 END AS open_amount, l_shipdate AS updated_at
-  FROM lineitem)"""
+po_supplier AS (SELECT c_custkey AS supplier_code, c_name AS supplier_name, 'T' || c_custkey AS tax_code,
+  c_mktsegment AS supplier_type, CAST(c_nationkey AS VARCHAR) AS country, CAST(NULL AS VARCHAR) AS city,
+  CASE WHEN c_acctbal < 0 THEN 'blocked' ELSE 'active' END AS status, CAST(NULL AS TIMESTAMP) AS updated_at FROM customer),
+po_line AS (SELECT l_orderkey || '-' || l_linenumber AS po_line_id, l_orderkey AS po_no, l_linenumber AS line_no,
+  CAST(l_partkey AS VARCHAR) AS item_code, CAST(NULL AS VARCHAR) AS item_description, 'EA' AS uom, l_quantity AS quantity_ordered,
+  CASE WHEN l_linestatus = 'F' THEN l_quantity ELSE 0.0 END AS quantity_received, l_extendedprice / l_quantity AS unit_cost,
+  l_extendedprice AS line_amount, CASE WHEN l_linestatus = 'O' THEN 'open' ELSE 'closed' END AS line_status,
+  CAST(l_shipdate AS DATE) AS promised_date, l_shipdate AS updated_at FROM lineitem),
+po_invoice AS (SELECT CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_suppkey AS VARCHAR) AS invoice_no, l_suppkey AS supplier_code,
+  CASE WHEN l_returnflag = 'R' THEN NULL ELSE l_orderkey END AS po_no, CAST(l_shipdate AS DATE) AS invoice_date,
+  CAST(l_shipdate AS DATE) + 30 AS due_date, 'USD' AS currency, l_extendedprice AS gross_amount,
+  CASE WHEN l_linestatus = 'O' THEN l_extendedprice ELSE 0.0 END AS open_amount,
+  CASE WHEN l_linestatus = 'O' THEN 'unpaid' ELSE 'paid' END AS payment_status,
+  CASE WHEN l_linestatus = 'O' THEN 'open' ELSE 'posted' END AS invoice_status, l_shipdate AS updated_at FROM lineitem)"""
 
 
 # ------------------------------------------------------------------ accounting

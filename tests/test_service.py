@@ -43,7 +43,11 @@ def test_templates_build_with_renames(spark, reg):
     register_procurement(r)
     cols = {k: build_model(r, spec).columns for k, spec in TEMPLATES.items()}
     assert "status" in cols["ap_invoice"] and "invoice_status" not in cols["ap_invoice"]
-    assert all("source_updated_at" in c for k, c in cols.items() if k != "supplier")
+    assert [k for k, c in cols.items() if "source_updated_at" in c] == ["purchase_order_summary"]
+    assert {k: len(c) for k, c in cols.items()} == {"supplier": 7, "purchase_order_header": 9, "purchase_order_line": 12, "ap_invoice": 10, "purchase_order_summary": 19}
+    assert TEMPLATES["purchase_order_line"].pk.name == "po_line_id"
+    lines = build_model(r, TEMPLATES["purchase_order_line"])
+    assert lines.select("po_line_id").distinct().count() == r.table("po_line").select("po_line_id").distinct().count()
     inv = build_model(r, TEMPLATES["ap_invoice"])
     src = r.table("po_invoice")
     assert inv.count() == src.count()
