@@ -61,9 +61,12 @@ def load_time_window(reg):
 
 @query("stamp_audit")
 def stamp_audit(reg):
-    """Loaded rows with _migrated_at (query clock) and _migrate_run_id (one uuid per run)."""
-    out, _ = L.stamp_audit(reg.table("orders"))
-    return out
+    """Loaded rows with _migrated_at (query clock) and _migrate_run_id (one uuid per run): whether the clock is set and
+    how many runs the ids tell apart stand for the two, as a clock never repeats."""
+    out, run_id = L.stamp_audit(reg.table("orders"))
+    runs = out.select(F.count_distinct("_migrate_run_id")).scalar()
+    stamped = F.col("_migrated_at").isNotNull() & (F.col("_migrate_run_id") == run_id)
+    return out.withColumn("stamped", stamped).withColumn("runs", runs).drop("_migrated_at", "_migrate_run_id")
 
 
 # ------------------------------------------------------------------ validated ingest
@@ -149,7 +152,10 @@ def model_schema(reg):
     acc = acc.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
     store.append("events_in", acc)
     ensure()
-    return store.read("events_in")
+    made = store.read("events_in")
+    if made.columns != [f.name for f in schema.fields]:
+        raise AssertionError(f"columns out of order: {made.columns}")
+    return typed_view(made)
 
 
 @query("evolve_add_columns", oracle="""

@@ -97,7 +97,8 @@ def project_meta_raw(reg):
     fields = [I.Field("event_id", "integer", True), I.Field("event_type", "text", True), I.Field("value", "float")]
     payload = reg.table("events").select(F.to_json(F.struct("event_id", "event_type", "value")).alias("payload"))
     acc = I.accepted(I.validate(payload, fields), fields)
-    return FL.project_meta_raw(acc, [f.name for f in fields], include_meta=True, include_raw=True)
+    out = FL.project_meta_raw(acc, [f.name for f in fields], include_meta=True, include_raw=True)
+    return out.select(*[f.name for f in fields], F.lit(",".join(out.columns)).alias("columns"))  # ids and clocks never repeat
 
 
 @query("serialize_rows", oracle="""

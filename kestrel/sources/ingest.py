@@ -28,6 +28,8 @@ MESSAGES = {
     "boolean": "must be a boolean",
     "date": "must be a valid ISO date YYYY-MM-DD",
     "datetime": "must be a valid ISO datetime string",
+    "date_kind": "must be an ISO date string",
+    "datetime_kind": "must be an ISO datetime string",
     "json": "must be an object or array",
     "body": "must be a flat JSON object",
 }
@@ -60,6 +62,13 @@ def _type_ok(val: Column, kind: Column, data_type: str) -> Column:
     raise ValueError(f"unknown type {data_type}")
 
 
+def _message(kind: Column, data_type: str) -> Column:
+    """Dates that are no text at all are told apart from texts that are no date."""
+    if data_type not in ("date", "datetime"):
+        return F.lit(MESSAGES[data_type])
+    return F.when(kind == "STRING", MESSAGES[data_type]).otherwise(MESSAGES[f"{data_type}_kind"])
+
+
 def _typed(val: Column, data_type: str) -> Column:
     if data_type == "json":
         return F.to_json(val)
@@ -98,7 +107,7 @@ def validate(records: DataFrame, fields: list[Field], payload_col: str = "payloa
         err = F.when(missing & F.lit(f.required), F.struct(F.lit(f.name).alias("field"),
                                                             F.lit(MESSAGES["required"]).alias("message"))) \
             .when(~missing & ~_type_ok(val, kind, f.data_type),
-                  F.struct(F.lit(f.name).alias("field"), F.lit(MESSAGES[f.data_type]).alias("message")))
+                  F.struct(F.lit(f.name).alias("field"), _message(kind, f.data_type).alias("message")))
         checks.append(err)
     field_errs = F.filter(F.array(*checks), lambda x: x.isNotNull()) if checks else F.array()
     body = F.array(F.struct(F.lit("body").alias("field"), F.lit(MESSAGES["body"]).alias("message")))

@@ -54,3 +54,11 @@ def test_schema_and_evolution(spark):
     old = spark.createDataFrame([("x", 1.0)], "invoice_no string, amount double")
     ev = I.evolve_add_columns(old, FIELDS)
     assert ev.columns[:2] == ["invoice_no", "amount"] and "meta" in ev.columns and ev.first().qty is None
+
+
+def test_a_number_is_no_date_string(spark):
+    fields = [I.Field("d", "date"), I.Field("t", "datetime")]
+    df = spark.createDataFrame([("1", '{"d": 20240101, "t": true}'), ("2", '{"d": "2024-13-01", "t": "soon"}')], "record_id string, payload string")
+    got = {(r.record_id, r.field): r.message for r in I.rejected(I.validate(df, fields), "record_id").collect()}
+    assert got == {("1", "d"): "must be an ISO date string", ("1", "t"): "must be an ISO datetime string",
+                   ("2", "d"): "must be a valid ISO date YYYY-MM-DD", ("2", "t"): "must be a valid ISO datetime string"}
