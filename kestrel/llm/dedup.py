@@ -22,10 +22,13 @@ from pyspark.sql import functions as F
 from kestrel.llm.common import SPACE, stage, without
 from kestrel.session import work_dir
 
-#: State on disk; many small stores, so none reserves space ahead.
+#: State on disk; many small stores, so none reserves space ahead, keeps large buffers or stays open between batches.
 STATE_SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "8",
+    "spark.sql.streaming.stateStore.rocksdb.blockCacheSizeMB": "4",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
 }
 #: Landed files that one micro-batch reads at most; bounds its shuffle, not the result.
 BATCH_FILES = 512
