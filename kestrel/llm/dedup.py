@@ -43,12 +43,11 @@ def sha256(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
-def land(docs: DataFrame, id_col: str, text_col: str, digest: Callable[[Column], Column]) -> tuple[DataFrame, str]:
-    """Write (id, body, digest) to the shared folder; returns the table and its path."""
-    path = f"{work_dir(docs.sparkSession, 'landed')}/data"
+def land(docs: DataFrame, id_col: str, text_col: str, digest: Callable[[Column], Column], path: str) -> DataFrame:
+    """Add (id, body, digest) of ``docs`` to the files in ``path``; returns all that has landed there."""
     rows = docs.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("body")).withColumn("digest", digest(F.col("body")))
-    rows.write.parquet(path)
-    return docs.sparkSession.read.schema(rows.schema).parquet(path), path
+    rows.write.mode("append").parquet(path)
+    return docs.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def locator() -> Column:
@@ -101,11 +100,12 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Texts are equal when their whole normalised bytes are; the row with the smallest id stays. Null texts are
     empty ones and equal to them. Null ids come last; of rows with one id and text the one landed first stays.
     Empty table: no rows. Other columns are not read. ``digest`` may be any function of the normalised text; a
-    weak one costs time, never a wrong result. Pass ``checkpoint`` to keep the state for later runs.
+    weak one costs time, never a wrong result. With a ``checkpoint`` folder of the caller's the landed rows and the
+    state last: a later call adds its documents to those of earlier ones and returns the rows of them all.
     """
-    spark = docs.sparkSession
-    landed, path = land(docs, id_col, text_col, digest)
-    state = stage(fold_stream(landed, path, checkpoint or work_dir(spark, "dedup-state")), "dedup-keys")
+    folder = checkpoint or work_dir(docs.sparkSession, "dedup-state")
+    landed = land(docs, id_col, text_col, digest, f"{folder}/landed")
+    state = stage(fold_stream(landed, f"{folder}/landed", folder), "dedup-keys")
     rows = landed.select("id", "digest", "body", locator().alias("at"))
 
     # Full bytes on hits. Few hit digests are broadcast, so that only their texts are shuffled.

@@ -67,6 +67,13 @@ def test_state_goes_on_over_several_runs_and_batches(spark):
             assert {(r.digest, r.keep_id, r.n) for r in state.collect()} == {(d, k, n) for _, d, k, n in plain(seen)}
 
 
+def test_later_calls_meet_earlier_documents(spark):
+    root = work_dir(spark, "dedup-test")
+    dedup.duplicates(docs_of(spark, ROWS[:6]), checkpoint=root)
+    got = dedup.duplicates(docs_of(spark, ROWS[6:]), checkpoint=root).collect()
+    assert sorted(((r.id, r.digest, r.keep_id, r.group_size) for r in got), key=key) == sorted(plain(ROWS), key=key)
+
+
 def test_empty_table(spark):
     docs = docs_of(spark, [])
     assert dedup.duplicates(docs).count() == 0 and dedup.drop_duplicates(docs).count() == 0
