@@ -1,8 +1,10 @@
 """Token ids in files of canonical, length-limited Huffman codes.
 
+Ids travel as little-endian unsigned integers of ``width`` bytes: 2 where all of a document's fit, else 4.
+
 Writing: ids are counted over the whole corpus, package-merge gives the optimal code lengths of at most LIMIT bits,
 and the canonical code follows from the lengths alone. Documents are range-partitioned by id and sorted; each task
-packs its documents, in order, into independent blocks of about BLOCK_BYTES. Inside a block every document starts at
+packs its documents, in order, into independent blocks of about BLOCK_IDS ids. Inside a block every document starts at
 a byte, and checkpoints hold the bit offset of every EVERY-th id of each document. Blocks are rows of Parquet files,
 so Spark commits, retries and lists them on any store: ``part`` and ``block`` (order), ``ids_before`` (ids of earlier
 blocks of the part), ``doc_ids``, ``n_ids``, ``checkpoints`` (unsigned 64-bit, little-endian) and ``payload``; beside
@@ -16,78 +18,115 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from kestrel.llm.bpe import WHITE, slices
+from kestrel.llm.bpe import GPT_PATTERN, WHITE, byte_symbols, forget_half, slices
 from kestrel.llm.common import by_part
 from kestrel.session import work_dir
 
 LIMIT = 16
 EVERY = 128
-BLOCK_BYTES = 1 << 20
+BLOCK_IDS = 1 << 19
 #: Chunks of text whose ids are remembered, for each worker process.
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 20
 
 BLOCKS = "part int, block int, ids_before long, doc_ids array<long>, n_ids array<long>, checkpoints binary, payload binary"
 
 
 class Library(dict):
-    """The ``tokenizers`` library behind a memory of chunks: its byte-level pattern never lets a piece run from
-    visible characters into the white space after them, so a text's ids are those of its chunks (white space, then
-    visible characters) in a row. Files with a normalizer, or another pattern, are encoded text by text."""
+    """The ``tokenizers`` library behind a memory: text -> its ids as 32-bit bytes.
+
+    In the byte-level pattern no piece runs from visible characters into the white space after them, so a text's ids
+    are those of its chunks (white space, then visible characters) in a row, and a chunk's those of its pieces; the
+    library's model encodes every piece that is not remembered. Files with a normalizer, another pattern or a
+    post-processor, and texts that hold a special token's string, go through the library as a whole.
+    """
 
     def __init__(self, spec: str):
         super().__init__()
         self.library = Tokenizer.from_str(spec)
         self.library.no_truncation()
         self.library.no_padding()
+        self.model = self.library.model
         spec = json.loads(spec)
         pre = spec["pre_tokenizer"] or {}
-        self.by_chunk = not spec["normalizer"] and pre.get("type") == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"]
+        self.by_chunk = (not spec["normalizer"] and not spec["post_processor"] and pre.get("type") == "ByteLevel"
+                         and pre["use_regex"] and not pre["add_prefix_space"])
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.chunk = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
+        self.piece = regex.compile(GPT_PATTERN.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
+        self.byte = byte_symbols()
 
-    def __missing__(self, chunk: str) -> bytes:
-        split, model = self.library.pre_tokenizer.pre_tokenize_str, self.library.model
-        found = np.array([t.id for piece, _ in split(chunk) for t in model.tokenize(piece)], np.uint32).tobytes()
-        if len(chunk) <= 64:
+    def keep(self, text: str, ids: bytes) -> bytes:
+        if len(text) <= 64:
             if len(self) >= REMEMBERED:
-                self.clear()
-            self[chunk] = found
-        return found
+                forget_half(self)
+            self[text] = ids
+        return ids
 
-    def encode(self, text: str) -> bytes:
-        """Ids of a text as little-endian unsigned 32-bit integers."""
+    def __missing__(self, chunk: str) -> bytes:
+        word, end = chunk[:-1], chunk[-1]
+        if chunk[0] == " " and word[1:].isalpha():  # most are a space and letters, perhaps one mark: no need to match
+            if end.isalpha():
+                return self.keep(chunk, self.encode_piece(chunk))
+            if end in ".,;:!?":
+                return self.keep(chunk, (self.get(word) or self.keep(word, self.encode_piece(word))) + self[end])
+        pieces = self.piece.findall(chunk)
+        if len(pieces) == 1:
+            return self.keep(chunk, self.encode_piece(chunk))
+        return self.keep(chunk, b"".join([self.get(p) or self.keep(p, self.encode_piece(p)) for p in pieces]))
+
+    def encode_piece(self, piece: str) -> bytes:
+        if piece.isascii() and piece.isprintable():  # these bytes stand for themselves, but for the space
+            symbols = piece.replace(" ", self.byte[32])
+        else:
+            symbols = "".join(map(self.byte.__getitem__, piece.encode()))
+        return array("I", [t.id for t in self.model.tokenize(symbols)]).tobytes()
+
+    def encode(self, text: str) -> np.ndarray:
         if not self.by_chunk or any(s in text for s in self.special):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
-        return b"".join(map(self.__getitem__, self.chunk.findall(text)))
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
+        return np.frombuffer(b"".join(map(self.__getitem__, self.chunk.findall(text))), np.uint32)
+
+
+def narrowed(ids: np.ndarray) -> tuple[bytes, int]:
+    """(bytes, width) of ids."""
+    width = 2 if not len(ids) or int(ids.max()) < 1 << 16 else 4
+    return ids.astype(f"<u{width}").tobytes(), width
+
+
+def widened(ids: pa.Array, width: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x, f"<u{w}") for x, w in zip(ids.to_pylist(), width.to_pylist())]
 
 
 def encode(docs: DataFrame, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids): the ids of every text, null as empty, with ``end_id`` after them, as little-endian unsigned 32-bit
-    integers. One row per input row; the vocabulary file (a path on the driver) is broadcast."""
+    """(id, ids, width): the ids of every text, null as empty, with ``end_id`` after them. One row per input row; the
+    vocabulary file (a path on the driver) is broadcast."""
     with open(vocabulary, encoding="utf-8") as f:
         shared = docs.sparkSession.sparkContext.broadcast({"spec": f.read()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = shared.value.get("codec") or shared.value.setdefault("codec", Library(shared.value["spec"]))
-        end = np.uint32(end_id).tobytes()
+        if "codec" not in shared.value:
+            shared.value["codec"] = Library(shared.value["spec"])
+        codec, end = shared.value["codec"], np.array([end_id], np.uint32)
         for batch in batches:
             texts = batch.column("text")
             for lo, hi in slices(pc.binary_length(texts)):
-                ids = [codec.encode(t or "") + end for t in texts[lo:hi].to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column("id")[lo:hi], pa.array(ids, pa.binary())], ["id", "ids"])
+                ids = [narrowed(np.concatenate((codec.encode(t or ""), end))) for t in texts[lo:hi].to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column("id")[lo:hi], pa.array([x for x, _ in ids], pa.binary()), pa.array([w for _, w in ids], pa.int32())], ["id", "ids", "width"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, ids binary")
+    return rows.mapInArrow(run, "id long, ids binary, width int")
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -187,48 +226,33 @@ def count_ids(tokens: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(0, np.int64)
         for batch in batches:
-            for x in batch.column("ids").to_pylist():
-                own = np.bincount(np.frombuffer(x, "<u4"))
+            for width in (2, 4):
+                ids = batch.column("ids").filter(pc.equal(batch.column("width"), width))
+                own = np.bincount(np.frombuffer(b"".join(ids.to_pylist()), f"<u{width}"))
                 if len(own) > len(counts):
-                    own, counts = counts, own.astype(np.int64)
+                    own, counts = counts, own
                 counts[:len(own)] += own
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["token", "n"])
 
-    summed = tokens.select("ids").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toPandas()  # at most the vocabulary
+    summed = tokens.select("ids", "width").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toPandas()  # at most the vocabulary
     counts = np.zeros(int(summed["token"].max()) + 1 if len(summed) else 0, np.int64)
     counts[summed["token"].to_numpy(np.int64)] = summed["n"].to_numpy()
     return counts
 
 
 def write(tokens: DataFrame, path: str) -> None:
-    """Write ``tokens`` (id, ids as by :func:`encode`) to files under ``path``, in ascending order of id: null ids
-    first, rows with one id by their ids' hash. No rows: files without blocks.
+    """Write ``tokens`` (id, ids, width as by :func:`encode`) to files under ``path``, in ascending order of id: null
+    ids first, rows with one id by their ids' hash. No rows: files without blocks.
 
-    The ids are staged once, as 16-bit integers if they all fit, since both the counts and the blocks read them.
+    The ids are staged once, since both the counts and the blocks read them.
     """
     spark = tokens.sparkSession
-
-    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = [np.frombuffer(x, "<u4") for x in batch.column("ids").to_pylist()]
-            small = [not len(x) or int(x.max()) < 1 << 16 for x in ids]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array([x.astype("<u2").tobytes() if s else x.tobytes() for x, s in zip(ids, small)], pa.binary()), pa.array(small)], ["id", "ids", "small"])
-
-    def widen(column: pa.Array, small: pa.Array) -> list[np.ndarray]:
-        return [np.frombuffer(x, "<u2" if s else "<u4").astype(np.uint32) for x, s in zip(column.to_pylist(), small.to_pylist())]
-
-    def restore(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in widen(batch.column("ids"), batch.column("small"))], pa.binary())], ["ids"])
-
     staged_at = f"{work_dir(spark, 'ids')}/data"
-    staged = tokens.mapInArrow(narrow, "id long, ids binary, small boolean")
-    staged.write.option("compression", "zstd").parquet(staged_at)
-    staged = spark.read.schema(staged.schema).parquet(staged_at)
+    tokens.select("id", "ids", "width").write.option("compression", "zstd").parquet(staged_at)
+    staged = spark.read.schema("id long, ids binary, width int").parquet(staged_at)
 
-    lengths = code_lengths(count_ids(staged.mapInArrow(restore, "ids binary")))
+    lengths = code_lengths(count_ids(staged))
     used = np.flatnonzero(lengths)
     spark.createDataFrame([(int(i), int(lengths[i])) for i in used], "token long, length int").coalesce(1).write.parquet(f"{path}/lengths")
     shared = spark.sparkContext.broadcast((lengths, canonical(lengths)))
@@ -246,15 +270,15 @@ def write(tokens: DataFrame, path: str) -> None:
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds)], ["part", "block", "ids_before", "doc_ids", "n_ids", "checkpoints", "payload"])
 
-        names, ids, n_bits = [], [], 0
+        names, ids, n = [], [], 0
         for batch in batches:
-            for name, x in zip(batch.column("id").to_pylist(), widen(batch.column("ids"), batch.column("small"))):
+            for name, x in zip(batch.column("id").to_pylist(), widened(batch.column("ids"), batch.column("width"))):
                 names.append(name)
                 ids.append(x)
-                n_bits += int(lengths[x].sum())
-                if n_bits >= 8 * BLOCK_BYTES:
+                n += len(x)
+                if n >= BLOCK_IDS:
                     yield block(names, ids)
-                    names, ids, n_bits = [], [], 0
+                    names, ids, n = [], [], 0
         if names:
             yield block(names, ids)
 
@@ -266,7 +290,7 @@ def write(tokens: DataFrame, path: str) -> None:
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """(id, start, ids) of the documents in the files: ``start`` is the number of ids before theirs in the order of
-    the files, ``ids`` as :func:`encode` has them. The totals of the parts, one number each, pass through the driver."""
+    the files, ``ids`` are unsigned 32-bit integers. The totals of the parts, one number each, pass through the driver."""
     lengths = spark.read.schema("token long, length int").parquet(f"{path}/lengths").toPandas()  # at most the vocabulary
     code = np.zeros(int(lengths["token"].max()) + 1 if len(lengths) else 0, np.int64)
     code[lengths["token"].to_numpy(np.int64)] = lengths["length"].to_numpy()

@@ -78,9 +78,9 @@ def test_blocks_round_trip(monkeypatch):
         tf.pack([np.array([lengths.size - 1 if not lengths[-1] else 0], np.uint32)], lengths * 0, tf.canonical(lengths))
 
 
-@pytest.mark.parametrize("block", [1 << 20, 64])
+@pytest.mark.parametrize("block", [1 << 19, 64])
 def test_files_round_trip(spark, monkeypatch, block):
-    monkeypatch.setattr(tf, "BLOCK_BYTES", block)
+    monkeypatch.setattr(tf, "BLOCK_IDS", block)
     monkeypatch.setattr(tf, "REMEMBERED", 50)
     rnd = random.Random(1)
     texts = [None, "", " ", "  \n\n x", "<|endoftext|> a<|endoftext|>", "it's 12 o'clock　now!!", "é😀 " * 300, "a" * 9000, "x y " * 20000]
@@ -102,15 +102,15 @@ def test_files_round_trip(spark, monkeypatch, block):
 
 
 def test_null_and_repeated_ids_wide_ids_and_no_rows(spark):
-    ids = lambda *x: np.array(x, "<u4").tobytes()
+    ids = lambda *x: tf.narrowed(np.array(x, np.uint32))
     rows = [(None, ids(70000, 1)), (4, ids(5)), (4, ids(6, 6)), (2, ids())]
     path = work_dir(spark, "token-test")
-    tf.write(spark.createDataFrame([(a, bytearray(b)) for a, b in rows], "id long, ids binary"), path)
+    tf.write(spark.createDataFrame([(a, bytearray(b), w) for a, (b, w) in rows], "id long, ids binary, width int"), path)
     got = tf.read(spark, path).collect()
-    assert sorted((r.id or -1, bytes(r.ids)) for r in got) == sorted((a or -1, b) for a, b in rows)
+    assert sorted((r.id or -1, bytes(r.ids)) for r in got) == sorted((a or -1, np.frombuffer(b, f"<u{w}").astype("<u4").tobytes()) for a, (b, w) in rows)
     assert [r.start for r in got if r.id is None] == [0] and [r.start for r in got if r.id == 2] == [2]
     none = work_dir(spark, "token-test")
-    tf.write(spark.createDataFrame([], "id long, ids binary"), none)
+    tf.write(spark.createDataFrame([], "id long, ids binary, width int"), none)
     assert tf.read(spark, none).count() == 0
 
 
