@@ -37,8 +37,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def bpe_round_trip(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per document of the mix: the number and digest of its token ids, and the digest of their text."""
     vocabulary = public_tokenizers.path("word_bpe_49k.json")
-    tokens = bpe.encode(docs.select("doc_id", "text"), vocabulary).drop("text")
-    return token_digests(bpe.decode(tokens, vocabulary))
+    return token_digests(bpe.encode(docs.select("doc_id", "text"), vocabulary, decoded="decoded"))
 
 
 STAGES = [

@@ -23,6 +23,7 @@ import re
 import unicodedata
 from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import ahocorasick
 import numpy as np
@@ -37,7 +38,7 @@ GPT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+
 WHITE = r"\t-\r \x85\xa0  -     　"
 
 #: Chunks of text whose ids are remembered, for each worker process.
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 18
 #: Text that one output batch holds, about.
 BATCH_BYTES = 4 << 20
 
@@ -88,7 +89,7 @@ class Merges:
             else:
                 right, before = self.halves[right][0], y + 1
         if len(self.compatible) >= REMEMBERED:
-            self.compatible.clear()
+            forget_half(self.compatible)
         self.compatible[a, b] = fit
         return fit
 
@@ -122,6 +123,12 @@ class Merges:
         return out
 
 
+def forget_half(remembered: dict) -> None:
+    """Drop the entries that came first."""
+    for key in list(islice(remembered, len(remembered) // 2)):
+        del remembered[key]
+
+
 class Codec(dict):
     """Ids of a chunk of text as int32 bytes. Chunks are remembered; the text between two white spaces never shares
     a token with its neighbours, so a text's ids are those of its chunks in a row."""
@@ -135,21 +142,12 @@ class Codec(dict):
         ids = model["vocab"]
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.merges = Merges({self.symbols(t): i for t, i in ids.items()}, [tuple(map(self.symbols, m)) for m in merges])
-        self.names = {t["id"]: t["content"] for t in spec["added_tokens"]}
-        self.special = {c: np.int32(i).tobytes() for i, c in self.names.items()}
+        self.special = {t["content"]: np.int32(t["id"]).tobytes() for t in spec["added_tokens"]}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.byte = byte_symbols()
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if "pattern" in p) if self.words else GPT_PATTERN
         self.piece = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
         self.chunk = re.compile(f"[^{WHITE}]+" if self.words else f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
-        table = [""] * (max([*ids.values(), *self.names], default=-1) + 1)
-        for t, i in [*ids.items(), *((c, i) for i, c in self.names.items())]:
-            table[i] = t
-        if self.words:
-            self.table = pa.array(table, pa.string())
-        else:
-            back = {c: b for b, c in enumerate(self.byte)}
-            self.table = pa.array([self.names[i].encode() if i in self.names else bytes(back[c] for c in t) for i, t in enumerate(table)], pa.binary())
 
     def symbols(self, token: str) -> str:
         """A token with one character for each symbol: a symbol that ends a word is moved up by 0x10000."""
@@ -163,12 +161,20 @@ class Codec(dict):
         if self.words:
             text = unicodedata.normalize("NFC", text)
             text = "".join(map(str.lower, text)) if "Σ" in text else text.lower()  # no final sigma
-        found = b"".join(map(self.word, self.piece.findall(text)))
-        if len(chunk) <= 64:
+        if self.words and text.isalpha():  # most chunks are letters, perhaps with one mark: no need to match
+            return self.word(text) if text == chunk else self.keep(chunk, self.word(text))
+        if self.words and text[-1] in ".,;:!?" and text[:-1].isalpha():
+            found = self.word(text[:-1]) + self.word(text[-1])
+        else:
+            found = b"".join(map(self.word, self.piece.findall(text)))
+        return self.keep(chunk, found)
+
+    def keep(self, text: str, ids: bytes) -> bytes:
+        if len(text) <= 64:
             if len(self) >= REMEMBERED:
-                self.clear()
-            self[chunk] = found
-        return found
+                forget_half(self)
+            self[text] = ids
+        return ids
 
     def word(self, piece: str) -> bytes:
         """Ids of one piece, none of whose tokens reaches beyond it."""
@@ -181,9 +187,7 @@ class Codec(dict):
         if self.suffix:
             word = word[:-1] + chr(0x10000 + ord(word[-1]))
         found = array("i", self.merges.encode(word)).tobytes()
-        if self.words and len(piece) <= 64:
-            self[piece] = found
-        return found
+        return self.keep(piece, found) if self.words else found
 
     def encode(self, text: str) -> bytes:
         if "<" in text and self.special and self.cut.search(text):
@@ -193,6 +197,22 @@ class Codec(dict):
     def encode_plain(self, text: str) -> bytes:
         return b"".join(map(self.__getitem__, self.chunk.findall(text)))
 
+
+class Decoder:
+    """The offset table: every token's text (or bytes) in one Arrow array, by id."""
+
+    def __init__(self, spec: str):
+        spec = json.loads(spec)
+        self.words = bool(spec["model"].get("end_of_word_suffix"))
+        names = {t["id"]: t["content"] for t in spec["added_tokens"]}
+        by_id = {i: t for t, i in spec["model"]["vocab"].items()} | names
+        table = [by_id.get(i, "") for i in range(max(by_id, default=-1) + 1)]
+        if self.words:
+            self.table = pa.array(table, pa.string())
+        else:
+            back = {c: b for b, c in enumerate(byte_symbols())}
+            self.table = pa.array([t.encode() if i in names else bytes(back[c] for c in t) for i, t in enumerate(table)], pa.binary())
+
     def decode(self, ids: pa.Array) -> pa.Array:
         """Texts of a list array of ids: the word vocabulary's tokens with a space between, the byte vocabulary's
         bytes read as UTF-8 (what is no UTF-8 as U+FFFD)."""
@@ -203,11 +223,11 @@ class Codec(dict):
         return pa.array([b.decode("utf-8", "replace") for b in pc.binary_join(parts, b"").to_pylist()], pa.string())
 
 
-def codec_of(shared) -> Codec:
-    """The codec of a broadcast ``{"spec": JSON}``; the broadcast keeps it for the life of the worker process."""
-    if "codec" not in shared.value:
-        shared.value["codec"] = Codec(shared.value["spec"])
-    return shared.value["codec"]
+def kept(shared, kind: type):
+    """The ``kind`` made of a broadcast ``{"spec": JSON}``; the broadcast keeps it for the life of the worker process."""
+    if kind.__name__ not in shared.value:
+        shared.value[kind.__name__] = kind(shared.value["spec"])
+    return shared.value[kind.__name__]
 
 
 def share(df: DataFrame, vocabulary: str):
@@ -227,18 +247,23 @@ def slices(sizes: pa.Array) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
-def added(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
-    return T.StructType([*df.schema.fields, T.StructField(name, kind)])
+def added(schema: T.StructType, name: str, kind: T.DataType) -> T.StructType:
+    return T.StructType([*schema.fields, T.StructField(name, kind)])
 
 
-def encode(docs: DataFrame, vocabulary: str, text_col: str = "text", out: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str, text_col: str = "text", out: str = "ids", decoded: str | None = None) -> DataFrame:
     """``docs`` with a column ``out`` of token ids (array<int>), as the vocabulary's own library gives them without
-    added special tokens; special tokens' strings inside a text are those tokens. Null and empty texts: no ids. An
-    input column named like ``out`` is replaced; all others stay. Empty table: no rows."""
-    shared, docs = share(docs, vocabulary), docs.drop(out) if out != text_col else docs
+    added special tokens; special tokens' strings inside a text are those tokens. Null and empty texts: no ids. With
+    ``decoded``, a column of that name holds what :func:`decode` makes of the ids, in the same pass over the data.
+    Input columns named like these are replaced; all others stay. Empty table: no rows."""
+    shared = share(docs, vocabulary)
+    schema = T.StructType([f for f in docs.schema.fields if f.name not in (out, decoded) or f.name == text_col])
+    rest = schema.fieldNames()
+    schema = added(schema, out, T.ArrayType(T.IntegerType()))
+    schema = added(schema, decoded, T.StringType()) if decoded else schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = codec_of(shared)
+        codec, decoder = kept(shared, Codec), kept(shared, Decoder) if decoded else None
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text_col))
             for lo, hi in slices(pc.binary_length(texts)):
@@ -246,9 +271,10 @@ def encode(docs: DataFrame, vocabulary: str, text_col: str = "text", out: str =
                 offsets = np.zeros(len(found) + 1, np.int32)
                 offsets[1:] = np.cumsum([len(x) // 4 for x in found])
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), np.int32)))
-                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, ids], [*batch.schema.names, out])
+                made = [ids, decoder.decode(ids)] if decoder else [ids]
+                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, *made], schema.fieldNames())
 
-    return docs.mapInArrow(run, added(docs, out, T.ArrayType(T.IntegerType())))
+    return docs.select(rest).mapInArrow(run, schema)
 
 
 def decode(tokens: DataFrame, vocabulary: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
@@ -257,12 +283,12 @@ def decode(tokens: DataFrame, vocabulary: str, ids_col: str = "ids", out: str =
     shared, tokens = share(tokens, vocabulary), tokens.drop(out) if out != ids_col else tokens
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = codec_of(shared)
+        decoder = kept(shared, Decoder)
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index(ids_col))
             for lo, hi in slices(pc.multiply(pc.list_value_length(ids), 4)):
                 part = ids.take(pa.array(range(lo, hi), pa.int32()))  # offsets from 0
                 part = pc.coalesce(part, pa.scalar([], part.type)) if part.null_count else part
-                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, codec.decode(part)], [*batch.schema.names, out])
+                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, decoder.decode(part)], [*batch.schema.names, out])
 
-    return tokens.mapInArrow(run, added(tokens, out, T.StringType()))
+    return tokens.mapInArrow(run, added(tokens.schema, out, T.StringType()))

@@ -139,8 +139,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents through the word vocabulary and back; digests of the ids and of the decoded texts."""
     vocabulary = public_tokenizers.path("word_bpe_49k.json")
-    tokens = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary).drop("text")
-    return token_digests(bpe.decode(tokens, vocabulary))
+    return token_digests(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary, decoded="decoded"))
 
 
 def token_digests(decoded: DataFrame) -> DataFrame:

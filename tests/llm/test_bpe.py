@@ -32,6 +32,8 @@ def test_ids_and_texts_are_the_librarys(spark, file):
         ids = library.encode(text, add_special_tokens=False).ids
         assert got[i].ids == ids, text
         assert got[i].decoded == library.decode(ids, skip_special_tokens=False), text
+    once = {r.doc_id: r for r in bpe.encode(docs.withColumn("back", F.lit(1)), path, decoded="back").collect()}
+    assert all((once[i].text, once[i].ids, once[i].back) == (r.text, r.ids, r.decoded) for i, r in got.items())
 
 
 def test_the_tokens_fit_as_the_merges_say():
