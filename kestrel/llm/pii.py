@@ -4,10 +4,12 @@ A pattern finds candidates, a validation of its kind decides, and what passes is
 the same format; everything else in a text stays as it is:
 
 - payment cards: 13 to 19 digits, in a row or in groups, with a right Luhn digit; the digit is worked out anew;
-- IBANs with a right remainder by 97; country, layout and letters stay, the check digits are worked out anew;
+- IBANs of their country's length with a right remainder by 97; country, layout and letters stay, the check digits
+  are worked out anew; a card inside something that only looks like an IBAN counts as a card;
 - US social security numbers of the ranges ever issued, and IPv4 addresses with octets up to 255;
 - phone numbers, with a country code (which stays) or in North American layout;
-- calendar dates of 1800 to 2199 as y-m-d, d.m.y or m/d/y (d/m/y where the first number is above 12);
+- calendar dates of 1800 to 2199 as y-m-d (also before a time's T), d.m.y or m/d/y (d/m/y where the first number is
+  above 12);
 - the letters and digits of the part of an e-mail address before the @ (in lower case).
 
 A permutation writes its value as a pair (l, r) of Z_a x Z_b and adds, in turn, a keyed hash of one half to the
@@ -24,16 +26,32 @@ from pyspark.sql import functions as F
 STEPS = 10
 # What candidates look like. No candidate touches further letters or digits.
 EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}"
-IBAN = r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"
-PHONE = (r"\+[0-9]{1,3}[ .-]?\([0-9]{1,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}"
+# Length of an IBAN by country (the SWIFT registry). A candidate takes no character beyond it.
+IBAN_LENGTHS = {15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+                22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+                26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+                30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}
+LISTED = "(?:" + "|".join(IBAN_LENGTHS.values()).replace(" ", "|") + ")[0-9]{2}"
+# Countries outside the registry prescribe no length: groups up to the next capital, digit or listed country.
+IBAN = ("(?=[A-Z]{2}[0-9]{2})(?:"
+        + "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (f" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n, c in IBAN_LENGTHS.items())
+        + f"|(?!{LISTED})[A-Z]{{2}}[0-9]{{2}}(?:(?! {LISTED}) ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?)")
+CARD = r"[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}"
+# Digits in groups of any size. After the first five none belongs to the last card in groups; a last group of one digit needs a mark before it.
+DIGIT, NEXT = "(?:[ .-]?[0-9])", r"(?:(?! [0-9]{4}(?:(?:[ -][0-9]{4}){3}|[ -][0-9]{6}[ -][0-9]{5})(?![A-Za-z0-9]| [0-9]{4}(?![0-9])))[ .-]?[0-9])"
+PHONE = (r"\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}"
+         r"|\+[0-9]{1,3}[ .-]?\([0-9]{1,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}"
+         rf"|\+[0-9]{{1,3}}[ .-]?\([0-9]{{1,4}}\){DIGIT}{{5}}{NEXT}{{0,5}}(?<! [0-9])"
+         rf"|\+[0-9]{{1,3}}[ .-][0-9]{DIGIT}{{5}}{NEXT}{{0,8}}(?<! [0-9])|\+[0-9]{DIGIT}{{5}}{NEXT}{{0,8}}(?<! [0-9])"
          r"|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}")
 DATE = r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}([./])[0-9]{1,2}\1[0-9]{4}"
 IP = r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"
 SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
-CARD = r"[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}"
 KINDS = {"email": EMAIL, "iban": IBAN, "phone": PHONE, "date": DATE, "ip": IP, "ssn": SSN, "card": CARD}
 CANDIDATE = (rf"(?<![A-Za-z0-9._%+-]){EMAIL}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?:{IBAN})(?![A-Za-z0-9])"
-             rf"|(?<![A-Za-z0-9+])(?<![0-9][.-])(?:{PHONE}|{DATE}|{IP}|{SSN}|{CARD})(?![A-Za-z0-9]|[.-][0-9])")
+             rf"|(?<![A-Za-z0-9+])(?<![0-9][.-])(?:{PHONE}|{DATE}|{IP}|{SSN}|{CARD})(?![A-Za-z0-9]|[.-][0-9])"
+             r"|(?<![A-Za-z0-9+])(?<![0-9][.-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?=T[0-9]{2})")
+INSIDE = rf"(?<=[A-Z0-9] )(?:{CARD})(?![A-Za-z0-9])"  # a card in an IBAN's candidate, the only kind that fits there
 DAYS_FROM, DAYS = "1800-01-01", (189, 773)
 
 
@@ -187,13 +205,14 @@ MAKERS = {"email": new_email, "iban": new_iban, "phone": new_phone, "date": new_
 
 
 def pseudonym(m: Column, key: str) -> Column:
-    """struct(kind, value): the pseudonym of a candidate by the first kind whose pattern and validation it passes;
-    of none: null, and the value itself."""
-    tried = [F.when(F.rlike(m, F.lit(f"^(?:{p})$")), MAKERS[k](m, key)) for k, p in KINDS.items()]
-    each = F.transform(F.arrays_zip(F.array(*[F.lit(k) for k in KINDS]).alias("kind"), F.array(*tried).alias("value")),
-                       lambda p: F.struct(p["kind"].alias("kind"), p["value"].alias("value")))
-    none = F.array(F.struct(F.lit(None).cast("string").alias("kind"), m.alias("value")))
-    return F.element_at(F.concat(F.filter(each, lambda p: p["value"].isNotNull()), none), 1)
+    """struct(kind, original, pseudonym) of a candidate by the first kind whose pattern and validation it passes; a
+    card inside a candidate for an IBAN is the original then; of none: null, and twice the candidate itself."""
+    tried = [(k, m, F.when(F.rlike(m, F.lit(f"^(?:{p})$")), MAKERS[k](m, key))) for k, p in KINDS.items()]
+    card = F.regexp_extract(m, INSIDE, 0)
+    tried.append(("card", card, F.when(F.rlike(m, F.lit("^[A-Z]")) & (card != ""), new_card(card, key))))
+    each = F.array(*[F.struct(F.lit(k).alias("kind"), o.alias("original"), v.alias("pseudonym")) for k, o, v in tried])
+    none = F.array(F.struct(F.lit(None).cast("string").alias("kind"), m.alias("original"), m.alias("pseudonym")))
+    return F.element_at(F.concat(F.filter(each, lambda p: p["pseudonym"].isNotNull()), none), 1)
 
 
 def pseudonymised(docs: DataFrame, key: str, text_col: str = "text", out: str = "clean_text", found: str = "found") -> DataFrame:
@@ -204,9 +223,10 @@ def pseudonymised(docs: DataFrame, key: str, text_col: str = "text", out: str =
     text = F.col(text_col)
     seen = F.regexp_extract_all(text, F.lit(f"(?:{CANDIDATE})"), 0)
     df = docs.withColumn("_pii_seen", F.when(F.rlike(text, F.lit("[0-9@]")), seen))
-    df = df.withColumn("_pii_new", F.transform("_pii_seen", lambda m: once(pseudonym(m, key), lambda p: F.struct(p["kind"].alias("kind"), m.alias("original"), p["value"].alias("pseudonym")))))
+    df = df.withColumn("_pii_new", F.transform("_pii_seen", lambda m: pseudonym(m, key)))
     gaps = F.split(text, CANDIDATE, -1)
-    filled = F.zip_with(gaps, F.concat(F.transform("_pii_new", lambda p: p["pseudonym"]), F.array(F.lit(""))), lambda g, v: F.concat(g, v))
+    put = F.zip_with("_pii_seen", "_pii_new", lambda m, p: F.replace(m, p["original"], p["pseudonym"]))
+    filled = F.zip_with(gaps, F.concat(put, F.array(F.lit(""))), lambda g, v: F.concat(g, v))
     clean = F.when(F.size("_pii_new") > 0, F.array_join(filled, "")).otherwise(text)
     hits = F.filter(F.coalesce("_pii_new", F.array()), lambda p: p["kind"].isNotNull())
     return df.withColumn("_pii_clean", clean).withColumn("_pii_found", hits).drop("_pii_seen", "_pii_new", out, found).withColumnsRenamed({"_pii_clean": out, "_pii_found": found})

@@ -176,6 +176,30 @@ def test_ibans_texts_and_links(spark):
     assert re.fullmatch(r"[a-z]{4}\.\d\d@mail5\.example\.com### \(\d{4}-\d\d-\d\d\) \d\d\.\d\d\.\d{4}\.", got[10].clean_text)
 
 
+def test_values_before_further_words_and_groups(spark):
+    ibans = ["BE68 5390 0754 7034 BIC GEBABEBB", "BE68539007547034 EUR 500", "ES91 2100 0418 4502 0005 1332 EUR", "BE68 5390 0754 7034 1234 5", "AT61 1904 3002 3457 3201 AB",
+             "NO93 8601 1117 947 KID 12", "MT84 MALT 0110 0001 2345 MTLC AST0 01S ABCD", "ID12 3456 BE68 5390 0754 7034"]
+    phones = ["+33 1 23 45 67 89", "+49 30 123456-0", "+44 (0)20 7946 0958", "+49 89 12 34 56 78", "+55 11 9 1234 5678", "+1 843 555 7672", "+49 30 1234 5678"]
+    card = "4068 5168 9250 5468"
+    texts = ibans + phones + [f"{p} 5 apples" for p in phones] + [f"{p} {card}" for p in phones]
+    texts += ["at 2020-01-31T12:00:00Z on", "2020-01-31Tea", f"AT12 {card}", f"ID12 {card}, XY", "AT12 4068516892505468", "+49 1234 5678 9012 34"]
+    got = run(spark, texts)
+    for i, text in enumerate(ibans):
+        (f,) = got[i].found
+        want = re.match(r"(?:ID12 3456 )?([A-Z0-9 ]*?)(?= (?:BIC|EUR|1234 5|AB|KID|ABCD)\b|$)", text)[1]
+        assert (f.kind, f.original) == ("iban", want) and iban_ok(f.pseudonym.replace(" ", "")) and f.pseudonym != want, text
+        assert got[i].clean_text == text.replace(want, f.pseudonym)
+    secret = run(spark, [card])[0].clean_text
+    for i, p in enumerate(phones):
+        one, five, both = (got[len(ibans) + i + k * len(phones)] for k in range(3))
+        assert [tuple(f) for f in one.found] == [("phone", p, plain_phone(p))] and one.clean_text == plain_phone(p), p
+        assert five.clean_text == plain_phone(p) + " 5 apples" and both.clean_text == f"{plain_phone(p)} {secret}", p
+    rest = [got[i] for i in range(len(texts) - 6, len(texts))]
+    assert rest[0].clean_text == f"at {plain_date('2020-01-31')}T12:00:00Z on" and rest[1].clean_text == "2020-01-31Tea"
+    assert rest[2].clean_text == f"AT12 {secret}" and rest[3].clean_text == f"ID12 {secret}, XY" and rest[4].clean_text == "AT12 " + secret.replace(" ", "")
+    assert [tuple(f) for f in rest[2].found] == [("card", card, secret)] and [f.kind for f in rest[5].found] == ["phone"]
+
+
 def test_columns_and_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, clean_text int, extra string")
     made = pii.pseudonymised(docs, KEY)
