@@ -104,6 +104,22 @@ def test_verdicts_match_a_plain_version(spark):
     assert by["a.good.org"] == "allow" and by["a.bad.org"] == "block" and by["new.bad.org"] == "block" and by["new.good.org"] == "allow"
 
 
+def test_sites_by_the_longest_suffix_and_addresses_of_their_own(spark):
+    want = {"a.shop.com.sg": ("shop.com.sg", "com.sg"), "x.com.hk:80": ("x.com.hk", "com.hk"), "b.x.co.id": ("x.co.id", "co.id"), "me.github.io": ("me.github.io", "github.io"),
+            "w.me.blogspot.com": ("me.blogspot.com", "blogspot.com"), "me.blogspot.co.uk": ("me.blogspot.co.uk", "blogspot.co.uk"), "github.io": ("github.io", "github.io"),
+            "a.b.example.com": ("example.com", "com"), "a.b.co.uk": ("b.co.uk", "co.uk"), "localhost": ("localhost", "localhost"), "": ("", ""),
+            "10.0.0.1": ("10.0.0.1", "[ip]"), "10.9.0.1:8080": ("10.9.0.1", "[ip]"), "[2001:db8::1]:80": ("[2001:db8::1]", "[ip]"), "1.2.3.4.com": ("4.com", "com")}
+    df = spark.createDataFrame([(h,) for h in want], "host string")
+    parts = lambda *how: {r.host: (r.d, r.s) for r in df.select("host", urls.site_parts(F.col("host"), *how)[0].alias("d"), urls.site_parts(F.col("host"), *how)[1].alias("s")).collect()}
+    assert parts() == want
+    assert parts(["example.com", "b.example.com"])["a.b.example.com"] == ("a.b.example.com", "b.example.com")
+    assert parts([])["b.x.co.id"] == ("co.id", "id")
+    # a stranger's pages under the same suffix weigh less than those of the own site
+    counts = spark.createDataFrame([(f"h.bad{i}.com.sg", 40, 2) for i in range(6)] + [("a.good.com.sg", 40, 40), ("new.good.com.sg", 0, 0)] + [(f"g{i}.org", 40, 40 - i) for i in range(6)], "host string, n long, k long")
+    bound = lambda *how: {r.host: r.bound for r in urls.reputations(counts, 1.645, *how).collect()}["new.good.com.sg"]
+    assert bound() > bound(urls.TWO_LABEL_SUFFIXES)
+
+
 def test_bounds_match_a_plain_version(spark):
     rnd = random.Random(7)
     hosts = {f"h{i}.d{i % 7}.{'org' if i % 3 else 'co.uk'}": (n := rnd.randrange(40), rnd.randrange(n + 1)) for i in range(60)}
