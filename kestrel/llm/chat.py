@@ -9,9 +9,10 @@ still fits; every window after the one with the conversation's first system turn
 turns before its span, as far as they fit. The loss mask covers the text of every assistant turn in the window that
 brings it first; where it is repeated it is context.
 
-Turns are dealt out by conversation and block of BLOCK turn numbers, so a conversation with a third of all turns is
-cut over many tasks; no window crosses a block, and a block gets the system turn and the last turns before it as
-context. Each task reads its blocks in order and holds one of them at a time.
+Turns are dealt out by conversation and block of BLOCK turns in order, whatever their numbers, so a conversation with
+a third of all turns is cut over many tasks; no window crosses a block, and a block gets the system turn and the last
+turns before it as context. Only conversations of more than a block are numbered for that, by ranges of their order.
+Each task reads its blocks in order and holds one of them at a time.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kestrel.llm.common import stage
+from kestrel.llm.common import stage, without
 
 START, END = "<|im_start|>", "<|im_end|>"
 BLOCK = 1024
@@ -55,6 +56,23 @@ def n_tokens(text: str) -> int:
     return sum(1 for _ in PIECE.finditer(text))
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` (conv_id, turn, role, text) with ``position``, from 0 in the order of each conversation, staged. Ranges
+    of the order are sorted side by side, equal turns cut anywhere; bounds hold beginnings of texts only."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    begin = 256  # equal beginnings of this length stay in one range, as the texts behind them may differ
+    tie = F.when(F.char_length("text") < begin, F.col("_row"))
+    dealt = rows.withColumn("_row", F.monotonically_increasing_id()).repartitionByRange(parts, "conv_id", "turn", "role", F.substring("text", 1, begin), tie)
+    at = F.monotonically_increasing_id()  # the partition above 33 bits for the row in it
+    dealt = stage(dealt.sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "turn", "role", "text", at.alias("_at")), "chat-order")
+    dealt = dealt.withColumn("_part", F.shiftright("_at", 33))
+    held = dealt.groupBy("conv_id", "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))  # few rows: one per conversation and range
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("conv_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    held = held.select(F.col("conv_id").alias("_conv"), F.col("_part").alias("_in"), (before - F.col("_first")).alias("_shift"))
+    met = dealt.join(held, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("_part") == F.col("_in")))
+    return met.select("conv_id", "turn", "role", "text", (F.col("_at") + F.col("_shift")).alias("position"))
+
+
 def formatted(turns: list[tuple[str, str]], n_context: int) -> tuple[str, list[dict]]:
     """(text, loss spans in code points) of (role, text) turns, the first ``n_context`` of them repeated."""
     parts, at, loss = [], 0, []
@@ -105,22 +123,24 @@ def windows(conversations: DataFrame, budget: int = 1024, history_turns: int = 2
     single turn that is longer, or is so with the system turn, gets a window to itself (``over_budget``); no text is
     ever cut or left out. Null texts and roles are empty. Turns of one number stand in order of role and text,
     repeated rows as often as they come, null turns first; a null conv_id is a conversation. ``n_context`` turns at
-    the start of a window repeat earlier ones. Empty table: no rows.
+    the start of a window repeat earlier ones, of however many blocks. Empty table: no rows.
     """
-    rows = conversations.select(
-        "conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
-        F.coalesce(F.expr(f"floor(turn / {block})").cast("long"), F.lit(-(1 << 62))).alias("block"))
-    # What a block needs from earlier ones: the first system turn, and the last turns of the block before.
-    order = F.struct(F.col("turn").isNotNull(), "turn", "role", "text")
-    blocks = rows.groupBy("conv_id", "block").agg(F.min(F.when(F.col("role") == "system", order)).alias("system"))
-    by = Window.partitionBy("conv_id").orderBy("block")
-    blocks = stage(blocks.select("conv_id", "block", F.lead("block").over(by).alias("following"), F.first("system", True).over(by.rowsBetween(Window.unboundedPreceding, -1)).alias("system")), "chat-blocks")
-    later = blocks.filter("following IS NOT NULL").select(F.col("conv_id").alias("_conv"), F.col("block").alias("_block"), "following")
-    tail = rows.join(later, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("block") == F.col("_block"))).withColumn(
-        "back", F.row_number().over(Window.partitionBy("conv_id", "block").orderBy(F.col("turn").desc_nulls_last(), F.col("role").desc(), F.col("text").desc())))
-    tail = tail.filter(F.col("back") <= history_turns).select("conv_id", F.col("following").alias("block"), F.lit(1).alias("kind"), "turn", "role", "text")
-    system = blocks.filter("system IS NOT NULL").select("conv_id", "block", F.lit(0).alias("kind"), "system.turn", "system.role", "system.text")
-    dealt = system.unionByName(tail).unionByName(rows.select("conv_id", "block", F.lit(2).alias("kind"), "turn", "role", "text"))
+    rows = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    long = stage(rows.groupBy("conv_id").agg(F.count("*").alias("n")).filter(F.col("n") > block), "chat-long")
+    conv = {"conv_id": F.col("conv_id")}
+    own = without(rows, long, conv).withColumn("block", F.lit(0).cast("long"))
+    cut = numbered(without(rows, long, conv, how="left_semi"))
+    last = long.select(F.col("conv_id").alias("_conv"), F.expr(f"(n - 1) div {block}").alias("last"))
+    of = lambda shift: F.expr(f"(position + {shift}) div {block}")
+    # What a block needs from earlier ones: the last turns before it, and the first system turn if it lies before those.
+    near = cut.filter(of(history_turns) > of(0)).join(last, F.col("conv_id").eqNullSafe(F.col("_conv")))
+    near = near.withColumn("until", F.least(of(history_turns), "last")).filter(F.col("until") > of(0))
+    tail = near.withColumn("block", F.explode(F.sequence(of(0) + 1, F.col("until")))).select("conv_id", "block", F.lit(1).alias("kind"), "turn", "role", "text")
+    system = cut.filter("role = 'system'").groupBy("conv_id").agg(F.min(F.struct("position", "turn", "role", "text")).alias("first")).select("conv_id", "first.*")
+    system = system.join(last, F.col("conv_id").eqNullSafe(F.col("_conv"))).filter(F.col("last") > of(history_turns))
+    system = system.withColumn("block", F.explode(F.sequence(of(history_turns) + 1, F.col("last")))).select("conv_id", "block", F.lit(0).alias("kind"), "turn", "role", "text")
+    own = own.unionByName(cut.select("conv_id", "turn", "role", "text", of(0).alias("block")))
+    dealt = system.unionByName(tail).unionByName(own.select("conv_id", "block", F.lit(2).alias("kind"), "turn", "role", "text"))
     dealt = dealt.repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", "kind", "turn", "role", "text")
     kinds = pa.schema([("conv_id", pa.int64()), ("block", pa.int64()), ("window", pa.int32()), ("n_context", pa.int32()), ("n_tokens", pa.int64()), ("over_budget", pa.bool_()),
                        ("text", pa.string()), ("loss", pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())])))])
@@ -137,8 +157,6 @@ def windows(conversations: DataFrame, budget: int = 1024, history_turns: int = 2
             else:
                 position = next((i for i, (role, _) in enumerate(turns) if role == "system"), None)
                 first = None if position is None else turns[position]
-            if position == -1 and first in turns[:n_before]:  # among the last turns of the block before
-                position = turns.index(first)
             cost = lambda t: tokens(t[1]) + per_turn
             costs, system_cost = list(map(cost, turns)), cost(first) if first else 0
             for w, (back, at, end, front) in enumerate(spans(costs, position, system_cost, n_before, budget, history_turns)):

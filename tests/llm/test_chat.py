@@ -85,6 +85,33 @@ def test_windows_hold_the_rules_and_read_back_exactly(spark, budget, history, bl
         assert r.formatted_chars == sum(len(w.text) for w in by[r.conv_id]) and r.n_windows == len(by[r.conv_id])
 
 
+def test_blocks_go_by_position_for_sparse_null_and_repeated_numbers(spark):
+    turns = [("system" if i in (1, 17) else "assistant" if i % 2 else "user", f"turn {i:02d}" + " é" * (i % 5) + " long" * (70 if i % 11 == 0 else 0)) for i in range(45)]
+    in_order = sorted(turns)
+    numbers = {1: range(45), 2: [i * 1_700_000 for i in range(45)], 3: [None] * 45, 4: [7] * 45, None: [-(2**62) + i * 2**50 for i in range(45)]}
+    rows = [(c, n, *t, "clash") for c, ns in numbers.items() for n, t in zip(ns, in_order)] + [(6, None, "user", "same", "")] * 30
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    for block, history in ((8, 2), (2, 5), (8, 0), (1024, 2)):
+        by = {}
+        for w in chat.windows(docs, budget=60, history_turns=history, block=block).collect():
+            by.setdefault(w.conv_id, []).append(w)
+        assert set(by) == {*numbers, 6}
+        for ws in by.values():
+            ws.sort(key=lambda w: (w.block, w.window))
+            new = {}
+            for w in ws:
+                new[w.block] = new.get(w.block, 0) + len(chat.parsed(w.text)) - w.n_context
+            assert max(new.values()) <= block and list(new) == list(range(len(new))) and all(n == block for n in list(new.values())[:-1])
+        shown = {c: [(w.block, w.n_context, w.text) for w in ws] for c, ws in by.items()}
+        assert all(shown[c] == shown[1] for c in numbers)  # whatever the numbers, the same windows
+        seen = []
+        for w in by[6]:
+            context = w.n_context
+            assert context == min(history, len(seen)) and len(chat.parsed(w.text)) * 5 <= 60
+            seen += chat.parsed(w.text)[context:]
+        assert seen == [("user", "same")] * 30
+
+
 def test_spans_are_as_long_as_they_can_be():
     costs = [5, 5, 5, 30, 5, 5]
     assert list(chat.spans(costs, None, 0, 0, 20, 1)) == [(0, 0, 3, False), (3, 3, 4, False), (4, 4, 6, False)]
