@@ -15,9 +15,12 @@ rows that meet, so reruns agree.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kestrel.llm.common import n_words, positions, stage
@@ -126,18 +129,36 @@ def mix(docs: DataFrame, weights: list[float], share: float = 1.5, most: float =
     return every.select("id", "row", "source", "size", "source_size", "target", (F.col("whole") + F.col("extra")).alias("copies"))
 
 
+def first_rows(rows: DataFrame, group: list[str], order: list[str], n: Column) -> DataFrame:
+    """``rows``, staged, with ``_first``: whether the row is one of the first ``n`` of its group in the order of a hash of
+    the columns ``order``. Ranges of groups and hashes are sorted side by side, equal rows cut anywhere."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.withColumn("_hash", F.xxhash64(*order)).withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(parts, *group, "_hash", "_tie")
+    at = F.monotonically_increasing_id()  # the partition above 33 bits for the row in it
+    dealt = stage(dealt.sortWithinPartitions(*group, "_hash").withColumn("_at", at), "copies-order").withColumn("_part", F.shiftright("_at", 33))
+    held = dealt.groupBy(*group, "_part").agg(F.min("_at").alias("_start"), F.count("*").alias("_held"))
+    before = F.coalesce(F.sum("_held").over(Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    held = held.select(*[F.col(c).alias(f"_of{c}") for c in group], F.col("_part").alias("_in"), (before - F.col("_start")).alias("_shift"))
+    meets = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_of{c}")) for c in group], F.col("_part") == F.col("_in"))
+    return dealt.join(held, meets).withColumn("_first", F.col("_at") + F.col("_shift") < n)
+
+
 def mixed_documents(docs: DataFrame, weights: list[float], id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
                     broadcast_rows: int = 500_000, **how) -> DataFrame:
     """``docs``, each row as often as the mix takes it, all columns kept. The numbers of copies (not the texts) are
-    broadcast while there are at most ``broadcast_rows``, else joined by shuffle."""
+    broadcast while there are at most ``broadcast_rows``, else joined by shuffle. Rows that agree in id, text and
+    source are taken as often as each other or once more; which ones once more depends on their columns' values."""
     taken = mix(docs, weights, id_col=id_col, text_col=text_col, source_col=source_col, **how)
-    taken = stage(taken.groupBy("id", "row").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_n")), "copies")
+    least = F.min("copies")
+    taken = stage(taken.groupBy("id", F.xxhash64("row", "source").alias("row")).agg(least.alias("_copies"), (F.sum("copies") - F.count("*") * least).alias("_more")), "copies")
     few = taken.limit(broadcast_rows + 1).count() <= broadcast_rows
-    taken = taken.select(F.col("id").alias("_id"), F.col("row").alias("_row"), "_copies", "_n")
-    meets = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_row"))
+    taken = taken.select(F.col("id").alias("_id"), F.col("row").alias("_row"), "_copies", "_more")
+    meets = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.xxhash64(text_col), source_col) == F.col("_row"))
     met = docs.join(F.broadcast(taken) if few else taken, meets)
-    again = lambda df: df.withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
-    once = again(met.filter("_n = 1 AND _copies > 0"))
-    if taken.filter("_n > 1").isEmpty():
-        return once
-    return once.unionByName(again(met.filter("_n > 1 AND _copies > 0").dropDuplicates(["_id", "_row"])))
+    again = lambda df: df.filter("_copies > 0").withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
+    alike = again(met.filter("_more = 0"))
+    if taken.filter("_more > 0").isEmpty():
+        return alike
+    hashed = [f.name for f in docs.schema.fields if not re.search("map<|variant", f.dataType.simpleString())]  # what a hash can read
+    rest = first_rows(met.filter("_more > 0"), ["_id", "_row"], hashed, F.col("_more"))
+    return alike.unionByName(again(rest.withColumn("_copies", F.col("_copies") + F.col("_first").cast("long"))))

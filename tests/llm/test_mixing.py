@@ -84,6 +84,28 @@ def test_copies_are_rows(spark):
     assert have == want
 
 
+def test_rows_of_one_id_and_text_keep_their_own_columns(spark):
+    rows = [(1, "a b c", src, f"{src} {i}") for src in "pq" for i in range(40)] + [(None, "d e", src, "null id") for src in ("p", "q", None)]
+    rows += [(2, "same", "q", "equal")] * 30 + [(i, "x y", "p", "other") for i in range(10, 30)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    key = lambda r: (r.doc_id, r.text, r.source)
+    want, have, each = {}, {}, {}
+    text = {(i, len((t or "").split()), src): t for i, t, src, _ in rows}
+    for r in mixing.mix(docs, [3, 1, 2], share=1.2).collect():
+        k = r.id, text[r.id, r.size, r.source], r.source
+        want.setdefault(k, []).append(r.copies)
+    made = [sorted(map(str, mixing.mixed_documents(d, [3, 1, 2], share=1.2).collect())) for d in (docs, docs.repartition(7))]
+    assert made[0] == made[1]
+    for r in mixing.mixed_documents(docs, [3, 1, 2], share=1.2, broadcast_rows=0).collect():
+        have[key(r)] = have.get(key(r), 0) + 1
+        each[tuple(r)] = each.get(tuple(r), 0) + 1
+    assert have == {k: sum(n) for k, n in want.items() if sum(n)}
+    assert any(len(set(n)) > 1 for n in want.values())  # some of a group are taken once more
+    for src in "pq":
+        counts = sorted(each.get((1, "a b c", src, f"{src} {i}"), 0) for i in range(40))
+        assert counts == sorted(want[1, "a b c", src])
+
+
 def test_empty_and_wordless(spark):
     assert mixing.mix(spark.createDataFrame([], SCHEMA), [3, 1, 2]).count() == 0
     got = mixing.mix(spark.createDataFrame([(1, " ", "a", ""), (2, None, None, "")], SCHEMA), [3, 1, 2]).collect()
