@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kestrel.llm import bpe, chat, dedup, fingerprints, mixing, pii, quality, simhash, token_files, urls
+from kestrel.llm import bpe, chat, decontamination, dedup, fingerprints, mixing, pii, quality, simhash, token_files, urls
 from kestrel.llm.common import table
 from kestrel.session import work_dir
 
@@ -167,3 +167,30 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     token_files.write(tokens, path)
     return token_files.read(spark, path).select(F.col("id").alias("doc_id"), "start", F.expr("octet_length(ids) div 4").alias("n_tokens"),
                                                 F.crc32("ids").alias("ids_crc32"))
+
+
+CONTAMINATED = r"""
+WITH w AS (SELECT {0}, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM {1})
+SELECT {0}, ws, len(ws) AS n FROM w"""
+
+
+@query(f"""
+WITH items AS ({CONTAMINATED.format('item_id', 'benchmark')}), docs AS ({CONTAMINATED.format('doc_id', 'documents')}),
+     tests AS (SELECT DISTINCT item_id, k, array_to_string(ws[i:i + k - 1], ' ') AS window
+               FROM (SELECT item_id, ws, least(n, 10) AS k, unnest(range(1, n - least(n, 10) + 2)) AS i FROM items WHERE n > 0)),
+     lengths AS (SELECT DISTINCT k FROM tests),
+     hits AS (SELECT doc_id, i, k, item_id
+              FROM (SELECT doc_id, i, k, array_to_string(ws[i:i + k - 1], ' ') AS window
+                    FROM (SELECT doc_id, ws, k, unnest(range(1, n - k + 2)) AS i FROM docs, lengths WHERE n >= k)) JOIN tests USING (k, window)),
+     words AS (SELECT doc_id, count(DISTINCT at) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS at FROM hits) GROUP BY doc_id),
+     found AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(id, ',' ORDER BY id)) AS h
+               FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM hits) GROUP BY doc_id)
+SELECT doc_id, n AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(h, sha256('')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN words USING (doc_id) LEFT JOIN found USING (doc_id)""")
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents against the windows of 10 words of all benchmark items."""
+    found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=10)
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
