@@ -177,13 +177,13 @@ SELECT {0}, ws, len(ws) AS n FROM w"""
 
 @query(f"""
 WITH items AS ({CONTAMINATED.format('item_id', 'benchmark')}), docs AS ({CONTAMINATED.format('doc_id', 'documents')}),
-     tests AS (SELECT DISTINCT item_id, k, array_to_string(ws[i:i + k - 1], ' ') AS window
+     tests AS (SELECT DISTINCT item_id, k, array_to_string(ws[i:i + k - 1], ' ') AS gram
                FROM (SELECT item_id, ws, least(n, 10) AS k, unnest(range(1, n - least(n, 10) + 2)) AS i FROM items WHERE n > 0)),
      lengths AS (SELECT DISTINCT k FROM tests),
      hits AS (SELECT doc_id, i, k, item_id
-              FROM (SELECT doc_id, i, k, array_to_string(ws[i:i + k - 1], ' ') AS window
-                    FROM (SELECT doc_id, ws, k, unnest(range(1, n - k + 2)) AS i FROM docs, lengths WHERE n >= k)) JOIN tests USING (k, window)),
-     words AS (SELECT doc_id, count(DISTINCT at) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS at FROM hits) GROUP BY doc_id),
+              FROM (SELECT doc_id, i, k, array_to_string(ws[i:i + k - 1], ' ') AS gram
+                    FROM (SELECT doc_id, ws, k, unnest(range(1, n - k + 2)) AS i FROM docs, lengths WHERE n >= k)) JOIN tests USING (k, gram)),
+     words AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS place FROM hits) GROUP BY doc_id),
      found AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(id, ',' ORDER BY id)) AS h
                FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM hits) GROUP BY doc_id)
 SELECT doc_id, n AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(h, sha256('')) AS items_sha256,
