@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kestrel.llm import bpe, chat, decontamination, dedup, fingerprints, mixing, pii, quality, simhash, token_files, urls
+from kestrel.llm import bpe, chat, decontamination, dedup, fingerprints, mixing, pii, quality, simhash, token_files, urls, vafile
 from kestrel.llm.common import table
 from kestrel.session import work_dir
 
@@ -169,6 +169,13 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                 F.crc32("ids").alias("ids_crc32"))
 
 
+@query()
+def op12_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings in 16 clusters after three rounds, over a VA-file of 6 bits a dimension."""
+    found = vafile.with_inertia(table(spark, sf_dir, "embeddings"), centroids=16, rounds=3, dims=64, bits=6)
+    return found.withColumnRenamed("id", "vec_id")
+
+
 CONTAMINATED = r"""
 WITH w AS (SELECT {0}, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
              '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM {1})
