@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kestrel.llm import bpe, chat, decontamination, dedup, fingerprints, mixing, pii, quality, simhash, token_files, urls, vafile
+from kestrel.llm import bpe, chat, decontamination, dedup, fingerprints, mixing, pii, quality, simhash, token_files, trie, urls, vafile
 from kestrel.llm.common import table
 from kestrel.session import work_dir
 
@@ -169,6 +169,30 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                 F.crc32("ids").alias("ids_crc32"))
 
 
+CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, strlen({0}) + 1), lambda i: ord({0}[i])::BIGINT)),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"""
+
+
+@query(f"""
+WITH own AS (SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST) AS ts
+             FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+     h AS (SELECT *, conv_id - conv_id % 5 AS base, ({CRC32.format('conv_id::VARCHAR')} % 9)::INT AS h FROM own),
+     convs AS (SELECT h.conv_id, list_concat(coalesce(b.ts, [])[1:h], h.ts[h + 1:]) AS ts FROM h LEFT JOIN own b ON b.conv_id = base),
+     steps AS (SELECT conv_id, ts, unnest(range(len(ts) + 1)) AS depth FROM convs),
+     nodes AS (SELECT depth, ts[1:depth] AS prefix, min(conv_id) AS conv_id, count(*) AS n_convs,
+                      coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len(ts) = depth), '') AS ends FROM steps GROUP BY ALL),
+     kids AS (SELECT prefix[1:depth - 1] AS prefix, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY ALL),
+     own_parts AS (SELECT nodes.*, coalesce(kids.n, 0) AS n_children, CASE WHEN depth > 0 THEN (n_convs - 1) * strlen(prefix[depth].text) ELSE 0 END AS mine
+                   FROM nodes LEFT JOIN kids USING (prefix)),
+     ups AS (SELECT prefix[1:d] AS prefix, sum(mine) AS saved, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS leaves
+             FROM (SELECT prefix, mine, n_children, unnest(range(depth + 1)) AS d FROM own_parts) GROUP BY ALL)
+SELECT p.conv_id, p.depth, up.conv_id AS parent_conv_id, p.n_convs, p.n_children, leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, sha256(p.ends) AS ends_sha256
+FROM own_parts p JOIN ups USING (prefix) LEFT JOIN nodes up ON p.depth > 0 AND up.depth = p.depth - 1 AND up.prefix = p.prefix[1:p.depth - 1]""")
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of all conversations, each rebuilt on the first turns of its group's first."""
+    return trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 @query()
 def op12_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All embeddings in 16 clusters after three rounds, over a VA-file of 6 bits a dimension."""
