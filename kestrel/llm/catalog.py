@@ -176,7 +176,7 @@ CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range
 @query(f"""
 WITH own AS (SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST) AS ts
              FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
-     h AS (SELECT *, conv_id - conv_id % 5 AS base, ({CRC32.format('conv_id::VARCHAR')} % 9)::INT AS h FROM own),
+     h AS (SELECT *, conv_id - conv_id % 5 AS base, ({CRC32.format('(conv_id::VARCHAR)')} % 9)::INT AS h FROM own),
      convs AS (SELECT h.conv_id, list_concat(coalesce(b.ts, [])[1:h], h.ts[h + 1:]) AS ts FROM h LEFT JOIN own b ON b.conv_id = base),
      steps AS (SELECT conv_id, ts, unnest(range(len(ts) + 1)) AS depth FROM convs),
      nodes AS (SELECT depth, ts[1:depth] AS prefix, min(conv_id) AS conv_id, count(*) AS n_convs,
