@@ -15,6 +15,9 @@ from kestrel.catalog.base import query
 from kestrel.functions.scalars import date_to_julian
 from kestrel.operators import incremental as N
 from kestrel.session import work_dir
+from kestrel.sources import pull as P
+from kestrel.sources.fs import HadoopFS
+from kestrel.sources.loads import load_time_window
 from kestrel.sources.snapshots import SnapshotStore
 from kestrel.streaming import jobs as ST
 
@@ -83,6 +86,44 @@ def pull_overlap(reg):
     return reduce(DataFrame.unionByName, parts)
 
 
+WINDOW = ("1998-01-01", "2000-06-30")
+
+
+@query("pull_live", oracle=f"""
+SELECT o_orderkey, o_custkey, o_totalprice, o_orderdate FROM orders
+WHERE o_orderkey > 12000 AND o_orderdate BETWEEN TIMESTAMP '{WINDOW[0]}' AND TIMESTAMP '{WINDOW[1]}'""")
+def pull_live(reg):
+    """A cursor and a time window over a source that isn't parquet: both reach its segments."""
+    path = work_dir(reg.spark, "pull-live")
+    P.land(reg.table("orders").repartitionByRange(4, "o_orderkey"), path)
+    o = P.pull(reg.spark, path)
+    return load_time_window(o.filter(N.pull_sequence("o_orderkey", 12000)), "o_orderdate", *WINDOW).select(
+        "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
+
+
+def forget_last_commit(spark, checkpoint: str) -> None:
+    """As if the driver had been lost between a batch's output and its commit: the next run replays that batch."""
+    fs = HadoopFS(spark)
+    last = max((n for n in fs.list_names(f"{checkpoint}/commits") if n.isdigit()), key=int)
+    fs.delete(f"{checkpoint}/commits/{last}")
+    fs.delete(f"{checkpoint}/commits/.{last}.crc")
+
+
+@query("cursor_stream", kind="S", oracle="SELECT event_id, ts, user_id, event_type, value FROM events")
+def cursor_stream(reg):
+    """Events that land in three arrivals, taken by a stream whose offset is the cursor; its last batch is replayed."""
+    spark, root = reg.spark, work_dir(reg.spark, "cursor-stream")
+    e = reg.table("events").select("event_id", "ts", "user_id", "event_type", "value")
+    day = F.dayofmonth("ts")
+    by_time = e.repartitionByRange(4, "ts").sortWithinPartitions("ts")
+    for a, b in ((1, 11), (11, 21), (21, 32)):
+        P.land(by_time.filter((day >= a) & (day < b)), f"{root}/landed")
+        ST.pull_stream_to(spark, f"{root}/landed", "ts", f"{root}/out", f"{root}/checkpoint", e.schema)
+    forget_last_commit(spark, f"{root}/checkpoint")
+    ST.pull_stream_to(spark, f"{root}/landed", "ts", f"{root}/out", f"{root}/checkpoint", e.schema)
+    return spark.read.schema(e.schema).parquet(f"{root}/out")
+
+
 @query("cursor_init", oracle="""
 SELECT 'loaded' AS target, COALESCE(MAX(o_orderkey), 0) AS cursor FROM orders WHERE o_orderdate < TIMESTAMP '1999-01-01'
 UNION ALL SELECT 'empty', COALESCE(MAX(o_orderkey), 0) FROM orders WHERE o_orderdate < TIMESTAMP '1900-01-01'""")

@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from kestrel.sources import ingest as I
 from kestrel.sources.loads import insert_new
+from kestrel.sources.pull import pull_stream
 from kestrel.sources.snapshots import Slices, SnapshotStore
 
 
@@ -28,6 +29,15 @@ def run(writer, available_now: bool, poll: str = "30 seconds") -> StreamingQuery
     return query
 
 
+def pull_stream_to(spark: SparkSession, source: str, marker: str, out: str, checkpoint: str, schema: T.StructType | None = None,
+                   available_now: bool = True, **options) -> StreamingQuery:
+    """The pull source at ``source`` -> parquet files at ``out``. The cursor on ``marker`` is the stream's offset: it lies
+    in the checkpoint and nowhere else. Spark's file sink takes each micro-batch once, so a batch that is replayed after
+    a lost driver adds nothing."""
+    src = pull_stream(spark, source, marker, schema, **options)
+    return run(src.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint), available_now)
+
+
 def inbound_stream(spark: SparkSession, landing: str, fields: list[I.Field], out_dir: str, checkpoint: str, record_key: str = "record_id",
                    bytes_per_batch: int = 16 << 30, available_now: bool = True) -> StreamingQuery:
     """JSON-lines records (record_id, payload) -> accepted table and dead-letter table (both appended).
