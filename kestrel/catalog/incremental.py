@@ -5,6 +5,7 @@ Sandboxed keys write under the session's shared checkpoint folder and return the
 
 from __future__ import annotations
 
+import datetime as dt
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -20,6 +21,7 @@ from kestrel.sources.fs import HadoopFS
 from kestrel.sources.loads import load_time_window
 from kestrel.sources.snapshots import SnapshotStore
 from kestrel.streaming import jobs as ST
+from kestrel.streaming.dedup import dedup_quiet_stream
 
 
 def sandbox(reg, purpose: str) -> SnapshotStore:
@@ -287,3 +289,18 @@ def stream_dedup(reg):
     store = SnapshotStore(spark, f"{root}/store")
     ST.dedup_stream(spark, f"{root}/landing/*", e.schema, store, "events", ["event_id"], f"{root}/ckpt", bytes_per_batch=1 << 16)
     return store.read("events")
+
+
+@query("stream_dedup_quiet", kind="S", oracle="""
+SELECT user_id, event_type, ts FROM (
+  SELECT user_id, event_type, ts, LAG(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts) AS before FROM events)
+WHERE before IS NULL OR ts - before > INTERVAL 6 HOUR""")
+def stream_dedup_quiet(reg):
+    """Events of a user and type within six hours of the one before are dropped; the state holds no older key."""
+    spark, root = reg.spark, work_dir(reg.spark, "stream-dedup-quiet")
+    e = reg.table("events").select("event_id", "ts", "user_id", "event_type")
+    day = F.dayofmonth("ts")
+    for i, (a, b) in enumerate(((1, 11), (11, 21), (21, 32))):
+        e.filter((day >= a) & (day < b)).write.parquet(f"{root}/landing/f{i}")
+        dedup_quiet_stream(spark, f"{root}/landing/*", e.schema, f"{root}/out", ["user_id", "event_type"], "ts", dt.timedelta(hours=6), "1 day", f"{root}/checkpoint")
+    return spark.read.schema(e.schema).parquet(f"{root}/out").select("user_id", "event_type", "ts")
