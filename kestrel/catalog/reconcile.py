@@ -125,6 +125,40 @@ def full_reconcile(reg):
     return RC.full_reconcile(o, t, ["o_orderkey"])
 
 
+DRIFTED_SQL = """
+WITH t AS (SELECT o_orderkey, o_custkey, o_orderstatus, CASE WHEN o_orderkey % 4001 = 7 THEN NULL ELSE o_totalprice END AS o_totalprice,
+    o_orderdate, o_orderpriority FROM orders WHERE o_orderkey % 5003 <> 11
+  UNION ALL SELECT o_orderkey + 1000000000, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders WHERE o_orderkey % 6007 = 13),
+j AS (SELECT coalesce(s.o_orderkey, t.o_orderkey) AS o_orderkey, s.o_orderkey AS sk, t.o_orderkey AS tk,
+  s.o_totalprice IS NOT DISTINCT FROM t.o_totalprice AS same FROM orders s FULL OUTER JOIN t ON s.o_orderkey = t.o_orderkey)"""
+
+
+def drifted(o: DataFrame) -> DataFrame:
+    """A copy of orders with a few amounts lost, a few orders missing and a few too many."""
+    key = F.col("o_orderkey")
+    return o.filter(key % 5003 != 11).withColumn("o_totalprice", F.when(key % 4001 != 7, F.col("o_totalprice"))).unionByName(
+        o.filter(key % 6007 == 13).withColumn("o_orderkey", key + 1000000000))
+
+
+@query("checksum_reconcile", oracle=DRIFTED_SQL + """
+SELECT COUNT(*) FILTER (WHERE tk IS NULL) AS missing_in_target, COUNT(*) FILTER (WHERE sk IS NULL) AS extra_in_target,
+  COUNT(*) FILTER (WHERE sk IS NOT NULL AND tk IS NOT NULL AND NOT same) AS changed,
+  COUNT(*) FILTER (WHERE sk IS NOT NULL AND tk IS NOT NULL AND same) AS equal FROM j""")
+def checksum_reconcile(reg):
+    """Level ``checksum_sample``: orders against a copy with a few differences, opened by a tree of bucket checksums."""
+    o = reg.table("orders")
+    return RC.checksum_reconcile(o, drifted(o), ["o_orderkey"])
+
+
+@query("differing_keys", oracle=DRIFTED_SQL + """
+SELECT o_orderkey, CASE WHEN tk IS NULL THEN 'missing' WHEN sk IS NULL THEN 'extra' ELSE 'changed' END AS verdict
+FROM j WHERE tk IS NULL OR sk IS NULL OR NOT same""")
+def differing_keys(reg):
+    """Which keys differ, and how: the rows that a repair has to load again."""
+    o = reg.table("orders")
+    return RC.differing_keys(o, drifted(o), ["o_orderkey"])
+
+
 TOL_SQL = """SELECT l_suppkey, CAST(FLOOR(SUM(CAST(l_extendedprice AS DECIMAL(38,10)))) AS BIGINT) AS source_count,
   COUNT(*) FILTER (WHERE l_returnflag = 'R') > COUNT(*) FILTER (WHERE l_returnflag = 'A') AS replicating
   FROM lineitem GROUP BY l_suppkey"""

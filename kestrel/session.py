@@ -11,7 +11,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 # Settings for a large cluster (~1000 executors, ~100 TB inputs). Shuffles start wide and AQE
@@ -86,3 +86,11 @@ def work_dir(spark: SparkSession, purpose: str) -> str:
     fs.mkdirs(target)  # deleteOnExit() takes only paths that exist
     fs.deleteOnExit(target)
     return path
+
+
+def staged(df: DataFrame, purpose: str) -> DataFrame:
+    """The rows written to the shared folder and read back: whatever is made of them sees the same rows, and a lost
+    executor costs no earlier work."""
+    path = f"{work_dir(df.sparkSession, purpose)}/data"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
