@@ -205,7 +205,7 @@ def upsert_update(reg):
     store = sandbox(reg, "upsert")
     _, old, delta = orders_split(reg)
     store.swap("orders", old, slices=BY_ORDER)
-    L.upsert_slices(store, "orders", delta, ["o_orderkey"], "o_orderdate")  # rewrites only slices with delta keys
+    L.upsert_slices(store, "orders", delta, ["o_orderkey"], "o_orderdate")  # writes only slices with delta keys anew
     return store.read("orders")
 
 

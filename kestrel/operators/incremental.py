@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from kestrel.functions.scalars import julian_cutoff
+from kestrel.session import staged
 
 # Cadence floors and defaults, in seconds.
 MIN_INTERVAL = 2
@@ -243,15 +244,16 @@ def _plain(value):
 
 def run_cycle(store, table: str, source: DataFrame, marker: str, key: list[str], kind: str = "sequence", lookback_days: int = 1,
               mode: str = "insert_only", cap_at=None, time_col: str | None = None, overlap: int = 0, unit: str = "days",
-              slices: int = 8, stamp: bool = False, max_files: int = 64) -> dict:
+              slices: int = 8, stamp: bool = False) -> dict:
     """cursor -> predicate -> pull -> insert-if-absent (or upsert) -> commit -> advance the cursor.
 
-    The table is cut into ``slices`` hash slices of its key. A cycle writes only the new rows; ``mode="update"``
-    replaces stored rows whose key comes again and rewrites the slices that hold them. A changed marker or kind
-    resets the cursor to the target's own maximum. ``cap_at`` bounds the new cursor (e.g. the run's clock), so a
-    future-dated marker cannot move it past rows that have not arrived yet. ``stamp`` adds the audit columns to what
-    the cycle writes. Rows without a key are logged, not loaded. Slices with many small files are compacted, a few a
-    cycle. Any failure leaves the cursor as it was and records the whole message.
+    What is pulled is written down first, and everything else is made of that copy, the new cursor included: rows that
+    arrive meanwhile are above it and come with the next cycle. The table is cut into ``slices`` hash slices of its key. A
+    cycle writes only the new rows; ``mode="update"`` replaces stored rows whose key comes again and writes the slices that
+    hold them anew. A changed marker or kind resets the cursor to the target's own maximum. ``cap_at`` bounds the new
+    cursor (e.g. the run's clock), so a future-dated marker cannot move it past rows that have not arrived yet. ``stamp``
+    adds the audit columns to what the cycle writes. Rows without a key are logged, not loaded. Any failure leaves the
+    cursor as it was and records the whole message.
     """
     from kestrel.sources.loads import insert_new, stamp_audit, upsert_slices
     from kestrel.sources.snapshots import Slices
@@ -268,15 +270,13 @@ def run_cycle(store, table: str, source: DataFrame, marker: str, key: list[str],
         run_id = None
         if stamp:
             delta, run_id = stamp_audit(delta)
-        observe = {"cursor": pull.latest(cap_at)}
+        delta = staged(delta, "delta")
+        seen = _plain(delta.agg(pull.latest(cap_at)).first()[0])
         if mode == "update" and store.exists(table):
-            res = upsert_slices(store, table, delta, key, marker)
-            seen = delta.agg(pull.latest(cap_at)).first()[0]  # the rewritten slices hold old rows too
+            res = upsert_slices(store, table, delta, key, marker, written=True)
         else:
-            res = insert_new(store, table, delta, key, [marker], observe, Slices("hash", tuple(key), slices))
-            seen = res["metrics"].get("cursor")
-            store.compact(table, max_files, sort_within=key)
-        cursor = max((c for c in (cursor, _plain(seen)) if c is not None), default=None)
+            res = insert_new(store, table, delta, key, [marker], Slices("hash", tuple(key), slices), written=True)
+        cursor = max((c for c in (cursor, seen) if c is not None), default=None)
     except Exception as exc:  # recorded; the cursor does not move
         state.put(table, {**st, "marker": pull.name(), "kind": kind, "status": "failed", "error": str(exc)})
         raise

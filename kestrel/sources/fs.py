@@ -70,17 +70,3 @@ class HadoopFS:
         opts[0] = rename.OVERWRITE
         fc = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path(path).toUri(), self._conf)
         fc.rename(self._path(tmp), self._path(path), opts)
-
-    def create_new(self, path: str, text: str) -> bool:
-        """Create a file unless it exists (atomic on HDFS and POSIX file systems); whether it was created."""
-        try:
-            out = self._fs(path).create(self._path(path), False)
-        except Exception as exc:  # Py4J wraps Hadoop's FileAlreadyExistsException
-            if "AlreadyExists" in str(exc) or "already exists" in str(exc):
-                return False
-            raise
-        try:
-            out.write(bytearray(text.encode("utf-8")))
-        finally:
-            out.close()
-        return True

@@ -2,7 +2,8 @@
 
 Without a table format there is no MERGE. Insert-style merges (insert-if-absent, key repair) compute
 only the new rows with an anti-join, and ``SnapshotStore.append`` adds them to the table; upserts and
-range repairs rewrite only the slices of the table that they touch.
+range repairs write only the slices of the table that they touch, to a new place. Merges into stored tables write
+their delta down first, so that a source that grows meanwhile is read once.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kestrel.functions.scalars import plain_number, wide
+from kestrel.session import staged
 
 
 def load_full_text(src: DataFrame) -> DataFrame:
@@ -102,23 +104,31 @@ def _hash_slices(store, table: str, delta: DataFrame, key: list[str]) -> list[st
     return [r[0] for r in with_key(delta, key).select(slices.value()).distinct().collect()]
 
 
-def insert_new(store, table: str, delta: DataFrame, key: list[str], order_by: list[str] | None = None, observe: dict | None = None,
-               slices=None, meta: dict | None = None) -> dict:
-    """:func:`insert_if_absent` on a stored table: only the new rows are written, and keys are looked up only in the
-    slices that can hold them and, for a single key, in its range (parquet statistics skip the rest). Rows without a
-    key go to the table's reject log; ``rows_rejected`` counts them."""
-    _require_columns(store, table, delta)
+def logged_rejects(store, table: str, delta: DataFrame, key: list[str]) -> int:
+    """Append the rows without a key to the table's reject log, and count them."""
     rejected = without_key(delta, key)
     n = rejected.count()
     if n:
         store.append_rows(f"{table}__rejects", rejected)
+    return n
+
+
+def insert_new(store, table: str, delta: DataFrame, key: list[str], order_by: list[str] | None = None, slices=None, meta: dict | None = None,
+               written: bool = False) -> dict:
+    """:func:`insert_if_absent` on a stored table: only the new rows are written, and keys are looked up only in the
+    slices that can hold them and, for a single key, in its range (parquet statistics skip the rest). The delta is written
+    to a work folder first (unless ``written`` says that it lies in files already), so rejects, slices, key range and rows
+    come from one read of the source. Rows without a key go to the table's reject log; ``rows_rejected`` counts them."""
+    _require_columns(store, table, delta)
+    delta = delta if written else staged(delta, "delta")
+    n = logged_rejects(store, table, delta, key)
     target = store.read(table, _hash_slices(store, table, delta, key)) if store.exists(table) else delta.limit(0)
     if len(key) == 1:
         lo, hi = delta.agg(F.min(key[0]), F.max(key[0])).first()
         if lo is not None:
             target = target.filter(F.col(key[0]).between(F.lit(lo), F.lit(hi)))
     _, new = insert_if_absent(target, delta, key, order_by)
-    return {**store.append(table, new, sort_within=key, observe=observe, slices=slices, meta=meta), "rows_rejected": n}
+    return {**store.append(table, new, sort_within=key, slices=slices, meta=meta), "rows_rejected": n}
 
 
 def upsert_update(target: DataFrame, delta: DataFrame, key: list[str], marker: str | None = None,
@@ -132,21 +142,21 @@ def upsert_update(target: DataFrame, delta: DataFrame, key: list[str], marker: s
     return kept.unionByName(d, allowMissingColumns=True)
 
 
-def upsert_slices(store, table: str, delta: DataFrame, key: list[str], marker: str | None = None, observe: dict | None = None) -> dict:
-    """:func:`upsert_update` on a stored table, rewriting only the hash slices that hold the delta's keys; a table not
-    cut by this key is written anew."""
+def upsert_slices(store, table: str, delta: DataFrame, key: list[str], marker: str | None = None, written: bool = False) -> dict:
+    """:func:`upsert_update` on a stored table, writing only the hash slices that hold the delta's keys anew; a table not
+    cut by this key is written anew as a whole. The delta is written down first, as in :func:`insert_new`."""
     _require_columns(store, table, delta)
-    rejected = without_key(delta, key)
-    n = rejected.count()
-    if n:
-        store.append_rows(f"{table}__rejects", rejected)
+    delta = delta if written else staged(delta, "delta")
+    n = logged_rejects(store, table, delta, key)
     touched = _hash_slices(store, table, delta, key)
     if touched == []:
         rows = store.rows(table)
         return {"table": table, "rows_before": rows, "rows_after": rows, "rows_added": 0, "status": "success", "metrics": {}, "rows_rejected": n}
     merged = upsert_update(store.read(table, touched), delta, key, marker)
-    res = store.swap(table, merged, sort_within=key, observe=observe) if touched is None else store.overwrite_slices(table, touched, merged, key, observe)
-    return {**res, "rows_rejected": n}
+    lost = [c for c in merged.columns if c not in store.read(table).columns]
+    if touched is None or lost:  # not cut by the key, or more columns than the catalog knows
+        return {**store.swap(table, upsert_update(store.read(table), delta, key, marker), sort_within=key), "rows_rejected": n}
+    return {**store.replace_slices(table, touched, merged, key), "rows_rejected": n}
 
 
 def replace_range(target: DataFrame, source: DataFrame, marker: str, cutoff: Column) -> DataFrame:
@@ -157,13 +167,15 @@ def replace_range(target: DataFrame, source: DataFrame, marker: str, cutoff: Col
 
 def replace_range_slices(store, table: str, source: DataFrame, marker: str, cutoff) -> dict:
     """:func:`replace_range` on a stored table: ``cutoff`` is a value of the marker's type or its text. If the table is
-    cut by the marker, only slices that reach the cutoff are read and rewritten; else it is written anew."""
+    cut by the marker, only slices that reach the cutoff are read and written anew; else all of it is. The source's rows are written down first."""
     slices = store.slices(table)
     cut = F.lit(cutoff).cast(dict(store.read(table).dtypes)[marker])
+    source = staged(source.filter(F.col(marker) >= cut), "delta")
     if slices is None or slices.kind == "hash" or slices.columns != (marker,):
         return store.swap(table, replace_range(store.read(table), source, marker, cut))
-    touched = [n for n in store.slice_names(table) if n != "__HIVE_DEFAULT_PARTITION__" and slices.reaches(n, cutoff)]
-    return store.overwrite_slices(table, touched, replace_range(store.read(table, touched), source, marker, cut))
+    fresh = [r[0] for r in source.select(slices.value()).distinct().collect()]  # at most the table's slices
+    touched = sorted({n for n in store.slice_names(table) if n != "__HIVE_DEFAULT_PARTITION__" and slices.reaches(n, cutoff)} | set(fresh))
+    return store.replace_slices(table, touched, replace_range(store.read(table, touched), source, marker, cut))
 
 
 def repair_missing(source: DataFrame, target: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:

@@ -55,7 +55,7 @@ def build(store: SnapshotStore, reg: TableRegistry, spec: ModelSpec) -> dict:
         raise MatviewError(f"model {spec.name} needs a primary key to be materialised")
     df = build_model(reg, spec)
     t0 = time.time()
-    before = int((store.pointer(spec.name) or {}).get("rows", 0))
+    before = store.rows(spec.name)
     version, rows, _ = store.write_version(spec.name, df, sort_within=_sort_columns(spec, df))
     if has_duplicates(store.read_version(spec.name, version).select(spec.pk.name), [spec.pk.name]):
         store.discard(spec.name, version)

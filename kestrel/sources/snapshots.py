@@ -1,33 +1,37 @@
-"""Published tables: a version folder behind an atomically moved pointer, cut into slices by Spark's own partitioning.
+"""Published tables: version folders behind an atomically moved pointer; slices are partitions of Spark's catalog.
 
 Layout under a store root (inside the cluster's shared checkpoint folder):
 
-    <root>/<table>/v=000001/[_slice=.../]   parquet files
-    <root>/<table>/_CURRENT                 JSON {"version": "v=000001", "previous": ..., "slices": ..., "rows": ...}
+    <root>/<table>/v=000001/             parquet files, or one folder for each slice
+    <root>/<table>/v=000001-<id>/        slices that were written anew
+    <root>/<table>/_CURRENT              JSON {"version": "v=000001", "previous": ..., "schema": ..., "slices": ...}
 
 A full reload writes a new version beside the live one and moves the pointer by a rename through the Hadoop
 FileSystem API (atomic on HDFS and POSIX file systems); the version before stays for readers that resolved it, and a
-guard refuses an empty copy over a live table. Everything smaller works inside the live version: an append adds
-files, and upserts, range repairs and compaction rewrite only the slices they touch, by Spark's dynamic partition
-overwrite. A slice is a month or a range of a marker, or a hash bucket of the key; it is a partition column that
-readers never see, so Spark prunes folders by it and parquet's own statistics prune inside them. Files of different
-column sets are read as one merged schema. Writers of one table take a lock file in turn.
+guard refuses an empty copy over a live table. An append adds files. Nothing is rewritten in place.
+
+A table may be cut into slices: by month or ranges of a marker, or by hash buckets of its key. A version of it is an
+external table of the session's catalog, partitioned by the slice. Upserts and range repairs write the slices they touch
+to a new folder, and the catalog then takes those partitions from there (``ALTER TABLE ... PARTITION ... SET LOCATION``);
+what was there before goes with the next such change. Which files belong to a table is Spark's own business
+throughout: it lists, commits, prunes and counts. One job writes a table at a time, as a scheduler sees to.
 """
 
 from __future__ import annotations
 
 import datetime as _dt
+import hashlib
 import json
 import math
 import time
 import uuid
 from collections.abc import Iterable
-from contextlib import contextmanager
 from dataclasses import asdict, dataclass
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kestrel.sources.fs import HadoopFS
 
@@ -90,22 +94,8 @@ class SnapshotStore:
         self.fs.mkdirs(self._dir(table))
         self.fs.write_text_atomic(f"{self._dir(table)}/_CURRENT", json.dumps(meta))
 
-    @contextmanager
-    def writing(self, table: str, wait_s: float = 60.0):
-        """Hold the table's lock file; another writer waits. A lock left by a lost driver is removed by hand."""
-        self.fs.mkdirs(self._dir(table))
-        lock, until = f"{self._dir(table)}/_LOCK", time.time() + wait_s
-        while not self.fs.create_new(lock, _now()):
-            if time.time() > until:
-                raise TimeoutError(f"{table} is being written since {self.fs.read_text(lock)} ({lock})")
-            time.sleep(0.2)
-        try:
-            yield
-        finally:
-            self.fs.delete(lock, recursive=False)
-
     def versions(self, table: str) -> list[str]:
-        return sorted(x for x in self.fs.list_names(self._dir(table)) if x.startswith("v="))
+        return sorted(x for x in self.fs.list_names(self._dir(table)) if x.startswith("v=") and "-" not in x)
 
     def _next_version(self, table: str) -> str:
         vs = self.versions(table)
@@ -115,6 +105,10 @@ class SnapshotStore:
         spec = (self.pointer(table) or {}).get("slices")
         return Slices(spec["kind"], tuple(spec["columns"]), spec["size"]) if spec else None
 
+    def catalog_name(self, table: str, version: str) -> str:
+        """The catalog's name of a version that is cut into slices."""
+        return f"kestrel_{hashlib.sha256(self._dir(table).encode()).hexdigest()[:16]}_{version[2:]}"
+
     # ---------------------------------------------------------------- read
     def exists(self, table: str) -> bool:
         return self.pointer(table) is not None
@@ -123,57 +117,74 @@ class SnapshotStore:
         return f"{self._dir(table)}/{self.pointer(table)['version']}"
 
     def read(self, table: str, only: Iterable[str] | None = None) -> DataFrame | None:
-        """The live version with every column that any of its files has; ``only`` names the slices to read."""
-        if not self.exists(table):
+        """The live version with every column that it has ever got; ``only`` names the slices to read."""
+        meta = self.pointer(table)
+        if meta is None:
             return None
-        df = self.spark.read.option("mergeSchema", "true").parquet(self.live(table))
-        if SLICE not in df.columns:
-            return df
+        if not meta.get("slices"):
+            return self.spark.read.schema(T.StructType.fromJson(json.loads(meta["schema"]))).parquet(f"{self._dir(table)}/{meta['version']}")
+        name = self.catalog_name(table, meta["version"])
+        self.spark.catalog.refreshTable(name)  # a stream's batches write in a session of their own
+        df = self.spark.table(name)
         return (df if only is None else df.filter(F.coalesce(F.col(SLICE), F.lit(NO_SLICE)).isin(*only))).drop(SLICE)
 
     def read_version(self, table: str, version: str) -> DataFrame:
         return self.spark.read.parquet(f"{self._dir(table)}/{version}").drop(SLICE)
 
     def slice_names(self, table: str) -> list[str]:
-        return [n.split("=", 1)[1] for n in self.fs.list_names(self.live(table)) if n.startswith(f"{SLICE}=")]
+        name = self.catalog_name(table, self.pointer(table)["version"])
+        return [r[0].split("=", 1)[1] for r in self.spark.sql(f"SHOW PARTITIONS {name}").collect()]
 
     # ---------------------------------------------------------------- write
-    def _put(self, df: DataFrame, path: str, mode: str, slices: Slices | None, sort_within: list[str] | None, observe: dict | None) -> dict:
-        """Write ``df`` and return what was observed on the way: ``rows`` and the named aggregates."""
+    def _observed(self, df: DataFrame, write, observe: dict | None = None) -> dict:
+        """Let ``write`` write ``df``; return what was observed on the way: ``rows`` and the named aggregates."""
         obs = Observation(f"rows_{uuid.uuid4().hex[:8]}")
-        out = df.observe(obs, F.count(F.lit(1)).alias("rows"), *[c.alias(n) for n, c in (observe or {}).items()])
-        if slices:
-            # Each slice is written by as many tasks as its size needs, not by every task that has rows of it.
-            out = out.withColumn(SLICE, slices.value()).hint("rebalance", SLICE)
-        if slices or sort_within:
-            out = out.sortWithinPartitions(*([SLICE] if slices else []), *(sort_within or []))
-        w = out.write.mode(mode).option("partitionOverwriteMode", "dynamic")
-        (w.partitionBy(SLICE) if slices else w).parquet(path)
+        write(df.observe(obs, F.count(F.lit(1)).alias("rows"), *[c.alias(n) for n, c in (observe or {}).items()]))
         try:
             return dict(obs.get)
         except Py4JJavaError:  # Spark drops the observation of a plan that turns out empty while it runs
             return {"rows": 0, **dict.fromkeys(observe or {})}
 
+    @staticmethod
+    def _dealt(df: DataFrame, slices: Slices | None, sort_within: list[str] | None) -> DataFrame:
+        """Each slice is written by as many tasks as its size needs, not by every task that has rows of it."""
+        if slices:
+            df = df.withColumn(SLICE, slices.value()).hint("rebalance", SLICE)
+        return df.sortWithinPartitions(*([SLICE] if slices else []), *(sort_within or [])) if slices or sort_within else df
+
     def write_version(self, table: str, df: DataFrame, sort_within: list[str] | None = None, slices: Slices | None = None,
                       observe: dict | None = None) -> tuple[str, int, dict]:
         """Write ``df`` as a new, unpublished version: (version, rows, observed), all counted during the write."""
         version = self._next_version(table)
-        seen = self._put(df, f"{self._dir(table)}/{version}", "errorifexists", slices, sort_within, observe)
+        path = f"{self._dir(table)}/{version}"
+
+        def write(rows: DataFrame) -> None:
+            out = self._dealt(rows, slices, sort_within).write
+            if slices:
+                self.spark.sql(f"DROP TABLE IF EXISTS {self.catalog_name(table, version)}")
+                out.format("parquet").partitionBy(SLICE).option("path", path).saveAsTable(self.catalog_name(table, version))
+            else:
+                out.parquet(path)
+        seen = self._observed(df, write, observe)
         return version, int(seen.pop("rows")), seen
 
     def discard(self, table: str, version: str) -> None:
-        """Delete an unpublished version (never the live one)."""
+        """Delete an unpublished version (never the live one) with all that was written for it."""
         if version != (self.pointer(table) or {}).get("version"):
-            self.fs.delete(f"{self._dir(table)}/{version}")
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.catalog_name(table, version)}")
+            for folder in self.fs.list_names(self._dir(table)):
+                if folder == version or folder.startswith(f"{version}-"):
+                    self.fs.delete(f"{self._dir(table)}/{folder}")
 
-    def publish(self, table: str, version: str, meta: dict | None = None, slices: Slices | None = None) -> dict:
+    def publish(self, table: str, version: str, meta: dict | None = None, slices: Slices | None = None, schema: T.StructType | None = None) -> dict:
         """Move the pointer to ``version``; the one before stays for its readers, older and failed ones go."""
         old = (self.pointer(table) or {}).get("version")
-        m = {"version": version, "previous": old, "slices": asdict(slices) if slices else None, "published_at": _now(), **(meta or {})}
+        schema = schema or self.read_version(table, version).schema
+        m = {"version": version, "previous": old, "schema": schema.json(), "slices": asdict(slices) if slices else None, "published_at": _now(), **(meta or {})}
         self._move_pointer(table, m)
         for v in self.versions(table):
             if v not in (version, old):
-                self.fs.delete(f"{self._dir(table)}/{v}")
+                self.discard(table, v)
         return m
 
     def drop(self, table: str) -> None:
@@ -181,8 +192,8 @@ class SnapshotStore:
         self.fs.delete(f"{self._dir(table)}/_CURRENT", recursive=False)
 
     def rows(self, table: str) -> int:
-        meta = self.pointer(table)
-        return 0 if meta is None else int(meta["rows"]) if "rows" in meta else self.read(table).count()
+        """Counted when asked, from the files' footers."""
+        return self.read(table).count() if self.exists(table) else 0
 
     def _result(self, table: str, before: int, after: int, t0: float, **more) -> dict:
         return {"table": table, "rows_before": before, "rows_after": after, "rows_added": after - before,
@@ -192,66 +203,70 @@ class SnapshotStore:
              sort_within: list[str] | None = None, observe: dict | None = None, slices: Slices | None = None) -> dict:
         """Full reload: write a new copy, refuse it when it is empty (or below ``min_ratio``) over a live table with
         rows, then move the pointer. Slices stay as they were unless given."""
-        with self.writing(table):
-            before, t0, slices = self.rows(table), time.time(), slices or self.slices(table)
-            version, rows, seen = self.write_version(table, df, sort_within, slices, observe)
-            if before and (guard_nonempty and rows == 0 or min_ratio is not None and rows < min_ratio * before):
-                self.discard(table, version)
-                raise GuardError(f"refusing to publish a copy of {table} with {rows} rows over {before} live rows")
-            self.publish(table, version, {"rows": rows, **(meta or {})}, slices)
-            return self._result(table, before, rows, t0, version=version, metrics=seen)
+        before, t0, slices = self.rows(table), time.time(), slices or self.slices(table)
+        version, rows, seen = self.write_version(table, df, sort_within, slices, observe)
+        if before and (guard_nonempty and rows == 0 or min_ratio is not None and rows < min_ratio * before):
+            self.discard(table, version)
+            raise GuardError(f"refusing to publish a copy of {table} with {rows} rows over {before} live rows")
+        self.publish(table, version, meta, slices, df.schema)
+        return self._result(table, before, rows, t0, version=version, metrics=seen)
 
     def append(self, table: str, df: DataFrame, sort_within: list[str] | None = None, observe: dict | None = None,
                slices: Slices | None = None, meta: dict | None = None) -> dict:
-        """Add the rows of ``df`` to the live version as further files; the first append creates the table."""
+        """Add the rows of ``df`` to the live version as further files; the first append creates the table. New columns
+        are added to the table's; columns that ``df`` lacks are null."""
         if not self.exists(table):
             return self.swap(table, df, sort_within=sort_within, observe=observe, slices=slices, meta=meta)
-        with self.writing(table):
-            before, t0 = self.rows(table), time.time()
-            seen = self._put(df, self.live(table), "append", self.slices(table), sort_within, observe)
-            rows = int(seen.pop("rows"))
-            if rows:
-                self._move_pointer(table, {**self.pointer(table), "rows": before + rows, **(meta or {})})
-            return self._result(table, before, before + rows, t0, metrics=seen)
-
-    def overwrite_slices(self, table: str, touched: list[str], df: DataFrame, sort_within: list[str] | None = None, observe: dict | None = None) -> dict:
+        pointer, before, t0, now = self.pointer(table), self.rows(table), time.time(), self.read(table).schema
+        new = [f for f in df.schema.fields if f.name not in now.fieldNames()]
+        sliced, name = self.slices(table), self.catalog_name(table, pointer["version"])
+        if sliced and new:
+            self.spark.sql(f"ALTER TABLE {name} ADD COLUMNS ({', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in new)})")
+
+        def write(rows: DataFrame) -> None:
+            if not sliced:
+                self._dealt(rows, None, sort_within).write.mode("append").parquet(self.live(table))
+                return
+            there = {c.lower() for c in rows.columns}
+            whole = self.spark.table(name).drop(SLICE).schema
+            every = rows.select(*[F.col(f.name) if f.name.lower() in there else F.lit(None).cast(f.dataType).alias(f.name) for f in whole.fields])
+            self._dealt(every, sliced, sort_within).write.insertInto(name)
+        seen = self._observed(df, write, observe)
+        rows = int(seen.pop("rows"))
+        if new or meta:
+            self._move_pointer(table, {**pointer, "schema": T.StructType([*now.fields, *new]).json(), **(meta or {})})
+        return self._result(table, before, before + rows, t0, metrics=seen)
+
+    def replace_slices(self, table: str, touched: list[str], df: DataFrame, sort_within: list[str] | None = None) -> dict:
         """Replace the ``touched`` slices by ``df``, whose rows all belong to them; no other slice is read or written.
 
-        ``df`` may read the table: its old files go only when the new ones are committed. A touched slice without a
-        row left is removed after that, so a repeat of an interrupted call mends it.
+        ``df`` may read the table. The new slices are written to a folder of their own; only when that is complete does
+        the catalog take the partitions from there, one after the other. A call that was interrupted in between is repeated.
+        Files that an earlier call replaced go now, so a reader has until the next change to finish.
         """
-        with self.writing(table):
-            t0, slices, meta = time.time(), self.slices(table), self.pointer(table)
-            before = self.rows(table)
-            old = self.read(table, touched).count() if touched else 0
-            listed = lambda: {n: set(self.fs.list_names(f"{self.live(table)}/{SLICE}={n}")) for n in touched}
-            was = listed()
-            seen = self._put(df, self.live(table), "overwrite", slices, sort_within, observe)
-            rows = int(seen.pop("rows"))
-            for name, files in listed().items():
-                if files == was[name]:  # no row of the new content belongs to it
-                    self.fs.delete(f"{self.live(table)}/{SLICE}={name}")
-            after = before - old + rows
-            self._move_pointer(table, {**meta, "rows": after})
-            return self._result(table, before, after, t0, metrics=seen, touched=sorted(touched))
-
-    def compact(self, table: str, max_files: int = 64, max_slices: int = 8, sort_within: list[str] | None = None) -> list[str]:
-        """Rewrite the slices with more than ``max_files`` files, fullest first, at most ``max_slices`` a run, so a run's
-        cost is bounded. A table without slices is written anew once it has more files than that."""
-        if not self.exists(table):
-            return []
-        count = lambda folder: sum(n.endswith(".parquet") for n in self.fs.list_names(folder))
-        if self.slices(table) is None:
-            if count(self.live(table)) <= max_files:
-                return []
-            self.swap(table, self.read(table), sort_within=sort_within)
-            return [""]
-        files = {n: count(f"{self.live(table)}/{SLICE}={n}") for n in self.slice_names(table)}
-        full = sorted((n for n, k in files.items() if k > max_files), key=lambda n: (-files[n], n))[:max_slices]
-        for name in full:
-            one = self.read(table, [name])
-            self.overwrite_slices(table, [name], one.coalesce(max(1, max_files // 2)), sort_within)
-        return full
+        t0, slices, pointer = time.time(), self.slices(table), self.pointer(table)
+        name, before = self.catalog_name(table, pointer["version"]), self.rows(table)
+        folder = f"{self._dir(table)}/{pointer['version']}-{uuid.uuid4().hex[:12]}"
+        self._observed(df, lambda rows: self._dealt(rows, slices, sort_within).write.partitionBy(SLICE).parquet(folder))
+        made = {n.split("=", 1)[1] for n in self.fs.list_names(folder) if n.startswith(f"{SLICE}=")}
+        replaced = [self.location(name, n) for n in touched]
+        for n in touched:
+            if n in made:
+                self.spark.sql(f"ALTER TABLE {name} ADD IF NOT EXISTS PARTITION ({SLICE}='{n}') LOCATION '{folder}/{SLICE}={n}'")
+                self.spark.sql(f"ALTER TABLE {name} PARTITION ({SLICE}='{n}') SET LOCATION '{folder}/{SLICE}={n}'")
+            else:
+                self.spark.sql(f"ALTER TABLE {name} DROP IF EXISTS PARTITION ({SLICE}='{n}')")
+        for path in pointer.get("replaced", []):
+            self.fs.delete(path)
+        self._move_pointer(table, {**pointer, "replaced": [p for p in replaced if p]})
+        return self._result(table, before, self.rows(table), t0, touched=sorted(touched))
+
+    def location(self, name: str, part: str) -> str | None:
+        """Where the catalog has a slice; None if there is none."""
+        if not self.spark.sql(f"SHOW PARTITIONS {name} PARTITION ({SLICE}='{part}')").collect():
+            return None
+        rows = self.spark.sql(f"DESCRIBE FORMATTED {name} PARTITION ({SLICE}='{part}')").collect()
+        return next(r.data_type for r in rows if r.col_name == "Location")
 
     def append_rows(self, table: str, df: DataFrame) -> None:
         """Append-only log tables (metrics, run history, rejects): each append is a new file set."""

@@ -60,14 +60,13 @@ def inbound_stream(spark: SparkSession, landing: str, fields: list[I.Field], out
 
 def incremental_stream(spark: SparkSession, landing: str, schema: T.StructType, store: SnapshotStore, table: str, key: list[str],
                        order_by: list[str] | None, checkpoint: str, bytes_per_batch: int = 16 << 30, slices: int = 8,
-                       max_files: int = 64, available_now: bool = True) -> StreamingQuery:
-    """Landed delta files -> insert-if-absent: a batch looks its keys up in the hash slices that can hold them, appends
-    only its new rows, and compacts a few slices once they have many files."""
+                       available_now: bool = True) -> StreamingQuery:
+    """Landed delta files -> insert-if-absent: a batch looks its keys up in the hash slices that can hold them and appends
+    only its new rows. The batch's own files are the written delta."""
     src = spark.readStream.schema(schema).option("maxBytesPerTrigger", bytes_per_batch).parquet(landing)
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        insert_new(store, table, df, key, order_by, slices=Slices("hash", tuple(key), slices), meta={"batch_id": batch_id})
-        store.compact(table, max_files, sort_within=key)
+        insert_new(store, table, df, key, order_by, Slices("hash", tuple(key), slices), meta={"batch_id": batch_id}, written=True)
 
     return run(src.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint), available_now)
 

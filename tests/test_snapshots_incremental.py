@@ -179,25 +179,22 @@ def test_failed_write_never_published_and_previous_kept(spark, store):
 
 
 def files(store, table):
-    root = store.live(table).removeprefix("file:")
+    root = os.path.dirname(store.live(table)).removeprefix("file:")
     return {os.path.join(d, n) for d, _, names in os.walk(root) for n in names if n.endswith(".parquet")}
 
 
-def test_append_adds_files_and_columns_and_compacts_slices(spark, store):
+@pytest.mark.parametrize("slices", [Slices("hash", ("k",), 4), None])
+def test_append_adds_files_and_columns(spark, store, slices):
     base = spark.range(100).withColumnRenamed("id", "k")
-    by_key = Slices("hash", ("k",), 4)
-    store.swap("t", base, slices=by_key)
+    store.swap("t", base, slices=slices)
     before = files(store, "t")
     for i in range(3):
         res = store.append("t", spark.range(100 + 10 * i, 110 + 10 * i).withColumnRenamed("id", "k").withColumn("extra", F.lit(i)))
         assert res["rows_added"] == 10
     assert before <= files(store, "t") and store.read("t").columns == ["k", "extra"]
     assert store.read("t").filter("extra IS NOT NULL").count() == 30 and store.rows("t") == 130
-    n = len(files(store, "t"))
-    done = store.compact("t", max_files=2, max_slices=3)
-    assert len(done) == 3 and len(files(store, "t")) < n and store.read("t").count() == 130
-    store.compact("t", max_files=2, max_slices=3)
-    assert store.compact("t", max_files=2) == [] and store.read("t").distinct().count() == 130
+    store.append("t", spark.range(5).withColumnRenamed("id", "k"))  # lacks a column
+    assert store.rows("t") == 135 and store.read("t").filter("extra IS NULL").count() == 105
 
 
 @pytest.mark.parametrize("kind,size", [("month", 0), ("range", 100)])
@@ -283,13 +280,57 @@ def test_audit_stamps_on_what_a_cycle_writes(spark, store):
     assert counts == {one["run_id"]: 6, two["run_id"]: 4} and store.read("t").filter("_migrated_at IS NULL").count() == 0
 
 
-def test_writers_take_turns(spark, store):
-    df = spark.range(5).withColumnRenamed("id", "k")
-    store.swap("t", df)
-    with store.writing("t"), pytest.raises(TimeoutError):
-        with store.writing("t", wait_s=0.3):
-            pass
-    assert store.append("t", df)["rows_after"] == 10
+class Growing:
+    """A source that gets a further row at every read: ``frame`` reads files that grow between the jobs."""
+
+    def __init__(self, spark, root):
+        self.spark, self.path, self.n = spark, f"{root}/growing", 0
+        self.more(5)
+
+    def more(self, k=1):
+        rows = [(self.n + i, self.n + i, "v") for i in range(k)]
+        self.spark.createDataFrame(rows, "k long, m long, v string").coalesce(1).write.mode("append").parquet(self.path)
+        self.n += k
+
+    def frame(self):
+        grow = self.more
+
+        class Frame:
+            def __init__(self, df):
+                self.df = df
+
+            def filter(self, cond):
+                grow()  # a row arrives between the pull and whatever else reads the source
+                return self.df.filter(cond)
+        return Frame(self.spark.read.schema("k long, m long, v string").parquet(self.path))
+
+
+@pytest.mark.parametrize("mode", ["insert_only", "update"])
+def test_a_source_that_grows_between_reads_loses_and_repeats_nothing(spark, store, monkeypatch, mode):
+    source = Growing(spark, work_dir(spark, "growing"))
+    for name in ("insert_new", "upsert_slices"):  # more rows arrive while the merge runs
+        was = getattr(L, name)
+        monkeypatch.setattr(L, name, lambda *a, was=was, **b: (source.more(), was(*a, **b), source.more())[1])
+    for _ in range(4):
+        N.run_cycle(store, "t", source.frame(), "m", ["k"], mode=mode)
+    stored = [r.k for r in store.read("t").collect()]
+    assert len(stored) == len(set(stored))
+    N.run_cycle(store, "t", spark.read.parquet(source.path), "m", ["k"], mode=mode)
+    assert sorted(r.k for r in store.read("t").collect()) == list(range(store.rows("t"))) and store.rows("t") >= source.n - 2
+
+
+def test_an_old_reader_finishes_after_slices_were_replaced(spark, store):
+    df = spark.range(100).select(F.col("id").alias("k"), F.lit("old").alias("v"))
+    store.swap("t", df, slices=Slices("hash", ("k",), 4))
+    reader, before = store.read("t"), files(store, "t")
+    L.upsert_slices(store, "t", df.filter("k < 50").withColumn("v", F.lit("new")), ["k"])
+    assert reader.count() == 100 and before <= files(store, "t")  # nothing was rewritten in place: a job that runs has its files
+    assert store.read("t").groupBy("v").count().orderBy("v").collect() == [("new", 50), ("old", 50)]
+    L.upsert_slices(store, "t", df.filter("k < 50").withColumn("v", F.lit("newer")), ["k"])
+    assert not before <= files(store, "t") and store.read("t").filter("v = 'newer'").count() == 50
+    more = df.filter("k < 10").withColumn("extra", F.lit(1))  # a new column
+    L.upsert_slices(store, "t", more, ["k"])
+    assert store.read("t").columns == ["k", "v", "extra"] and store.read("t").filter("extra = 1").count() == 10 and store.rows("t") == 100
 
 
 def test_a_stream_can_run_on(spark, reg):
