@@ -15,6 +15,7 @@ from kestrel.catalog.base import query
 from kestrel.catalog.incremental import sandbox
 from kestrel.catalog.models import AR_MODEL
 from kestrel.catalog.reconcile import reconciliation_report
+from kestrel.catalog.reports import PO_SUMMARY_SQL
 from kestrel.operators import filters as FL
 from kestrel.plans.model import ModelSpec, attr
 from kestrel.session import work_dir
@@ -369,7 +370,16 @@ def export_csv(reg):
     return reg.spark.read.option("header", True).csv(path)
 
 
-@query("table_schema")
+PROFILE_SQL = " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, * FROM (UNPIVOT (SELECT count(COLUMNS(*)) FROM {t}) ON COLUMNS(*) INTO NAME column_name VALUE non_null)" for t in DRIVER_TABLES)
+
+
+@query("table_schema", oracle=f"""
+WITH profile AS ({PROFILE_SQL})
+SELECT table_name, column_name, CASE data_type WHEN 'VARCHAR' THEN 'string' WHEN 'INTEGER' THEN 'int' WHEN 'TIMESTAMP' THEN 'timestamp_ntz'
+    WHEN 'FLOAT[]' THEN 'array<float>' ELSE lower(data_type) END AS data_type,
+  is_nullable = 'YES' AS is_nullable, ordinal_position, non_null
+FROM information_schema.columns JOIN profile USING (table_name, column_name)""")
 def table_schema(reg):
     """Columns of every table: type, declared nullability, ordinal, and the observed non-NULL count."""
     from kestrel.operators.aggregates import column_profile
@@ -381,7 +391,9 @@ def table_schema(reg):
     return schema.join(column_profile({t: reg.table(t) for t in reg.names()}), ["table_name", "column_name"], "left")
 
 
-@query("table_list")
+@query("table_list", oracle=PO_SUMMARY_SQL + " UNION ALL ".join(
+    [f"SELECT '{t}' AS table_name, 'BASE TABLE' AS table_type, COUNT(*) AS row_count FROM {t}" for t in DRIVER_TABLES]
+    + [f"SELECT '{t}', 'VIEW', COUNT(*) FROM {'summary' if t == 'po_summary' else t}" for t in ("po_header", "po_supplier", "po_line", "po_invoice", "po_summary")]))
 def table_list(reg):
     """Tables with their kind (parquet tables are BASE TABLE, registered derived frames VIEW) and rows."""
     from kestrel.catalog.projections import register_procurement

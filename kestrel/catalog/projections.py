@@ -16,7 +16,7 @@ from kestrel.operators.reports import po_summary
 from kestrel.plans.model import ModelSpec, attr, build_model
 from kestrel.plans.templates import TEMPLATES
 from kestrel.sources import ingest as I
-from kestrel.sources.tables import platform_type
+from kestrel.sources.tables import DRIVER_TABLES, platform_type
 
 
 @query("mapped_projection", oracle="""
@@ -34,31 +34,42 @@ def register_procurement(reg):
     reg.register("po_summary", po_summary(*[reg.table(t) for t in ("po_header", "po_supplier", "po_line", "po_invoice")]))
 
 
+# How the templates' attributes are compared: times, texts, and for all others the exact sum.
+TEMPLATE_TIMES = "order_date promised_date invoice_date due_date source_updated_at".split()
+TEMPLATE_TEXTS = ("supplier_name tax_code supplier_type country city status buyer_name company_code branch_plant currency po_status po_line_id "
+                  "item_code item_description uom line_status invoice_no payment_status payment_status_summary").split()
+
+
 def template_oracle() -> str:
-    """Per template and attribute, over the template's own source column: filled rows, least and greatest as text."""
-    texts = {"supplier_name", "tax_code", "supplier_type", "country", "city", "status", "buyer_name", "company_code", "branch_plant", "currency",
-             "po_status", "po_line_id", "item_code", "item_description", "uom", "line_status", "invoice_no", "payment_status", "payment_status_summary"}
+    """Per template and attribute, over the template's own source column: filled rows, least and greatest, sum."""
     rows = []
     for name, spec in TEMPLATES.items():
         for a in spec.attributes:
-            edge = [f"{f}({a.source_column})" if a.name in texts else "CAST(NULL AS VARCHAR)" for f in ("MIN", "MAX")]
+            text = f"strftime({a.source_column}::TIMESTAMP, '%Y-%m-%d %H:%M:%S')" if a.name in TEMPLATE_TIMES else a.source_column
+            ends = [f"{f}({text})" if a.name in TEMPLATE_TEXTS + TEMPLATE_TIMES else "CAST(NULL AS VARCHAR)" for f in ("MIN", "MAX")]
+            total = "CAST(NULL AS DOUBLE)" if a.name in TEMPLATE_TEXTS + TEMPLATE_TIMES else f"CAST(SUM(CAST({a.source_column} AS DECIMAL(38,10))) AS DOUBLE)"
             table = {"po_summary": "summary"}.get(a.source_table, a.source_table)
-            rows.append(f"SELECT '{name}' AS template, '{a.name}' AS attribute, COUNT({a.source_column}) AS filled, {edge[0]} AS least, {edge[1]} AS greatest FROM {table}")
+            rows.append(f"SELECT '{name}' AS template, '{a.name}' AS attribute, COUNT({a.source_column}) AS filled, {ends[0]} AS least, {ends[1]} AS greatest, "
+                        f"{total} AS total FROM {table}")
     return PO_SUMMARY_SQL + " UNION ALL ".join(rows)
 
 
 @query("template_models", oracle=template_oracle())
 def template_models(reg):
-    """The five procurement templates built as models: per attribute its filled rows and, of texts, the least and
-    greatest value."""
+    """The five procurement templates built as models: per attribute its filled rows, of texts and times the least and
+    greatest value, of numbers the sum. Each model is read once."""
     register_procurement(reg)
     parts = []
     for name, spec in TEMPLATES.items():
-        df = build_model(reg, spec)
-        edge = lambda f, c, kind: f(c) if kind == "string" else F.lit(None).cast("string")
-        seen = df.agg(*[F.struct(F.count(c).alias("filled"), edge(F.min, c, k).alias("least"), edge(F.max, c, k).alias("greatest")).alias(c) for c, k in df.dtypes])
-        each = F.array(*[F.struct(F.lit(name).alias("template"), F.lit(c).alias("attribute"), *[F.col(c)[n].alias(n) for n in ("filled", "least", "greatest")]) for c in df.columns])
-        parts.append(seen.select(F.inline(each)))
+        df, seen = build_model(reg, spec), []
+        for c, kind in df.dtypes:
+            time, number = kind in ("date", "timestamp", "timestamp_ntz"), kind not in ("string", "date", "timestamp", "timestamp_ntz")
+            text = lambda f, c=c, time=time: F.date_format(f(c).cast("timestamp_ntz"), "yyyy-MM-dd HH:mm:ss") if time else f(c)
+            none = F.lit(None).cast("string")
+            seen.append(F.struct(F.lit(name).alias("template"), F.lit(c).alias("attribute"), F.count(c).alias("filled"),
+                                 (none if number else text(F.min)).alias("least"), (none if number else text(F.max)).alias("greatest"),
+                                 (F.sum(F.col(c).cast("decimal(38,10)")).cast("double") if number else F.lit(None).cast("double")).alias("total")))
+        parts.append(df.agg(F.array(*seen).alias("seen")).select(F.inline("seen")))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -74,7 +85,20 @@ def snake_case(name):
     return F.when(s.isin(*SYSTEM_NAMES), F.concat(F.lit("source_"), s)).otherwise(s)
 
 
-@query("model_from_table")
+def first_column_sql(table: str) -> str:
+    """Whether a table's first column is a key: it is renamed by its place, whatever its name."""
+    return f"SELECT '{table}' AS table_name, COUNT(*) = COUNT(k) AND COUNT(k) = COUNT(DISTINCT k) AS pk_unique FROM {table} AS t(k)"
+
+
+@query("model_from_table", oracle=f"""
+WITH keys AS ({' UNION ALL '.join(map(first_column_sql, DRIVER_TABLES))}),
+named AS (SELECT *, lower(regexp_replace(regexp_replace(regexp_replace(column_name, '([a-z0-9])([A-Z])', '\\1_\\2', 'g'), '[^A-Za-z0-9]+', '_', 'g'), '^_+', '')) AS snake
+          FROM information_schema.columns)
+SELECT table_name, ordinal_position AS position, column_name AS source_column,
+  CASE WHEN data_type = 'VARCHAR' THEN 'text' WHEN data_type IN ('BIGINT', 'INTEGER') THEN 'integer' WHEN data_type IN ('DOUBLE', 'FLOAT') THEN 'float'
+       WHEN data_type = 'TIMESTAMP' THEN 'datetime' WHEN data_type = 'DATE' THEN 'date' WHEN data_type = 'BOOLEAN' THEN 'boolean' END AS data_type,
+  ordinal_position = 1 AS is_pk, CASE WHEN snake IN {SYSTEM_NAMES} THEN 'source_' || snake ELSE snake END AS attribute, pk_unique
+FROM named JOIN keys USING (table_name)""")
 def model_from_table(reg):
     """Derive a model from each table's schema: snake_case names, system names prefixed, first column PK
     (checked against the data: usable only when unique and never NULL)."""
@@ -91,14 +115,21 @@ def model_from_table(reg):
     return attrs.join(first_column_unique({t: reg.table(t) for t in reg.names()}), "table_name", "left")
 
 
-@query("project_meta_raw")
+@query("project_meta_raw", oracle="""
+SELECT event_id, event_type, value, 'id,created_at,updated_at,event_id,event_type,value,raw_payload' AS columns, true AS has_id, true AS fresh, true AS never_updated,
+  '{"event_id":' || event_id || ',"event_type":"' || event_type || '"' || CASE WHEN value IS NULL THEN '' ELSE ',"value":' || value END || '}' AS raw_payload
+FROM events WHERE event_id IS NOT NULL AND event_type IS NOT NULL""")
 def project_meta_raw(reg):
-    """Ingested events (Type A) with meta columns first and raw_payload last."""
+    """Ingested events (Type A) with meta columns first and raw_payload last. The id and the clocks never repeat: checks on
+    their values stand in for them."""
     fields = [I.Field("event_id", "integer", True), I.Field("event_type", "text", True), I.Field("value", "float")]
     payload = reg.table("events").select(F.to_json(F.struct("event_id", "event_type", "value")).alias("payload"))
     acc = I.accepted(I.validate(payload, fields), fields)
     out = FL.project_meta_raw(acc, [f.name for f in fields], include_meta=True, include_raw=True)
-    return out.select(*[f.name for f in fields], F.lit(",".join(out.columns)).alias("columns"))  # ids and clocks never repeat
+    return out.select(*[f.name for f in fields], F.lit(",".join(out.columns)).alias("columns"),
+                      F.col("id").rlike("^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$").alias("has_id"),
+                      (F.abs(F.timestamp_diff("HOUR", F.col("created_at"), F.current_timestamp())) < 1).alias("fresh"),
+                      (F.col("updated_at") == F.col("created_at")).alias("never_updated"), "raw_payload")
 
 
 @query("serialize_rows", oracle="""

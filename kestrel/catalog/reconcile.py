@@ -299,20 +299,16 @@ def key_coverage(reg):
 
 DECLARED_KEYS = [("orders", "o_orderkey"), ("lineitem", "l_orderkey"), ("lineitem", "l_linenumber"),
                  ("lineitem", "l_lineid"), ("customer", "c_custkey"), ("customer", "c_uuid"), ("events", "event_id")]
+LOST_KEYS = [("lineitem", "l_lineid"), ("customer", "c_uuid")]
 
 
-@query("key_columns_missing", oracle="""
-SELECT d.table_name, d.column_name FROM (VALUES """ + ", ".join(f"('{t}', '{c}')" for t, c in DECLARED_KEYS) + """)
-  d(table_name, column_name)
-WHERE NOT EXISTS (SELECT 1 FROM information_schema.columns c
-                  WHERE c.table_name = d.table_name AND c.column_name = d.column_name)""")
+@query("key_columns_missing", oracle=" UNION ALL ".join(f"""
+SELECT '{t}' AS table_name, '{c}' AS column_name, there, COUNT(*) AS rows, COUNT(*) FILTER (WHERE NOT there OR v IS NULL) AS rows_without
+FROM (SELECT (SELECT COUNT(*) FROM information_schema.columns WHERE table_name = '{t}' AND column_name = '{c}') > 0 AS there, {c if (t, c) not in LOST_KEYS else 'NULL'} AS v FROM {t})
+GROUP BY there HAVING rows_without > 0""" for t, c in DECLARED_KEYS))
 def key_columns_missing(reg):
-    """Declared key columns that the table does not have (anti-join with the tables' schema rows)."""
-    spark = reg.spark
-    declared = spark.createDataFrame(DECLARED_KEYS, "table_name string, column_name string")
-    schema_rows = spark.createDataFrame([(t, f) for t in {t for t, _ in DECLARED_KEYS}
-                                         for f in reg.table(t).columns], "table_name string, column_name string")
-    return declared.join(schema_rows, ["table_name", "column_name"], "left_anti")
+    """Declared key columns that a table does not have, or that some of its rows leave empty, with the rows concerned."""
+    return RC.missing_keys({t: reg.table(t) for t in {t for t, _ in DECLARED_KEYS}}, DECLARED_KEYS)
 
 
 @query("model_check")

@@ -24,24 +24,25 @@ def exact_sql(x: str) -> str:
     return f"CAST(SUM(CAST(COALESCE({x}, 0) AS DECIMAL(38,10))) AS DOUBLE)"
 
 
-# Written from the columns' meaning: how many, how much, how many open, when last touched, per order.
-LS_SQL = f"""ls AS (SELECT po_no, COUNT(DISTINCT po_line_id) AS line_count, {exact_sql('quantity_ordered')} AS total_ordered_quantity,
-  {exact_sql('quantity_received')} AS total_received_quantity, SUM(CASE line_status WHEN 'open' THEN 1 ELSE 0 END)::BIGINT AS open_line_count,
-  MAX(updated_at) AS lines_updated_at FROM po_line GROUP BY 1)"""
-INV_SQL = f"""inv AS (SELECT po_no, COUNT(DISTINCT invoice_no) AS invoice_count, {exact_sql('gross_amount')} AS total_invoice_amount,
-  {exact_sql('open_amount')} AS total_open_invoice_amount, MAX(updated_at) AS invoices_updated_at
-  FROM po_invoice GROUP BY 1 HAVING po_no IS NOT NULL)"""
-PO_SUMMARY_SQL = S.with_ctes(S.PO_CTES, LS_SQL, INV_SQL) + """,
-known AS (SELECT * FROM po_header LEFT JOIN (SELECT supplier_code, supplier_name, updated_at AS s_at FROM po_supplier) USING (supplier_code)
-          LEFT JOIN ls USING (po_no) LEFT JOIN inv USING (po_no)),
-summary AS (SELECT po_no, supplier_code, supplier_name, buyer_code, buyer_name, company_code, branch_plant, currency, order_date, po_status,
-  total_amount, ifnull(line_count, 0) AS line_count, ifnull(total_ordered_quantity, 0) AS total_ordered_quantity,
-  ifnull(total_received_quantity, 0) AS total_received_quantity, ifnull(open_line_count, 0) AS open_line_count,
-  ifnull(invoice_count, 0) AS invoice_count, ifnull(total_invoice_amount, 0) AS total_invoice_amount,
-  ifnull(total_open_invoice_amount, 0) AS total_open_invoice_amount,
-  CASE WHEN invoice_count IS NULL THEN 'no_invoice' WHEN total_open_invoice_amount > 0 THEN 'open'
-       WHEN total_open_invoice_amount = 0 THEN 'paid' ELSE 'unknown' END AS payment_status_summary,
-  list_max([updated_at, s_at, lines_updated_at, invoices_updated_at]) AS updated_at FROM known)
+# One long list of what belongs to an order (a row per line and invoice: its kind, number, two amounts, whether it is open,
+# when it was touched), summed once per order and kind.
+FACTS_SQL = f"""facts AS (
+  SELECT 'line' AS kind, po_no, po_line_id AS number, quantity_ordered AS whole, quantity_received AS part, line_status = 'open' AS is_open, updated_at AS touched FROM po_line
+  UNION ALL SELECT 'invoice', po_no, invoice_no, gross_amount, open_amount, NULL, updated_at FROM po_invoice),
+sums AS (SELECT kind, po_no, COUNT(DISTINCT number) AS numbers, {exact_sql('whole')} AS whole, {exact_sql('part')} AS part,
+  COUNT(*) FILTER (is_open) AS open_rows, MAX(touched) AS touched FROM facts GROUP BY kind, po_no)"""
+PO_SUMMARY_SQL = S.with_ctes(S.PO_CTES, FACTS_SQL) + """,
+touched AS (SELECT po_no, MAX(touched) AS updated_at FROM (
+  SELECT po_no, touched FROM sums UNION ALL SELECT po_no, updated_at FROM po_header
+  UNION ALL SELECT po_no, s.updated_at FROM po_header JOIN po_supplier s USING (supplier_code)) GROUP BY po_no),
+by_kind AS (SELECT po_no, MAP_FROM_ENTRIES(LIST((kind, {'numbers': numbers, 'whole': whole, 'part': part, 'open_rows': open_rows}))) AS of FROM sums WHERE po_no IS NOT NULL GROUP BY po_no),
+summary AS (SELECT h.po_no, h.supplier_code, s.supplier_name, h.buyer_code, h.buyer_name, h.company_code, h.branch_plant, h.currency, h.order_date,
+  h.po_status, h.total_amount, coalesce(of['line'].numbers, 0) AS line_count, coalesce(of['line'].whole, 0) AS total_ordered_quantity,
+  coalesce(of['line'].part, 0) AS total_received_quantity, coalesce(of['line'].open_rows, 0) AS open_line_count,
+  coalesce(of['invoice'].numbers, 0) AS invoice_count, coalesce(of['invoice'].whole, 0) AS total_invoice_amount,
+  coalesce(of['invoice'].part, 0) AS total_open_invoice_amount,
+  coalesce(['unknown', 'paid', 'open'][sign(of['invoice'].part)::INT + 2], 'no_invoice') AS payment_status_summary, t.updated_at
+  FROM po_header h LEFT JOIN po_supplier s ON s.supplier_code = h.supplier_code LEFT JOIN by_kind USING (po_no) LEFT JOIN touched t USING (po_no))
 """
 
 
@@ -49,13 +50,17 @@ def summary(reg) -> DataFrame:
     return R.po_summary(S.po_header(reg), S.po_supplier(reg), S.po_line(reg), S.po_invoice(reg))
 
 
-@query("agg_line_summary", oracle=S.with_ctes(S.PO_CTES, LS_SQL) + "SELECT * FROM ls")
+@query("agg_line_summary", oracle=S.with_ctes(S.PO_CTES, FACTS_SQL) + """
+SELECT po_no, numbers AS line_count, whole AS total_ordered_quantity, part AS total_received_quantity, open_rows AS open_line_count,
+  touched AS lines_updated_at FROM sums WHERE kind = 'line'""")
 def agg_line_summary(reg):
     """Per order: distinct lines, ordered / received quantity, open lines, last update."""
     return R.line_summary(S.po_line(reg))
 
 
-@query("agg_invoice_summary", oracle=S.with_ctes(S.PO_CTES, INV_SQL) + "SELECT * FROM inv")
+@query("agg_invoice_summary", oracle=S.with_ctes(S.PO_CTES, FACTS_SQL) + """
+SELECT po_no, numbers AS invoice_count, whole AS total_invoice_amount, part AS total_open_invoice_amount, touched AS invoices_updated_at
+FROM sums WHERE kind = 'invoice' AND po_no IS NOT NULL""")
 def agg_invoice_summary(reg):
     """Per order with a non-null order number: invoices, gross, open, last update."""
     return R.invoice_summary(S.po_invoice(reg))

@@ -52,7 +52,6 @@ UNION ALL SELECT 'warning', 'inner_join_drop', 'INNER join to customer drops ' |
                   + CATALOG.entries["reconciliation_report"].oracle + ")",
     "stamp_audit": "SELECT *, true AS stamped, CAST(1 AS BIGINT) AS runs FROM orders",
     "model_schema": loads.ACCEPT_SQL,
-    "project_meta_raw": "SELECT event_id, event_type, value, 'id,created_at,updated_at,event_id,event_type,value,raw_payload' AS columns FROM events",
 }
 assert reconcile  # registers reconciliation_report
 for key, sql in ORACLES.items():

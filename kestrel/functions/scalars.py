@@ -155,16 +155,15 @@ SOURCE_TYPE_MAP = {
 }
 
 
+# The part of a type name that the map knows. What follows ``timestamp`` or ``character varying``, and the
+# precision of a number, is left out; of any other name the whole counts.
+KNOWN_PART = r"^(?:timestamp|character varying|(?:numeric|decimal)(?=\s*\()|.*$)"
+
+
 def platform_type_of(type_name: str | Column) -> Column:
-    """Source type name -> platform type (NULL = unsupported). Any ``timestamp...`` is a timestamp,
-    ``character varying(n)`` is varchar, and numeric/decimal precision is dropped."""
-    t = F.lower(F.trim(c(type_name)))
-    norm = (F.when(t.startswith("timestamp"), F.lit("timestamp"))
-            .when(t.startswith("character varying"), F.lit("character varying"))
-            .when(t.startswith("numeric") | t.startswith("decimal"), F.regexp_replace(t, r"\s*\(.*$", ""))
-            .otherwise(t))
-    lookup = F.create_map(*[F.lit(x) for kv in SOURCE_TYPE_MAP.items() for x in kv])
-    return F.element_at(lookup, norm)
+    """Source type name -> platform type (NULL = unsupported)."""
+    known = F.create_map(*[F.lit(x) for pair in SOURCE_TYPE_MAP.items() for x in pair])
+    return F.element_at(known, F.regexp_extract(F.lower(F.trim(c(type_name))), KNOWN_PART, 0))
 
 
 def is_integer_text(x: str | Column) -> Column:

@@ -22,6 +22,18 @@ TOLERANCE_ROWS = 50
 TOLERANCE_RATIO = 0.0001
 
 
+# Names of the checks of a loaded table, and what a check that isn't passed says.
+CHECKS = {
+    "exists": "target_table_exists", "rows": "target_row_count", "same_rows": "source_target_row_count", "key": "primary_key_column",
+    "key_nulls": "primary_key_null_count", "key_repeats": "primary_key_duplicate_count", "marker": "watermark_column", "marker_end": "target_watermark",
+}
+SAYS = {
+    "same_rows": "Source row count does not match target row count", "key": "Primary key column not found",
+    "key_nulls": "Primary key column contains null values", "key_repeats": "Duplicate primary key values found",
+    "marker": "Watermark column not found in target table", "min": "Target watermark minimum is null", "max": "Target watermark maximum is null",
+}
+
+
 def _s(c: Column) -> Column:
     return c.cast("string")
 
@@ -57,33 +69,32 @@ def validate_target(target: DataFrame, pk_columns: list[str], watermark: str | N
                              _s(tgt).alias("target_value"), _s(msg).alias("message")))
 
     none = F.lit(None)
-    row("target_table_exists", F.lit("pass"), none, F.lit(table_name), none)
-    row("target_row_count", F.lit("pass"), none, F.col("n"), none)
+    row(CHECKS["exists"], F.lit("pass"), none, F.lit(table_name), none)
+    row(CHECKS["rows"], F.lit("pass"), none, F.col("n"), none)
     if source_count is not None:
         ok = F.col("n") == F.lit(source_count)
-        row("source_target_row_count", F.when(ok, "pass").otherwise("fail"), F.lit(source_count), F.col("n"),
-            F.when(ok, None).otherwise("Source row count does not match target row count"))
+        row(CHECKS["same_rows"], F.when(ok, "pass").otherwise("fail"), F.lit(source_count), F.col("n"),
+            F.when(ok, None).otherwise(SAYS["same_rows"]))
     for c in pk_columns:
         if c not in cols:
-            row(f"primary_key_column:{c}", F.lit("fail"), none, none, F.lit("Primary key column not found"))
+            row(f"{CHECKS['key']}:{c}", F.lit("fail"), none, none, F.lit(SAYS["key"]))
             continue
         ok = F.col(f"nulls_{c}") == 0
-        row(f"primary_key_null_count:{c}", F.when(ok, "pass").otherwise("fail"), none, F.col(f"nulls_{c}"),
-            F.when(ok, None).otherwise("Primary key column contains null values"))
+        row(f"{CHECKS['key_nulls']}:{c}", F.when(ok, "pass").otherwise("fail"), none, F.col(f"nulls_{c}"),
+            F.when(ok, None).otherwise(SAYS["key_nulls"]))
     if "dups" in stats.columns:
         ok = F.col("dups") == 0
-        row("primary_key_duplicate_count", F.when(ok, "pass").otherwise("fail"), none, F.col("dups"),
-            F.when(ok, None).otherwise("Duplicate primary key values found"))
+        row(CHECKS["key_repeats"], F.when(ok, "pass").otherwise("fail"), none, F.col("dups"),
+            F.when(ok, None).otherwise(SAYS["key_repeats"]))
     if watermark:
         if watermark not in cols:
-            row(f"watermark_column:{watermark}", F.lit("fail"), none, none,
-                F.lit("Watermark column not found in target table"))
+            row(f"{CHECKS['marker']}:{watermark}", F.lit("fail"), none, none, F.lit(SAYS["marker"]))
         else:
-            row(f"watermark_column:{watermark}", F.lit("pass"), none, F.lit(watermark), none)
+            row(f"{CHECKS['marker']}:{watermark}", F.lit("pass"), none, F.lit(watermark), none)
             for which in ("min", "max"):
                 v = F.col(f"wm_{which}")
-                row(f"target_watermark_{which}", F.when(v.isNull(), "warning").otherwise("pass"), none, v,
-                    F.when(v.isNull(), f"Target watermark {'minimum' if which == 'min' else 'maximum'} is null"))
+                row(f"{CHECKS['marker_end']}_{which}", F.when(v.isNull(), "warning").otherwise("pass"), none, v,
+                    F.when(v.isNull(), SAYS[which]))
     return stats.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
@@ -248,6 +259,19 @@ def differing_keys(source: DataFrame, target: DataFrame, key: list[str], **how)
     return compared_keys(s, t, key).select(*key, verdict.alias("verdict")).filter("verdict IS NOT NULL")
 
 
+def missing_keys(tables: dict[str, DataFrame], declared: list[tuple[str, str]]) -> DataFrame:
+    """(table_name, column_name, there, rows, rows_without) of declared key columns that a table lacks or that rows of it
+    leave empty; one aggregate a table, of its key columns alone."""
+    parts = []
+    for t, df in tables.items():
+        cols = [c for name, c in declared if name == t]
+        empty = lambda c, df=df: F.count_if(F.col(c).isNull()) if c in df.columns else F.count(F.lit(1))
+        each = [F.struct(F.lit(t).alias("table_name"), F.lit(c).alias("column_name"), F.lit(c in df.columns).alias("there"), F.count(F.lit(1)).alias("rows"),
+                         empty(c).alias("rows_without")) for c in cols]
+        parts.append(df.agg(F.array(*each).alias("keys")).select(F.inline("keys")).filter("rows_without > 0"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def keep_last_good(attempts: DataFrame, table_col: str, at_col: str, count_col: str, ok_col: str) -> DataFrame:
     """Per table: last good count (from successful attempts) and ``stale`` when the newest attempt failed."""
     good = F.when(F.col(ok_col), F.struct(F.col(at_col).alias("a"), F.col(count_col).alias("c")))
