@@ -9,7 +9,9 @@ but for the rounding of one last document.
 Pairs meet in a reduction tree: a hash of the row deals the documents of a source to leaves of about FAN rows, each
 leaf leaves one residual, FAN residuals meet in the next node, and so on up to one root per source. A source with a
 third of all documents so takes part in as many tasks as any; each level is staged. All draws are hashes of the
-rows that meet, so reruns agree.
+rows that meet, so reruns agree. Equal rows would only pass words among themselves until all but one are integral, so
+they are one item from the start, counted in each task before the shuffle: n rows that want x more each are sure of
+the whole copies in n * x, and the rest is the item's fraction.
 """
 
 from __future__ import annotations
@@ -26,6 +28,10 @@ from pyspark.sql import functions as F
 from kestrel.llm.common import n_words, positions, stage
 
 FAN = 64
+#: What an item carries: its rows' id, text and size, how many they are, and the copies that they are sure of together.
+ITEM = ("id", "row", "size", "n", "sure")
+#: Equal rows that one task writes out at a time.
+RUN = 4096
 
 
 def cyclic_weights(sources: DataFrame, weights: list[float]) -> DataFrame:
@@ -58,7 +64,7 @@ def draw(*what: Column) -> Column:
 
 
 def meeting(seed: int, level: int) -> Callable[[Column, Column], Column]:
-    """How two documents (id, row, size, x) meet: the state after it, whose ``done`` collects those
+    """How two items (ITEM, x) meet: the state after it, whose ``done`` collects those
     that became integral."""
     def meet(held: Column, new: Column) -> Column:
         f = lambda c, k: c.getField(k)
@@ -73,45 +79,64 @@ def meeting(seed: int, level: int) -> Callable[[Column, Column], Column]:
              .when(held_done, f(new, "x") + down1 / f(new, "size"))
              .otherwise(f(held, "x") - up2 / f(held, "size")))
         pick = lambda a, b, k: F.when(held_done, f(a, k)).otherwise(f(b, k)).alias(k)
-        done = F.struct(pick(held, new, "id"), pick(held, new, "row"), pick(held, new, "size"), (first == held_done).cast("long").alias("extra"))
-        return F.struct(F.concat(f(held, "done"), F.array(done)).alias("done"), pick(new, held, "id"), pick(new, held, "row"),
-                        pick(new, held, "size"), F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0)).alias("x"))
+        done = F.struct(*[pick(held, new, k) for k in ITEM], (first == held_done).cast("long").alias("extra"))
+        return F.struct(F.concat(f(held, "done"), F.array(done)).alias("done"), *[pick(new, held, k) for k in ITEM], F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0)).alias("x"))
 
     return meet
 
 
 def round_fractions(rows: DataFrame, keys: list[str], seed: int) -> DataFrame:
-    """(keys, id, row, size, extra) for every row of ``rows`` (keys, id, row, size, x): x rounded to extra, 0 or 1."""
+    """(keys, ITEM, extra) for every row of ``rows`` (keys, ITEM, x), no two of which are equal: x rounded to extra, 0 or 1."""
     most = rows.groupBy(keys).count().agg(F.max("count")).first()[0] or 0
     depth = max(0, math.ceil(math.log(max(1, most / FAN), FAN) - 1e-9))
     leaf = F.pmod(F.xxhash64(F.lit(seed), "id", "row", "size"), F.lit(FAN ** depth))
     todo, out = rows.withColumn("node", leaf), []
-    nothing = F.array().cast("array<struct<id:long,row:long,size:long,extra:long>>")
+    nothing = F.array().cast(f"array<struct<{','.join(f'{k}:long' for k in ITEM)},extra:long>>")
     for level in range(depth + 1):
-        item = F.struct(draw(F.lit(seed + 1), F.lit(level), "id", "row").alias("order"), "id", "row", "size", "x")
+        item = F.struct(draw(F.lit(seed + 1), F.lit(level), "id", "row").alias("order"), *ITEM, "x")
         node = todo.groupBy(*keys, "node").agg(F.sort_array(F.collect_list(item)).alias("items"))  # about FAN, see above
         one = F.element_at("items", 1)
-        start = F.struct(nothing.alias("done"), *[one[k].alias(k) for k in ("id", "row", "size", "x")])
+        start = F.struct(nothing.alias("done"), *[one[k].alias(k) for k in (*ITEM, "x")])
         folded = F.aggregate(F.slice("items", F.lit(2), F.size("items")), start, meeting(seed, level))
         node = stage(node.select(*keys, "node", folded.alias("r")), "mixing")
         out.append(node.select(*keys, F.inline("r.done")))
-        todo = node.select(*keys, F.expr(f"node div {FAN}").alias("node"), "r.id", "r.row", "r.size", "r.x")
+        todo = node.select(*keys, F.expr(f"node div {FAN}").alias("node"), *[f"r.{k}" for k in (*ITEM, "x")])
     last = (draw(F.lit(seed + 2), "id", "row") < F.col("x")).cast("long")
-    out.append(todo.select(*keys, "id", "row", "size", last.alias("extra")))
+    out.append(todo.select(*keys, *ITEM, last.alias("extra")))
     union = out[0]
     for more in out[1:]:
         union = union.unionByName(more)
     return union
 
 
+def counted(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` (keys, id, row, size, x) as items (keys, ITEM, x): equal rows are one."""
+    n = rows.groupBy(*keys, "id", "row", "size", "x").agg(F.count("*").alias("n"))
+    sure = F.floor(F.col("n") * F.col("x"))
+    return n.select(*keys, "id", "row", "size", "n", sure.alias("sure"), (F.col("n") * F.col("x") - sure).alias("x"))
+
+
+def written_out(items: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, id, row, size, extra): a row for each of an item's n rows, ``sure + extra`` of them with 1. Many equal rows
+    are dealt out in runs, so that no task writes them all."""
+    more = F.col("sure") + F.col("extra")
+    out = items.filter("n = 1").select(*keys, "id", "row", "size", more.alias("extra"))
+    runs = items.filter("n > 1").select(*keys, "id", "row", "size", "n", more.alias("_more"), F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {RUN}"))).alias("_run"))
+    parts = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    runs = runs.repartition(parts, "id", "row", "_run").withColumn("_lo", F.col("_run") * RUN)
+    places = F.sequence(F.col("_lo"), F.least(F.col("_lo") + RUN, F.col("n")) - 1)
+    return out.unionByName(runs.select(*keys, "id", "row", "size", "_more", F.explode(places).alias("_at")).select(
+        *keys, "id", "row", "size", (F.col("_at") < F.col("_more")).cast("long").alias("extra")))
+
+
 def mix(docs: DataFrame, weights: list[float], share: float = 1.5, most: float = 2.0, seed: int = 7, id_col: str = "doc_id",
         text_col: str = "text", source_col: str = "source", broadcast_sources: int = 100_000) -> DataFrame:
     """(id, row, source, size, source_size, target, copies), one row per input row.
 
     ``size`` is the number of words of the text (null: 0), ``row`` a hash of it. A document is taken at most
     ``ceil(most)`` times. Texts without words take part in no rounding and count as taken floor(target / size of the
-    source) times. A null source is a source; null and repeated ids are documents like others, but rows that agree
-    in id and text share a leaf. Empty table: no rows. Other columns are not read.
+    source) times. A null source is a source; null and repeated ids are documents like others; rows that agree in id,
+    text and source are taken as often as each other or once more. An id must be a whole number. Empty table: no rows. Other columns are not read.
     """
     sizes = stage(docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).alias("source"), F.xxhash64(text_col).alias("row"),
                               n_words(F.col(text_col)).alias("size")), "sizes")
@@ -124,8 +149,10 @@ def mix(docs: DataFrame, weights: list[float], share: float = 1.5, most: float =
     rows = met.select("id", "row", sizes["source"], "size", "source_size", "target", F.floor(wanted).alias("whole"), (wanted - F.floor(wanted)).alias("x"))
     keys = ["source", "source_size", "target", "whole"]
     plain = "x = 0 OR size = 0"
-    rounded = round_fractions(rows.filter(f"NOT ({plain})").select(*keys, "id", "row", "size", "x"), keys, seed)
-    every = rounded.unionByName(rows.filter(plain).select(*keys, "id", "row", "size", F.lit(0).cast("long").alias("extra")))
+    items = stage(counted(rows.filter(f"NOT ({plain})"), keys), "mixing-items")
+    none = items.filter("x = 0").select(*keys, *ITEM, F.lit(0).cast("long").alias("extra"))
+    rounded = round_fractions(items.filter("x > 0"), keys, seed).unionByName(none)
+    every = written_out(rounded, keys).unionByName(rows.filter(plain).select(*keys, "id", "row", "size", F.lit(0).cast("long").alias("extra")))
     return every.select("id", "row", "source", "size", "source_size", "target", (F.col("whole") + F.col("extra")).alias("copies"))
 
 
@@ -133,6 +160,7 @@ def first_rows(rows: DataFrame, group: list[str], order: list[str], n: Column) -
     """``rows``, staged, with ``_first``: whether the row is one of the first ``n`` of its group in the order of a hash of
     the columns ``order``. Ranges of groups and hashes are sorted side by side, equal rows cut anywhere."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = stage(rows, "copies-rows")  # a retried task must find each row under the number it had
     dealt = rows.withColumn("_hash", F.xxhash64(*order)).withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(parts, *group, "_hash", "_tie")
     at = F.monotonically_increasing_id()  # the partition above 33 bits for the row in it
     dealt = stage(dealt.sortWithinPartitions(*group, "_hash").withColumn("_at", at), "copies-order").withColumn("_part", F.shiftright("_at", 33))

@@ -110,3 +110,83 @@ def test_empty_and_wordless(spark):
     assert mixing.mix(spark.createDataFrame([], SCHEMA), [3, 1, 2]).count() == 0
     got = mixing.mix(spark.createDataFrame([(1, " ", "a", ""), (2, None, None, "")], SCHEMA), [3, 1, 2]).collect()
     assert [(r.size, r.target, r.copies) for r in got] == [(0, 0.0, 0)] * 2
+
+
+
+def signed(n):
+    return n - (1 << 64) if n >= 1 << 63 else n
+
+
+def xx(*values):
+    """Spark's xxhash64 of ints (4 bytes) and longs (8 bytes): each value's hash is seeded with the one before."""
+    import xxhash
+
+    h = 42
+    for kind, v in values:
+        if v is not None:
+            h = xxhash.xxh64_intdigest(int(v).to_bytes(4 if kind == "int" else 8, "little", signed=True), h)
+    return h
+
+
+def drawn(*values):
+    return (xx(*values) >> 11) * 2.0 ** -53
+
+
+def plain_mix(items, seed):
+    """{(id, row): extra} of items (id, row, size, x) of one source: leaves, then one node after the other."""
+    import math
+
+    fan = mixing.FAN
+    depth = max(0, math.ceil(math.log(max(1, len(items) / fan), fan) - 1e-9))
+    todo = [(signed(xx(("int", seed), ("long", i), ("long", r), ("long", s))) % fan ** depth, i, r, s, x) for i, r, s, x in items]
+    extra = {}
+    for level in range(depth + 1):
+        nodes = {}
+        for node, *item in todo:
+            nodes.setdefault(node, []).append(item)
+        todo = []
+        for node, members in sorted(nodes.items()):
+            members.sort(key=lambda m: (drawn(("int", seed + 1), ("int", level), ("long", m[0]), ("long", m[1])), m[0], m[1]))
+            held = members[0]
+            for new in members[1:]:
+                (i1, r1, s1, x1), (i2, r2, s2, x2) = held, new
+                up1, down1, up2, down2 = s1 * (1 - x1), s1 * x1, s2 * (1 - x2), s2 * x2
+                to_held, to_new = min(up1, down2), min(down1, up2)
+                if drawn(("int", seed), ("int", level), ("long", i1), ("long", r1), ("long", i2), ("long", r2)) * (to_held + to_new) < to_new:
+                    if up1 <= down2:
+                        extra[i1, r1], held = 1, [i2, r2, s2, x2 - up1 / s2]
+                    else:
+                        extra[i2, r2], held = 0, [i1, r1, s1, x1 + down2 / s1]
+                elif down1 <= up2:
+                    extra[i1, r1], held = 0, [i2, r2, s2, x2 + down1 / s2]
+                else:
+                    extra[i2, r2], held = 1, [i1, r1, s1, x1 - up2 / s1]
+                held[3] = max(0.0, min(1.0, held[3]))
+            todo.append((node // fan, *held))
+    for _, i, r, _, x in todo:
+        extra[i, r] = int(drawn(("int", seed + 2), ("long", i), ("long", r)) < x)
+    return extra
+
+
+def test_a_plain_version_takes_the_same_copies(spark):
+    docs = spark.range(700).select(F.col("id").alias("doc_id"), F.expr("concat(repeat('w ', int(id * 7 % 23) + 1), id)").alias("text"), F.lit("s").alias("source"))
+    got = mixing.mix(docs, [1.0], share=0.37, seed=11).collect()
+    want = plain_mix([(r.id, r.row, r.size, r.target / r.source_size) for r in got], 11)
+    assert {(r.id, r.row): r.copies for r in got} == want
+
+
+def test_many_equal_rows_are_one_item(spark):
+    docs = spark.range(30_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a b c").alias("text"), F.expr("if(id % 10 = 0, null, 'hot')").alias("source"))
+    got = mixing.mix(docs, [3, 1, 2], share=1.3).groupBy("source", "target", "copies").count().collect()
+    assert sum(r["count"] for r in got) == 30_000
+    for source in ("hot", None):
+        mine = [r for r in got if r.source == source]
+        assert abs(sum(r.copies * r["count"] * 3 for r in mine) - mine[0].target) <= 3 + 1e-6
+        assert max(r.copies for r in mine) - min(r.copies for r in mine) <= 1
+
+
+def test_equal_rows_are_written_out_in_runs(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RUN", 8)
+    items = spark.createDataFrame([(1, 1, 5, 1, 0, 1), (2, 2, 5, 8, 3, 0), (3, 3, 5, 9, 9, 0), (4, 4, 5, 100, 40, 1)], "id long, row long, size long, n long, sure long, extra long")
+    got = {(r.id, r.extra): r["count"] for r in mixing.written_out(items, []).groupBy("id", "extra").count().collect()}
+    assert got == {(1, 1): 1, (2, 1): 3, (2, 0): 5, (3, 1): 9, (4, 1): 41, (4, 0): 59}
