@@ -5,25 +5,26 @@ within a few differing bits:
 
 1. *Gray order.* Fingerprints are sorted by Gray rank (the number whose reflected Gray code they are): neighbours
    then differ in few bits, and all that share their leading bits stand together.
-2. *Index.* The leading bits deal them into cells, the index's topmost nodes. Inside a cell, fixed runs of
-   consecutive fingerprints are leaves; each upper node covers a run of lower ones. A node keeps a mask of the bits
-   on which everything beneath it agrees and their values; bits that an ancestor already fixed are factored out of
-   its own mask, so each bit is compared once on a way down.
-3. *Search.* Queries are sent to the cells whose leading bits differ in at most that many places, and walk down all
-   levels at once, adding up the differences on each node's own bits; a node whose sum exceeds the limit is pruned
-   with all beneath it. At the leaves the sum is the exact bit distance, so every link is found and none is
-   guessed.
-
-A cell is bounded by its number of distinct fingerprints; should bits be so uneven that one cell outgrows
-``cell_rows``, cells are cut along longer leading bits until they fit. A fingerprint has at most C(64,0)+C(64,1)+
-C(64,2) = 2081 partners at two bits, and each task reduces its pairs to a spanning forest (union-find), so the
-links that leave it number at most the fingerprints it has read. Exact copies share one fingerprint and are
-never paired.
+2. *Cells.* The 64 bits are cut into ``limit + 1`` blocks. Two fingerprints that differ in ``limit`` bits at most agree on
+   one block at least, so each is dealt into ``limit + 1`` cells, one by each block's value: a constant number,
+   however many fingerprints there are. Of a block only as many bits count as the number of fingerprints calls for.
+3. *Index.* Inside a cell, fixed runs of consecutive fingerprints are leaves; each upper node covers a run of lower ones.
+   A node keeps a mask of the bits on which everything beneath it agrees and their values; bits that an ancestor
+   already fixed are factored out of its own mask, so each bit is compared once on a way down.
+4. *Search.* Queries walk down all levels at once, adding up the differences on each node's own bits; a node whose sum
+   exceeds the limit is pruned with all beneath it. At the leaves the sum is the exact bit distance, so every link is
+   found and none is guessed.
+
+A cell is bounded by its number of distinct fingerprints. Should one outgrow ``cell_rows``, because bits are uneven, its
+rows (and only they) are dealt again in the same way by blocks of the bits that the cell doesn't fix, until cells
+fit; where few enough bits are left, a cell cannot be larger. A fingerprint has at most C(64,0)+C(64,1)+C(64,2) = 2081
+partners at two bits, and each task reduces its pairs to a spanning forest (union-find), so the links that leave it number
+at most the fingerprints it has read. Exact copies share one fingerprint and are never paired.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -133,43 +134,52 @@ def spanning(left: np.ndarray, right: np.ndarray, parent: np.ndarray) -> None:
             parent[:] = up
 
 
+def blocks(fixed: int, n: int, width: int) -> list[int]:
+    """Masks of the bits that ``fixed`` leaves open, dealt into ``n`` blocks of which at most ``width`` bits count.
+    Bits in turn go to different blocks, so that neighbouring bits that depend on each other do not meet in one."""
+    open_ = [b for b in range(63, -1, -1) if not fixed >> b & 1]
+    return [fixed | sum(1 << b for b in open_[i::n][:width]) for i in range(n)]
+
+
+def signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
 def links(fps: DataFrame, limit: int = 2, cell_rows: int = 1 << 13) -> DataFrame:
     """(a, b): a spanning forest of all links between the distinct values of ``fps.fp`` (a long): a and b are
     connected through it exactly if a chain of values leads from one to the other, each step differing in at most
     ``limit`` bits. Fewer than two values: no rows."""
-    spark = fps.sparkSession
     distinct = stage(fps.select("fp").distinct(), "fingerprints")
-    n, lead = distinct.count(), 0
-    top = lambda k: F.shiftrightunsigned("fp", 64 - k) if k else F.lit(0).cast("long")
-    while lead < 40 and n >> lead > cell_rows // 2:
-        lead += 1
-    while lead < 40:  # longer leading bits until no cell is too large
-        most = distinct.groupBy(top(lead).alias("cell")).count().agg(F.max("count")).first()[0] or 0
-        if most <= cell_rows:
-            break
-        lead += 1
-    flips = [sum(1 << b for b in c) for r in range(limit + 1) for c in combinations(range(lead), r)]
-    own = top(lead)
-    cells = F.array(*[own.bitwiseXOR(F.lit(m).cast("long")) for m in flips])
-    # Of two cells only one receives the other's fingerprints; a hash decides which, so that none gets more.
-    receives = (F.col("cell") < F.col("home")) == (F.xxhash64(F.least("cell", "home"), F.greatest("cell", "home")) % 2 == 0)
-    sent = distinct.select("fp", F.explode(cells).alias("cell"), own.alias("home")).filter((F.col("cell") == F.col("home")) | receives)
+    cell_rows = max(cell_rows, 1 << (limit + 1))  # a larger cell has an open bit for each block
+    n, rounds = distinct.count(), 0
+    bits = lambda rows: max(0, (2 * rows // cell_rows).bit_length())  # noqa: E731  that leave about half of cell_rows in a cell
+
+    def dealt(rows: DataFrame, masks: list[int]) -> DataFrame:
+        """A copy of each fingerprint for each mask; a cell is a mask and the bits under it."""
+        each = F.explode(F.array(*[F.lit(signed(m)).cast("long") for m in masks])).alias("mask")
+        return rows.select("fp", each).withColumn("cell", F.col("fp").bitwiseAND(F.col("mask")))
 
     def found(batch: pd.DataFrame) -> pd.DataFrame:
         codes = batch["fp"].to_numpy(np.int64).view(np.uint64)
-        home = (batch["home"] == batch["cell"]).to_numpy()
-        mine = codes[home]
-        if not len(mine) or len(codes) < 2:
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        mine = mine[np.argsort(gray_rank(mine))]
-        every = np.concatenate((mine, codes[~home]))
-        parent = np.arange(len(every))
-        for q, node in search(build_index(mine), every, limit):
-            spanning(q, node, parent)
-        linked = np.flatnonzero(parent != np.arange(len(every)))
-        return pd.DataFrame({"a": every[linked].view(np.int64), "b": every[parent[linked]].view(np.int64)})
-
-    return sent.groupBy("cell").applyInPandas(found, "a long, b long")
+        codes = codes[np.argsort(gray_rank(codes))]
+        parent = np.arange(len(codes))
+        if len(codes) > 1:
+            for q, node in search(build_index(codes), codes, limit):
+                spanning(q, node, parent)
+        linked = np.flatnonzero(parent != np.arange(len(codes)))
+        return pd.DataFrame({"a": codes[linked].view(np.int64), "b": codes[parent[linked]].view(np.int64)})
+
+    out, todo = [], dealt(distinct, blocks(0, limit + 1, bits(n)) if n > cell_rows // 2 else [0])
+    while True:
+        large = stage(todo.groupBy("mask", "cell").count().filter(F.col("count") > cell_rows), "large-cells")
+        masks = {r[0] % (1 << 64): r[1] for r in large.groupBy("mask").agg(F.max("count")).collect()}  # at most limit + 1 to the power of the rounds
+        if not masks:
+            return reduce(DataFrame.union, [*out, todo.groupBy("mask", "cell").applyInPandas(found, "a long, b long")])
+        rounds += 1  # each takes more bits than the last, so there are few
+        large_rows = stage(todo.join(large, ["mask", "cell"], "left_semi"), "large-cells-rows")
+        out.append(todo.join(large, ["mask", "cell"], "left_anti").groupBy("mask", "cell").applyInPandas(found, "a long, b long"))
+        wider = [dealt(large_rows.filter(F.col("mask") == signed(m)).select("fp"), blocks(m, limit + 1, bits(most) + 4 * (rounds - 1))) for m, most in sorted(masks.items())]
+        todo = stage(reduce(DataFrame.union, wider), "cells")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seed: int = 42, limit: int = 2) -> DataFrame:

@@ -94,6 +94,32 @@ def test_links_connect_what_brute_force_connects(spark, cell_rows):
     assert {f: find(f) for f in fps} == want
 
 
+def test_blocks_share_out_the_open_bits():
+    masks = simhash.blocks(0, 3, 64)
+    assert masks[0] | masks[1] | masks[2] == 2**64 - 1 and masks[0] & masks[1] == masks[0] & masks[2] == 0
+    wider = simhash.blocks(masks[0], 3, 5)
+    assert all(m & masks[0] == masks[0] and bin(m & ~masks[0]).count("1") == 5 for m in wider)
+
+
+def test_uneven_bits_are_dealt_again_until_cells_fit(spark):
+    """Fingerprints that differ in the same few bits only fill one cell of every block."""
+    rnd = random.Random(8)
+    high = rnd.getrandbits(64) & ~((1 << 12) - 1)
+    fps = [high | rnd.getrandbits(12) for _ in range(900)] + [rnd.getrandbits(64) for _ in range(100)]
+    fps = sorted(set(fps) - {f for f in fps if bin(f & 4095).count("1") % 3 != 0 and f >> 12 == high >> 12})
+    links = simhash.links(spark.createDataFrame([(f - 2**64 if f >> 63 else f,) for f in fps], "fp long"), 2, cell_rows=32).collect()
+    want, root = plain_components(fps), {f: f for f in fps}
+
+    def find(f):
+        while root[f] != f:
+            f = root[f]
+        return f
+    for a, b in links:
+        x, y = sorted((find(a % 2**64), find(b % 2**64)))
+        root[y] = x
+    assert {f: find(f) for f in fps} == want
+
+
 def test_components_of_documents(spark):
     near = "the quick brown fox jumps over the lazy dog and runs into the deep green forest near town " * 8
     texts = TEXTS + [near, near + "x", near, "zz yy"]
