@@ -51,10 +51,10 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.transform("found", lambda f: f["kind"]).alias("kinds"), F.transform("found", lambda f: f["pseudonym"]).alias("pseudonyms"))
 
 
-SKETCH = r"""(SELECT CASE WHEN len(low) >= 16 THEN {{'below': '1', 'hashes': low}}
-                    WHEN len(hs) <= 16 THEN {{'below': 'g', 'hashes': hs}}
-                    ELSE {{'below': hs[16] || '0', 'hashes': hs[1:16]}} END
-             FROM (SELECT hs, list_filter(hs, lambda h: h < '1') AS low FROM (
+SKETCH = r"""(SELECT CASE WHEN len(low) >= 4 THEN {{'below': '4', 'hashes': low}}
+                    WHEN len(hs) <= 4 THEN {{'below': 'g', 'hashes': hs}}
+                    ELSE {{'below': hs[4] || '0', 'hashes': hs[1:4]}} END
+             FROM (SELECT hs, list_filter(hs, lambda h: h < '4') AS low FROM (
                SELECT list_sort(list_distinct(CASE WHEN len(ws) = 0 THEN [] ELSE list_transform(range(1, greatest(len(ws) - 4, 1) + 1),
                  lambda i: left(md5(array_to_string(ws[i:i + 4], ' ')), 16)) END)) AS hs
                FROM (SELECT list_filter(string_split_regex({0}, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws))))"""

@@ -1,11 +1,11 @@
 """Document fingerprints: threshold-scaled sketches of word shingles, in DataFrame functions only.
 
 A shingle's hash is the first 16 hex digits of the MD5 of its words, joined by one space. A sketch keeps every
-distinct hash below a fixed fraction of all hashes, here 1/16: those that start with 0. So what it keeps does not
+distinct hash below a fixed fraction of all hashes, here 1/4: those that start with 0 to 3. So what it keeps does not
 depend on the other hashes: sketches of parts merge into that of the whole by union, and two sketches of very
 unequal documents still hold the same hashes wherever the documents agree, which gives containment.
 
-A short text would keep few or none. A text with fewer than FLOOR hashes below the fraction keeps its FLOOR smallest
+A text of a few shingles would keep few or none. A text with fewer than FLOOR hashes below the fraction keeps its FLOOR smallest
 instead (all of them, if it has no more), and ``below`` says up to where it is complete; two sketches are compared
 below the smaller of their two limits.
 """
@@ -17,20 +17,22 @@ from pyspark.sql import functions as F
 
 from kestrel.llm.common import SPACE, next_key, stage
 
-FRACTION = "1"  # hashes below this string: one in 16
-FLOOR = 16
+FRACTION = "4"  # hashes below this string: one in 4
+FLOOR = 4
 
 
 def with_sketch(df: DataFrame, text: Column, out: str, width: int = 5) -> DataFrame:
     """``df`` with a column ``out``: struct(below, hashes), the hashes ascending. Words are runs of anything but ASCII
     white space, as they stand. Fewer than ``width`` words are one shingle; null and wordless texts have no hash."""
-    words, hashes = f"_{out}_words", f"_{out}_hashes"
+    taken = {c.lower() for c in df.columns}
+    free = lambda name: name if name.lower() not in taken else free(name + "_")
+    words, hashes = free(f"_{out}_words"), free(f"_{out}_hashes")
     shingle = lambda ws, i: F.substring(F.md5(F.array_join(F.slice(ws, i, width), " ")), 1, 16)
     n = F.size(words)
     df = df.withColumn(words, F.filter(F.split(F.coalesce(text, F.lit("")), f"[{SPACE}]+"), lambda w: w != ""))
     df = df.withColumn(hashes, F.when(n == 0, F.array().cast("array<string>")).otherwise(
         F.transform(F.sequence(F.lit(1), F.greatest(n - (width - 1), F.lit(1))), lambda i: shingle(F.col(words), i))))
-    low = f"_{out}_low"
+    low = free(f"_{out}_low")
     df = df.withColumn(low, F.array_sort(F.array_distinct(F.filter(hashes, lambda h: h < FRACTION))))
     df = df.withColumn(hashes, F.when(F.size(low) >= FLOOR, F.lit(None)).otherwise(F.array_sort(F.array_distinct(hashes))))
     least = F.slice(hashes, 1, FLOOR)

@@ -17,11 +17,11 @@ def plain_hashes(text, width=5):
 
 def plain_sketch(text):
     every = plain_hashes(text)
-    low = {h for h in every if h[0] == "0"}
-    if len(low) >= 16:
-        return "1", sorted(low)
-    least = sorted(every)[:16]
-    return ("g", least) if len(every) <= 16 else (least[-1] + "0", least)
+    low = {h for h in every if h[0] in "0123"}
+    if len(low) >= 4:
+        return "4", sorted(low)
+    least = sorted(every)[:4]
+    return ("g", least) if len(every) <= 4 else (least[-1] + "0", least)
 
 
 def plain_likeness(a, b):
@@ -76,6 +76,11 @@ def test_sketches_merge_and_estimate_containment(spark):
     assert r.share == pytest.approx(true, abs=0.02) and r.alike == pytest.approx(true, abs=0.02)
 
 
+def test_helper_columns_stay_clear_of_the_input(spark):
+    df = spark.createDataFrame([("a b c d e f", 1, 2, 3)], "t string, _s_words int, _s_hashes int, _s_low int")
+    assert fp.with_sketch(df, F.col("t"), "s").columns == [*df.columns, "s"]
+
+
 def test_order_helpers(spark):
     ids = [5, -3, 9, 9, None, 0, 2**62, -2**62]
     df = spark.createDataFrame([(i,) for i in ids], "k long")
