@@ -91,22 +91,28 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     is the first; if every id is null, next is one of them. Null texts are empty. Empty table: no rows.
 
     Whole texts are shuffled once, by id, and meet there the sketch of the next text and as much of its beginning as
-    they need; both joins read that one shuffle. A text's sketch is worked out on either side of the join, which
+    they need; both joins read that one shuffle, and sketches grouped by the id they go to are joined where they lie (a
+    null id is a number and a mark, as a null-safe equality would deal the same keys out anew). A text's sketch is worked out on either side of the join, which
     costs less than to move it again. The documents' order is worked out on ids alone.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    sizes = stage(texts.groupBy("id").agg(F.max(F.expr("char_length(text) div 4")).cast("int").alias("need")), "sizes")
+    given = F.col(id_col).cast("long")
+    texts = docs.select(F.coalesce(given, F.lit(0)).alias("key"), given.isNull().alias("none"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    own_id = F.when(~F.col("none"), F.col("key")).alias("id")
+    sizes = stage(texts.groupBy("key", "none").agg(F.max(F.expr("char_length(text) div 4")).cast("int").alias("need")).select(own_id, "need"), "sizes")
     after = next_key(sizes, "id").select(F.col("key").alias("to"), "next")
     first = sizes.agg(F.min("id").alias("next")).select(F.lit(None).cast("long").alias("to"), "next")
     links = after.unionByName(first)
-    links = stage(links.join(sizes, links["to"].eqNullSafe(sizes["id"])).select("to", "next", "need"), "links")
-
-    seen = with_sketch(texts.join(links, texts["id"].eqNullSafe(links["next"])), F.col("text"), "sketch", width)
-    of_next = seen.groupBy("to").agg(F.min(F.expr("substring(text, 1, need)")).alias("start"), F.min(packed(F.col("sketch"))).alias("next_sketch"))
-    met = texts.join(of_next, texts["id"].eqNullSafe(of_next["to"])).withColumn("n_chars", F.char_length("text").cast("long"))
+    as_key = lambda c: (F.coalesce(c, F.lit(0)).alias(f"{c}_key"), F.isnull(c).alias(f"{c}_none"))
+    links = stage(links.join(sizes, links["to"].eqNullSafe(sizes["id"])).select(*as_key("to"), *as_key("next"), "need"), "links")
+
+    at = (F.col("key") == F.col("next_key")) & (F.col("none") == F.col("next_none"))
+    seen = with_sketch(texts.join(links, at), F.col("text"), "sketch", width)
+    of_next = seen.groupBy("to_key", "to_none").agg(F.min(F.expr("substring(text, 1, need)")).alias("start"), F.min(packed(F.col("sketch"))).alias("next_sketch"))
+    met = texts.join(of_next, (F.col("key") == F.col("to_key")) & (F.col("none") == F.col("to_none")))
+    met = met.withColumn("n_chars", F.char_length("text").cast("long"))
     quarter = F.expr("n_chars div 4").cast("int")
     met = met.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - quarter).cast("int")), F.substring(F.col("start"), F.lit(1), quarter)))
     made = with_sketch(with_sketch(met, F.col("text"), "sketch", width), F.col("edited"), "edited_sketch", width)
     made = made.withColumn("next_sketch", unpacked(F.col("next_sketch")))
-    return made.select("id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "sketch", "edited_sketch",
+    return made.select(own_id, "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "sketch", "edited_sketch",
                        likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"), likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"))
