@@ -163,7 +163,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' ids of the byte vocabulary, id 0 after each, written to Huffman-coded files and read back."""
     path = work_dir(spark, "token-files")
-    tokens = token_files.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    tokens = token_files.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0, tallied=True)
     token_files.write(tokens, path)
     return token_files.read(spark, path).select(F.col("id").alias("doc_id"), "start", F.expr("octet_length(ids) div 4").alias("n_tokens"),
                                                 F.crc32("ids").alias("ids_crc32"))

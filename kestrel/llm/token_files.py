@@ -37,23 +37,31 @@ from kestrel.session import work_dir
 LIMIT = 16
 EVERY = 128
 BLOCK_IDS = 1 << 19
-#: Chunks of text whose ids are remembered, for each worker process.
-REMEMBERED = 1 << 20
+#: Words whose ids are remembered, for each worker process; and other pieces.
+REMEMBERED, REMEMBERED_PIECES = 1 << 20, 1 << 17
 
 BLOCKS = "part int, block int, ids_before long, doc_ids array<long>, n_ids array<long>, checkpoints binary, payload binary"
 
 
-class Library(dict):
-    """The ``tokenizers`` library behind a memory: text -> its ids as 32-bit bytes.
+class WhiteRun(Exception):
+    """A word cut off at a space that has more white space beside it."""
+
 
-    In the byte-level pattern no piece runs from visible characters into the white space after them, so a text's ids
-    are those of its chunks (white space, then visible characters) in a row, and a chunk's those of its pieces; the
-    library's model encodes every piece that is not remembered. Files with a normalizer, another pattern or a
-    post-processor, and texts that hold a special token's string, go through the library as a whole.
+class Library(dict):
+    """The ``tokenizers`` library behind a memory: word -> the ids of a space and that word, as 32-bit bytes; of a word
+    with one or two line ends before it, the ids of that.
+
+    In the byte-level pattern no piece runs from visible characters into the white space after them, and of several
+    white spaces only the last joins what follows. So a text cut at its single spaces, and before its line ends, has
+    the ids of these words in a row. Texts with longer runs of white space are cut into chunks (white space, then visible characters); a chunk's ids
+    are those of its pieces, and the library's model encodes every piece that is not remembered. Files with a
+    normalizer, another pattern or a post-processor, and texts that hold a special token's string, go through the
+    library as a whole.
     """
 
     def __init__(self, spec: str):
         super().__init__()
+        self.pieces: dict[str, bytes] = {}
         self.library = Tokenizer.from_str(spec)
         self.library.no_truncation()
         self.library.no_padding()
@@ -67,24 +75,50 @@ class Library(dict):
         self.piece = regex.compile(GPT_PATTERN.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
         self.byte = byte_symbols()
 
-    def keep(self, text: str, ids: bytes) -> bytes:
-        if len(text) <= 64:
+    def keep(self, word: str, ids: bytes) -> bytes:
+        if len(word) <= 64:
             if len(self) >= REMEMBERED:
                 forget_half(self)
-            self[text] = ids
+            self[word] = ids
         return ids
 
-    def __missing__(self, chunk: str) -> bytes:
-        word, end = chunk[:-1], chunk[-1]
-        if chunk[0] == " " and word[1:].isalpha():  # most are a space and letters, perhaps one mark: no need to match
-            if end.isalpha():
-                return self.keep(chunk, self.encode_piece(chunk))
-            if end in ".,;:!?":
-                return self.keep(chunk, (self.get(word) or self.keep(word, self.encode_piece(word))) + self[end])
-        pieces = self.piece.findall(chunk)
-        if len(pieces) == 1:
-            return self.keep(chunk, self.encode_piece(chunk))
-        return self.keep(chunk, b"".join([self.get(p) or self.keep(p, self.encode_piece(p)) for p in pieces]))
+    def __missing__(self, word: str) -> bytes:
+        if word.isalpha():  # a single piece
+            return self.keep(word, self.encode_piece(" " + word))
+        visible = word.lstrip("\n")
+        if not visible or visible[0].isspace():
+            raise WhiteRun
+        if word[-1] in ".,;:!?" and word[:-1].isalpha():
+            mark, ids = self.of_piece(word[-1]), self.get(word[:-1])
+            if ids is None:  # a word that comes once takes one place, with its mark or without
+                return self.keep(word[:-1], self.encode_piece(" " + word[:-1])) + mark
+            return self.keep(word, ids + mark)
+        if word[0] == "\n":
+            return self.keep(word, b"".join(map(self.of_chunk, self.chunk.findall(word))))
+        chunks = self.chunk.findall(" " + word)
+        if len(chunks) > 1:  # white space other than a space
+            return b"".join(map(self.of_chunk, chunks))
+        return self.keep(word, self.of_pieces(chunks[0]))
+
+    def of_chunk(self, chunk: str) -> bytes:
+        if chunk[0] == " " and len(chunk) > 1 and not chunk[1].isspace():
+            return self[chunk[1:]]
+        return self.of_pieces(chunk)
+
+    def of_pieces(self, chunk: str) -> bytes:
+        return b"".join(map(self.of_piece, self.piece.findall(chunk)))
+
+    def of_piece(self, piece: str) -> bytes:
+        if piece[0] == " " and piece[1:].isalpha():
+            return self[piece[1:]]
+        ids = self.pieces.get(piece)
+        if ids is None:
+            ids = self.encode_piece(piece)
+            if len(piece) <= 64:
+                if len(self.pieces) >= REMEMBERED_PIECES:
+                    forget_half(self.pieces)
+                self.pieces[piece] = ids
+        return ids
 
     def encode_piece(self, piece: str) -> bytes:
         if piece.isascii() and piece.isprintable():  # these bytes stand for themselves, but for the space
@@ -93,10 +127,14 @@ class Library(dict):
             symbols = "".join(map(self.byte.__getitem__, piece.encode()))
         return array("I", [t.id for t in self.model.tokenize(symbols)]).tobytes()
 
-    def encode(self, text: str) -> np.ndarray:
+    def encode(self, text: str) -> bytes:
         if not self.by_chunk or any(s in text for s in self.special):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
-        return np.frombuffer(b"".join(map(self.__getitem__, self.chunk.findall(text))), np.uint32)
+            return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+        words = iter(text.replace("\n", " \n").replace("\n \n", "\n\n").split(" "))
+        try:
+            return b"".join(map(self.of_chunk, self.chunk.findall(next(words)))) + b"".join(map(self.__getitem__, words))
+        except WhiteRun:
+            return b"".join(map(self.of_chunk, self.chunk.findall(text)))
 
 
 def narrowed(ids: np.ndarray) -> tuple[bytes, int]:
@@ -109,24 +147,43 @@ def widened(ids: pa.Array, width: pa.Array) -> list[np.ndarray]:
     return [np.frombuffer(x, f"<u{w}") for x, w in zip(ids.to_pylist(), width.to_pylist())]
 
 
-def encode(docs: DataFrame, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", tallied: bool = False) -> DataFrame:
     """(id, ids, width): the ids of every text, null as empty, with ``end_id`` after them. One row per input row; the
-    vocabulary file (a path on the driver) is broadcast."""
+    vocabulary file (a path on the driver) is broadcast. ``tallied`` adds a column ``counts``, null in these rows, and
+    one more row per task, in which only ``counts`` is set: how often each id from 0 on occurs in the task (int64), so
+    that :func:`write` needs no pass of its own for them."""
     with open(vocabulary, encoding="utf-8") as f:
         shared = docs.sparkSession.sparkContext.broadcast({"spec": f.read()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if "codec" not in shared.value:
             shared.value["codec"] = Library(shared.value["spec"])
-        codec, end = shared.value["codec"], np.array([end_id], np.uint32)
+        codec, end, counts = shared.value["codec"], array("I", [end_id]).tobytes(), np.zeros(0, np.int64)
+
+        def rows(names: pa.Array, ids: pa.Array, width: list, tally: list) -> pa.RecordBatch:
+            columns = [names, ids, pa.array(width, pa.int32()), pa.array(tally, pa.binary())][: 4 if tallied else 3]
+            return pa.RecordBatch.from_arrays(columns, ["id", "ids", "width", "counts"][: len(columns)])
+
         for batch in batches:
             texts = batch.column("text")
             for lo, hi in slices(pc.binary_length(texts)):
-                ids = [narrowed(np.concatenate((codec.encode(t or ""), end))) for t in texts[lo:hi].to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column("id")[lo:hi], pa.array([x for x, _ in ids], pa.binary()), pa.array([w for _, w in ids], pa.int32())], ["id", "ids", "width"])
-
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, ids binary, width int")
+                found = [codec.encode(t or "") + end for t in texts[lo:hi].to_pylist()]
+                flat = np.frombuffer(b"".join(found), np.uint32)
+                if tallied:
+                    counts = added_up(counts, np.bincount(flat))
+                if int(flat.max()) < 1 << 16 and len(flat) < 1 << 30:  # all of 2 bytes: narrowed together
+                    ends = np.cumsum([0, *map(len, found)]) // 2
+                    ids = pa.Array.from_buffers(pa.binary(), len(found), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(flat.astype("<u2"))])
+                    width = [2] * len(found)
+                else:
+                    own = [narrowed(np.frombuffer(x, np.uint32)) for x in found]
+                    ids, width = pa.array([x for x, _ in own], pa.binary()), [w for _, w in own]
+                yield rows(batch.column("id")[lo:hi], ids, width, [None] * len(found))
+        if len(counts):
+            yield rows(pa.array([None], pa.int64()), pa.array([None], pa.binary()), [None], [counts.tobytes()])
+
+    kinds = "id long, ids binary, width int" + (", counts binary" if tallied else "")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, kinds)
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -221,21 +278,34 @@ def unpack(payload: bytes, checkpoints: np.ndarray, sizes: np.ndarray, ids: np.n
     return out
 
 
+def added_up(counts: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """Counts by id plus ``more``."""
+    if len(more) > len(counts):
+        more, counts = counts, more.copy()
+    counts[: len(more)] += more
+    return counts
+
+
 def count_ids(tokens: DataFrame) -> np.ndarray:
-    """Counts by id over all rows; each task sends one row for each id it has met."""
+    """Counts by id over all rows, from the rows' ids or, if there are any, from the tasks' tallies; each task sends
+    one row for each id it has met."""
+    tallied = "counts" in tokens.columns
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(0, np.int64)
         for batch in batches:
+            if tallied:
+                for tally in batch.column("counts").to_pylist():
+                    counts = added_up(counts, np.frombuffer(tally, np.int64))
+                continue
             for width in (2, 4):
                 ids = batch.column("ids").filter(pc.equal(batch.column("width"), width))
-                own = np.bincount(np.frombuffer(b"".join(ids.to_pylist()), f"<u{width}"))
-                if len(own) > len(counts):
-                    own, counts = counts, own
-                counts[:len(own)] += own
+                counts = added_up(counts, np.bincount(np.frombuffer(b"".join(ids.to_pylist()), f"<u{width}")))
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["token", "n"])
 
-    summed = tokens.select("ids", "width").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toPandas()  # at most the vocabulary
+    read = tokens.select("counts").where(F.col("counts").isNotNull()) if tallied else tokens.select("ids", "width")
+    summed = read.mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toPandas()  # at most the vocabulary
     counts = np.zeros(int(summed["token"].max()) + 1 if len(summed) else 0, np.int64)
     counts[summed["token"].to_numpy(np.int64)] = summed["n"].to_numpy()
     return counts
@@ -243,16 +313,19 @@ def count_ids(tokens: DataFrame) -> np.ndarray:
 
 def write(tokens: DataFrame, path: str) -> None:
     """Write ``tokens`` (id, ids, width as by :func:`encode`) to files under ``path``, in ascending order of id: null
-    ids first, rows with one id by their ids' hash. No rows: files without blocks.
+    ids first, rows with one id by their ids' hash. No rows: files without blocks. Rows with a tally are none of them.
 
     The ids are staged once, since both the counts and the blocks read them.
     """
     spark = tokens.sparkSession
     staged_at = f"{work_dir(spark, 'ids')}/data"
-    tokens.select("id", "ids", "width").write.option("compression", "zstd").parquet(staged_at)
-    staged = spark.read.schema("id long, ids binary, width int").parquet(staged_at)
+    tallied = "counts" in tokens.columns
+    tokens.select("id", "ids", "width", *(["counts"] if tallied else [])).write.option("compression", "zstd").parquet(staged_at)
+    staged = spark.read.schema("id long, ids binary, width int" + (", counts binary" if tallied else "")).parquet(staged_at)
 
     lengths = code_lengths(count_ids(staged))
+    if tallied:
+        staged = staged.where(F.col("counts").isNull()).drop("counts")
     used = np.flatnonzero(lengths)
     spark.createDataFrame([(int(i), int(lengths[i])) for i in used], "token long, length int").coalesce(1).write.parquet(f"{path}/lengths")
     shared = spark.sparkContext.broadcast((lengths, canonical(lengths)))
