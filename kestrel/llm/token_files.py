@@ -16,6 +16,7 @@ All checkpoints of a block are decoded side by side, one table look-up each per
 
 from __future__ import annotations
 
+import codecs
 import json
 import re
 from array import array
@@ -73,7 +74,7 @@ class Library(dict):
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.chunk = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
         self.piece = regex.compile(GPT_PATTERN.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
-        self.byte = byte_symbols()
+        self.symbols = "".join(byte_symbols())
 
     def keep(self, word: str, ids: bytes) -> bytes:
         if len(word) <= 64:
@@ -121,10 +122,7 @@ class Library(dict):
         return ids
 
     def encode_piece(self, piece: str) -> bytes:
-        if piece.isascii() and piece.isprintable():  # these bytes stand for themselves, but for the space
-            symbols = piece.replace(" ", self.byte[32])
-        else:
-            symbols = "".join(map(self.byte.__getitem__, piece.encode()))
+        symbols = codecs.charmap_decode(piece.encode(), "strict", self.symbols)[0]
         return array("I", [t.id for t in self.model.tokenize(symbols)]).tobytes()
 
     def encode(self, text: str) -> bytes:
@@ -251,8 +249,9 @@ def pack(ids: list[np.ndarray], lengths: np.ndarray, codes: np.ndarray) -> tuple
     word, n_words = at >> 5, int(start[-1] >> 5) + 2
     # Bits never overlap, so sums are unions; they stay below 2**32, exact in floating point.
     words = np.bincount(word, (window >> np.uint64(32)).astype(np.float64), n_words) + np.bincount(word + 1, (window & np.uint64(0xFFFFFFFF)).astype(np.float64), n_words)
-    within = np.arange(len(flat)) - np.repeat(first[:-1], sizes)
-    return words.astype(">u4").tobytes()[: int(start[-1]) // 8], at[within % EVERY == 0].astype("<u8")
+    lanes = (sizes + EVERY - 1) // EVERY
+    marks = np.arange(lanes.sum()) * EVERY + np.repeat(first[:-1] - (np.cumsum(lanes) - lanes) * EVERY, lanes)
+    return words.astype(">u4").tobytes()[: int(start[-1]) // 8], at[marks].astype("<u8")
 
 
 def unpack(payload: bytes, checkpoints: np.ndarray, sizes: np.ndarray, ids: np.ndarray, bits: np.ndarray, limit: int = LIMIT) -> np.ndarray:
