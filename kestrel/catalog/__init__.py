@@ -2,7 +2,7 @@
 
 from kestrel.catalog.base import CATALOG  # noqa: F401
 from kestrel.catalog import (  # noqa: F401,E402
-    aggregations, backfill, incremental, joins, loads, projections, reconcile, reports, scalars, status_oracles)
+    aggregations, backfill, growing, incremental, joins, loads, projections, reconcile, reports, scalars, status_oracles)
 
 
 def queries():

@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 
 from kestrel.operators.aggregates import has_duplicates
 from kestrel.plans.model import ModelSpec, build_model
+from kestrel.sources.clustering import clustered
+from kestrel.sources.loads import staged
 from kestrel.sources.snapshots import SnapshotStore
 from kestrel.sources.tables import TableRegistry
 
@@ -47,16 +49,21 @@ def _sort_columns(spec: ModelSpec, df: DataFrame) -> list[str]:
     return out[:3]
 
 
-def build(store: SnapshotStore, reg: TableRegistry, spec: ModelSpec) -> dict:
+def build(store: SnapshotStore, reg: TableRegistry, spec: ModelSpec, cluster: bool = False) -> dict:
     """Write the model once as an unpublished version, check the key on the written files (a scan of
     the key column only), then publish; a non-unique key discards the version and refuses the build.
-    The join is computed once, not once for the check and again for the write."""
+    The join is computed once, not once for the check and again for the write. With ``cluster`` the rows lie along a
+    curve over all sort columns, so that filters on any of them skip files, not only on the first."""
     if spec.pk is None:
         raise MatviewError(f"model {spec.name} needs a primary key to be materialised")
     df = build_model(reg, spec)
     t0 = time.time()
     before = store.rows(spec.name)
-    version, rows, _ = store.write_version(spec.name, df, sort_within=_sort_columns(spec, df))
+    order = _sort_columns(spec, df)
+    if cluster:
+        version, rows, _ = store.write_version(spec.name, clustered(staged(df, "cluster"), order))
+    else:
+        version, rows, _ = store.write_version(spec.name, df, sort_within=order)
     if has_duplicates(store.read_version(spec.name, version).select(spec.pk.name), [spec.pk.name]):
         store.discard(spec.name, version)
         raise MatviewError(f"primary key {spec.pk.name} of {spec.name} is not unique; build refused")
