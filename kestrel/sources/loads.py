@@ -1,4 +1,4 @@
-"""Loads: full text snapshot, sampled and windowed loads, audit stamps, key-based merges.
+"""Loads: full text snapshot, sampled and windowed loads, CSV export, audit stamps, key-based merges.
 
 Without a table format there is no MERGE. Insert-style merges (insert-if-absent, key repair) compute
 only the new rows with an anti-join, and ``SnapshotStore.append`` adds them to the table; upserts and
@@ -43,6 +43,13 @@ def load_time_window(src: DataFrame, column: str, start: str, end: str) -> DataF
     return src.filter(F.col(column).between(F.lit(start).cast(cast), F.lit(end).cast(cast)))
 
 
+def export_csv(report: DataFrame, path: str) -> None:
+    """A report as one CSV file with a header. Its rows are made by as many tasks as they would be without the file; the
+    one task that writes it streams finished rows and holds none (``coalesce(1)`` would make that task do all the work of
+    the stage before)."""
+    report.repartition(1).write.option("header", True).csv(path)
+
+
 # The audit columns.
 AUDIT_COLUMNS = ("_migrated_at", "_migrate_run_id")
 
